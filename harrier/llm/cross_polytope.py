@@ -117,7 +117,8 @@ def search(vectors: DataFrame, queries, *, k: int = 20, tables: int = 28, probes
         if not out:
             return pd.DataFrame({"q": [], "c": [], "s": []})
         all_ = pd.DataFrame({n: np.concatenate([o[i] for o in out]) for i, n in enumerate("qcs")}).drop_duplicates(["q", "c"])
-        edge = all_.sort_values("s", ascending=False).groupby("q").s.transform(lambda x: x.iloc[min(k, len(x) - 1)])
+        all_ = all_.sort_values("s", ascending=False, ignore_index=True)
+        edge = all_.groupby("q").s.transform(lambda x: x.iloc[min(k, len(x) - 1)])
         return all_[all_.s >= edge - 1e-9]
 
     def compare(home: DataFrame, probe: DataFrame) -> DataFrame:
