@@ -8,8 +8,8 @@ weight, consistently between texts, so that two texts have equal samples with a
 weighted Jaccard similarity. Texts that share a band of samples are candidates, and candidates'
 similarity is computed from their whole texts.
 
-Exact copies are one node. A bucket's texts are first compared with one of them, drawn anew for each
-band; then, in buckets whose texts are not yet of one class, all texts of different
+Exact copies are one node. A bucket's texts are first compared with that one of them which shares most
+buckets with others (the text that the others vary); then, in buckets whose texts are not yet of one class, all texts of different
 classes are compared by their samples, in blocks, and those alike are verified too.
 """
 
@@ -68,8 +68,7 @@ def document_frequencies(docs: DataFrame, groups: int = 32, pieces: int = 16) ->
         df = np.zeros(CELLS, np.int64)
         for b in batches:
             for t in b["text"].to_pylist():
-                cells = np.unique((runs(t)[0] % np.uint64(CELLS)).astype(np.int64))
-                df[cells] += 1
+                df[(runs(t)[0] % np.uint64(CELLS)).astype(np.int64)] += 1  # a cell that comes twice is counted once
         if df.any():
             group = TaskContext.get().partitionId() % groups
             yield {"group": [group] * pieces, "piece": list(range(pieces)), "df": [df[i * step : (i + 1) * step].astype("<i8").tobytes() for i in range(pieces)]}
@@ -129,13 +128,21 @@ class Sampler:
             return None
         best, at, level = None, None, None
         log_w = np.log(w).astype(np.float32)
-        for lo in range(0, len(keys), 4096):
-            cell = (keys[lo : lo + 4096] >> np.uint64(40)).astype(np.int64) % DRAWS
-            r, beta = self.r[cell], self.beta[cell]
-            t = np.floor(log_w[lo : lo + 4096, None] * self.inv[cell] + beta)
-            log_a = self.log_c[cell] - r * (t - beta + 1)
+        cells = (keys >> np.uint64(40)).astype(np.int64) % DRAWS
+        column = np.arange(SAMPLES)
+        for lo in range(0, len(keys), 256):  # few enough to stay in a core's cache
+            cell = cells[lo : lo + 256]
+            beta = self.beta[cell]
+            t = self.inv[cell]
+            t *= log_w[lo : lo + 256, None]
+            t += beta
+            np.floor(t, out=t)
+            np.subtract(t, beta, out=beta)
+            beta += 1
+            beta *= self.r[cell]
+            log_a = np.subtract(self.log_c[cell], beta, out=beta)
             i = log_a.argmin(axis=0)
-            a, lev = np.take_along_axis(log_a, i[None], 0)[0], np.take_along_axis(t, i[None], 0)[0]
+            a, lev = log_a[i, column], t[i, column]
             if best is None:
                 best, at, level = a, lo + i, lev
             else:
@@ -193,7 +200,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, held, threshold: float, name:
     return saved(map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), "a long, b long", work), name)
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, alike: float = 0.55, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, alike: float = 0.62, block: int = 1024) -> DataFrame:
     """The class of every row: rows are of one class if a chain of links of ``threshold`` or more joins them.
 
     Returns doc_id, class_id (the smallest doc_id of the class), copies (rows of the same text), links (distinct other texts
@@ -219,8 +226,13 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, alike: float = 0
     signed = map_batches(keyed.select("text", "node"), "node long, sig binary, keys array<long>", sign)
     signed = saved(signed.dropDuplicates(["node"]), "mh-signatures")
     members = signed.select("node", F.explode("keys").alias("key"))
-    heads = members.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    shared = saved(members.join(heads.select("key", "head"), "key"), "mh-buckets")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = saved(members.join(sizes, "key"), "mh-shared")
+    # the text that others are variants of has most neighbours over all bands: it heads its buckets
+    neighbours = shared.groupBy("node").agg(F.sum("size").alias("neighbours"))
+    ranked = shared.join(neighbours, "node")
+    heads = ranked.groupBy("key").agg(F.max_by("node", F.struct("neighbours", "node")).alias("head"))
+    shared = saved(shared.select("key", "node").join(heads, "key"), "mh-buckets")
     pairs = shared.where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
     wanted = shared.select("node").distinct()
     # one row of each text that shares a bucket
@@ -237,18 +249,25 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, alike: float = 0
     dealt = dealt.select("key", "node", "root", "sig", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.stack([np.frombuffer(x, "<u4") for x in rows.sig])
-        node, root, side = rows.node.to_numpy(), rows.root.to_numpy(), rows.mine.to_numpy()
-        same_block = (rows.lo == rows.hi).all()
+        """Pairs of different classes that look alike, in a lot of blocks."""
+        rows = rows.sort_values(["key", "lo", "hi"], ignore_index=True)
+        sigs = np.stack([np.frombuffer(x, "<u4") for x in rows.sig])
+        nodes_, roots_, sides, same = rows.node.to_numpy(), rows.root.to_numpy(), rows.mine.to_numpy(), (rows.lo == rows.hi).to_numpy()
+        place = rows[["key", "lo", "hi"]].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(axis=1), [True]]))
         out = []
-        for i in range(len(rows)):
-            other = (root != root[i]) & (node < node[i]) if same_block else (root != root[i]) & (side != side[i]) & (node < node[i])
-            at = np.flatnonzero(other)
-            at = at[(sig[at] == sig[i]).mean(axis=1) >= alike]
-            out += [(node[i], node[j]) for j in at]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    more = dealt.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            sig, node, root, side, one = sigs[lo:hi], nodes_[lo:hi], roots_[lo:hi], sides[lo:hi], same[lo]
+            for i in range(hi - lo):
+                at = np.flatnonzero((root != root[i]) & (node < node[i]) & (one | (side != side[i])))
+                if len(at):
+                    at = at[(sig[at] == sig[i]).sum(axis=1) >= alike * SAMPLES]
+                    out += [(node[i], node[j]) for j in at]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
+
+    classed = saved(dealt, "mh-mixed")
+    lots = max(1, classed.count() // 4096)
+    more = classed.groupBy(F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(lots)).alias("lot")).applyInPandas(compare, "a long, b long").distinct()
     more = saved(more.join(pairs, ["a", "b"], "left_anti"), "mh-more")
     if not more.isEmpty():
         links = links.unionByName(_verified(more, texts, held, threshold, "mh-links"))
