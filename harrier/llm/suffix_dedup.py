@@ -153,20 +153,22 @@ def _sort_shard(rows: pd.DataFrame) -> pd.DataFrame:
     row = np.searchsorted(begin, at, "right") - 1
     keep = at + SPAN <= begin[row] + lens[row] - 1
     at, row = at[keep], row[keep]
-    out = [(int(rows.of.iloc[r]), s, e) for r in np.unique(row) for s, e in _windows(at[row == r] - begin[r] + int(rows["first"].iloc[r]))]
+    of, first = rows.of.to_numpy(), rows["first"].to_numpy()
+    edges = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else np.zeros(1, np.int64)
+    out = [(of[row[lo]], s, e) for lo, hi in zip(edges[:-1], edges[1:], strict=True) for s, e in _windows(at[lo:hi] - begin[row[lo]] + first[row[lo]])]
     return pd.DataFrame(out, columns=["of", "s", "e"]).astype("int64")
 
 
-def repeated(texts: DataFrame, *, shard_bytes: int = 6 << 20, crowd: int = 20_000) -> DataFrame:
+def repeated(texts: DataFrame, *, shard_bytes: int = 1 << 20, crowd: int = 4_000) -> DataFrame:
     """of, s, e: byte ranges of repeated windows of the texts (columns of, id, text as bytes)."""
     kept = _hull_rows(texts, True).repartition("anchor")
     by_hull = kept.groupBy("anchor", "hull").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("of", "id", "span")])
-    by_anchor = by_hull.groupBy("anchor").agg(F.count("*").alias("hulls"), F.sum("n").alias("total")).where("total > 1").drop("total")
+    by_anchor = by_hull.groupBy("anchor").agg(F.count("*").alias("hulls"), F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1").drop("total")
     found = saved(by_hull.join(by_anchor, "anchor"), "sfx-hulls")
     whole = _hull_rows(texts, False).join(found.where("n > 1").select("hull"), "hull").select("of", F.shiftright("span", 32).alias("s"), (F.col("span").bitwiseAND(0xFFFFFFFF) + SPAN).alias("e"))
     marks = whole
 
-    mixed = found.where("hulls > 1")
+    mixed = found.where("hulls > 1 and least = 1")  # hulls that all occur twice are settled
     asked = mixed.groupBy("of", "id").agg(F.collect_list(F.struct("anchor", "hull", "span", "hulls")).alias("asked"))
     asked = asked.select("of", "id", "asked.anchor", "asked.hull", "asked.span", "asked.hulls")
 
