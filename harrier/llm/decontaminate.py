@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Fixed masks; six words count in each.
 MASKS = ("1110111", "11011011", "1101001101")
 SPAN = max(map(len, MASKS))
@@ -62,6 +64,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, long: int
     found = hits.join(items.withColumnRenamed("w", "item"), "item_id")
     same = (F.col("h.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("h.of") == F.col("t.of"))
     pairs = texts.alias("t").join(found.alias("h"), same).select("h.doc_id", "h.item_id", "h.lag", "h.first", "h.last", "h.item", word_hashes(F.col("t.text")).alias("w"))
+    pairs = saved(pairs, "leaks")  # few rows; or their words would be hashed again for each word that is compared
     agrees = lambda i: F.when((i >= 0) & (F.get("w", i) == F.get("item", i - F.col("lag"))), 1).otherwise(0)
     agreeing = lambda lo, hi: F.aggregate(F.transform(F.sequence(lo, hi), agrees), F.lit(0), lambda a, x: a + x)
     n, lag = F.size("item"), F.col("lag")
