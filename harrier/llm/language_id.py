@@ -27,24 +27,21 @@ START, END = 1, 2
 LETTERS = regex.compile(r"\p{L}+").findall
 
 
-def _codes(word: str) -> np.ndarray:
-    """16 bits of each character; those beyond the basic plane are folded into it."""
-    cp = np.frombuffer(word.encode("utf-32-le"), "<u4")
-    return np.where(cp < 0x10000, cp, 0xE000 | cp & 0xFFF).astype(np.uint64)
-
-
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all positions (letters and end) of all words, and each word's first position."""
-    parts, lens = [], np.empty(len(words), np.int64)
-    for i, w in enumerate(words):
-        c = _codes(w)
-        parts += [np.full(3, START, np.uint64), c, np.array([END], np.uint64)]
-        lens[i] = len(c) + 1
-    flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    keys = flat[:-3] << np.uint64(48) | flat[1:-2] << np.uint64(32) | flat[2:-1] << np.uint64(16) | flat[3:] if len(flat) > 3 else np.empty(0, np.uint64)
-    first = np.concatenate([[0], np.cumsum(lens + 3)[:-1]]).astype(np.int64) if len(words) else np.empty(0, np.int64)
-    keep = np.repeat(first, lens) + np.arange(lens.sum()) - np.repeat(np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64), lens) if len(words) else first
-    return keys[keep], np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64) if len(words) else first
+    """Keys of all positions (letters and end) of all words, and each word's first position.
+
+    A key holds 16 bits of each character; those beyond the basic plane are folded into it.
+    """
+    if not words:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    start, end = chr(START) * 3, chr(END)
+    cp = np.frombuffer((start + (end + start).join(words) + end).encode("utf-32-le"), "<u4")
+    flat = np.where(cp < 0x10000, cp, 0xE000 | cp & 0xFFF).astype(np.uint64)
+    keys = flat[:-3] << np.uint64(48) | flat[1:-2] << np.uint64(32) | flat[2:-1] << np.uint64(16) | flat[3:]
+    last = flat[3:] == END  # letters are never marks
+    keep = flat[3:] != START
+    ends = np.flatnonzero(last[keep])
+    return keys[keep], np.concatenate([[0], ends[:-1] + 1])
 
 
 class KneserNey:
