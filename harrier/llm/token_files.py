@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import zstandard
@@ -32,19 +32,44 @@ HEAD = struct.Struct("<8s32sIIQ")
 _loaded: dict = {}
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> Words:
     if path not in _loaded:
         one_thread()
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _loaded[path] = t
+        _loaded[path] = Words(t)
     return _loaded[path]
 
 
-def _encode(tokenizer, texts: list[str | None], end_id: int) -> list[list[int]]:
-    return [[*e.ids, end_id] for e in tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+class Words(dict):
+    """Ids by what stands between two spaces; forgets when it is full.
+
+    The tokenizer's normalizer and splitter never look across a space, which no token holds,
+    so the ids of a text are those of its parts one after another. Each part is encoded by
+    the library; short ones are remembered, since most words are seen again and again.
+    """
+
+    def __init__(self, tokenizer, limit: int = 250_000, longest: int = 64):
+        self.tokenizer, self.limit, self.longest = tokenizer, limit, longest
+        self[""] = []
+
+    def encode(self, texts: list[str | None], end_id: int) -> list[list[int]]:
+        split = [(t or "").split(" ") for t in texts]
+        new = list(set().union(*split) - self.keys())
+        if len(self) + len(new) > self.limit:
+            self.clear()
+            self[""] = []
+            new = list(set().union(*split) - self.keys())
+        for k in range(0, len(new), 4096):
+            some = new[k : k + 4096]
+            self.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        out = [[*chain.from_iterable(map(self.__getitem__, parts)), end_id] for parts in split]
+        for part in new:
+            if len(part) > self.longest:
+                del self[part]
+        return out
 
 
 def pack(rows: list[tuple], dictionary_sha: bytes, width: int, tokens_before: int) -> bytes:
@@ -90,7 +115,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: i
     def work(batches):
         t = _tokenizer(tokenizer_path)
         for b in batches:
-            ids = _encode(t, b["text"].to_pylist(), end_id)
+            ids = t.encode(b["text"].to_pylist(), end_id)
             yield {"piece": [np.array(x[:4096], f"<u{width}").tobytes() for x in ids]}  # a training piece, not a stored document
 
     pieces = [bytes(r.piece) for r in map_batches(sample, "piece binary", work).collect()]
@@ -112,7 +137,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int, sam
     ranges = int(min(10_000, max(48, n // 2000)))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
     bounds = np.unique(np.array(bounds, dtype=np.int64))
-    width = 2 if _tokenizer(tokenizer_path).get_vocab_size() <= 65536 and end_id < 65536 else 4
+    width = 2 if _tokenizer(tokenizer_path).tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
     dictionary = train_dictionary(docs, tokenizer_path, end_id, width, sample_docs, dictionary_bytes, n)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
 
@@ -123,7 +148,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int, sam
             d.precompute_compress(level=level)
         c = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
         for b in batches:
-            ids = _encode(t, b["text"].to_pylist(), end_id)
+            ids = t.encode(b["text"].to_pylist(), end_id)
             doc = b["doc_id"].fill_null(NO_ID).to_numpy()
             yield {"doc_id": b["doc_id"], "part": np.searchsorted(bounds, doc, "right"), "n": [len(x) for x in ids], "frame": [c.compress(np.array(x, f"<u{width}").tobytes()) for x in ids]}
 
