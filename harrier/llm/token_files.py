@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import zstandard
@@ -44,32 +44,35 @@ def _tokenizer(path: str) -> Words:
 
 
 class Words(dict):
-    """Ids by what stands between two spaces; forgets when it is full.
+    """Serialized ids by what stands between two spaces; forgets when it is full.
 
     The tokenizer's normalizer and splitter never look across a space, which no token holds,
     so the ids of a text are those of its parts one after another. Each part is encoded by
     the library; short ones are remembered, since most words are seen again and again.
     """
 
-    def __init__(self, tokenizer, limit: int = 250_000, longest: int = 64):
+    def __init__(self, tokenizer, limit: int = 400_000, longest: int = 64):
         self.tokenizer, self.limit, self.longest = tokenizer, limit, longest
-        self[""] = []
+        self.serial = "<u2" if tokenizer.get_vocab_size() <= 65536 else "<u4"
 
-    def encode(self, texts: list[str | None], end_id: int) -> list[list[int]]:
-        split = [(t or "").split(" ") for t in texts]
-        new = list(set().union(*split) - self.keys())
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.serial).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def __missing__(self, part: str) -> bytes:
+        return self._ids([part])[0]
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Encode the short parts that are not known yet, many at once."""
+        unknown = lambda: list({p for t in texts if t for p in t.split(" ") if p not in self and len(p) <= self.longest})
+        new = unknown()
         if len(self) + len(new) > self.limit:
             self.clear()
-            self[""] = []
-            new = list(set().union(*split) - self.keys())
+            new = unknown()
         for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            self.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        out = [[*chain.from_iterable(map(self.__getitem__, parts)), end_id] for parts in split]
-        for part in new:
-            if len(part) > self.longest:
-                del self[part]
-        return out
+            self.update(zip(new[k : k + 4096], self._ids(new[k : k + 4096]), strict=True))
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, (text or "").split(" ")))
 
 
 def pack(rows: list[tuple], dictionary_sha: bytes, width: int, tokens_before: int) -> bytes:
@@ -103,7 +106,7 @@ class Volume:
         return np.frombuffer(raw, "<u2" if self.width == 2 else "<u4").astype("<u4")
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, sample_docs: int, dictionary_bytes: int, rows: int) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_docs: int, dictionary_bytes: int, rows: int) -> bytes:
     """A dictionary from about ``sample_docs`` documents, chosen by a hash of the id.
 
     It decides the size of the files only, never what is read back. With too little to
@@ -115,8 +118,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: i
     def work(batches):
         t = _tokenizer(tokenizer_path)
         for b in batches:
-            ids = t.encode(b["text"].to_pylist(), end_id)
-            yield {"piece": [np.array(x[:4096], f"<u{width}").tobytes() for x in ids]}  # a training piece, not a stored document
+            yield {"piece": [t.encode(x)[: 4096 * width] for x in b["text"].to_pylist()]}  # a training piece, not a stored document
 
     pieces = [bytes(r.piece) for r in map_batches(sample, "piece binary", work).collect()]
     try:
@@ -137,8 +139,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int, sam
     ranges = int(min(10_000, max(48, n // 2000)))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
     bounds = np.unique(np.array(bounds, dtype=np.int64))
-    width = 2 if _tokenizer(tokenizer_path).tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
-    dictionary = train_dictionary(docs, tokenizer_path, end_id, width, sample_docs, dictionary_bytes, n)
+    serial = np.dtype(_tokenizer(tokenizer_path).serial)
+    width, end = serial.itemsize, np.array([end_id], serial).tobytes()
+    dictionary = train_dictionary(docs, tokenizer_path, width, sample_docs, dictionary_bytes, n)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
 
     def encode(batches):
@@ -148,9 +151,11 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int, sam
             d.precompute_compress(level=level)
         c = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
         for b in batches:
-            ids = t.encode(b["text"].to_pylist(), end_id)
+            texts = b["text"].to_pylist()
+            t.learn(texts)
+            ids = [t.encode(x) + end for x in texts]
             doc = b["doc_id"].fill_null(NO_ID).to_numpy()
-            yield {"doc_id": b["doc_id"], "part": np.searchsorted(bounds, doc, "right"), "n": [len(x) for x in ids], "frame": [c.compress(np.array(x, f"<u{width}").tobytes()) for x in ids]}
+            yield {"doc_id": b["doc_id"], "part": np.searchsorted(bounds, doc, "right"), "n": [len(x) // width for x in ids], "frame": [c.compress(x) for x in ids]}
 
     def bind(batches):
         sha, rows, held, part, before = hashlib.sha256(dictionary).digest(), [], 0, None, 0
