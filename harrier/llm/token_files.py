@@ -32,15 +32,15 @@ HEAD = struct.Struct("<8s32sIIQ")
 _loaded: dict = {}
 
 
-def _tokenizer(path: str) -> Words:
-    if path not in _loaded:
+def _tokenizer(path: str, end_id: int) -> Words:
+    if (path, end_id) not in _loaded:
         one_thread()
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _loaded[path] = Words(t)
-    return _loaded[path]
+        _loaded[path, end_id] = Words(t, end_id)
+    return _loaded[path, end_id]
 
 
 class Words(dict):
@@ -51,9 +51,9 @@ class Words(dict):
     the library; short ones are remembered, since most words are seen again and again.
     """
 
-    def __init__(self, tokenizer, limit: int = 400_000, longest: int = 64):
+    def __init__(self, tokenizer, end_id: int, limit: int = 400_000, longest: int = 64):
         self.tokenizer, self.limit, self.longest = tokenizer, limit, longest
-        self.serial = "<u2" if tokenizer.get_vocab_size() <= 65536 else "<u4"
+        self.serial = "<u2" if tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else "<u4"
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.serial).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -106,7 +106,7 @@ class Volume:
         return np.frombuffer(raw, "<u2" if self.width == 2 else "<u4").astype("<u4")
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_docs: int, dictionary_bytes: int, rows: int) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, sample_docs: int, dictionary_bytes: int, rows: int) -> bytes:
     """A dictionary from about ``sample_docs`` documents, chosen by a hash of the id.
 
     It decides the size of the files only, never what is read back. With too little to
@@ -116,7 +116,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_do
     sample = docs.select("doc_id", "text").where(chance < sample_docs / max(rows, 1))
 
     def work(batches):
-        t = _tokenizer(tokenizer_path)
+        t = _tokenizer(tokenizer_path, end_id)
         for b in batches:
             yield {"piece": [t.encode(x)[: 4096 * width] for x in b["text"].to_pylist()]}  # a training piece, not a stored document
 
@@ -139,13 +139,13 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int, sam
     ranges = int(min(10_000, max(48, n // 2000)))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
     bounds = np.unique(np.array(bounds, dtype=np.int64))
-    serial = np.dtype(_tokenizer(tokenizer_path).serial)
+    serial = np.dtype(_tokenizer(tokenizer_path, end_id).serial)
     width, end = serial.itemsize, np.array([end_id], serial).tobytes()
-    dictionary = train_dictionary(docs, tokenizer_path, width, sample_docs, dictionary_bytes, n)
+    dictionary = train_dictionary(docs, tokenizer_path, end_id, width, sample_docs, dictionary_bytes, n)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
 
     def encode(batches):
-        t = _tokenizer(tokenizer_path)
+        t = _tokenizer(tokenizer_path, end_id)
         d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         if d:
             d.precompute_compress(level=level)
