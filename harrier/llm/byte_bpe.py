@@ -3,16 +3,18 @@
 A text is cut into pieces by the tokenizer's pattern. Within a piece a segment tree over the
 byte positions holds, for each live position, the rank of the pair that begins there; its root
 is the leftmost pair of lowest rank. A merge removes one leaf and renews the two beside it,
-each in logarithmic time, so that a piece of a megabyte costs n log n.
+each in logarithmic time, so that a piece of a megabyte costs n log n. Short pieces that are new
+to a worker are merged side by side, a tree each, as arrays.
 """
 
 from __future__ import annotations
 
-import array
 import base64
 import hashlib
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, pairwise
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -73,19 +75,108 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[t] for t in token if t)
 
 
-class Pieces(dict):
-    """Ids by piece. Pieces are seen again and again, so a worker keeps what it has merged."""
+class Pairs:
+    """Merges many short pieces at once: one segment tree a piece, one merge of each a step."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.base = 1 + max(ranks.values())
+        found = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    found[left * self.base + right] = rank
+        self.keys = np.array(sorted(found), np.int64)
+        self.values = np.array([found[k] for k in self.keys.tolist()], np.int64)
+        self.bytes = np.array([ranks.get(bytes([x]), -1) for x in range(256)], np.int64)
+
+    def leaf(self, left: np.ndarray, right: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+        """Leaves for pairs of ids that begin at ``at``: by rank, ties to the left."""
+        if not len(self.keys):
+            return np.full(np.broadcast(left, right).shape, NONE)
+        key = left * self.base + right
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = (self.keys[place] == key) & (left >= 0) & (right >= 0)
+        return np.where(known, self.values[place] * size + at, NONE)
+
+    def merge(self, pieces: list[bytes], size: int) -> list[bytes]:
+        """Serialized ids of pieces of at most ``size`` bytes, a power of two."""
+        rows = len(pieces)
+        lengths = np.fromiter(map(len, pieces), np.int64, rows)
+        place = np.arange(size)
+        text = np.frombuffer(b"".join(x.ljust(size, b"\0") for x in pieces), np.uint8).reshape(rows, size)
+        ids = np.full((rows, size + 1), -1, np.int64)  # the last column stands for the end
+        ids[:, :size] = np.where(place < lengths[:, None], self.bytes[text], -1)
+        after = np.minimum(np.tile(place + 1, (rows, 1)), lengths[:, None])
+        after = np.where(after == lengths[:, None], size, after)
+        after = np.concatenate([after, np.full((rows, 1), size)], axis=1)
+        before = np.tile(np.arange(-1, size), (rows, 1))
+        tree = np.full((rows, 2 * size), NONE)
+        tree[:, size:] = self.leaf(ids[:, :size], ids[:, 1:], size, place)
+        level = size
+        while level > 1:
+            level >>= 1
+            tree[:, level : 2 * level] = tree[:, 2 * level : 4 * level].reshape(rows, level, 2).min(axis=2)
+        live = np.arange(rows)
+        ids_, after_, before_, tree_ = ids.ravel(), after.ravel(), before.ravel(), tree.ravel()
+        while True:
+            top = tree_[live * (2 * size) + 1]
+            going = top < NONE
+            live, top = live[going], top[going]
+            if not len(live):
+                break
+            row, root = live * (size + 1), live * (2 * size)
+            i, rank = top % size, top // size
+            j = after_[row + i]
+            k = after_[row + j]
+            ids_[row + i] = rank
+            ids_[row + j] = -1
+            after_[row + i] = k
+            before_[row + k] = i
+            p = before_[row + i]
+            p = np.where(p < 0, i, p)
+            tree_[root + size + j] = NONE
+            tree_[root + size + p] = self.leaf(ids_[row + p], rank, size, p)
+            tree_[root + size + i] = self.leaf(rank, ids_[row + k], size, i)  # last: it is right where p is i
+            nodes = np.concatenate([size + i, size + j, size + p])
+            root = np.tile(root, 3)
+            for _ in range(size.bit_length() - 1):
+                nodes >>= 1
+                child = root + 2 * nodes
+                tree_[root + nodes] = np.minimum(tree_[child], tree_[child + 1])
+        left = ids[:, :size] >= 0
+        ends = 4 * np.cumsum(left.sum(axis=1))
+        flat = ids[:, :size][left].astype("<u4").tobytes()
+        return [flat[a:b] for a, b in pairwise([0, *ends.tolist()])]
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 250_000):
-        self.ranks, self.limit = ranks, limit
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = merge_piece(piece.encode(), self.ranks)
-        if len(piece) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[piece] = ids
-        return ids
+class Pieces(dict):
+    """Serialized ids by piece. Pieces are seen again and again, so a worker keeps the short ones."""
+
+    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000, longest: int = 64):
+        self.ranks, self.limit, self.longest, self.pairs = ranks, limit, longest, Pairs(ranks)
+
+    def __missing__(self, piece: str) -> bytes:
+        return np.array(merge_piece(piece.encode(), self.ranks), "<u4").tobytes()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Merge the short pieces that are not known yet, those of like length together."""
+        new = [x for x in pieces if x not in self and len(x) <= self.longest]
+        if len(self) + len(new) > self.limit:
+            self.clear()
+            new = [x for x in pieces if len(x) <= self.longest]
+        sized: dict[int, list[str]] = {}
+        for x in new:
+            raw = x.encode()
+            if raw in self.ranks:
+                self[x] = self.ranks[raw].to_bytes(4, "little")
+            else:
+                sized.setdefault(1 << (len(raw) - 1).bit_length(), []).append(x)
+        for size, group in sized.items():
+            step = max(1, (1 << 15) // size)
+            for lo in range(0, len(group), step):
+                lot = group[lo : lo + step]
+                self.update(zip(lot, self.pairs.merge([x.encode() for x in lot], size), strict=True))
 
 
 class Codec:
@@ -97,11 +188,24 @@ class Codec:
         for token, i in self.ranks.items():
             self.tokens[i] = token
 
-    def encode(self, text: str | None) -> array.array:
-        return array.array("I", chain.from_iterable(map(self.pieces.__getitem__, self.find(text or ""))))
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(next(self.encode_all([text])), "<u4").tolist()
+
+    def encode_all(self, texts: list[str | None], chars: int = 1 << 20) -> Iterator[bytes]:
+        """Ids of many texts as unsigned 32-bit little-endian integers; about ``chars`` characters
+        are cut into pieces at once."""
+        lot, held = [], 0
+        for n, text in enumerate(texts, 1):
+            lot.append(self.find(text or ""))
+            held += len(text or "")
+            if held >= chars or n == len(texts):
+                self.pieces.learn(set(chain.from_iterable(lot)))
+                for found in lot:
+                    yield b"".join(map(self.pieces.__getitem__, found))
+                lot, held = [], 0
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -113,13 +217,6 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def little_endian(ids: array.array) -> bytes:
-    if array.array("I", [1]).tobytes()[0] != 1:
-        ids = array.array("I", ids)
-        ids.byteswap()
-    return ids.tobytes()
-
-
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (unsigned 32-bit little-endian integers, as bytes) of every whole text.
 
@@ -131,7 +228,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def work(batches):
         c = codec(path, pattern)
         for b in batches:
-            yield {"doc_id": b["doc_id"], "ids": [little_endian(c.encode(t)) for t in b["text"].to_pylist()]}
+            yield {"doc_id": b["doc_id"], "ids": list(c.encode_all(b["text"].to_pylist()))}
 
     return map_batches(docs.select("doc_id", "text"), "doc_id long, ids binary", work)
 
@@ -142,7 +239,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def work(batches):
         c = codec(path, pattern)
         for b in batches:
-            yield {"doc_id": b["doc_id"], "content": [c.decode(array.array("I", x)) for x in b["ids"].to_pylist()]}
+            yield {"doc_id": b["doc_id"], "content": [c.decode(x) for x in b["ids"].to_pylist()]}
 
     return map_batches(encoded.select("doc_id", "ids"), "doc_id long, content binary", work)
 
@@ -160,10 +257,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: str = "") -> Data
         c = codec(path, pattern)
         for b in batches:
             n, a, d = [], [], []
-            for t in b["text"].to_pylist():
-                ids = c.encode(t)
-                n.append(len(ids))
-                a.append(hashlib.sha256(little_endian(ids)).hexdigest())
+            for ids in c.encode_all(b["text"].to_pylist()):
+                n.append(len(ids) // 4)
+                a.append(hashlib.sha256(ids).hexdigest())
                 d.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield {"doc_id": b["doc_id"], **{x: b[x] for x in names}, "n_tokens": n, "ids_sha256": a, "decoded_sha256": d}
 
