@@ -73,6 +73,16 @@ def test_bpe_is_that_of_the_library(spark, awkward):
     assert back == {(i, (t or "").encode()) for i, t in AWKWARD}
 
 
+def test_pieces_merged_side_by_side_are_those_merged_alone():
+    ranks, draw = byte_bpe.load_ranks(RANKS), np.random.default_rng(4)
+    pieces = list({"".join(draw.choice(list("aabcé汉 1"), draw.integers(1, 65))) for _ in range(600)})
+    learned = byte_bpe.Pieces(ranks, limit=200)
+    for lo in range(0, len(pieces), 150):  # forgets in between
+        learned.learn(set(pieces[lo : lo + 150]))
+        for x in pieces[lo : lo + 150]:
+            assert tuple(np.frombuffer(learned[x], "<u4").tolist()) == byte_bpe.merge_piece(x.encode(), ranks)
+
+
 def test_token_files_hold_the_ids(spark):
     from tokenizers import Tokenizer
 
