@@ -4,12 +4,15 @@ Words are lower-cased runs of letters and digits. A seed is a fixed mask laid on
 at its ones are hashed, those at its zeros are ignored, so that a substituted word there does not
 hide a copy. The hashes of all documents are joined to those of the benchmark. Each hit gives an
 alignment of a document with an item, which is then verified word by word: it counts if at
-least ``share`` of the item's words agree, or if the stretch between its first and last hit
-has ``long`` agreeing words or more and at least ``share`` of it agrees.
+least ``share`` of the item's words agree, or if any stretch of it has ``long`` agreeing words
+or more and at least ``share`` of that stretch agrees, whatever lies before and after it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from .common import saved
 
 #: Fixed masks; six words count in each.
 MASKS = ("1110111", "11011011", "1101001101")
+#: In the SQL only.
 SPAN = max(map(len, MASKS))
 
 
@@ -42,6 +46,18 @@ def _seed_rows(df: DataFrame, *key: str) -> DataFrame:
     return rows.select(*key, "seed", F.pmod("p", "n").alias("at"))
 
 
+def has_stretch(at: Column, share: float, long: int) -> Column:
+    """Whether a stretch has ``long`` of the sorted positions ``at`` or more, and they are at least ``share`` of it.
+
+    Of a longer stretch cut in two parts of ``long`` positions or more, one is as dense as the whole, so
+    it is enough to look at stretches of ``long`` to ``2 * long - 1`` positions.
+    """
+    widest = {k: max(x for x in range(k, int(k / share) + 2) if k >= share * x) for k in range(long, 2 * long)}
+    dense = lambda i, k: F.coalesce(F.get(at, i + k - 1) - F.get(at, i) < widest[k], F.lit(False))
+    starts = F.sequence(F.lit(0), F.size(at) - long)
+    return (F.size(at) >= long) & F.exists(starts, lambda i: reduce(or_, [dense(i, k) for k in widest]))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, long: int = 13, broadcast_seeds: int = 500_000) -> DataFrame:
     """One row for each document and distinct item text that it copies.
 
@@ -60,19 +76,20 @@ def find(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, long: int
     if probe.count() <= broadcast_seeds:
         probe = F.broadcast(probe)
     rows = _seed_rows(texts.select("doc_id", "of", word_hashes(F.col("text")).alias("w")), "doc_id", "of")
-    hits = rows.join(probe, "seed").groupBy("doc_id", "of", "item_id", (F.col("at") - F.col("item_at")).alias("lag")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    hits = rows.join(probe, "seed").groupBy("doc_id", "of", "item_id", (F.col("at") - F.col("item_at")).alias("lag")).agg(F.count("*").alias("seeds"))
     found = hits.join(items.withColumnRenamed("w", "item"), "item_id")
     same = (F.col("h.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("h.of") == F.col("t.of"))
-    pairs = texts.alias("t").join(found.alias("h"), same).select("h.doc_id", "h.item_id", "h.lag", "h.first", "h.last", "h.item", word_hashes(F.col("t.text")).alias("w"))
+    pairs = texts.alias("t").join(found.alias("h"), same).select("h.doc_id", "h.item_id", "h.lag", "h.item", word_hashes(F.col("t.text")).alias("w"))
     pairs = saved(pairs, "leaks")  # few rows; or their words would be hashed again for each word that is compared
-    agrees = lambda i: F.when((i >= 0) & (F.get("w", i) == F.get("item", i - F.col("lag"))), 1).otherwise(0)
-    agreeing = lambda lo, hi: F.aggregate(F.transform(F.sequence(lo, hi), agrees), F.lit(0), lambda a, x: a + x)
     n, lag = F.size("item"), F.col("lag")
-    stretch = F.least(F.col("last") + SPAN - 1, F.size("w") - 1, lag + n - 1)
-    pairs = pairs.select("doc_id", "item_id", "lag", n.alias("item_words"), agreeing(lag, lag + n - 1).alias("matched"), agreeing(F.col("first"), stretch).alias("inside"), (stretch - F.col("first") + 1).alias("width"))
-    copied = (F.col("matched") >= share * F.col("item_words")) | ((F.col("inside") >= long) & (F.col("inside") >= share * F.col("width")))
+    agrees = lambda i: (i >= 0) & F.coalesce(F.get("w", i) == F.get("item", i - lag), F.lit(False))
+    agreeing = F.filter(F.sequence(lag, lag + n - 1), agrees)
+    # as the one element of an array, the positions are found once and not again wherever they are named
+    verdict = lambda at: F.struct(F.size(at).alias("matched"), ((F.size(at) >= share * n) | has_stretch(at, share, long)).alias("copied"))
+    pairs = pairs.select("doc_id", "item_id", "lag", n.alias("item_words"), F.explode(F.transform(F.array(agreeing), verdict)).alias("v"))
+    pairs = pairs.where("v.copied").select("doc_id", "item_id", "lag", "item_words", "v.matched")
     best = F.max(F.struct("matched", (-F.col("lag")).alias("back"), "item_words")).alias("best")
-    return pairs.where(copied).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.matched").alias("matched"), F.col("best.item_words").alias("item_words"), (-F.col("best.back")).alias("doc_from"))
+    return pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.matched").alias("matched"), F.col("best.item_words").alias("item_words"), (-F.col("best.back")).alias("doc_from"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
