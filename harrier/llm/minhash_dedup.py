@@ -208,6 +208,11 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, alike: float = 0
     Rows of equal texts are of one class. Null texts, and texts without a letter or digit, are alone
     unless equal; null ids count as the smallest. A repeated row is kept once.
     """
+    return _classes(docs, threshold, alike, block).drop("id", "node")
+
+
+def _classes(docs: DataFrame, threshold: float = 0.8, alike: float = 0.62, block: int = 1024) -> DataFrame:
+    """``near_duplicates`` with the keys of each row: id, never null, and node, the text's hash."""
     spark = docs.sparkSession
     short_batches(spark)
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
@@ -277,10 +282,12 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, alike: float = 0
     smallest = owned.groupBy("root").agg(F.min(F.struct("first", "node")).alias("least"))
     owned = owned.join(smallest, "root").join(degree, "node", "left").select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.col("least.first").alias("class_first"), F.col("least.node").alias("class_node"))
     out = keyed.select("doc_id", "id", "node").join(saved(owned, "mh-classes"), "node")
-    return out.select("doc_id", F.when(F.col("class_first") != NO_ID, F.col("class_first")).alias("class_id"), "copies", "links", ((F.col("node") == F.col("class_node")) & (F.col("id") == F.col("class_first"))).alias("kept"))
+    return out.select("doc_id", "id", "node", F.when(F.col("class_first") != NO_ID, F.col("class_first")).alias("class_id"), "copies", "links", ((F.col("node") == F.col("class_node")) & (F.col("id") == F.col("class_first"))).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class, with all columns of ``docs``."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class, with all columns of ``docs``. An id, or none, may stand at several
+    texts: a row is known by its id and text together."""
+    kept = _classes(docs).where("kept").select(F.col("id").alias("_mh_id"), F.col("node").alias("_mh_node")).distinct()
+    rows = docs.withColumns({"_mh_id": F.coalesce("doc_id", F.lit(NO_ID)), "_mh_node": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return rows.join(kept, ["_mh_id", "_mh_node"], "left_semi").dropDuplicates(["_mh_id", "_mh_node"]).select(*docs.columns)
