@@ -88,6 +88,11 @@ def start_list(spark, sf_dir):
     return store.start_list(entries, league.athletes(spark, sf_dir)).select("race_id", "fis_code", "name", "nation")
 
 
+def start_lists(spark, sf_dir):
+    """Of all races; ``start_list`` is one of them, beside its SQL."""
+    return store.start_list(league.results(spark, sf_dir).select("race_id", "fis_code"), league.athletes(spark, sf_dir)).select("race_id", "fis_code", "name", "nation")
+
+
 def uncovered_nations(spark, sf_dir):
     return federations.uncovered(league.athletes(spark, sf_dir))
 
@@ -156,6 +161,11 @@ def sampled_pairs(spark, sf_dir):
     return ranker.sampled_pairs(_wc_samples(spark, sf_dir), most=20).select("race_id", "i", "j")
 
 
+def training_pairs(spark, sf_dir):
+    """As many a race as the ranker learns from; ``sampled_pairs`` has few of them, beside its SQL."""
+    return ranker.sampled_pairs(_wc_samples(spark, sf_dir)).select("race_id", "i", "j")
+
+
 def race_payloads(spark, sf_dir):
     return profiles.race_payloads(_wc_samples(spark, sf_dir).withColumn("score", F.col("similar_form")))
 
@@ -169,6 +179,12 @@ def simulation(spark, sf_dir):
     return _six(simulate.simulate(field, 200))
 
 
+def simulations(spark, sf_dir):
+    """Of all races, with the default number of runs; ``simulation`` is one race in 200, beside its SQL."""
+    field = league.results(spark, sf_dir).select("race_id", "fis_code", (1500.0 + F.pmod(F.col("fis_code").cast("int"), F.lit(7)) * 40.0).alias("rating"))
+    return _six(simulate.simulate(field))
+
+
 def page_links(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))
@@ -198,7 +214,7 @@ def quoted_csv(spark, sf_dir):
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        performances, datable_races, finished_races, classify_title, features, baselines, season_split, weekends, trajectory, athlete_summary, best_events, race_index, rank_correlation, start_list,
-        uncovered_nations, entry_signals, fantasy_market, fantasy_teams, elo_first_race, elo_ratings, leaderboard, backtest, field_strength, graded_samples, learned_ranker, sampled_pairs, race_payloads,
-        athlete_payloads, simulation, page_links, result_pages, upserts, quoted_csv,
+        performances, datable_races, finished_races, classify_title, features, baselines, season_split, weekends, trajectory, athlete_summary, best_events, race_index, rank_correlation, start_list, start_lists,
+        uncovered_nations, entry_signals, fantasy_market, fantasy_teams, elo_first_race, elo_ratings, leaderboard, backtest, field_strength, graded_samples, learned_ranker, sampled_pairs, training_pairs, race_payloads,
+        athlete_payloads, simulation, simulations, page_links, result_pages, upserts, quoted_csv,
     )}
