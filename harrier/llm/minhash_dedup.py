@@ -1,21 +1,24 @@
 """Near-duplicates by weighted MinHash: improved consistent weighted sampling.
 
 A text is the bag of its runs of five words (lower-cased runs of letters and digits). A run's weight is
-its count in the text times a smoothed inverse document frequency, from document
-frequencies of all texts that are added up in a table of hashed runs of fixed size. Each of
+its count in the text times a smoothed inverse document frequency. Document frequencies are counted over
+all rows in a sketch of fixed size; what other runs add to a cell on average is taken off, and runs
+in fewer than one of ``RARE`` texts weigh alike, so that weights don't fade as the corpus grows. Each of
 ``BANDS * ROWS`` samples draws one run of a text with a chance in proportion to its
 weight, consistently between texts, so that two texts have equal samples with a chance of their
-weighted Jaccard similarity. Texts that share a band of samples are candidates, and candidates'
+weighted Jaccard similarity. Texts that share a band of samples (a bucket) are candidates, and candidates'
 similarity is computed from their whole texts.
 
-Exact copies are one node. A bucket's texts are first compared with that one of them which shares most
-buckets with others (the text that the others vary); then, in buckets whose texts are not yet of one class, all texts of different
-classes are compared by their samples, in blocks, and those alike are verified too.
+Classes need links that span them, not all pairs. Exact copies are one node. A bucket's texts are first compared
+with one head, that one of them which shares most buckets with others (the text that the others vary). What a bucket has outside
+its largest class then is compared with all its texts of other classes, in blocks: a block keeps its own record of what
+it united and hands on the links that unite only, fewer than it has texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,10 @@ WORDS, BANDS, ROWS = 5, 16, 4
 SAMPLES = BANDS * ROWS
 #: Cells of the hashed document frequencies, and of the table of random numbers.
 CELLS, DRAWS = 1 << 20, 1 << 14
+#: Runs in fewer than one of so many texts weigh most.
+RARE = 1000
+#: Characters of the texts that one piece of a bucket compares with others.
+BLOCK_CHARS = 4 << 20
 TOKENS = regex.compile(r"[\p{L}\p{N}]+").findall
 
 
@@ -61,14 +68,14 @@ def runs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_frequencies(docs: DataFrame, groups: int = 32, pieces: int = 16) -> np.ndarray:
-    """How many texts have a run of each cell; every text is counted."""
+    """How many rows have a run of each cell; every row is counted, copies in a batch are read once."""
     step = CELLS // pieces
 
     def count(batches):
         df = np.zeros(CELLS, np.int64)
         for b in batches:
-            for t in b["text"].to_pylist():
-                df[(runs(t)[0] % np.uint64(CELLS)).astype(np.int64)] += 1  # a cell that comes twice is counted once
+            for t, times in Counter(b["text"].to_pylist()).items():
+                df[(runs(t)[0] % np.uint64(CELLS)).astype(np.int64)] += times  # a cell that comes twice is counted once
         if df.any():
             group = TaskContext.get().partitionId() % groups
             yield {"group": [group] * pieces, "piece": list(range(pieces)), "df": [df[i * step : (i + 1) * step].astype("<i8").tobytes() for i in range(pieces)]}
@@ -98,8 +105,9 @@ class Sampler:
 
     def __init__(self, df: np.ndarray, n: int, seed: int = 23):
         self.seed = seed
-        # smoothed: between 1 (in all texts) and 1.5 (in one of very many)
-        self.idf = (1 + 0.5 * np.log1p(n / np.maximum(df, 1)) / np.log1p(max(n, 2))).astype(np.float32)
+        # smoothed: between 1 (in all texts) and 1.5 (in one of RARE or fewer)
+        own = np.maximum(df - df.sum() / CELLS, 1)
+        self.idf = (1 + 0.5 * np.clip(np.log(max(n, 1) / own) / np.log(min(max(n, 2), RARE)), 0, 1)).astype(np.float32)
         self._make()
 
     def _make(self) -> None:
@@ -151,13 +159,14 @@ class Sampler:
         x = (keys[at] ^ level.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * self.mix
         return (x >> np.uint64(32)).astype("<u4")
 
-    def similarity(self, a: str | None, b: str | None) -> float:
-        """Weighted Jaccard of two whole texts."""
-        (ka, wa), (kb, wb) = self.weights(a), self.weights(b)
-        _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-        both = np.minimum(wa[i], wb[j]).sum(dtype=float)
-        all_ = wa.sum(dtype=float) + wb.sum(dtype=float) - both
-        return both / all_ if all_ else 0.0
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard of two texts' weighted runs."""
+    (ka, wa), (kb, wb) = a, b
+    _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    both = np.minimum(wa[i], wb[j]).sum(dtype=float)
+    all_ = wa.sum(dtype=float) + wb.sum(dtype=float) - both
+    return both / all_ if all_ else 0.0
 
 
 def bands(samples: np.ndarray) -> list[int]:
@@ -186,96 +195,178 @@ def components(links: DataFrame, name: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, held, threshold: float, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar enough, from their whole texts."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    """The pairs (node, head) that are similar enough, from their whole texts, as links (a, b).
+
+    A head may have any number of pairs: its text is copied once for every ``share`` of them.
+    """
+    share = 500
+    parts = pairs.groupBy("head").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
+    left = pairs.join(parts, "head").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(texts, "node")
+    right = parts.join(texts.select(F.col("node").alias("head"), F.col("text").alias("head_text")), "head")
+    right = right.select("head", "head_text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def work(batches):
         s = held.value
+        known: dict[int, tuple] = {}
         for b in batches:
-            sim = [s.similarity(x, y) for x, y in zip(b["ta"].to_pylist(), b["tb"].to_pylist(), strict=True)]
+            sim = []
+            for h, x, y in zip(b["head"].to_pylist(), b["head_text"].to_pylist(), b["text"].to_pylist(), strict=True):
+                if h not in known:
+                    known = {h: s.weights(x)}  # rows come in the order of their heads
+                sim.append(similarity(known[h], s.weights(y)))
             keep = pa.array([x >= threshold for x in sim])
-            yield {"a": b["a"].filter(keep), "b": b["b"].filter(keep)}
-
-    return saved(map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), "a long, b long", work), name)
-
-
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, alike: float = 0.62, block: int = 1024) -> DataFrame:
+            yield {"a": b["node"].filter(keep), "b": b["head"].filter(keep)}
+
+    return saved(map_batches(left.join(right, ["head", "part"]).select("node", "head", "text", "head_text"), "a long, b long", work), name)
+
+
+class Block:
+    """Texts as weighted runs, numbered among themselves, and the classes that they are united in."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], roots: np.ndarray):
+        self.size = np.array([len(k) for k, _ in vectors])
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
+        _, self.run = np.unique(np.concatenate([k for k, _ in vectors]), return_inverse=True)
+        self.weight = np.concatenate([w for _, w in vectors]).astype(float)
+        self.total = np.add.reduceat(self.weight, self.start)
+        self.own = np.zeros(int(self.run.max()) + 1)
+        _, self.cls = np.unique(roots, return_inverse=True)
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard of text i with each of the others."""
+        mine = slice(self.start[i], self.start[i] + self.size[i])
+        self.own[self.run[mine]] = self.weight[mine]
+        n = self.size[others]
+        begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+        at = np.arange(int(n.sum())) + np.repeat(self.start[others] - begin, n)
+        both = np.add.reduceat(np.minimum(self.weight[at], self.own[self.run[at]]), begin)
+        self.own[self.run[mine]] = 0
+        return both / (self.total[i] + self.total[others] - both)
+
+    def unite(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Joins the classes of i and of the others; those of them that joined something new."""
+        cls, first = np.unique(self.cls[others], return_index=True)
+        new = others[first[cls != self.cls[i]]]
+        self.cls[np.isin(self.cls, self.cls[new])] = self.cls[i]
+        return new
+
+
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, alike: float = 0.5, block: int = 1024) -> DataFrame:
     """The class of every row: rows are of one class if a chain of links of ``threshold`` or more joins them.
 
-    Returns doc_id, class_id (the smallest doc_id of the class), copies (rows of the same text), links (distinct other texts
-    that its text was found similar to and linked with), kept (true for one row of each class, with its smallest doc_id).
+    Returns doc_id, class_id (the smallest doc_id of the class), copies (rows of the same text), links (those of the links that
+    span its class which its text has), kept (true for one row of each class, with its smallest doc_id).
     Rows of equal texts are of one class. Null texts, and texts without a letter or digit, are alone
     unless equal; null ids count as the smallest. A repeated row is kept once.
+
+    ``alike``: share of equal samples below which a pair that has no head isn't verified; a pair at ``threshold`` has fewer
+    than half of 64 with a chance of 1e-8. ``block``: rows that are compared with each other in one piece.
     """
     return _classes(docs, threshold, alike, block).drop("id", "node")
 
 
-def _classes(docs: DataFrame, threshold: float = 0.8, alike: float = 0.62, block: int = 1024) -> DataFrame:
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, size, root, minor of buckets with more than one class; minor: not of the bucket's largest class."""
+    rows = shared.join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    classes = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    most = F.max(F.struct("n", "size", "root")).alias("most")
+    buckets = classes.groupBy("key").agg(most, F.sum("n").alias("n"), F.sum("size").alias("all")).where(F.col("n") > F.col("most.n"))
+    buckets = buckets.select("key", F.col("most.root").alias("major"), (F.col("n") - F.col("most.n")).alias("minors"), (F.col("all") - F.col("most.size")).alias("minor_size"))
+    return rows.join(buckets, "key").select("key", "node", "size", "root", (F.col("root") != F.col("major")).alias("minor"), "minors", "minor_size")
+
+
+def _classes(docs: DataFrame, threshold: float = 0.8, alike: float = 0.5, block: int = 1024) -> DataFrame:
     """``near_duplicates`` with the keys of each row: id, never null, and node, the text's hash."""
     spark = docs.sparkSession
     short_batches(spark)
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
     nodes = saved(keyed.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "mh-nodes")
-    n = nodes.count()
+    n = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     sampler = Sampler(document_frequencies(docs), n)
     held = spark.sparkContext.broadcast(sampler)  # a fixed number of cells
 
     def sign(batches):
-        s = held.value
+        s, done = held.value, set()
         for b in batches:
+            new = []
+            for i, node in enumerate(b["node"].to_pylist()):
+                if node not in done:  # a task signs each text once
+                    done.add(node)
+                    new.append(i)
+            if not new:
+                continue
+            b = {c: x.take(pa.array(new)) for c, x in b.items()}
             got = [s.sample(t) for t in b["text"].to_pylist()]
             keep = [i for i, x in enumerate(got) if x is not None]
-            yield {"node": b["node"].take(pa.array(keep, pa.int64())), "sig": [got[i].tobytes() for i in keep], "keys": [bands(got[i]) for i in keep]}
+            texts = b["text"].to_pylist()
+            yield {"node": b["node"].take(pa.array(keep, pa.int64())), "size": [len(texts[i]) for i in keep], "sig": [got[i].tobytes() for i in keep], "keys": [bands(got[i]) for i in keep]}
 
-    signed = map_batches(keyed.select("text", "node"), "node long, sig binary, keys array<long>", sign)
+    signed = map_batches(keyed.select("text", "node"), "node long, size long, sig binary, keys array<long>", sign)
     signed = saved(signed.dropDuplicates(["node"]), "mh-signatures")
-    members = signed.select("node", F.explode("keys").alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = saved(members.join(sizes, "key"), "mh-shared")
+    members = signed.select("node", "size", F.explode("keys").alias("key"))
+    full = members.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
+    shared = saved(members.join(full, "key"), "mh-shared")
     # the text that others are variants of has most neighbours over all bands: it heads its buckets
-    neighbours = shared.groupBy("node").agg(F.sum("size").alias("neighbours"))
-    ranked = shared.join(neighbours, "node")
-    heads = ranked.groupBy("key").agg(F.max_by("node", F.struct("neighbours", "node")).alias("head"))
-    shared = saved(shared.select("key", "node").join(heads, "key"), "mh-buckets")
-    pairs = shared.where("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-    wanted = shared.select("node").distinct()
+    neighbours = saved(shared.groupBy("node").agg(F.sum("texts").alias("neighbours")), "mh-neighbours")
+    ranked = shared.select("key", "node").join(neighbours, "node")
+    lead = F.max_by("node", F.struct("neighbours", "node")).alias("head")
+    pairs = ranked.join(ranked.groupBy("key").agg(lead), "key").where("node <> head").select("node", "head").distinct()
     # one row of each text that shares a bucket
-    texts = keyed.join(nodes.select("node", F.col("first").alias("id")), ["node", "id"]).select("node", "text").join(wanted, "node", "left_semi")
+    wanted = nodes.join(neighbours.select("node"), "node").select("node", F.col("first").alias("id"))
+    texts = keyed.select("node", "id", "text").join(wanted, ["node", "id"], "left_semi")
     texts = saved(texts.groupBy("node").agg(F.first("text").alias("text")), "mh-texts")
-    links = _verified(pairs, texts, held, threshold, "mh-links")
+    links = _verified(saved(pairs, "mh-pairs"), texts, held, threshold, "mh-links")
     roots = components(links, "mh-components")
-    # buckets with texts of several classes: compare the classes' texts by their samples
-    classed = shared.select("key", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = classed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    classed = classed.join(mixed.select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "key").join(signed.select("node", "sig"), "node")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = classed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "node", "root", "sig", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    rows = saved(_open(shared, roots), "mh-open")
+    # buckets of many small classes get other heads for as long as that unites them
+    left = rows.where(F.col("minor") & (F.col("minors") > block)).count()
+    while left:
+        few = rows.where(F.col("minor") & (F.col("minors") > block)).join(neighbours, "node").groupBy("key").agg(lead)
+        more = rows.join(few, "key").join(roots.select(F.col("id").alias("head"), F.col("root").alias("head_root")), "head", "left")
+        more = more.where(F.col("root") != F.coalesce("head_root", "head")).select("node", "head").distinct()
+        links = links.unionByName(_verified(saved(more, "mh-pairs"), texts, held, threshold, "mh-links"))
+        roots = components(links, "mh-components")
+        rows = saved(_open(shared, roots), "mh-open")
+        before, left = left, rows.where(F.col("minor") & (F.col("minors") > block)).count()
+        if left > 0.9 * before:
+            break
+
+    # each row goes to every block of its bucket's minor rows
+    dealt = rows.withColumn("blocks", F.ceil(F.greatest(F.col("minors") / block, F.col("minor_size") / BLOCK_CHARS)).cast("int"))
+    dealt = dealt.withColumn("mine", F.when(F.col("minor"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "part", "node", "size", "root", F.coalesce(F.col("mine") == F.col("part"), F.lit(False)).alias("asks"))
+    pieces = dealt.groupBy("key", "part").agg(F.ceil(F.greatest(F.count("*") / (4 * block), F.sum("size") / (4 * BLOCK_CHARS))).cast("int").alias("cut"))
+    # a block's asking rows meet its other rows in pieces of about four blocks
+    dealt = dealt.join(pieces, ["key", "part"]).withColumn("cuts", F.when(F.col("asks"), F.sequence(F.lit(0), F.col("cut") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("cut")).cast("int"))))
+    dealt = saved(dealt.select("key", "part", F.explode("cuts").alias("cut"), "node", "size", "root", "asks"), "mh-dealt")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different classes that look alike, in a lot of blocks."""
-        rows = rows.sort_values(["key", "lo", "hi"], ignore_index=True)
-        sigs = np.stack([np.frombuffer(x, "<u4") for x in rows.sig])
-        nodes_, roots_, sides, same = rows.node.to_numpy(), rows.root.to_numpy(), rows.mine.to_numpy(), (rows.lo == rows.hi).to_numpy()
-        place = rows[["key", "lo", "hi"]].to_numpy()
-        edges = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(axis=1), [True]]))
-        out = []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            sig, node, root, side, one = sigs[lo:hi], nodes_[lo:hi], roots_[lo:hi], sides[lo:hi], same[lo]
-            for i in range(hi - lo):
-                at = np.flatnonzero((root != root[i]) & (node < node[i]) & (one | (side != side[i])))
+        """Links that unite classes, from a lot of pieces."""
+        s, out = held.value, []
+        rows = rows.sort_values(["key", "part", "cut", "node"], ignore_index=True)
+        vectors = {}
+        for node, text in zip(rows.node, rows.text, strict=True):
+            if node not in vectors:
+                vectors[node] = s.weights(text)
+        for _, piece in rows.groupby(["key", "part", "cut"]):
+            node, asks, sig = piece.node.to_numpy(), piece.asks.to_numpy(), np.stack([np.frombuffer(x, "<u4") for x in piece.sig])
+            b = Block([vectors[x] for x in node], piece.root.to_numpy())
+            for i in np.flatnonzero(asks):
+                at = np.flatnonzero((b.cls != b.cls[i]) & (~asks | (node < node[i])))
+                at = at[(sig[at] == sig[i]).sum(axis=1) >= alike * SAMPLES]
                 if len(at):
-                    at = at[(sig[at] == sig[i]).sum(axis=1) >= alike * SAMPLES]
-                    out += [(node[i], node[j]) for j in at]
+                    at = at[b.similar(i, at) >= threshold]
+                    out += [(node[i], node[j]) for j in b.unite(i, at)]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
 
-    classed = saved(dealt, "mh-mixed")
-    lots = max(1, classed.count() // 4096)
-    more = classed.groupBy(F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(lots)).alias("lot")).applyInPandas(compare, "a long, b long").distinct()
-    more = saved(more.join(pairs, ["a", "b"], "left_anti"), "mh-more")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, texts, held, threshold, "mh-links"))
+    content = dealt.join(texts, "node").join(signed.select("node", "sig"), "node")
+    volume = dealt.agg(F.sum(F.col("size") + 400)).first()[0]
+    if volume:
+        lots = max(1, volume // BLOCK_CHARS)
+        lot = F.pmod(F.xxhash64("key", "part", "cut"), F.lit(lots)).alias("lot")
+        more = content.select(lot, "key", "part", "cut", "node", "root", "asks", "sig", "text").groupBy("lot").applyInPandas(compare, "a long, b long")
+        links = links.unionByName(saved(more, "mh-links"))
         roots = components(links, "mh-components")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     owned = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
