@@ -16,6 +16,7 @@ a lost task counts, and so that any store that Spark can write to will do.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from itertools import accumulate
@@ -29,6 +30,8 @@ from .common import NO_ID, map_batches, one_thread, scratch, short_batches
 
 MAGIC = b"HTOK1\0\0\0"
 HEAD = struct.Struct("<8s32sIIQ")
+CUT = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-įıĲ-ɏ])(?=[.,!?;:$%&#*])|(?<=[.,!?;:$%&#*])(?=[A-Za-z0-9À-ÖØ-öø-įıĲ-ɏ])")
+LETTERS = re.compile(r"[A-Za-zà-öø-ÿ]+")
 _loaded: dict = {}
 
 
@@ -38,41 +41,68 @@ def _tokenizer(path: str, end_id: int) -> Words:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         _loaded[path, end_id] = Words(t, end_id)
     return _loaded[path, end_id]
 
 
 class Words(dict):
-    """Serialized ids by what stands between two spaces; forgets when it is full.
+    """Serialized ids by what stands between spaces and line breaks; forgets when it is full.
 
-    The tokenizer's normalizer and splitter never look across a space, which no token holds,
-    so the ids of a text are those of its parts one after another. Each part is encoded by
-    the library; short ones are remembered, since most words are seen again and again.
+    The tokenizer's normalizer and splitter never look across a space, which no token and no special token holds,
+    so the ids of a text are those of its parts one after another. Parts are remembered, since most are
+    seen again and again; a new one is cut where a letter or number and a mark of ``CUT`` meet, which lie in
+    different tokens always, and of the pieces those that are new are encoded by the library. The library reads a line break,
+    a return and a tab as a space.
     """
 
-    def __init__(self, tokenizer, end_id: int, limit: int = 400_000, longest: int = 64):
+    def __init__(self, tokenizer, end_id: int, limit: int = 600_000, longest: int = 64):
         self.tokenizer, self.limit, self.longest = tokenizer, limit, longest
-        self.serial = "<u2" if tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else "<u4"
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.serial = "<u2" if max(*vocabulary.values(), end_id) < 65536 else "<u4"
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
+
+    def _one_by_one(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.serial).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def __missing__(self, part: str) -> bytes:
-        return self._ids([part])[0]
-
-    def learn(self, texts: list[str | None]) -> None:
-        """Encode the short parts that are not known yet, many at once."""
-        unknown = lambda: list({p for t in texts if t for p in t.split(" ") if p not in self and len(p) <= self.longest})
-        new = unknown()
+    def _ids(self, parts: list[str]) -> dict[str, bytes]:
+        """Words of letters are encoded as one text, whose ids tell where each ends."""
+        words = [p for p in parts if self.ends.any() and LETTERS.fullmatch(p)]
+        others = [p for p in parts if not LETTERS.fullmatch(p)] if self.ends.any() else parts
+        out: dict[str, bytes] = {}
+        for k in range(0, len(others), 2048):
+            out.update(zip(others[k : k + 2048], self._one_by_one(others[k : k + 2048]), strict=True))
+        for k in range(0, len(words), 2048):
+            some = words[k : k + 2048]
+            (e,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(e.ids, self.serial)
+            cut, raw = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist(), ids.tobytes()
+            if len(cut) != len(some):
+                out.update(zip(some, self._one_by_one(some), strict=True))
+                continue
+            out.update(zip(some, [raw[lo:hi] for lo, hi in zip([0, *cut], cut, strict=False)], strict=True))
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each whole text."""
+        special = any(x in t for t in texts if t for x in self.special)
+        texts = [(t or "").replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts]
+        new = set().union(*texts).difference(self)
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = unknown()
-        for k in range(0, len(new), 4096):
-            self.update(zip(new[k : k + 4096], self._ids(new[k : k + 4096]), strict=True))
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").split(" ")))
+            new = set().union(*texts)
+        cut = {p: [p] if special and any(x in p for x in self.special) else CUT.split(p) for p in new}
+        pieces = self._ids(list({x for xs in cut.values() for x in xs if x not in self}))
+        self.update(pieces)
+        for p, xs in cut.items():
+            if len(xs) > 1:
+                self[p] = b"".join(map(self.__getitem__, xs))
+        out = [b"".join(map(self.__getitem__, t)) for t in texts]
+        for p in {p for p in (*new, *pieces) if len(p) > self.longest}:  # seen once, mostly
+            del self[p]
+        return out
 
 
 def pack(rows: list[tuple], dictionary_sha: bytes, width: int, tokens_before: int) -> bytes:
@@ -118,7 +148,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: i
     def work(batches):
         t = _tokenizer(tokenizer_path, end_id)
         for b in batches:
-            yield {"piece": [t.encode(x)[: 4096 * width] for x in b["text"].to_pylist()]}  # a training piece, not a stored document
+            yield {"piece": t.encode(b["text"].to_pylist())}
 
     pieces = [bytes(r.piece) for r in map_batches(sample, "piece binary", work).collect()]
     try:
@@ -151,9 +181,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int, sam
             d.precompute_compress(level=level)
         c = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
         for b in batches:
-            texts = b["text"].to_pylist()
-            t.learn(texts)
-            ids = [t.encode(x) + end for x in texts]
+            ids = [x + end for x in t.encode(b["text"].to_pylist())]
             doc = b["doc_id"].fill_null(NO_ID).to_numpy()
             yield {"doc_id": b["doc_id"], "part": np.searchsorted(bounds, doc, "right"), "n": [len(x) // width for x in ids], "frame": [c.compress(x) for x in ids]}
 
