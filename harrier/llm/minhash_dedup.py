@@ -18,12 +18,13 @@ it united and hands on the links that unite only, fewer than it has texts.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ CELLS, DRAWS = 1 << 20, 1 << 14
 RARE = 1000
 #: Characters of the texts that one piece of a bucket compares with others.
 BLOCK_CHARS = 4 << 20
-TOKENS = regex.compile(r"[\p{L}\p{N}]+").findall
+TOKENS = re.compile(r"[^\W_]+").findall
 
 
 class Hashes(dict):
@@ -53,18 +54,36 @@ class Hashes(dict):
 _words = Hashes()
 
 
-def runs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's distinct runs of words and their counts; a shorter text is one run."""
-    tokens = TOKENS((text or "").lower())
-    if not tokens:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
-    n = min(WORDS, len(h))
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        out = (out ^ h[k : len(h) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+def all_runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' runs of words, in order, and where each text's begin and the last one's end.
+
+    A text of fewer words is one run, one without any has none.
+    """
+    found = [TOKENS((t or "").lower()) for t in texts]
+    lens = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter(map(_words.__getitem__, chain.from_iterable(found)), np.uint64, int(lens.sum()))
+    begin = np.concatenate([[0], np.cumsum(lens)])
+    n = np.minimum(lens, np.maximum(lens - WORDS + 1, 1))  # runs of each text
+    at = np.arange(int(n.sum())) + np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+    padded = np.concatenate([flat, np.zeros(WORDS, np.uint64)])
+    out = np.zeros(len(flat), np.uint64)
+    for k in range(WORDS):
+        out = (out ^ padded[k : len(flat) + k]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return np.unique(out, return_counts=True)
+    out = out[at]
+    first = np.concatenate([[0], np.cumsum(n)])
+    for i in np.flatnonzero((lens > 0) & (lens < WORDS)).tolist():
+        h = 0
+        for x in flat[begin[i] : begin[i + 1]].tolist():
+            h = (h ^ x) * 0x9E3779B97F4A7C15 % (1 << 64)
+            h ^= h >> 29
+        out[first[i]] = h
+    return out, first
+
+
+def runs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's distinct runs of words and their counts."""
+    return np.unique(all_runs([text])[0], return_counts=True)
 
 
 def document_frequencies(docs: DataFrame, groups: int = 32, pieces: int = 16) -> np.ndarray:
@@ -74,8 +93,11 @@ def document_frequencies(docs: DataFrame, groups: int = 32, pieces: int = 16) ->
     def count(batches):
         df = np.zeros(CELLS, np.int64)
         for b in batches:
-            for t, times in Counter(b["text"].to_pylist()).items():
-                df[(runs(t)[0] % np.uint64(CELLS)).astype(np.int64)] += times  # a cell that comes twice is counted once
+            times = Counter(b["text"].to_pylist())
+            found, first = all_runs(list(times))
+            of = np.repeat(np.arange(len(times)), np.diff(first))
+            once = np.unique(of * CELLS + (found % np.uint64(CELLS)).astype(np.int64))  # a cell that comes twice in a text is counted once
+            df += np.bincount(once % CELLS, np.fromiter(times.values(), float)[once // CELLS], CELLS).astype(np.int64)
         if df.any():
             group = TaskContext.get().partitionId() % groups
             yield {"group": [group] * pieces, "piece": list(range(pieces)), "df": [df[i * step : (i + 1) * step].astype("<i8").tobytes() for i in range(pieces)]}
@@ -115,7 +137,8 @@ class Sampler:
         u = lambda: 1 - draw.random((DRAWS, SAMPLES))
         r = -np.log(u() * u())  # Gamma(2, 1)
         c = -np.log(u() * u())
-        self.r, self.inv, self.beta, self.log_c = r.astype(np.float32), (1 / r).astype(np.float32), u().astype(np.float32), np.log(c).astype(np.float32)
+        beta = u()
+        self.table = np.concatenate([1 / r, beta, r, np.log(c)], axis=1).astype(np.float32)  # a run's numbers lie together
         self.mix = draw.integers(1, 2**63, SAMPLES, dtype=np.uint64) | np.uint64(1)
 
     def __getstate__(self):
@@ -125,30 +148,33 @@ class Sampler:
         self.__dict__.update(state)
         self._make()
 
-    def weights(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = runs(text)
+    def _weigh(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = np.unique(found, return_counts=True)
         return keys, counts * self.idf[(keys % np.uint64(CELLS)).astype(np.int64)]
 
-    def sample(self, text: str | None) -> np.ndarray | None:
-        """32 bits of each sample: which run was drawn, and at which level of its weight."""
-        keys, w = self.weights(text)
-        if not len(keys):
-            return None
+    def weights(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """A text's distinct runs in order, and their weights."""
+        return self._weigh(all_runs([text])[0])
+
+    def samples(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """32 bits of each of a text's samples: which run was drawn, and at which level of its weight."""
+        found, first = all_runs(texts)
+        return [self._sample(*self._weigh(found[lo:hi])) if hi > lo else None for lo, hi in zip(first[:-1], first[1:], strict=True)]
+
+    def _sample(self, keys: np.ndarray, w: np.ndarray) -> np.ndarray:
         best, at, level = None, None, None
         log_w = np.log(w).astype(np.float32)
         cells = (keys >> np.uint64(40)).astype(np.int64) % DRAWS
         column = np.arange(SAMPLES)
-        for lo in range(0, len(keys), 256):  # few enough to stay in a core's cache
-            cell = cells[lo : lo + 256]
-            beta = self.beta[cell]
-            t = self.inv[cell]
-            t *= log_w[lo : lo + 256, None]
+        for lo in range(0, len(keys), 128):  # few enough to stay in a core's cache
+            t, beta, r, log_c = self.table[cells[lo : lo + 128]].reshape(-1, 4, SAMPLES).transpose(1, 0, 2)
+            t *= log_w[lo : lo + 128, None]
             t += beta
             np.floor(t, out=t)
             np.subtract(t, beta, out=beta)
             beta += 1
-            beta *= self.r[cell]
-            log_a = np.subtract(self.log_c[cell], beta, out=beta)
+            beta *= r
+            log_a = np.subtract(log_c, beta, out=log_c)
             i = log_a.argmin(axis=0)
             a, lev = log_a[i, column], t[i, column]
             if best is None:
@@ -296,9 +322,9 @@ def _classes(docs: DataFrame, threshold: float = 0.8, alike: float = 0.5, block:
             if not new:
                 continue
             b = {c: x.take(pa.array(new)) for c, x in b.items()}
-            got = [s.sample(t) for t in b["text"].to_pylist()]
-            keep = [i for i, x in enumerate(got) if x is not None]
             texts = b["text"].to_pylist()
+            got = s.samples(texts)
+            keep = [i for i, x in enumerate(got) if x is not None]
             yield {"node": b["node"].take(pa.array(keep, pa.int64())), "size": [len(texts[i]) for i in keep], "sig": [got[i].tobytes() for i in keep], "keys": [bands(got[i]) for i in keep]}
 
     signed = map_batches(keyed.select("text", "node"), "node long, size long, sig binary, keys array<long>", sign)

@@ -59,7 +59,7 @@ def test_large_group_of_near_copies(spark):
         got = {r.doc_id: r.class_id for r in rows}
         assert [got[i] for i in range(len(texts))] == want
         assert sum(r.links for r in rows) < 4 * len(texts)  # links span classes; they aren't all pairs
-    assert Counter(want).most_common(1)[0][1] > 400
+    assert Counter(want).most_common(1)[0][1] > 300
 
 
 def test_a_block_finds_what_pairs_have():
