@@ -55,7 +55,7 @@ class Words(dict):
     a return and a tab as a space.
     """
 
-    def __init__(self, tokenizer, end_id: int, limit: int = 600_000, longest: int = 64):
+    def __init__(self, tokenizer, end_id: int, limit: int = 300_000, longest: int = 48):
         self.tokenizer, self.limit, self.longest = tokenizer, limit, longest
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
