@@ -6,13 +6,15 @@ anchor, the ``GRAM``-byte string in it of the least hash (the leftmost of ties),
 anchors at equal places. The consecutive windows of one anchor are a hull of bytes:
 
 * an anchor string that occurs once has no repeated window;
-* equal hulls around equal anchors repeat all their windows;
+* equal hulls around equal anchors repeat all their windows (anchor and hull are compared by 64 bits each);
 * the different hulls of one anchor string (the ends of repeated passages, mostly) are brought together,
   one of each, and their suffixes are sorted (``suffix_sort``): neighbours with a common
   prefix of ``SPAN`` bytes are repeated windows.
 
-A shard holds the hulls of many anchors. Anchors with more hulls than ``crowd`` have no shard of their
-own: their windows are counted one by one, by their hashes.
+A shard holds the hulls of many anchors. The hulls of an anchor that has more than ``crowd`` of them are dealt anew: their
+windows get a second anchor by another hash, and equal windows agree in both; and so on, for ``LEVELS``
+levels. Most of a crowd's windows are known to occur once then, and the rest is spread over many shards. A shard may be longer
+than memory: the sorter goes to disk.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, map_batches, saved, short_batches
+from .common import NO_ID, extended, map_batches, saved, short_batches
 from .suffix_sort import suffix_array
 
-SPAN, GRAM = 200, 32
+SPAN, GRAM, LEVELS = 200, 32, 5
 SEGMENT = 1 << 23  # long texts are read in stretches that overlap by a window
 _draw = np.random.default_rng(41)
 _VALUE = _draw.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,12 +66,14 @@ class Prefixes:
         return _mix((self.sums[hi] - self.sums[lo]) * self.down[lo])
 
 
-def _hulls(text: bytes) -> tuple[np.ndarray, ...]:
-    """Anchor's hash, hash of hull and anchor's place in it, first window, last window."""
+def _hulls(text: bytes, level: int = 0) -> tuple[np.ndarray, ...]:
+    """Anchor's hash, hash of hull and anchor's place in it, first window, last window. Each level has other anchors."""
     n = len(text) - SPAN + 1
     p = Prefixes(text)
     m = len(text) - GRAM + 1
     grams = _mix((p.sums[GRAM:] - p.sums[:m]) * p.down[:m])
+    if level:
+        grams = _mix(grams ^ np.uint64(level * _BASE % (1 << 64)))
     least = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(m, dtype=np.uint64)
     width, w = SPAN - GRAM + 1, 1
     while 2 * w <= width:
@@ -138,7 +142,7 @@ def _windows(first: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first[new].tolist(), (first[np.append(new[1:], len(first)) - 1] + SPAN).tolist(), strict=True))
 
 
-def _sort_shard(rows: pd.DataFrame) -> pd.DataFrame:
+def _sort_shard(rows: pd.DataFrame, memory: int) -> pd.DataFrame:
     """The repeated windows of a shard's hulls, by their suffixes."""
     rows = rows.drop_duplicates(["anchor", "hull"]).sort_values(["anchor", "hull"])
     parts = [np.frombuffer(b, np.uint8) for b in rows.bytes]
@@ -147,9 +151,12 @@ def _sort_shard(rows: pd.DataFrame) -> pd.DataFrame:
     begin = np.concatenate([[0], np.cumsum(lens)[:-1]])
     for at, p in zip(begin, parts, strict=True):
         text[at : at + len(p)] = p.astype(np.int32) + 1
-    sa, lcp = suffix_array(text, SPAN)
-    hit = np.flatnonzero(lcp >= SPAN)
-    at = np.unique(np.concatenate([sa[hit], sa[hit - 1]]))
+    sa, lcp = suffix_array(text, SPAN, memory)
+    hits = []
+    for lo in range(0, len(sa), memory):  # in stretches: the arrays may be files
+        hit = np.flatnonzero(lcp[lo : lo + memory] >= SPAN) + lo
+        hits += [sa[hit], sa[hit - 1]]
+    at = np.unique(np.concatenate(hits)) if hits else np.empty(0, np.int64)
     row = np.searchsorted(begin, at, "right") - 1
     keep = at + SPAN <= begin[row] + lens[row] - 1
     at, row = at[keep], row[keep]
@@ -159,17 +166,24 @@ def _sort_shard(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["of", "s", "e"]).astype("int64")
 
 
-def repeated(texts: DataFrame, *, shard_bytes: int = 1 << 20, crowd: int = 4_000) -> DataFrame:
-    """of, s, e: byte ranges of repeated windows of the texts (columns of, id, text as bytes)."""
-    kept = _hull_rows(texts, True).repartition("anchor")
-    by_hull = kept.groupBy("anchor", "hull").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("of", "id", "span")])
+def _mixed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows (anchor, hull, n, at): hulls that occur twice or more, and hulls of anchors that have others, some
+    of which occur once (with the number of the anchor's hulls)."""
+    by_hull = rows.groupBy("anchor", "hull").agg(F.sum("n").alias("n"), F.first("at").alias("at"))
     by_anchor = by_hull.groupBy("anchor").agg(F.count("*").alias("hulls"), F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1").drop("total")
-    found = saved(by_hull.join(by_anchor, "anchor"), "sfx-hulls")
-    whole = _hull_rows(texts, False).join(found.where("n > 1").select("hull"), "hull").select("of", F.shiftright("span", 32).alias("s"), (F.col("span").bitwiseAND(0xFFFFFFFF) + SPAN).alias("e"))
-    marks = whole
+    found = saved(by_hull.join(by_anchor, "anchor"), name)
+    return found.where("n > 1").select("anchor", "hull"), found.where("hulls > 1 and least = 1")
 
-    mixed = found.where("hulls > 1 and least = 1")  # hulls that all occur twice are settled
-    asked = mixed.groupBy("of", "id").agg(F.collect_list(F.struct("anchor", "hull", "span", "hulls")).alias("asked"))
+
+def repeated(texts: DataFrame, *, shard_bytes: int = 1 << 20, crowd: int = 4_000, memory: int = 4_000_000) -> DataFrame:
+    """of, s, e: byte ranges of repeated windows of the texts (columns of, id, text as bytes).
+
+    ``memory``: suffixes of a shard that are sorted in memory; beyond it the sorter uses files.
+    """
+    twice, mixed = _mixed(_hull_rows(texts, True).withColumn("at", F.struct("of", "id", "span")), "sfx-hulls")
+    end = (F.col("span").bitwiseAND(0xFFFFFFFF) + SPAN).alias("e")
+    marks = _hull_rows(texts, False).join(twice, ["anchor", "hull"]).select("of", F.shiftright("span", 32).alias("s"), end)
+    asked = mixed.groupBy("at.of", "at.id").agg(F.collect_list(F.struct("anchor", "hull", "at.span", "hulls")).alias("asked"))
     asked = asked.select("of", "id", "asked.anchor", "asked.hull", "asked.span", "asked.hulls")
 
     def cut(batches):
@@ -181,27 +195,39 @@ def repeated(texts: DataFrame, *, shard_bytes: int = 1 << 20, crowd: int = 4_000
                         out[c].append(x)
             yield out
 
-    pieces = texts.join(asked, ["of", "id"])
-    pieces = saved(map_batches(pieces, "anchor long, hull long, of long, first long, bytes binary, hulls long", cut), "sfx-pieces")
-    size = pieces.where(F.col("hulls") <= crowd).agg(F.sum(F.length("bytes"))).first()[0]
-    if size:
-        shards = max(1, -(-size // shard_bytes))
-        small = pieces.where(F.col("hulls") <= crowd).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-        marks = marks.unionByName(small.groupBy("shard").applyInPandas(_sort_shard, "of long, s long, e long"))
-    crowds = pieces.where(F.col("hulls") > crowd)
-    if not crowds.isEmpty():
-
-        def windows(batches):
-            for b in batches:
-                for t, of, first in zip(b["bytes"].to_pylist(), b["of"].to_pylist(), b["first"].to_pylist(), strict=True):
-                    at = np.arange(len(t) - SPAN + 1)
-                    p = Prefixes(t)
-                    yield {"window": _signed(p.of(at, at + SPAN)), "of": np.full(len(at), of), "s": at + first}
+    schema = "anchor long, hull long, of long, first long, bytes binary, hulls long"
+    pieces = saved(map_batches(texts.join(asked, ["of", "id"]), schema, cut), "sfx-pieces")
+    crowded, level = F.col("hulls") > crowd, 0
+
+    def sort(rows: pd.DataFrame) -> pd.DataFrame:
+        return _sort_shard(rows, memory)
+
+    while True:
+        level += 1
+        few = pieces if level == LEVELS else pieces.where(~crowded)
+        size = few.agg(F.sum(F.length("bytes"))).first()[0]
+        if size:
+            shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-size // shard_bytes))))
+            marks = marks.unionByName(few.withColumn("shard", shard).groupBy("shard").applyInPandas(sort, "of long, s long, e long"))
+        if level == LEVELS or pieces.where(crowded).isEmpty():
+            return marks
 
-        each = map_batches(crowds.dropDuplicates(["anchor", "hull"]), "window long, of long, s long", windows)
-        twice = each.groupBy("window").count().where("count > 1").select("window")
-        marks = marks.unionByName(each.join(twice, "window").select("of", "s", (F.col("s") + SPAN).alias("e")))
-    return marks
+        def split(batches, level=level):
+            for b in batches:
+                out: dict[str, list] = {c: [] for c in ("anchor", "hull", "of", "first", "bytes", "hulls")}
+                for parent, of, at, t in zip(*[b[c].to_pylist() for c in ("anchor", "of", "first", "bytes")], strict=True):
+                    a, h, s, e = _hulls(t, level)
+                    a = _mix(a ^ np.uint64(parent % (1 << 64)) * np.uint64(3))
+                    h = _mix(h ^ a)
+                    for c, x in zip(out, (_signed(a).tolist(), _signed(h).tolist(), [of] * len(a), (s + at).tolist(), [t[i : j + SPAN] for i, j in zip(s, e, strict=True)], [0] * len(a)), strict=True):
+                        out[c] += x
+                yield out
+
+        each = saved(map_batches(pieces.where(crowded).dropDuplicates(["anchor", "hull"]), schema, split).drop("hulls"), "sfx-pieces")
+        at = F.struct("of", "first", "bytes").alias("at")
+        twice, mixed = _mixed(each.select("anchor", "hull", F.lit(1).alias("n"), at), "sfx-hulls")
+        marks = marks.unionByName(each.join(twice, ["anchor", "hull"]).select("of", F.col("first").alias("s"), (F.col("first") + F.length("bytes")).alias("e")))
+        pieces = mixed.select("anchor", "hull", "at.of", "at.first", "at.bytes", "hulls")
 
 
 def _merged(spans) -> list[tuple[int, int]]:
@@ -224,23 +250,23 @@ def _inward(text: bytes, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
-def _spans(docs: DataFrame, keep: list[str]) -> DataFrame:
+def _spans(docs: DataFrame, keep: list[str], **sizes) -> DataFrame:
     """The rows of ``docs`` with their text as bytes and their marked ranges."""
     short_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.select(*keep, text.alias("text"), F.xxhash64(text).alias("of"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
-    marks = repeated(keyed.select("of", "id", "text")).groupBy("of").agg(F.collect_set(F.struct("s", "e")).alias("marks"))
+    marks = repeated(keyed.select("of", "id", "text"), **sizes).groupBy("of").agg(F.collect_set(F.struct("s", "e")).alias("marks"))
     marks = marks.select("of", "marks.s", "marks.e")
     return keyed.join(marks, "of", "left").select(*keep, "text", "s", "e")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, **sizes) -> DataFrame:
     """What is removed from each row's text and what is left.
 
     A null text counts as empty; texts shorter than a window keep all; equal texts of
     ``SPAN`` bytes or more lose everything, also those of repeated rows. Empty tables give no rows.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256. ``sizes``: those of ``repeated``.
     """
 
     def work(batches):
@@ -256,30 +282,32 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     out[c].append(v)
             yield {"doc_id": b["doc_id"], **out}
 
-    return map_batches(_spans(docs, ["doc_id"]), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", work)
+    return map_batches(_spans(docs, ["doc_id"], **sizes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", work)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with what is left of each text and its length in n_chars.
+    """``docs`` with what is left of each text and its length in n_chars, where there is such a column; all other columns stay.
 
     A removed range that cuts a character leaves that character whole, so that texts
     stay text. A null text stays null; all rows stay, those without any text left too.
     """
-    names = [c for c in docs.columns if c not in ("text", "n_chars")]
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"{c} {'long' if types[c] == 'bigint' else types[c]}" for c in names) + ", text string, n_chars long"
-    marked = _spans(docs.withColumn("was_null", F.col("text").isNull()), [*names, "was_null"])
-
-    def work(batches):
-        for b in batches:
-            texts = []
-            for t, null, s, e in zip(*[b[c].to_pylist() for c in ("text", "was_null", "s", "e")], strict=True):
-                at, left = 0, []
-                for x, y in _merged(zip(s or (), e or (), strict=True)):
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    marked = docs.withColumns({"_sfx_of": F.xxhash64(text), "_sfx_id": F.coalesce("doc_id", F.lit(NO_ID))})
+    keyed = marked.select(F.col("_sfx_of").alias("of"), F.col("_sfx_id").alias("id"), text.alias("text"))
+    marks = repeated(keyed).groupBy("of").agg(F.collect_set(F.struct("s", "e")).alias("marks")).select(F.col("of").alias("_sfx_of"), F.col("marks").alias("_sfx_marks"))
+
+    def work(b):
+        texts = []
+        for t, marks in zip(b["text"].to_pylist(), b["_sfx_marks"].to_pylist(), strict=True):
+            if t is not None:
+                at, left, t = 0, [], t.encode()
+                for x, y in _merged((m["s"], m["e"]) for m in marks or ()):
                     x, y = _inward(t, x, y)
                     left.append(t[at:x])
                     at = max(at, y)
-                texts.append(None if null else (b"".join(left) + t[at:]).decode())
-            yield {**{c: b[c] for c in names}, "text": texts, "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+                t = (b"".join(left) + t[at:]).decode()
+            texts.append(t)
+        return {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
 
-    return map_batches(marked, schema, work).select(*[c for c in docs.columns])
+    short_batches(docs.sparkSession)
+    return extended(marked.join(marks, "_sfx_of", "left"), "text string, n_chars long", work).select(*docs.columns)

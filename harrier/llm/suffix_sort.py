@@ -1,30 +1,54 @@
 """External induced suffix sorting with common prefixes.
 
-Suffixes are L (larger than the next) or S. Those S suffixes that follow an L suffix are sorted first,
-on a shorter string of names of the stretches between them; the order of all others is induced:
+Suffixes are L (larger than the next) or S. Those S suffixes that follow an L suffix (the starts) are sorted first:
+an induction from them in any order sorts the stretches between them, their names make a shorter string,
+and that is sorted in the same way, recursively. The order of all others is induced:
 a scan upwards through the buckets of first symbols sends each suffix's L predecessor to its
 own bucket, a scan downwards does so for S. Within a bucket suffixes arrive in their order, so a
 bucket's priority queue is a queue, and its entries are tuples (suffix, length of the common prefix
 with the one before). A common prefix is induced too: it is one more than the least common
-prefix between the two inducing suffixes. Queues write their entries to disk beyond a
-number of entries, and each bucket is read back when the scan gets to it.
+prefix between the two inducing suffixes.
+
+``memory`` bounds what is held, in suffixes. Queues write their tuples to disk beyond it and hand them back in parts; text,
+types, suffixes and common prefixes of a longer string are files that are mapped, and are read and written in
+stretches. A string of no more than ``memory`` starts names and sorts them in memory, which ends the recursion.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections import deque
 
 import numpy as np
 
 
+class Arrays:
+    """Arrays in memory, or in mapped files if they are longer than ``memory``."""
+
+    def __init__(self, memory: int):
+        self.memory, self.files = memory, 0
+
+    def zeros(self, n: int, dtype) -> np.ndarray:
+        if n <= self.memory:
+            return np.zeros(n, dtype)
+        self.files += 1
+        with tempfile.TemporaryFile() as f:  # the map keeps the file
+            f.truncate(n * np.dtype(dtype).itemsize)
+            return np.memmap(f, dtype, "r+", shape=(n,))
+
+    def stretches(self, n: int):
+        step = max(self.memory, 1)
+        return [(lo, min(lo + step, n)) for lo in range(0, n, step)]
+
+
 class BucketQueues:
     """A queue of (suffix, common prefix) tuples for each symbol; on disk beyond ``limit`` tuples."""
 
     def __init__(self, limit: int):
-        self.limit, self.held, self.parts, self.file = limit, 0, {}, None
+        self.limit, self.held, self.parts, self.file, self.spills = limit, 0, {}, None, 0
 
     def push(self, symbol: int, at: np.ndarray, lcp: np.ndarray) -> None:
-        self.parts.setdefault(symbol, []).append((at, lcp))
+        self.parts.setdefault(symbol, deque()).append((at, lcp))
         self.held += len(at)
         if self.held > self.limit:
             self.spill()
@@ -33,6 +57,7 @@ class BucketQueues:
         if self.file is None:
             self.file = tempfile.TemporaryFile()
         self.file.seek(0, 2)
+        self.spills += 1
         for parts in self.parts.values():
             for i, part in enumerate(parts):
                 if not isinstance(part[0], int):
@@ -40,17 +65,27 @@ class BucketQueues:
                     self.file.write(part[0].astype(np.int64).tobytes() + part[1].astype(np.uint8).tobytes())
         self.held = 0
 
-    def pop(self, symbol: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for a, b in self.parts.pop(symbol, ()):
+    def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The oldest tuples of a symbol's queue, as many parts as are within the limit, one at least; none if it is empty."""
+        parts = self.parts.get(symbol)
+        if not parts:
+            return None
+        out, n = [], 0
+        while parts and (not out or n + self._size(parts[0]) <= self.limit):
+            a, b = parts.popleft()
             if isinstance(a, int):
                 self.file.seek(a)
                 raw = self.file.read(9 * b)
-                out.append((np.frombuffer(raw, np.int64, b), np.frombuffer(raw, np.uint8, b, 8 * b)))
+                a, b = np.frombuffer(raw, np.int64, b), np.frombuffer(raw, np.uint8, b, 8 * b)
             else:
                 self.held -= len(a)
-                out.append((a, b))
-        return out
+            out.append((a, b))
+            n += len(a)
+        return out[0] if len(out) == 1 else (np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out]))
+
+    @staticmethod
+    def _size(part: tuple) -> int:
+        return part[1] if isinstance(part[0], int) else len(part[0])
 
     def close(self) -> None:
         if self.file is not None:
@@ -121,8 +156,8 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndar
     return np.minimum(out, cap).astype(np.uint8)
 
 
-def _sorted_starts(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The suffixes at ``lms`` in order: name the stretches, then sort the string of names."""
+def _sorted_in_memory(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The suffixes at ``lms`` in order: name the stretches, then sort the string of names by doubling."""
     symbol = text.astype(np.int64) * 2 + s_type
     lens = np.append(np.diff(lms) + 1, 1)
     bits = int(symbol.max()).bit_length()
@@ -167,89 +202,168 @@ def _sorted_starts(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray) -> np.
         w *= 2
 
 
+class _Text:
+    """A string with its end, the types of its suffixes, runs of equal symbols, and its buckets."""
+
+    def __init__(self, text: np.ndarray, cap: int, arrays: Arrays):
+        n = len(text) + 1
+        self.n, self.arrays = n, arrays
+        self.t = arrays.zeros(n, np.int32)
+        top = 0
+        for lo, hi in arrays.stretches(n - 1):
+            self.t[lo:hi] = text[lo:hi]
+            self.t[lo:hi] += 1  # the end is smallest
+            top = max(top, int(self.t[lo:hi].max()))
+        self.symbols = top + 1
+        self.s_type, self.run = arrays.zeros(n, bool), arrays.zeros(n, np.uint8)
+        self.s_type[n - 1], self.run[n - 1] = True, 1
+        self.large, self.all = np.zeros(self.symbols, np.int64), np.zeros(self.symbols, np.int64)
+        self.all[0] = 1
+        for lo, hi in reversed(arrays.stretches(n - 1)):
+            x, y = np.asarray(self.t[lo:hi]), np.asarray(self.t[lo + 1 : hi + 1])
+            m = hi - lo
+            last = np.minimum.accumulate(np.where(x != y, np.arange(m), m)[::-1])[::-1]  # where the run of equal symbols ends
+            inside = np.minimum(last, m - 1)
+            self.s_type[lo:hi] = s = np.where(last < m, x[inside] < y[inside], self.s_type[hi])
+            self.run[lo:hi] = np.minimum(np.where(last < m, last - np.arange(m) + 1, m - np.arange(m) + int(self.run[hi])), cap)
+            self.all += np.bincount(x, minlength=self.symbols)
+            self.large += np.bincount(x[~s], minlength=self.symbols)
+        self.begin = np.concatenate([[0], np.cumsum(self.all)])
+
+    def starts(self) -> np.ndarray:
+        found = [np.flatnonzero(np.asarray(self.s_type[lo + 1 : hi + 1]) & ~np.asarray(self.s_type[lo:hi])) + lo + 1 for lo, hi in self.arrays.stretches(self.n - 1)]
+        out = self.arrays.zeros(sum(map(len, found)), np.int64)
+        np.concatenate(found, out=out) if found else None
+        return out
+
+    def by_symbol(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``at`` dealt to the buckets in the order that it has, and where each bucket begins."""
+        sizes = np.zeros(self.symbols, np.int64)
+        for lo, hi in self.arrays.stretches(len(at)):
+            sizes += np.bincount(self.t[at[lo:hi]], minlength=self.symbols)
+        edge = np.concatenate([[0], np.cumsum(sizes)])
+        out, place = self.arrays.zeros(len(at), np.int64), edge[:-1].copy()
+        for lo, hi in self.arrays.stretches(len(at)):
+            some = np.asarray(at[lo:hi])
+            symbol = self.t[some]
+            order = np.argsort(symbol, kind="stable")
+            s = symbol[order]
+            first = np.searchsorted(s, s)
+            out[place[s] + np.arange(len(s)) - first] = some[order]
+            place += np.bincount(symbol, minlength=self.symbols)
+        return out, edge
+
+    def induce(self, starts: np.ndarray, edge: np.ndarray, first_lcp: np.ndarray | None, cap: int) -> tuple[np.ndarray, np.ndarray]:
+        """All suffixes and common prefixes from the starts, which lie in the order of their buckets."""
+        n, t, s_type, run, begin, step = self.n, self.t, self.s_type, self.run, self.begin, max(self.arrays.memory, 1)
+        sa, lcps = self.arrays.zeros(n, np.int64), self.arrays.zeros(n + 1, np.uint8)
+        queues = BucketQueues(self.arrays.memory)
+
+        def scan(kind: bool, induction: _Induction, at: np.ndarray, lcp: np.ndarray) -> None:
+            """Send the predecessors of type ``kind`` of scanned suffixes."""
+            ok = np.flatnonzero(at > 0)
+            ok = ok[s_type[at[ok] - 1] == kind]
+            pred = at[ok] - 1
+            for symbol, idx, got in induction.send(lcp, t[pred], ok):
+                queues.push(symbol, pred[idx], got)
+
+        up = _Induction(self.symbols, cap)
+        for c in range(self.symbols):
+            pos = begin[c]
+            while (part := queues.pop(c)) is not None:
+                at, lcp = part
+                sa[pos : pos + len(at)], lcps[pos : pos + len(at)] = at, lcp
+                pos += len(at)
+                scan(False, up, at, lcp)
+            for lo in range(edge[c], edge[c + 1], step):
+                mine = np.asarray(starts[lo : min(lo + step, edge[c + 1])])
+                lcp = np.zeros(len(mine), np.uint8) if first_lcp is None else np.array(first_lcp[lo : lo + len(mine)])
+                if lo == edge[c]:
+                    lcp[0] = min(run[sa[pos - 1]], run[mine[0]]) if pos > begin[c] else 0
+                scan(False, up, mine, lcp)
+        down = _Induction(self.symbols, cap)
+        # in the downward scan a tuple's common prefix is with the next larger suffix
+        queues.push(0, np.array([n - 1]), np.zeros(1, np.uint8))
+        for c in range(self.symbols - 1, -1, -1):
+            pos, large = begin[c + 1], begin[c] + self.large[c]
+            while (part := queues.pop(c)) is not None:
+                at, lcp = part
+                lo = pos - len(at)
+                sa[lo:pos], lcps[lo + 1 : pos + 1] = at[::-1], lcp[::-1]
+                pos = lo
+                scan(True, down, at, lcp)
+            edge_lcp = 0
+            if pos < begin[c + 1]:
+                edge_lcp = min(run[sa[large - 1]], run[sa[pos]]) if large > begin[c] else 0
+                lcps[pos] = edge_lcp
+            for hi in range(large, begin[c], -step):
+                lo = max(begin[c], hi - step)
+                with_next = np.append(lcps[lo + 1 : hi], lcps[hi] if hi < large else edge_lcp)
+                scan(True, down, np.asarray(sa[lo:hi])[::-1], with_next[::-1].astype(np.uint8))
+            lcps[begin[c]] = 0
+        queues.close()
+        return sa, lcps
+
+    def equal_stretches(self, a: np.ndarray, b: np.ndarray, end: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+        """Whether the stretches a to end and b to end_b, both included, are the same."""
+        same = (end - a) == (end_b - b)
+        live, depth = np.flatnonzero(same), 0
+        while len(live):
+            x, y = self.t[a[live] + depth], self.t[b[live] + depth]
+            differ = (x != y) | (self.s_type[a[live] + depth] != self.s_type[b[live] + depth])
+            same[live[differ]] = False
+            live = live[~differ]
+            depth += 1
+            live = live[a[live] + depth <= end[live]]
+        return same
+
+    def sorted_starts(self, lms: np.ndarray) -> np.ndarray:
+        """The starts in the order of their suffixes."""
+        if len(lms) <= self.arrays.memory:
+            return _sorted_in_memory(np.asarray(self.t), np.asarray(self.s_type), np.asarray(lms))
+        sa, _ = self.induce(*self.by_symbol(lms), None, 1)  # sorts the stretches
+        order, k = self.arrays.zeros(len(lms), np.int64), 0  # numbers of the starts, in the order of their stretches
+        for lo, hi in self.arrays.stretches(self.n):
+            at = np.asarray(sa[lo:hi])
+            some = at[(at > 0) & self.s_type[at] & ~self.s_type[at - 1]]
+            order[k : k + len(some)] = np.searchsorted(lms, some)
+            k += len(some)
+        names, name = self.arrays.zeros(len(lms), np.int32), 0
+        for lo, hi in self.arrays.stretches(len(lms)):
+            here = np.asarray(order[max(lo - 1, 0) : hi])
+            end = lambda i: lms[np.minimum(i + 1, len(lms) - 1)]
+            new = ~self.equal_stretches(lms[here[:-1]], lms[here[1:]], end(here[:-1]), end(here[1:]))
+            new = np.concatenate([[1], new]) if lo == 0 else new
+            got = name + np.cumsum(new)
+            names[here[len(here) - len(got) :]], name = got - 1, int(got[-1])
+        if name == len(lms):
+            ranks = order
+        else:
+            ranks, _ = suffix_array(names, 1, self.arrays.memory)
+        out = self.arrays.zeros(len(lms), np.int64)
+        for lo, hi in self.arrays.stretches(len(lms)):
+            out[lo:hi] = lms[ranks[lo:hi]]
+        return out
+
+
 def suffix_array(text: np.ndarray, cap: int = 200, memory: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order, and each one's common prefix with the one before, up to ``cap`` (255 at most).
 
-    ``text`` holds non-negative integers. ``memory``: tuples that queues hold before they go to disk.
+    ``text`` holds non-negative integers. ``memory``: suffixes that are held before they go to disk; longer
+    results are mapped files.
     """
     if not len(text):
         return np.empty(0, np.int64), np.empty(0, np.uint8)
-    t = np.append(np.asarray(text, np.int64) + 1, 0).astype(np.int32)  # the end is smallest
-    n, symbols = len(t), int(t.max()) + 1
-    differs = np.append(t[1:] != t[:-1], True)
-    end_of_run = np.minimum.accumulate(np.where(differs, np.arange(n), n - 1)[::-1])[::-1]
-    s_type = np.append(t[:-1] < t[1:], True)[end_of_run]
-    run = np.minimum(end_of_run - np.arange(n) + 1, cap)
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    starts = _sorted_starts(t, s_type, lms)
-    first_lcp = np.concatenate([np.zeros(1, np.uint8), _common(t, starts[:-1], starts[1:], cap)])
-    edge = np.searchsorted(t[starts], np.arange(symbols + 1))  # starts lie in the order of their symbols
-    queues = BucketQueues(memory)
-    parts: dict[tuple[int, str], list] = {}
-
-    def scan(c: int, kind: bool, induce: _Induction, at: np.ndarray, lcp: np.ndarray, back: bool):
-        """Send the predecessors of type ``kind`` of scanned suffixes; returns those of the same bucket."""
-        ok = np.flatnonzero(at > 0)
-        ok = ok[s_type[at[ok] - 1] == kind]
-        pred = at[ok] - 1
-        same = (np.empty(0, np.int64), np.empty(0, np.uint8))
-        for symbol, idx, got in induce.send(lcp, t[pred], ok):
-            if symbol == c and not back:
-                same = (pred[idx], got)
-            else:
-                queues.push(symbol, pred[idx], got)
-        return same
-
-    def bucket(c: int, kind: bool, induce: _Induction, name: str):
-        """Scan the bucket's suffixes of one type, round by round as it sends to itself."""
-        done, last = [], None
-        parts_of = queues.pop(c)
-        at, lcp = (np.concatenate([p[i] for p in parts_of]) for i in (0, 1)) if parts_of else (np.empty(0, np.int64), np.empty(0, np.uint8))
-        while len(at):
-            done.append((at, lcp))
-            last = int(at[-1])
-            at, lcp = scan(c, kind, induce, at, lcp, False)
-        parts[c, name] = done
-        return last
-
-    up = _Induction(symbols, cap)
-    for c in range(symbols):
-        last = bucket(c, False, up, "L")
-        mine = starts[edge[c] : edge[c + 1]]
-        if len(mine):
-            lcp = first_lcp[edge[c] : edge[c + 1]].copy()
-            lcp[0] = 0 if last is None else min(run[last], run[mine[0]])
-            scan(c, False, up, mine, lcp, True)
-    down = _Induction(symbols, cap)
-    # in the downward scan a tuple's common prefix is with the next larger suffix
-    queues.push(0, np.array([n - 1]), np.zeros(1, np.uint8))
-    for c in range(symbols - 1, -1, -1):
-        last = bucket(c, True, down, "S")
-        found = parts[c, "L"]
-        at = np.concatenate([p[0] for p in found]) if found else np.empty(0, np.int64)
-        if len(at):
-            lcp = np.concatenate([p[1] for p in found])
-            lcp[0] = 0
-            rev = np.append(lcp[1:], 0)[::-1].copy()
-            rev[0] = 0 if last is None else min(run[last], run[at[-1]])
-            scan(c, True, down, at[::-1].copy(), rev, True)
-            parts[c, "L"] = [(at, lcp)]
-    queues.close()
-    sa, lcps = [], []
-    for c in range(symbols):
-        large = parts[c, "L"]
-        small = parts[c, "S"]
-        s_at = np.concatenate([p[0] for p in small])[::-1] if small else np.empty(0, np.int64)
-        if large:
-            sa.append(large[0][0])
-            lcps.append(large[0][1])
-        if len(s_at):
-            got = np.concatenate([p[1] for p in small])[::-1]
-            lcp = np.concatenate([[0], got[:-1]]).astype(np.uint8)
-            lcp[0] = min(run[large[0][0][-1]], run[s_at[0]]) if large else 0
-            sa.append(s_at)
-            lcps.append(lcp)
-    sa, lcps = np.concatenate(sa)[1:], np.concatenate(lcps)[1:]  # without the end
-    if len(lcps):
-        lcps[0] = 0
-    return sa, np.minimum(lcps, cap)
+    whole = _Text(text, cap, Arrays(memory))
+    starts = whole.sorted_starts(whole.starts())
+    first_lcp = whole.arrays.zeros(len(starts), np.uint8)
+    for lo, hi in whole.arrays.stretches(len(starts)):
+        here = np.asarray(starts[max(lo - 1, 0) : hi])
+        first_lcp[hi - len(here) + 1 : hi] = _common(whole.t, here[:-1], here[1:], cap)
+    sizes = np.zeros(whole.symbols, np.int64)
+    for lo, hi in whole.arrays.stretches(len(starts)):
+        sizes += np.bincount(whole.t[starts[lo:hi]], minlength=whole.symbols)
+    sa, lcps = whole.induce(starts, np.concatenate([[0], np.cumsum(sizes)]), first_lcp, cap)  # starts lie in the order of their symbols
+    sa, lcps = sa[1:], lcps[1 : len(text) + 1]  # without the end
+    lcps[0] = 0
+    return sa, lcps

@@ -100,9 +100,12 @@ def test_token_files_hold_the_ids(spark):
 
 def test_suffixes_in_order():
     r = np.random.default_rng(0)
-    for i in range(200):
+    for i in range(300):
         t = r.integers(0, r.integers(1, 5), r.integers(1, 60))
-        sa, lcp = suffix_sort.suffix_array(t, 20, memory=10 if i % 2 else 10**6)
+        if i % 7 == 0:
+            t = np.tile(t[:12], 6)
+        # with little memory everything goes to disk and the names are sorted by recursion
+        sa, lcp = suffix_sort.suffix_array(t, 20, memory=(10**6, 10, 3, 1)[i % 4])
         want = sorted(range(len(t)), key=lambda k: list(t[k:]))
         assert list(sa) == want
         for a, b, n in zip(want, want[1:], lcp[1:], strict=False):
@@ -112,16 +115,25 @@ def test_suffixes_in_order():
             assert n == k
 
 
-@pytest.mark.parametrize("crowd", [4000, 1])
-def test_repeats_against_all_windows(spark, crowd, monkeypatch):
+def test_a_long_string_goes_to_disk(monkeypatch):
+    spills, depth = [], []
+    spill, sort = suffix_sort.BucketQueues.spill, suffix_sort.suffix_array
+    monkeypatch.setattr(suffix_sort.BucketQueues, "spill", lambda self: (spills.append(self.held), spill(self)))
+    monkeypatch.setattr(suffix_sort, "suffix_array", lambda *a, **k: (depth.append(len(a[0])), sort(*a, **k))[1])
+    t = np.random.default_rng(3).integers(0, 3, 30_000)
+    sa, lcp = suffix_sort.suffix_array(t, 200, memory=500)
+    assert isinstance(sa, np.memmap) and len(spills) > 20 and len(depth) >= 3
+    want, same = sort(t, 200)
+    assert (sa == want).all() and (lcp == same).all()
+
+
+@pytest.mark.parametrize("sizes", [{}, {"crowd": 1}, {"crowd": 1, "memory": 50}, {"memory": 100, "shard_bytes": 1 << 30}], ids=str)
+def test_repeats_against_all_windows(spark, sizes):
     passage = prose(100, 60)
     texts = [prose(i, 80) + " " + passage[i : 300 + i] + " " + prose(50 + i, 40) for i in range(5)] + ["ab" * 150, passage, passage, "é" * 150, None, prose(7, 90) * 3]
-    if crowd == 1:
-        plain = suffix_dedup.repeated
-        monkeypatch.setattr(suffix_dedup, "repeated", lambda t: plain(t, crowd=1))
     raw = [(t or "").encode() for t in texts]
     seen = Counter(t[k : k + 200] for t in raw for k in range(len(t) - 199))
-    for r in suffix_dedup.remove_repeats(docs(spark, list(enumerate(texts)))).collect():
+    for r in suffix_dedup.remove_repeats(docs(spark, list(enumerate(texts))), **sizes).collect():
         t = raw[r.doc_id]
         gone = np.zeros(len(t) + 1, bool)
         for k in range(len(t) - 199):
