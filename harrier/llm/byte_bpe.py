@@ -18,7 +18,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches, short_batches
+from .common import extended, map_batches, short_batches
 
 NONE = 1 << 62
 
@@ -244,24 +244,20 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_batches(encoded.select("doc_id", "ids"), "doc_id long, content binary", work)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, keep: str = "") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
-    Returns doc_id, the columns named in ``keep`` (a part of a schema, as ``"lang string, "``), n_tokens,
-    ids_sha256 and decoded_sha256. Null and empty texts have no ids and the digests of nothing.
+    Returns all columns of ``docs`` but its text, n_tokens, ids_sha256 and decoded_sha256; columns of these names are replaced. Null and empty texts have no ids and the digests of nothing.
     """
     short_batches(docs.sparkSession)
-    names = [p.strip().split(" ")[0] for p in keep.split(",") if p.strip()]
 
-    def work(batches):
+    def work(b):
         c = codec(path, pattern)
-        for b in batches:
-            n, a, d = [], [], []
-            for ids in c.encode_all(b["text"].to_pylist()):
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                d.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield {"doc_id": b["doc_id"], **{x: b[x] for x in names}, "n_tokens": n, "ids_sha256": a, "decoded_sha256": d}
-
-    columns = ["doc_id", *names]
-    return map_batches(docs.select(*dict.fromkeys([*columns, "text"])), f"doc_id long, {keep}n_tokens long, ids_sha256 string, decoded_sha256 string", work)
+        n, a, d = [], [], []
+        for ids in c.encode_all(b["text"].to_pylist()):
+            n.append(len(ids) // 4)
+            a.append(hashlib.sha256(ids).hexdigest())
+            d.append(hashlib.sha256(c.decode(ids)).hexdigest())
+        return {"n_tokens": n, "ids_sha256": a, "decoded_sha256": d}
+
+    return extended(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", work).drop("text")

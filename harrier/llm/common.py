@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch that goes to Python. Texts can be long, so batches are short.
 BATCH_ROWS = 512
@@ -77,6 +78,26 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[Iterator[dict]], Ite
     return df.mapInArrow(run, schema)
 
 
+def extended(docs: DataFrame, schema: str, work: Callable[[dict], dict]) -> DataFrame:
+    """``docs`` with the columns of ``schema``, which ``work`` makes from each batch of ``{column: pyarrow array}``.
+
+    All other columns of the rows, of any type, go along as they are; those of the same names are replaced.
+    """
+    new = StructType.fromDDL(schema)
+    arrow = _arrow_schema(schema)
+    others = [f for f in docs.schema.fields if f.name not in new.names]
+    names = [f.name for f in others]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+                made = work(columns)
+                yield pa.RecordBatch.from_arrays([*(columns[n] for n in names), *(pa.array(made[f.name], type=f.type) for f in arrow)], names=[*names, *arrow.names])
+
+    return docs.mapInArrow(run, StructType([*others, *new.fields]))
+
+
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "float": pa.float32(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
 
 

@@ -69,6 +69,13 @@ def find(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, long: int
     Returns doc_id, item_id, matched (agreeing words of the item), item_words, doc_from (the
     document's word where the item's first word would lie, negative before its start).
     """
+    found = _found(docs, benchmark, share, long, broadcast_seeds)
+    best = F.max(F.struct("matched", (-F.col("lag")).alias("back"), "item_words")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.matched").alias("matched"), F.col("best.item_words").alias("item_words"), (-F.col("best.back")).alias("doc_from"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, share: float, long: int, broadcast_seeds: int) -> DataFrame:
+    """doc_id, of (the text's hash), item_id and the best alignment of each copied item: matched, item_words, lag."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("w")).where(F.size("w") >= min(map(len, MASKS)))
     items = items.groupBy(F.col("w")).agg(F.min("item_id").alias("item_id")).select("item_id", "w")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("of"))
@@ -76,26 +83,33 @@ def find(docs: DataFrame, benchmark: DataFrame, *, share: float = 0.8, long: int
     if probe.count() <= broadcast_seeds:
         probe = F.broadcast(probe)
     rows = _seed_rows(texts.select("doc_id", "of", word_hashes(F.col("text")).alias("w")), "doc_id", "of")
-    hits = rows.join(probe, "seed").groupBy("doc_id", "of", "item_id", (F.col("at") - F.col("item_at")).alias("lag")).agg(F.count("*").alias("seeds"))
-    found = hits.join(items.withColumnRenamed("w", "item"), "item_id")
+    hits = rows.join(probe, "seed").select("doc_id", "of", "item_id", (F.col("at") - F.col("item_at")).alias("lag")).distinct()
+    # one row for each text and item, with all its lags; a text's words are fetched once for all its items
+    hits = hits.groupBy("doc_id", "of", "item_id").agg(F.sort_array(F.collect_list("lag")).alias("lags"))
+    hits = saved(hits.join(items.withColumnRenamed("w", "item"), "item_id"), "leaks")
+    asked = hits.groupBy("doc_id", "of").agg(F.collect_list(F.struct("item_id", "item", "lags")).alias("asked"))
     same = (F.col("h.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("h.of") == F.col("t.of"))
-    pairs = texts.alias("t").join(found.alias("h"), same).select("h.doc_id", "h.item_id", "h.lag", "h.item", word_hashes(F.col("t.text")).alias("w"))
-    pairs = saved(pairs, "leaks")  # few rows; or their words would be hashed again for each word that is compared
+    once = texts.alias("t").join(asked.alias("h"), same).select("h.doc_id", "h.of", "h.asked", F.col("t.text")).dropDuplicates(["doc_id", "of"])
+    # as the one element of an array, words and positions are found once and not again wherever they are named
+    once = once.select("doc_id", "of", "asked", F.explode(F.array(word_hashes(F.col("text")))).alias("w"))
+    pairs = once.select("doc_id", "of", "w", F.explode("asked").alias("a")).select("doc_id", "of", "w", "a.item_id", "a.item", F.explode("a.lags").alias("lag"))
     n, lag = F.size("item"), F.col("lag")
     agrees = lambda i: (i >= 0) & F.coalesce(F.get("w", i) == F.get("item", i - lag), F.lit(False))
     agreeing = F.filter(F.sequence(lag, lag + n - 1), agrees)
-    # as the one element of an array, the positions are found once and not again wherever they are named
     verdict = lambda at: F.struct(F.size(at).alias("matched"), ((F.size(at) >= share * n) | has_stretch(at, share, long)).alias("copied"))
-    pairs = pairs.select("doc_id", "item_id", "lag", n.alias("item_words"), F.explode(F.transform(F.array(agreeing), verdict)).alias("v"))
-    pairs = pairs.where("v.copied").select("doc_id", "item_id", "lag", "item_words", "v.matched")
-    best = F.max(F.struct("matched", (-F.col("lag")).alias("back"), "item_words")).alias("best")
-    return pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.matched").alias("matched"), F.col("best.item_words").alias("item_words"), (-F.col("best.back")).alias("doc_from"))
+    pairs = pairs.select("doc_id", "of", "item_id", "lag", n.alias("item_words"), F.explode(F.transform(F.array(agreeing), verdict)).alias("v"))
+    pairs = pairs.where("v.copied")
+    best = F.max(F.struct("v.matched", (-F.col("lag")).alias("back"), "item_words")).alias("best")
+    return pairs.groupBy("doc_id", "of", "item_id").agg(best).select("doc_id", "of", "item_id", "best.matched", "best.item_words", (-F.col("best.back")).alias("lag"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that copy no benchmark item, with all their columns."""
-    dirty = find(docs, benchmark).select(F.col("doc_id").alias("dirty_id")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["dirty_id"]), "left_anti")
+    """The rows of ``docs`` that copy no benchmark item, with all their columns. Rows are known by id and text
+    together, so that a clean row stays that shares its id, or the lack of one, with another."""
+    dirty = _found(docs, benchmark, 0.8, 13, 500_000).select(F.col("doc_id").alias("_leak_id"), F.col("of").alias("_leak_of")).distinct()
+    rows = docs.withColumn("_doc_of", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = rows["doc_id"].eqNullSafe(dirty["_leak_id"]) & (rows["_doc_of"] == dirty["_leak_of"])
+    return rows.join(dirty, same, "left_anti").select(*docs.columns)
 
 
 def oracle_sql() -> str:

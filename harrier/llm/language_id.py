@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, short_batches
+from .common import extended, map_batches, short_batches
 
 ORDER, DISCOUNT = 4, 0.75
 START, END = 1, 2
@@ -187,14 +187,13 @@ def train(labelled: DataFrame, *, per_language: int = 1500, languages: int = 500
     return models
 
 
-def predict(docs: DataFrame, models: LanguageModels | None, keep: str = "") -> DataFrame:
-    """doc_id, the columns of ``keep``, lang_pred, score, cross_entropy, rejected for every row.
+def predict(docs: DataFrame, models: LanguageModels | None) -> DataFrame:
+    """doc_id, lang_pred, score, cross_entropy, rejected for every row.
 
     lang_pred is ``und``, with score 0 and rejected, where the text is null or has no letter, or
     nothing was learned. Repeated rows are predicted one by one.
     """
     short_batches(docs.sparkSession)
-    names = [p.strip().split(" ")[0] for p in keep.split(",") if p.strip()]
     held = docs.sparkSession.sparkContext.broadcast(models or LanguageModels({}))  # at most as large as its bounded sample
 
     def work(batches):
@@ -202,6 +201,19 @@ def predict(docs: DataFrame, models: LanguageModels | None, keep: str = "") -> D
         for b in batches:
             texts = b["text"].to_pylist()
             p = models.predict(texts) if models.langs else [("und", 0.0, float("inf"), 0, True)] * len(texts)
-            yield {"doc_id": b["doc_id"], **{x: b[x] for x in names}, "lang_pred": [x[0] for x in p], "score": [x[1] for x in p], "cross_entropy": [x[2] for x in p], "rejected": [x[4] for x in p]}
+            yield {"doc_id": b["doc_id"], "lang_pred": [x[0] for x in p], "score": [x[1] for x in p], "cross_entropy": [x[2] for x in p], "rejected": [x[4] for x in p]}
 
-    return map_batches(docs.select(*dict.fromkeys(["doc_id", *names, "text"])), f"doc_id long, {keep}lang_pred string, score double, cross_entropy double, rejected boolean", work)
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean", work)
+
+
+def known(docs: DataFrame, models: LanguageModels | None) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns; null texts, texts without a
+    letter and, if nothing was learned, all rows are rejected."""
+    short_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(models or LanguageModels({}))
+
+    def work(b):
+        models, texts = held.value, b["text"].to_pylist()
+        return {"_lid_rejected": [x[4] for x in models.predict(texts)] if models.langs else [True] * len(texts)}
+
+    return extended(docs, "_lid_rejected boolean", work).where("NOT _lid_rejected").select(*docs.columns)

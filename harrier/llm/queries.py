@@ -34,7 +34,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), BYTE_PATTERN)
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BYTE_RANKS), BYTE_PATTERN)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
