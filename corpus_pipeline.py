@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from harrier.llm import byte_bpe, decontaminate, language_id, minhash_dedup, suffix_dedup
 from harrier.llm.common import scratch, table
@@ -15,20 +14,19 @@ from harrier.llm.queries import BYTE_PATTERN, BYTE_RANKS
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents that language identification rejects go. The models are learned from
-    the table ``documents``."""
-    models = language_id.train(table(spark, sf_dir, "documents"))
-    keep = "text string, lang string, source string, n_chars long, "
-    return language_id.predict(docs, models, keep).where(~F.col("rejected")).select(*docs.columns)
+    """Operator 4: documents that language identification rejects go, and with them null texts and texts
+    without a letter. The models are learned from the table ``documents``."""
+    return language_id.known(docs, language_id.train(table(spark, sf_dir, "documents")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: one document of each class of near-duplicates stays, that with the smallest id."""
+    """Operator 1: one document of each class of near-duplicates stays, that with the smallest id; a row is known
+    by its id and text together."""
     return minhash_dedup.keep_one(docs)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: every text loses the strings of 200 bytes that are found elsewhere too."""
+    """Operator 2: every text loses the strings of 200 bytes that are found elsewhere too. All rows stay."""
     return suffix_dedup.without_repeats(docs)
 
 
@@ -38,8 +36,8 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: token counts and digests of ids and of the decoded bytes."""
-    return byte_bpe.round_trip(docs, public_tokenizers.path(BYTE_RANKS), BYTE_PATTERN, "lang string, source string, n_chars long, ")
+    """Operator 5: token counts and digests of ids and of the decoded bytes, beside all columns but the text."""
+    return byte_bpe.round_trip(docs, public_tokenizers.path(BYTE_RANKS), BYTE_PATTERN)
 
 
 STAGES = [("language_id", known_language), ("minhash_dedup", one_of_each), ("suffix_dedup", no_repeats), ("decontaminate", no_benchmark), ("byte_bpe", encoded)]
