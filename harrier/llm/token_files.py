@@ -30,8 +30,11 @@ from .common import NO_ID, map_batches, one_thread, scratch, short_batches
 
 MAGIC = b"HTOK1\0\0\0"
 HEAD = struct.Struct("<8s32sIIQ")
-CUT = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-įıĲ-ɏ])(?=[.,!?;:$%&#*])|(?<=[.,!?;:$%&#*])(?=[A-Za-z0-9À-ÖØ-öø-įıĲ-ɏ])")
-LETTERS = re.compile(r"[A-Za-zà-öø-ÿ]+")
+_LATIN, _MARKS, _SPACES = "A-Za-z0-9À-ÖØ-öø-ÿ", ".,!?;:$%&#*", " \n\r\t"
+#: Latin letters and digits before one of _MARKS, a space or the end; _MARKS before those letters, a space or the end;
+#: else all up to the next space.
+PIECES = re.compile(rf"[{_LATIN}]++(?![^{_MARKS}{_SPACES}])|[{_MARKS}]++(?![^{_LATIN}{_SPACES}])|[^{_SPACES}]+").findall
+LETTERS = re.compile(r"[a-zà-öø-ÿ]+")
 _loaded: dict = {}
 
 
@@ -46,16 +49,15 @@ def _tokenizer(path: str, end_id: int) -> Words:
 
 
 class Words(dict):
-    """Serialized ids by what stands between spaces and line breaks; forgets when it is full.
+    """Serialized ids by piece of text; forgets when it is full.
 
     The tokenizer's normalizer and splitter never look across a space, which no token and no special token holds,
-    so the ids of a text are those of its parts one after another. Parts are remembered, since most are
-    seen again and again; a new one is cut where a letter or number and a mark of ``CUT`` meet, which lie in
-    different tokens always, and of the pieces those that are new are encoded by the library. The library reads a line break,
-    a return and a tab as a space.
+    and it reads a line break, a return and a tab as a space. A Latin letter or a digit and one of ``_MARKS`` never lie in one
+    token. So a text cut at spaces and between those has the ids of its pieces one after another. Pieces are
+    remembered, since most are seen again and again; new ones are encoded by the library.
     """
 
-    def __init__(self, tokenizer, end_id: int, limit: int = 300_000, longest: int = 48):
+    def __init__(self, tokenizer, end_id: int, limit: int = 400_000, longest: int = 48):
         self.tokenizer, self.limit, self.longest = tokenizer, limit, longest
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
@@ -63,14 +65,16 @@ class Words(dict):
         suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.ends[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
+        self.lowers = tokenizer.encode("A B", add_special_tokens=False).ids == tokenizer.encode("a b", add_special_tokens=False).ids
 
     def _one_by_one(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.serial).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _ids(self, parts: list[str]) -> dict[str, bytes]:
         """Words of letters are encoded as one text, whose ids tell where each ends."""
-        words = [p for p in parts if self.ends.any() and LETTERS.fullmatch(p)]
-        others = [p for p in parts if not LETTERS.fullmatch(p)] if self.ends.any() else parts
+        known_end = bool(self.ends.any())
+        words = [p for p in parts if known_end and LETTERS.fullmatch(p)]
+        others = [p for p in parts if not (known_end and LETTERS.fullmatch(p))]
         out: dict[str, bytes] = {}
         for k in range(0, len(others), 2048):
             out.update(zip(others[k : k + 2048], self._one_by_one(others[k : k + 2048]), strict=True))
@@ -85,23 +89,26 @@ class Words(dict):
             out.update(zip(some, [raw[lo:hi] for lo, hi in zip([0, *cut], cut, strict=False)], strict=True))
         return out
 
+    def _cut(self, text: str | None) -> list[str]:
+        """Pieces in lower case if the tokenizer makes no difference: not in texts with a sigma, whose lower case the library
+        takes without regard to its place, with a dotted I, which becomes two characters, or with what may become a special token."""
+        if not text:
+            return []
+        low = text.lower() if self.lowers else text
+        return PIECES(text if "Σ" in text or "İ" in text or any(x in low for x in self.special) else low)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text."""
-        special = any(x in t for t in texts if t for x in self.special)
-        texts = [(t or "").replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts]
-        new = set().union(*texts).difference(self)
+        cut = list(map(self._cut, texts))
+        new = set().union(*cut).difference(self)
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = set().union(*texts)
-        cut = {p: [p] if special and any(x in p for x in self.special) else CUT.split(p) for p in new}
-        pieces = self._ids(list({x for xs in cut.values() for x in xs if x not in self}))
-        self.update(pieces)
-        for p, xs in cut.items():
-            if len(xs) > 1:
-                self[p] = b"".join(map(self.__getitem__, xs))
-        out = [b"".join(map(self.__getitem__, t)) for t in texts]
-        for p in {p for p in (*new, *pieces) if len(p) > self.longest}:  # seen once, mostly
-            del self[p]
+            new = set().union(*cut)
+        self.update(self._ids(list(new)))
+        out = [b"".join(map(self.__getitem__, t)) for t in cut]
+        for p in new:
+            if len(p) > self.longest:  # seen once, mostly
+                del self[p]
         return out
 
 

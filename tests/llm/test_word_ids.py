@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from harrier.llm import queries, token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["<|startoftext|>", "<|endoftext|>", "<|", "|>", " ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x85", "​", "\xa0", " ", "é", "é", "́", ".", ",", "'s", "'t", "'", "'re", "Σ", "ΑΣ", "ß", "İ", "ﬁ", "½", "²", "Ⅷ", "123", "日本", "😀", "a", "The", "word", "!", "?", "$", "#", "*", "&", "%", "<", "=", "̸", "하", "क़", "_", "-", '"', "﻿", "x" * 70]
+ODD = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "\u212a", "\u212b", "A\u030a", "I\u0307", "<|", "|>", " ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x85", "​", "\xa0", " ", "é", "é", "́", ".", ",", "'s", "'t", "'", "'re", "Σ", "ΑΣ", "ß", "İ", "ﬁ", "½", "²", "Ⅷ", "123", "日本", "😀", "a", "The", "word", "!", "?", "$", "#", "*", "&", "%", "<", "=", "̸", "하", "क़", "_", "-", '"', "﻿", "x" * 70]
 
 
 def test_ids_are_those_of_the_library():
