@@ -91,11 +91,11 @@ class Words(dict):
 
     def _cut(self, text: str | None) -> list[str]:
         """Pieces in lower case if the tokenizer makes no difference: not in texts with a sigma, whose lower case the library
-        takes without regard to its place, with a dotted I, which becomes two characters, or with what may become a special token."""
+        takes without regard to its place, with a dotted I, which becomes two characters, or its dot, or with what may become a special token."""
         if not text:
             return []
         low = text.lower() if self.lowers else text
-        return PIECES(text if "Σ" in text or "İ" in text or any(x in low for x in self.special) else low)
+        return PIECES(text if any(x in text for x in "Σİ\u0307") or any(x in low for x in self.special) else low)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text."""
