@@ -31,7 +31,7 @@ from .common import NO_ID, extended, map_batches, saved, short_batches
 from .suffix_sort import suffix_array
 
 SPAN, GRAM, LEVELS = 200, 32, 5
-SEGMENT = 1 << 23  # long texts are read in stretches that overlap by a window
+SEGMENT, TOGETHER = 1 << 21, 1 << 15  # long texts are read in stretches that overlap by a window, short ones together
 _draw = np.random.default_rng(41)
 _VALUE = _draw.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -66,8 +66,9 @@ class Prefixes:
         return _mix((self.sums[hi] - self.sums[lo]) * self.down[lo])
 
 
-def _hulls(text: bytes, level: int = 0) -> tuple[np.ndarray, ...]:
-    """Anchor's hash, hash of hull and anchor's place in it, first window, last window. Each level has other anchors."""
+def _hulls(text: bytes, lens: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+    """Of texts that stand one after another: which text, anchor's hash, hash of hull and anchor's place in it, first
+    window, last window. Each level has other anchors."""
     n = len(text) - SPAN + 1
     p = Prefixes(text)
     m = len(text) - GRAM + 1
@@ -81,21 +82,32 @@ def _hulls(text: bytes, level: int = 0) -> tuple[np.ndarray, ...]:
         w *= 2
     least = np.minimum(least[:n], least[width - w : width - w + n])
     at = (least & np.uint64(0xFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    last = np.append(first[1:], n) - 1
-    anchor = at[first]
+    end = np.cumsum(lens)
+    of = np.repeat(np.arange(len(lens)), lens)[:n]
+    inside = np.arange(SPAN, n + SPAN) <= end[of]  # windows that lie in one text
+    new = np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:] != of[:-1]) | ~inside[:-1]])
+    first = np.flatnonzero(new & inside)
+    last = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
+    anchor, of = at[first], of[first]
     hull = p.of(first, last + SPAN) ^ _mix(((anchor - first) << 32 | (last - first)).astype(np.uint64))
-    return grams[anchor], _mix(hull ^ grams[anchor] * np.uint64(3)), first, last
-
-
-def hulls(text: bytes) -> tuple[np.ndarray, ...]:
-    """Of a whole text; none if it is shorter than a window."""
-    if len(text) < SPAN:
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
-    parts = []
-    for lo in range(0, len(text) - SPAN + 1, SEGMENT):
-        a, h, s, e = _hulls(text[lo : lo + SEGMENT + SPAN - 1])
-        parts.append((a, h, s + lo, e + lo))
+    begin = (end - lens)[of]
+    return of, grams[anchor], _mix(hull ^ grams[anchor] * np.uint64(3)), first - begin, last - begin
+
+
+def hulls(texts: list[bytes], level: int = 0) -> tuple[np.ndarray, ...]:
+    """Of whole texts: those of ``_hulls``. A text that is shorter than a window has none."""
+    stretches = [(i, lo, t[lo : lo + SEGMENT + SPAN - 1]) for i, t in enumerate(texts) for lo in range(0, len(t) - SPAN + 1, SEGMENT)]
+    parts, held, size = [], [], 0
+    for k, x in enumerate(stretches):
+        held.append(x)
+        size += len(x[2])
+        if size >= TOGETHER or k == len(stretches) - 1:
+            of, a, h, s, e = _hulls(b"".join(t for _, _, t in held), np.array([len(t) for _, _, t in held]), level)
+            number, offset = np.array([i for i, _, _ in held]), np.array([lo for _, lo, _ in held])
+            parts.append((number[of], a, h, s + offset[of], e + offset[of]))
+            held, size = [], 0
+    if not parts:
+        return (np.empty(0, np.int64),) + (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -116,16 +128,16 @@ def _hull_rows(texts: DataFrame, once: bool) -> DataFrame:
             times: dict[int, int] = {}
             for x in of:
                 times[x] = times.get(x, 0) + 1
-            parts, seen = [], set()
-            for t, x, i in zip(texts_, of, ids, strict=True):
-                if x in seen or len(t) < SPAN:
-                    continue
-                seen.add(x)
-                a, h, s, e = hulls(t)
-                parts.append((_signed(a), _signed(h), np.full(len(a), x), np.full(len(a), i), s << 32 | e, np.full(len(a), times[x])))
-            if not parts:
+            seen: dict[int, int] = {}
+            for i, (t, x) in enumerate(zip(texts_, of, strict=True)):
+                if len(t) >= SPAN:
+                    seen.setdefault(x, i)
+            if not seen:
                 continue
-            cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            rows = list(seen.values())
+            k, a, h, s, e = hulls([texts_[i] for i in rows])
+            text, row, n = np.array(list(seen))[k], np.array([ids[i] for i in rows])[k], np.array([times[x] for x in seen])[k]
+            cols = [_signed(a), _signed(h), text, row, s << 32 | e, n]
             if once:
                 _, at, group = np.unique(cols[1], return_index=True, return_inverse=True)
                 n = np.bincount(group, cols[5]).astype(np.int64)
@@ -145,7 +157,18 @@ def _windows(first: np.ndarray) -> list[tuple[int, int]]:
 def _sort_shard(rows: pd.DataFrame, memory: int) -> pd.DataFrame:
     """The repeated windows of a shard's hulls, by their suffixes."""
     rows = rows.drop_duplicates(["anchor", "hull"]).sort_values(["anchor", "hull"])
-    parts = [np.frombuffer(b, np.uint8) for b in rows.bytes]
+    key, whose, start, pieces = rows.anchor.to_numpy().view(np.uint64), rows.of.to_numpy(), rows["first"].to_numpy(), rows.bytes.tolist()
+    for level in (LEVELS + 1, LEVELS + 2):
+        # windows whose further anchors no other has occur once: only the others are sorted
+        k, a, _, s, e = hulls(pieces, level)
+        key = _mix(a ^ key[k] * np.uint64(3))
+        _, group, n = np.unique(key, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(n[group] > 1)
+        key, whose, start = key[some], whose[k[some]], start[k[some]] + s[some]
+        pieces = [pieces[i][x : y + SPAN] for i, x, y in zip(k[some].tolist(), s[some].tolist(), e[some].tolist(), strict=True)]
+    if not pieces:
+        return pd.DataFrame({"of": [], "s": [], "e": []}).astype("int64")
+    parts = [np.frombuffer(b, np.uint8) for b in pieces]
     lens = np.array([len(p) + 1 for p in parts])
     text = np.zeros(int(lens.sum()), np.int32)
     begin = np.concatenate([[0], np.cumsum(lens)[:-1]])
@@ -160,9 +183,8 @@ def _sort_shard(rows: pd.DataFrame, memory: int) -> pd.DataFrame:
     row = np.searchsorted(begin, at, "right") - 1
     keep = at + SPAN <= begin[row] + lens[row] - 1
     at, row = at[keep], row[keep]
-    of, first = rows.of.to_numpy(), rows["first"].to_numpy()
     edges = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else np.zeros(1, np.int64)
-    out = [(of[row[lo]], s, e) for lo, hi in zip(edges[:-1], edges[1:], strict=True) for s, e in _windows(at[lo:hi] - begin[row[lo]] + first[row[lo]])]
+    out = [(whose[row[lo]], s, e) for lo, hi in zip(edges[:-1], edges[1:], strict=True) for s, e in _windows(at[lo:hi] - begin[row[lo]] + start[row[lo]])]
     return pd.DataFrame(out, columns=["of", "s", "e"]).astype("int64")
 
 
@@ -215,12 +237,13 @@ def repeated(texts: DataFrame, *, shard_bytes: int = 1 << 20, crowd: int = 4_000
         def split(batches, level=level):
             for b in batches:
                 out: dict[str, list] = {c: [] for c in ("anchor", "hull", "of", "first", "bytes", "hulls")}
-                for parent, of, at, t in zip(*[b[c].to_pylist() for c in ("anchor", "of", "first", "bytes")], strict=True):
-                    a, h, s, e = _hulls(t, level)
-                    a = _mix(a ^ np.uint64(parent % (1 << 64)) * np.uint64(3))
-                    h = _mix(h ^ a)
-                    for c, x in zip(out, (_signed(a).tolist(), _signed(h).tolist(), [of] * len(a), (s + at).tolist(), [t[i : j + SPAN] for i, j in zip(s, e, strict=True)], [0] * len(a)), strict=True):
-                        out[c] += x
+                parents, of, firsts, texts_ = (b[c].to_pylist() for c in ("anchor", "of", "first", "bytes"))
+                k, a, h, s, e = hulls(texts_, level)
+                a = _mix(a ^ np.array(parents, np.int64).view(np.uint64)[k] * np.uint64(3))
+                h = _mix(h ^ a)
+                out["anchor"], out["hull"], out["of"], out["first"] = _signed(a), _signed(h), np.array(of)[k], np.array(firsts)[k] + s
+                out["bytes"] = [texts_[i][x : y + SPAN] for i, x, y in zip(k.tolist(), s.tolist(), e.tolist(), strict=True)]
+                out["hulls"] = [0] * len(k)
                 yield out
 
         each = saved(map_batches(pieces.where(crowded).dropDuplicates(["anchor", "hull"]), schema, split).drop("hulls"), "sfx-pieces")
