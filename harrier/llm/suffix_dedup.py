@@ -157,18 +157,8 @@ def _windows(first: np.ndarray) -> list[tuple[int, int]]:
 def _sort_shard(rows: pd.DataFrame, memory: int) -> pd.DataFrame:
     """The repeated windows of a shard's hulls, by their suffixes."""
     rows = rows.drop_duplicates(["anchor", "hull"]).sort_values(["anchor", "hull"])
-    key, whose, start, pieces = rows.anchor.to_numpy().view(np.uint64), rows.of.to_numpy(), rows["first"].to_numpy(), rows.bytes.tolist()
-    for level in (LEVELS + 1, LEVELS + 2):
-        # windows whose further anchors no other has occur once: only the others are sorted
-        k, a, _, s, e = hulls(pieces, level)
-        key = _mix(a ^ key[k] * np.uint64(3))
-        _, group, n = np.unique(key, return_inverse=True, return_counts=True)
-        some = np.flatnonzero(n[group] > 1)
-        key, whose, start = key[some], whose[k[some]], start[k[some]] + s[some]
-        pieces = [pieces[i][x : y + SPAN] for i, x, y in zip(k[some].tolist(), s[some].tolist(), e[some].tolist(), strict=True)]
-    if not pieces:
-        return pd.DataFrame({"of": [], "s": [], "e": []}).astype("int64")
-    parts = [np.frombuffer(b, np.uint8) for b in pieces]
+    whose, start = rows.of.to_numpy(), rows["first"].to_numpy()
+    parts = [np.frombuffer(b, np.uint8) for b in rows.bytes]
     lens = np.array([len(p) + 1 for p in parts])
     text = np.zeros(int(lens.sum()), np.int32)
     begin = np.concatenate([[0], np.cumsum(lens)[:-1]])

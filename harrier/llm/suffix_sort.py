@@ -140,19 +140,15 @@ class _Induction:
         self.least[untouched] = np.minimum(self.least[untouched], lcp.min())
 
 
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Lengths of the common prefixes of the suffixes at a and b, up to cap."""
+def _common(words: np.ndarray, bits: int, per: int, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+    """Lengths of the common prefixes of the suffixes at a and b, up to cap; ``words``: the next ``per`` symbols in ``bits`` each."""
     out = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
-    step = 16
     while len(live):
         i, j = a[live] + out[live], b[live] + out[live]
-        k = np.arange(step)
-        x, y = np.minimum(i[:, None] + k, len(text) - 1), np.minimum(j[:, None] + k, len(text) - 1)
-        differ = (text[x] != text[y]) | (np.maximum(i, j)[:, None] + k >= len(text))
-        n = np.where(differ.any(axis=1), differ.argmax(axis=1), step)
-        out[live] += n
-        live = live[(n == step) & (out[live] < cap)]
+        differ = words[np.minimum(i, len(words) - 1)] ^ words[np.minimum(j, len(words) - 1)]
+        out[live] += per - -(-np.frexp(differ.astype(float))[1] // bits)  # symbols before the highest bit that differs
+        live = live[(differ == 0) & (out[live] < cap)]
     return np.minimum(out, cap).astype(np.uint8)
 
 
@@ -317,6 +313,23 @@ class _Text:
             live = live[a[live] + depth <= end[live]]
         return same
 
+    def common_with_previous(self, starts: np.ndarray, cap: int) -> np.ndarray:
+        """Each start's common prefix with the one before. Suffixes differ at the end of the string at the latest."""
+        bits = max(1, (self.symbols - 1).bit_length())
+        per = max(1, 52 // bits)
+        words = self.arrays.zeros(self.n, np.int64)
+        for lo, hi in self.arrays.stretches(self.n):
+            t = np.asarray(self.t[lo : hi + per]).astype(np.int64)
+            t = np.concatenate([t, np.zeros(hi - lo + per - len(t), np.int64)])
+            for k in range(per):
+                words[lo:hi] <<= bits
+                words[lo:hi] |= t[k : hi - lo + k]
+        out = self.arrays.zeros(len(starts), np.uint8)
+        for lo, hi in self.arrays.stretches(len(starts)):
+            here = np.asarray(starts[max(lo - 1, 0) : hi])
+            out[hi - len(here) + 1 : hi] = _common(words, bits, per, here[:-1], here[1:], cap)
+        return out
+
     def sorted_starts(self, lms: np.ndarray) -> np.ndarray:
         """The starts in the order of their suffixes."""
         if len(lms) <= self.arrays.memory:
@@ -356,10 +369,7 @@ def suffix_array(text: np.ndarray, cap: int = 200, memory: int = 4_000_000) -> t
         return np.empty(0, np.int64), np.empty(0, np.uint8)
     whole = _Text(text, cap, Arrays(memory))
     starts = whole.sorted_starts(whole.starts())
-    first_lcp = whole.arrays.zeros(len(starts), np.uint8)
-    for lo, hi in whole.arrays.stretches(len(starts)):
-        here = np.asarray(starts[max(lo - 1, 0) : hi])
-        first_lcp[hi - len(here) + 1 : hi] = _common(whole.t, here[:-1], here[1:], cap)
+    first_lcp = whole.common_with_previous(starts, cap)
     sizes = np.zeros(whole.symbols, np.int64)
     for lo, hi in whole.arrays.stretches(len(starts)):
         sizes += np.bincount(whole.t[starts[lo:hi]], minlength=whole.symbols)
