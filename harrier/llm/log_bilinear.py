@@ -1,12 +1,17 @@
 """A log-bilinear language model, trained in numpy by noise-contrastive estimation.
 
 Tokens are the lower-cased (A-Z) words of a text and one end. The model predicts a symbol from
-the two before it: a symbol is a frequent word, the end, or a class of the other words (by their
-last two bytes, which tell much about a language's endings). Its score of symbol s in context
-(a, b) is (C1 r_a + C2 r_b) . q_s + bias_s; matrix products give the normaliser of every context
-once, so that log-probabilities are normalised. A word of a class has its share of
-the class by its count plus one. The counts are those of the whole training corpus; so are the
-parameters, which are the mean of those that each part of the corpus trains from one start.
+the two before it: a symbol is a word that occurs often enough, the end, or a tail of other words (by their
+last two bytes, which tell much about a language's endings). The vocabulary is counted: it grows with the corpus.
+
+Symbols lie in groups by their frequency, the frequent ones in small groups: the k-th, from 0, has 4 k + 1 symbols. A context is h = C1 r_a + C2 r_b; the group of
+the next symbol has the score h . u + bias, the symbol in its group h . q + bias, and both are normalised by matrix products over a
+batch of contexts. A word of a tail has its share of the tail by its count plus one, from the counts
+of the whole training corpus.
+
+All training tokens are learned from. Texts are dealt to parts by their hash, and the number of parts comes from the counted
+tokens; a part trains on its distinct trigrams in an order of its own, so that the model is the same however the
+table is laid out. The parameters are the parts' mean.
 """
 
 from __future__ import annotations
@@ -23,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_batches, saved, short_batches
 
-FREQUENT, CLASSES, DIM = 320, 160, 16
-SYMBOLS = FREQUENT + CLASSES + 2
-END, PAD = FREQUENT + CLASSES, FREQUENT + CLASSES + 1
+TAILS, DIM = 160, 16
+#: Tokens that a part trains on, about.
+PART_TOKENS = 4_000_000
 #: The end as a token among words; words hold no white space.
 END_TOKEN = b"\n"
 
@@ -35,8 +40,8 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_class(word: bytes) -> int:
-    return FREQUENT + xxhash.xxh32_intdigest(word[-2:]) % CLASSES
+def tail(word: bytes) -> int:
+    return xxhash.xxh32_intdigest(word[-2:]) % TAILS
 
 
 def word_hash(word: bytes) -> int:
@@ -44,91 +49,136 @@ def word_hash(word: bytes) -> int:
 
 
 class Symbols(dict):
-    """Symbol by word; frequent words stay, others are forgotten when there are many."""
+    """Symbol by word: modelled words, then tails, the end, and what stands before a text. Modelled
+    words stay, others are forgotten when there are many."""
 
-    def __init__(self, frequent: list[bytes], limit: int = 300_000):
-        super().__init__(zip(frequent, range(len(frequent)), strict=True))
-        self.frequent, self.limit = frequent, limit
+    def __init__(self, modelled: list[bytes], limit: int = 300_000):
+        super().__init__(zip(modelled, range(len(modelled)), strict=True))
+        self.modelled, self.limit = modelled, limit + len(modelled)
+        self.end = len(modelled) + TAILS
+        self.pad = self.end + 1
 
     def __reduce__(self):
-        return Symbols, (self.frequent, self.limit)
+        return Symbols, (self.modelled, self.limit - len(self.modelled))
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-            self.update(zip(self.frequent, range(len(self.frequent)), strict=True))
-        self[word] = s = word_class(word)
+            self.update(zip(self.modelled, range(len(self.modelled)), strict=True))
+        self[word] = s = len(self.modelled) + tail(word)
         return s
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class LogBilinear:
-    def __init__(self, unigram: np.ndarray, seed: int = 3):
+    """``counts``: of every symbol but that before a text, which is never predicted."""
+
+    def __init__(self, counts: np.ndarray, seed: int = 3):
+        n = len(counts)
+        order = np.argsort(-counts, kind="stable")
+        self.rank = np.empty(n, np.int64)
+        self.rank[order] = np.arange(n)
+        self.group = ((np.sqrt(1 + 8.0 * np.arange(n)) + 1) // 4).astype(np.int64)  # group k begins at rank k (2 k - 1) and has 4 k + 1 symbols
+        self.begin = np.searchsorted(self.group, np.arange(self.group[-1] + 2)) if n else np.zeros(1, np.int64)
+        p = np.maximum(counts[order], 1e-9).astype(float)
+        self.p_group = np.add.reduceat(p, self.begin[:-1]) / p.sum()
+        self.p_word = p / np.add.reduceat(p, self.begin[:-1])[self.group]
+        self.below = np.concatenate([[0], np.cumsum(self.p_word)])  # a group's words have 1 together
         draw = np.random.default_rng(seed)
-        self.noise = np.maximum(unigram, 1e-12) / np.maximum(unigram, 1e-12).sum()
-        self.r, self.q = draw.normal(0, 0.1, (SYMBOLS, DIM)), draw.normal(0, 0.1, (SYMBOLS, DIM))
-        self.c = np.stack([np.eye(DIM), np.eye(DIM)])
-        self.bias = np.log(self.noise)
+        near = lambda k: draw.normal(0, 0.1, (k, DIM)).astype(np.float32)
+        self.parts = [near(n + 1), near(len(self.p_group)), near(n), np.stack([np.eye(DIM), np.eye(DIM)]).astype(np.float32), np.log(self.p_group).astype(np.float32), np.log(self.p_word).astype(np.float32)]
 
     def parameters(self) -> np.ndarray:
-        return np.concatenate([self.r.ravel(), self.q.ravel(), self.c.ravel(), self.bias])
+        return np.concatenate([x.ravel() for x in self.parts])
 
     def set_parameters(self, p: np.ndarray) -> None:
-        a, b, c = SYMBOLS * DIM, 2 * SYMBOLS * DIM, 2 * SYMBOLS * DIM + 2 * DIM * DIM
-        self.r, self.q, self.c, self.bias = p[:a].reshape(SYMBOLS, DIM), p[a:b].reshape(SYMBOLS, DIM), p[b:c].reshape(2, DIM, DIM), p[c:].copy()
+        at = np.cumsum([0] + [x.size for x in self.parts])
+        self.parts = [p[lo:hi].reshape(x.shape).astype(np.float32) for lo, hi, x in zip(at[:-1], at[1:], self.parts, strict=True)]
 
-    def train(self, grams: np.ndarray, times: np.ndarray, *, noise: int = 12, batch: int = 2048, rate: float = 0.15, seed: int = 1) -> None:
-        """One pass of noise-contrastive estimation over distinct trigrams (a, b, s), each as
-        heavy as it is frequent. A batch shares its noise symbols."""
+    def train(self, grams: np.ndarray, times: np.ndarray, *, noise: int = 32, inner: int = 2, batch: int = 16384, rate: float = 0.15, visits: int = 1_000_000, passes: int = 2000, seed: int = 1) -> None:
+        """Noise-contrastive estimation over distinct trigrams (a, b, s), each as
+        heavy as it is frequent: of groups, whose noise a batch shares, and of the words within a group.
+        One pass, or as many as make ``visits`` of trigrams, ``passes`` at most."""
         draw = np.random.default_rng(seed)
-        order = draw.permutation(len(grams))
-        sq = [np.full(x.shape, 1e-6) for x in (self.r, self.q, self.c, self.bias)]
-        log_kn = np.log(noise * self.noise)
-        for k in range(0, len(order), batch):
-            at = order[k : k + batch]
+        passes = max(1, min(passes, visits // max(1, len(grams))))
+        r, u, q, c, bias_u, bias_q = self.parts
+        sq = [np.full(x.shape, 1e-6, np.float32) for x in self.parts]
+        log_group, log_word = np.log(noise * self.p_group).astype(np.float32), np.log(inner * self.p_word).astype(np.float32)
+        single = np.diff(self.begin) == 1
+        weight = (times / times.mean()).astype(np.float32)
+
+        def sums(at: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
+            out = np.empty((n, g.shape[1]), np.float32)
+            for f in range(g.shape[1]):
+                out[:, f] = np.bincount(at, g[:, f], n)
+            return out
+
+        for at in (part for _ in range(passes) for part in np.split(draw.permutation(len(grams)), range(batch, len(grams), batch))):
             a, b, s = grams[at].T
-            w = times[at] / times[at].mean()
-            z = draw.choice(SYMBOLS, noise * 8, p=self.noise)
-            ra, rb = self.r[a], self.r[b]
-            h = ra @ self.c[0] + rb @ self.c[1]
-            true = np.einsum("id,id->i", h, self.q[s]) + self.bias[s] - log_kn[s]
-            false = h @ self.q[z].T + self.bias[z] - log_kn[z]
-            gt = w * (1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1) / len(at)
-            gf = w[:, None] / (1 + np.exp(-np.clip(false, -30, 30))) / 8 / len(at)
-            dh = gt[:, None] * self.q[s] + gf @ self.q[z]
-            dq, db, dr = np.zeros_like(self.q), np.bincount(s, gt, SYMBOLS) + np.bincount(z, gf.sum(axis=0), SYMBOLS), np.zeros_like(self.r)
-            for f in range(DIM):
-                dq[:, f] = np.bincount(s, gt * h[:, f], SYMBOLS)
-            np.add.at(dq, z, gf.T @ h)
-            da, dbb = dh @ self.c[0].T, dh @ self.c[1].T
-            for f in range(DIM):
-                dr[:, f] = np.bincount(a, da[:, f], SYMBOLS) + np.bincount(b, dbb[:, f], SYMBOLS)
-            dc = np.stack([ra.T @ dh, rb.T @ dh])
-            for x, g, q in zip((self.r, self.q, self.c, self.bias), (dr, dq, dc, db), sq, strict=True):
-                q += g * g
-                x -= rate * g / np.sqrt(q)
-
-    def finish(self) -> None:
-        """Contexts' vectors and normalisers, by matrix products: log p = h . q + bias - z."""
-        left, right = self.r @ self.c[0], self.r @ self.c[1]
-        self.left, self.right, self.out = left.astype(np.float32), right.astype(np.float32), self.q.astype(np.float32)
-        bias = self.bias.copy()
-        bias[PAD] = -np.inf  # never predicted
-        self.z = np.empty((SYMBOLS, SYMBOLS), np.float32)
-        for a in range(SYMBOLS):
-            scores = (left[a] + right) @ self.q.T + bias
-            top = scores.max(axis=1)
-            self.z[a] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+            s = self.rank[s]
+            k, w = self.group[s], weight[at] / len(at)
+            ra, rb = r[a], r[b]
+            h = ra @ c[0] + rb @ c[1]
+            z = draw.choice(len(self.p_group), noise, p=self.p_group)
+            gt = w * (_sigmoid(np.einsum("id,id->i", h, u[k]) + bias_u[k] - log_group[k]) - 1)
+            gf = w[:, None] * _sigmoid(h @ u[z].T + bias_u[z] - log_group[z])
+            inside = w * ~single[k]  # a group of one word leaves nothing to learn
+            y = np.searchsorted(self.below, k[:, None] + draw.random((len(at), inner)), "right") - 1
+            y = np.clip(y, self.begin[k][:, None], self.begin[k + 1][:, None] - 1)
+            it = inside * (_sigmoid(np.einsum("id,id->i", h, q[s]) + bias_q[s] - log_word[s]) - 1)
+            qy = q[y]
+            iy = inside[:, None] * _sigmoid(np.einsum("id,ijd->ij", h, qy) + bias_q[y] - log_word[y])
+            dh = gt[:, None] * u[k] + gf @ u[z] + it[:, None] * q[s] + np.einsum("ij,ijd->id", iy, qy)
+            du = sums(k, gt[:, None] * h, len(u)) + sums(z, gf.T @ h, len(u))
+            words, pull = np.concatenate([s, y.ravel()]), np.concatenate([it[:, None] * h, (iy[:, :, None] * h[:, None]).reshape(-1, DIM)])
+            dq = sums(words, pull, len(q))
+            dr = sums(np.concatenate([a, b]), np.concatenate([dh @ c[0].T, dh @ c[1].T]), len(r))
+            dbu = np.bincount(k, gt, len(u)) + np.bincount(z, gf.sum(axis=0), len(u))
+            dbq = np.bincount(words, np.concatenate([it, iy.ravel()]), len(q))
+            for x, g, total in zip(self.parts, (dr, du, dq, np.stack([ra.T @ dh, rb.T @ dh]), dbu, dbq), sq, strict=True):
+                g = g.astype(np.float32)
+                total += g * g
+                x -= rate * g / np.sqrt(total)
 
     def log_probabilities(self, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> np.ndarray:
-        return np.einsum("id,id->i", self.left[a] + self.right[b], self.out[s]) + self.bias[s] - self.z[a, b]
+        """Natural logarithms, normalised over groups and over the words of the group."""
+        r, u, q, c, bias_u, bias_q = self.parts
+        s = self.rank[s]
+        k = self.group[s]
+        left, right = r @ c[0], r @ c[1]
+        h, out = left[a] + right[b], np.zeros(len(s))
+        for lo in range(0, len(s), 1024):  # few enough to stay in a core's cache
+            score = h[lo : lo + 1024] @ u.T + bias_u
+            out[lo : lo + 1024] = score[np.arange(len(score)), k[lo : lo + 1024]]
+            out[lo : lo + 1024] -= _log_sum(score)
+        order = np.argsort(k, kind="stable")
+        edge = np.searchsorted(k[order], np.arange(len(u) + 1))
+        for g in np.flatnonzero((np.diff(edge) > 0) & (np.diff(self.begin) > 1)):
+            at, lo, hi = order[edge[g] : edge[g + 1]], self.begin[g], self.begin[g + 1]
+            for i in range(0, len(at), 1024):
+                some = at[i : i + 1024]
+                score = h[some] @ q[lo:hi].T + bias_q[lo:hi]
+                out[some] += score[np.arange(len(some)), s[some] - lo]
+                out[some] -= _log_sum(score)
+        return out
+
+
+def _log_sum(score: np.ndarray) -> np.ndarray:
+    """Of each row; ``score`` is used up."""
+    top = score.max(axis=1)
+    score -= top[:, None]
+    return top + np.log(np.exp(score, out=score).sum(axis=1))
 
 
 class Scorer:
-    """What a worker needs to score texts: the model, class sums and the counts of known words."""
+    """What a worker needs to score texts: the model, sums of the tails and the counts of known words."""
 
-    def __init__(self, model, frequent, hashes, counts, class_words, class_tokens, total, kinds, ends):
-        self.model, self.symbols, self.hashes, self.counts = model, Symbols(frequent), hashes, counts
-        self.class_log = np.log10(class_tokens + class_words + 1.0)
+    def __init__(self, model, modelled, hashes, counts, tail_words, tail_tokens, total, kinds, ends):
+        self.model, self.symbols, self.hashes, self.counts = model, Symbols(modelled), hashes, counts
+        self.tail_log = np.log10(tail_tokens + tail_words + 1.0)
         self.log_total, self.ends = math.log10(total + kinds + 1), ends
 
     def score(self, texts: list[str | None]) -> dict:
@@ -146,9 +196,9 @@ class Scorer:
             logs = np.where(hit, np.log10(self.counts[at] + 1.0), 0.0)
         else:
             hit, logs = np.zeros(len(h), bool), np.zeros(len(h))
-        symbol = rows[rows[:, 2] != END, 2]
-        # a word of a class has its share of the class; a frequent word is a symbol itself
-        share = np.where(symbol < FREQUENT, 0.0, logs - self.class_log[symbol])
+        symbol, first_tail = rows[rows[:, 2] != self.symbols.end, 2], len(self.symbols.modelled)
+        # a word of a tail has its share of the tail; a modelled word is a symbol itself
+        share = np.where(symbol < first_tail, 0.0, logs - self.tail_log[np.maximum(symbol - first_tail, 0)])
         n = np.array(lens, np.int64) + 1
         others: list[Counter] = [Counter() for _ in texts]
         for i in np.flatnonzero(~hit).tolist():
@@ -166,12 +216,12 @@ class Scorer:
 def _symbol_rows(texts: list[list[bytes]], symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
     """All texts' trigrams (before last, last, symbol) and each text's first row."""
     lens = np.array([len(t) + 1 for t in texts])
-    flat = np.full(int(lens.sum()) + 2 * len(texts), PAD, np.int64)
+    flat = np.full(int(lens.sum()) + 2 * len(texts), symbols.pad, np.int64)
     first = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
     here = first + 2 * np.arange(len(texts)) + 2
     for t, at in zip(texts, here, strict=True):
         flat[at : at + len(t)] = np.fromiter(map(symbols.__getitem__, t), np.int64, len(t))
-        flat[at + len(t)] = END
+        flat[at + len(t)] = symbols.end
     keep = np.arange(int(lens.sum())) + np.repeat(2 * np.arange(len(texts)), lens)
     return np.stack([flat[keep], flat[keep + 1], flat[keep + 2]], axis=1), first
 
@@ -200,82 +250,88 @@ def count_words(docs: DataFrame, entries: int = 400_000) -> DataFrame:
     return map_batches(docs.select("text"), "word binary, n long", work).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, frequent: list[bytes], unigram: np.ndarray, *, groups: int = 64) -> LogBilinear:
+def train(docs: DataFrame, modelled: list[bytes], counts: np.ndarray, total: int, *, slices: int = 32) -> LogBilinear:
     """Each part of the corpus trains from one start on all its tokens; the parameters are
-    the parts' mean, weighted by tokens and taken in two steps."""
-    start = LogBilinear(unigram)
-    size = len(start.parameters())
-    held = docs.sparkSession.sparkContext.broadcast((start, frequent))  # fixed size
+    the parts' mean, weighted by tokens and added up slice by slice in the order of the parts."""
+    spark = docs.sparkSession
+    start = LogBilinear(counts)
+    size, n = len(start.parameters()), len(counts) + 1
+    parts = max(1, round(total / PART_TOKENS))
+    held = spark.sparkContext.broadcast((modelled, counts))  # bounded by most_words
 
-    def work(batches):
-        model, words = held.value
-        mine = LogBilinear(np.ones(SYMBOLS))
-        mine.noise = model.noise
-        mine.set_parameters(model.parameters())
-        symbols, total, pending, held_rows = Symbols(words), 0, [], 0
-        mean, weight = np.zeros(size), 0
-
-        def learn():
-            nonlocal total, pending, held_rows
-            keys, n = np.unique(np.concatenate(pending), return_counts=True)
-            grams = np.stack([keys // SYMBOLS**2, keys // SYMBOLS % SYMBOLS, keys % SYMBOLS], axis=1)
-            mine.train(grams, n.astype(float), seed=total % 2**31)
-            total += int(n.sum())
-            pending, held_rows = [], 0
+    def symbols(batches):
+        words = Symbols(held.value[0])
+        for b in batches:
+            times = Counter(t or "" for t in b["text"].to_pylist())
+            of = [xxhash.xxh64_intdigest(t.encode()) for t in times]
+            ids = [np.fromiter(map(words.__getitem__, tokens(t)), np.int32).tobytes() for t in times]
+            yield {"part": [x % parts for x in of], "times": list(times.values()), "ids": ids}
+
+    def learn(batches):
+        words, pad = Symbols(held.value[0]), n - 1
+        part, pending = None, []
+
+        def trained():
+            keys, at = np.unique(np.concatenate([k for k, _ in pending]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([t for _, t in pending]))
+            model = LogBilinear(held.value[1])
+            model.train(np.stack([keys // n**2, keys // n % n, keys % n], axis=1), times, seed=part)
+            weight = int(times.sum())
+            pieces = np.array_split(model.parameters() * np.float64(weight), slices)
+            return {"slice": list(range(slices)), "part": [part] * slices, "weight": [weight] * slices, "sums": [x.tobytes() for x in pieces]}
 
         for b in batches:
-            rows, _ = _symbol_rows([tokens(t) for t in b["text"].to_pylist()], symbols)
-            pending.append((rows[:, 0] * SYMBOLS + rows[:, 1]) * SYMBOLS + rows[:, 2])
-            held_rows += len(rows)
-            if held_rows > 4_000_000:
-                learn()
+            for p, times, ids in zip(b["part"].to_pylist(), b["times"].to_pylist(), b["ids"].to_pylist(), strict=True):
+                if p != part and pending:
+                    yield trained()
+                    pending = []
+                part = p
+                x = np.concatenate([[pad, pad], np.frombuffer(ids, np.int32), [words.end]]).astype(np.int64)
+                pending.append(((x[:-2] * n + x[1:-1]) * n + x[2:], np.full(len(x) - 2, times)))
         if pending:
-            learn()
-        if total:
-            mean, weight = mine.parameters() * total, total
-            yield {"part": [total % groups], "weight": [weight], "sums": [mean.tobytes()]}
+            yield trained()
 
-    def summed(batches):
-        p, n = np.zeros(size), 0
+    def added(batches):
+        sums: dict[int, list] = {}
         for b in batches:
-            for w, x in zip(b["weight"].to_pylist(), b["sums"].to_pylist(), strict=True):
-                p, n = p + np.frombuffer(x), n + w
-        if n:
-            yield {"part": [0], "weight": [n], "sums": [p.tobytes()]}
-
-    schema = "part int, weight long, sums binary"
-    parts = map_batches(docs.select("text"), schema, work)
-    p, n = np.zeros(size), 0
-    for r in map_batches(parts.repartition(groups, "part"), schema, summed).collect():  # at most ``groups`` rows of fixed size
-        p, n = p + np.frombuffer(bytes(r.sums)), n + r.weight
-    if n:
-        start.set_parameters(p / n)
-    start.finish()
+            for i, w, x in zip(b["slice"].to_pylist(), b["weight"].to_pylist(), b["sums"].to_pylist(), strict=True):
+                held_ = sums.setdefault(i, [0, 0.0])
+                held_[0], held_[1] = held_[0] + w, held_[1] + np.frombuffer(x)
+        for i, (w, x) in sums.items():
+            yield {"slice": [i], "part": [0], "weight": [w], "sums": [x.tobytes()]}
+
+    schema = "slice int, part int, weight long, sums binary"
+    dealt = map_batches(docs.select("text"), "part int, times long, ids binary", symbols).repartition(parts, "part").sortWithinPartitions("part")
+    learned = saved(map_batches(dealt, schema, learn), "lm-parts").repartition(slices, "slice").sortWithinPartitions("slice", "part")
+    got = {r.slice: np.frombuffer(bytes(r.sums)) / r.weight for r in map_batches(learned, schema, added).toLocalIterator()}  # one model
+    if got:
+        start.set_parameters(np.concatenate([got[i] for i in range(slices)]))
+    assert len(start.parameters()) == size
     return start
 
 
-def _class_sums(words: DataFrame, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each class of the words that are no symbols themselves."""
+def _tail_sums(words: DataFrame, modelled: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each tail, without the modelled words."""
 
-    def classes(batches):
-        n, k = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
+    def tails(batches):
+        n, k = np.zeros(TAILS), np.zeros(TAILS)
         for b in batches:
             for w, c in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True):
-                if w not in number:
-                    s = word_class(w)
-                    n[s] += c
-                    k[s] += 1
+                if w not in modelled:
+                    i = tail(w)
+                    n[i] += c
+                    k[i] += 1
         at = np.flatnonzero(k)
-        yield {"symbol": at, "n": n[at], "k": k[at]}
+        yield {"tail": at, "n": n[at], "k": k[at]}
 
-    tokens_, kinds = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
-    for r in map_batches(words, "symbol int, n double, k double", classes).groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect():
-        tokens_[r.symbol], kinds[r.symbol] = r.n, r.k
+    tokens_, kinds = np.zeros(TAILS), np.zeros(TAILS)
+    for r in map_batches(words, "tail int, n double, k double", tails).groupBy("tail").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect():
+        tokens_[r.tail], kinds[r.tail] = r.n, r.k
     return tokens_, kinds
 
 
-def _known(words: DataFrame, frequent: list[bytes], known_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of all words above the lowest count that keeps the bound."""
+def _known(words: DataFrame, floor_modelled: int, known_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of all words above the lowest count that keeps the bound; modelled words are among them."""
     floor, room = 0, known_words
     for r in words.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(known_words).toLocalIterator():
         room -= r.k
@@ -287,17 +343,18 @@ def _known(words: DataFrame, frequent: list[bytes], known_words: int) -> tuple[n
         for b in batches:
             yield {"hash": [word_hash(w) for w in b["word"].to_pylist()], "n": b["n"]}
 
-    above = words.where((F.col("n") > floor) | F.col("word").isin(frequent))
+    above = words.where((F.col("n") > floor) | (F.col("n") >= floor_modelled))
     got = map_batches(above, "hash long, n long", hashed).toArrow()
     hashes, n = got["hash"].to_numpy(), got["n"].to_numpy()
     at = np.argsort(hashes)
     return hashes[at], n[at]
 
 
-def score(docs: DataFrame, training: DataFrame, *, known_words: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, *, known_words: int = 1_000_000, min_count: int = 20, most_words: int = 20_000) -> DataFrame:
     """Scores of every whole text of ``docs`` by a model of all texts of ``training``.
 
-    The counts of the ``known_words`` most frequent words go to all workers as sorted
+    Words of ``min_count`` tokens or more are modelled; should there be more than ``most_words`` (3 MB of parameters), those
+    above the count that keeps this bound. The counts of the ``known_words`` most frequent words go to all workers as sorted
     hashes (16 MB at most); the counts of all others are joined to the words that the texts
     have of them. A null text counts as empty: its only token is the end. With no training
     rows every token is unknown. Repeated rows are scored one by one.
@@ -311,14 +368,17 @@ def score(docs: DataFrame, training: DataFrame, *, known_words: int = 1_000_000)
     end = F.lit(bytearray(END_TOKEN))
     words = counts.where(F.col("word") != end)
     ends = sum(r.n for r in counts.where(F.col("word") == end).collect())
-    top = [(bytes(r.word), r.n) for r in words.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    frequent = [w for w, _ in top]
-    class_tokens, class_words = _class_sums(words, {w: i for i, w in enumerate(frequent)})
-    unigram = class_tokens + 0.5
-    unigram[: len(top)] = [n for _, n in top]
-    unigram[END], unigram[PAD] = ends + 0.5, 1e-9
-    model = train(training, frequent, unigram)
-    scorer = Scorer(model, frequent, *_known(words, frequent, known_words), class_words, class_tokens, total, kinds, ends)
+    floor, room = min_count, most_words
+    for r in words.where(F.col("n") >= min_count).groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(most_words).toLocalIterator():
+        room -= r.k
+        if room < 0:
+            floor = r.n + 1
+            break
+    top = sorted(((r.n, bytes(r.word)) for r in words.where(F.col("n") >= floor).collect()), key=lambda x: (-x[0], x[1]))  # most_words at most
+    modelled = [w for _, w in top]
+    tail_tokens, tail_words = _tail_sums(words, set(modelled))
+    model = train(training, modelled, np.concatenate([np.array([n for n, _ in top], float), tail_tokens + 0.5, [ends + 0.5]]), total)
+    scorer = Scorer(model, modelled, *_known(words, floor, known_words), tail_words, tail_tokens, total, kinds, ends)
     held = spark.sparkContext.broadcast(scorer)
 
     def work(batches):

@@ -214,11 +214,29 @@ def test_language_model_against_counts(spark):
 
 
 def test_model_is_normalised():
-    m = log_bilinear.LogBilinear(np.arange(1.0, log_bilinear.SYMBOLS + 1))
-    m.train(np.random.default_rng(0).integers(0, log_bilinear.SYMBOLS - 1, (3000, 3)), np.ones(3000))
-    m.finish()
-    s = np.arange(log_bilinear.SYMBOLS - 1)
-    assert math.isclose(np.exp(m.log_probabilities(np.full(len(s), 3), np.full(len(s), 5), s)).sum(), 1, rel_tol=1e-4)
+    counts = np.random.default_rng(1).integers(1, 500, 300).astype(float)
+    m = log_bilinear.LogBilinear(counts)
+    m.train(np.random.default_rng(0).integers(0, 300, (3000, 3)), np.ones(3000), batch=500)
+    s = np.arange(300)
+    for a, b in ((3, 5), (300, 300)):
+        assert math.isclose(np.exp(m.log_probabilities(np.full(300, a), np.full(300, b), s)).sum(), 1, rel_tol=1e-4)
+    assert m.begin[:5].tolist() == [0, 1, 6, 15, 28] and (m.group[m.rank[np.argsort(-counts)[:3]]] == [0, 1, 1]).all()
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(log_bilinear, "PART_TOKENS", 700)
+    rows = [(i, prose(i % 40, 30 + i % 9) + " rare%d" % i) for i in range(150)] + [(200, None), (200, "twice"), (200, "twice")]
+    d = docs(spark, rows)
+    got = [sorted((r.doc_id, r.n_tokens, r.score) for r in log_bilinear.score(d.repartition(n), d.where("doc_id % 3 > 0").repartition(n), min_count=5).collect()) for n in (2, 7)]
+    assert len(got[0]) == 153 and all(x[:2] == y[:2] and math.isclose(x[2], y[2], abs_tol=1e-9) for x, y in zip(*got, strict=True))
+
+
+def test_model_learns_what_follows(spark):
+    """Better than the counts on texts of a fixed order of words."""
+    line = " ".join(WORDS[i * 7 % 60] for i in range(60))
+    d = docs(spark, [(i, line[len(WORDS[0]) * (i % 5) :]) for i in range(400)])
+    r = log_bilinear.score(d.where("doc_id < 5"), d).agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > 0.75 * r[1]
 
 
 def test_languages(spark):
