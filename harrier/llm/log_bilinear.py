@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import held_out, map_batches, saved, short_batches
 
 TAILS, DIM = 160, 16
+#: Contexts that are multiplied at once: few enough to stay in a core's cache.
+ROWS = 512
 #: Tokens that a part trains on, about.
 PART_TOKENS = 4_000_000
 #: The end as a token among words; words hold no white space.
@@ -150,27 +152,30 @@ class LogBilinear:
         k = self.group[s]
         left, right = r @ c[0], r @ c[1]
         h, out = left[a] + right[b], np.zeros(len(s))
-        for lo in range(0, len(s), 1024):  # few enough to stay in a core's cache
-            score = h[lo : lo + 1024] @ u.T + bias_u
-            out[lo : lo + 1024] = score[np.arange(len(score)), k[lo : lo + 1024]]
-            out[lo : lo + 1024] -= _log_sum(score)
+        for lo in range(0, len(s), ROWS):
+            some = slice(lo, lo + ROWS)
+            out[some] = _chosen(h[some], u, bias_u, k[some])
         order = np.argsort(k, kind="stable")
         edge = np.searchsorted(k[order], np.arange(len(u) + 1))
         for g in np.flatnonzero((np.diff(edge) > 0) & (np.diff(self.begin) > 1)):
-            at, lo, hi = order[edge[g] : edge[g + 1]], self.begin[g], self.begin[g + 1]
-            for i in range(0, len(at), 1024):
-                some = at[i : i + 1024]
-                score = h[some] @ q[lo:hi].T + bias_q[lo:hi]
-                out[some] += score[np.arange(len(some)), s[some] - lo]
-                out[some] -= _log_sum(score)
+            lo, hi = self.begin[g], self.begin[g + 1]
+            for i in range(edge[g], edge[g + 1], ROWS):
+                some = order[i : min(i + ROWS, edge[g + 1])]
+                out[some] += _chosen(h[some], q[lo:hi], bias_q[lo:hi], s[some] - lo)
         return out
 
 
+def _chosen(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Normalised logarithms. All products are of ``ROWS`` rows, so that a row's result does not hang on those beside it."""
+    full = np.zeros((ROWS, DIM), np.float32)
+    full[: len(h)] = h
+    score = (full @ vectors.T)[: len(h)] + bias
+    return score[np.arange(len(h)), which] - _log_sum(score)
+
+
 def _log_sum(score: np.ndarray) -> np.ndarray:
-    """Of each row; ``score`` is used up."""
     top = score.max(axis=1)
-    score -= top[:, None]
-    return top + np.log(np.exp(score, out=score).sum(axis=1))
+    return top + np.log(np.exp(score - top[:, None]).sum(axis=1))
 
 
 class Scorer:
@@ -350,10 +355,10 @@ def _known(words: DataFrame, floor_modelled: int, known_words: int) -> tuple[np.
     return hashes[at], n[at]
 
 
-def score(docs: DataFrame, training: DataFrame, *, known_words: int = 1_000_000, min_count: int = 20, most_words: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, *, known_words: int = 1_000_000, min_count: int = 20, most_words: int = 12_000) -> DataFrame:
     """Scores of every whole text of ``docs`` by a model of all texts of ``training``.
 
-    Words of ``min_count`` tokens or more are modelled; should there be more than ``most_words`` (3 MB of parameters), those
+    Words of ``min_count`` tokens or more are modelled; should there be more than ``most_words`` (2 MB of parameters), those
     above the count that keeps this bound. The counts of the ``known_words`` most frequent words go to all workers as sorted
     hashes (16 MB at most); the counts of all others are joined to the words that the texts
     have of them. A null text counts as empty: its only token is the end. With no training
