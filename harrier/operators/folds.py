@@ -1,25 +1,26 @@
-"""Operators that need races one after another: Elo ratings and the strength of fields.
+"""Operators in which races hang on earlier ones: Elo ratings and the strength of fields.
 
-Each reads a stream of rows that is sorted within its partition and keeps only what later races need,
-so a pool may be far larger than memory; pools are folded in parallel.
+Elo reads a stream of rows that is sorted within its partition and keeps only what later races need,
+so a pool may be far larger than memory; pools are folded in parallel. Strengths are linear in
+earlier ones and are found by rounds over all races at once.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict, deque
 from collections.abc import Iterator
 from datetime import date
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..sources.scratch import settled
 from .results import counted_as_ok, finished_races
 
-MIN_FIELD = 3
+MIN_FIELD, OPPONENTS = 3, 1024
 
 
 def update_race(state: dict, codes: list[str], ranks: np.ndarray, when: date | None, race_id: str | None = None) -> None:
@@ -33,11 +34,13 @@ def update_race(state: dict, codes: list[str], ranks: np.ndarray, when: date | N
     r = np.array([x[0] for x in rows])
     days = np.array([(when - x[3]).days if when and x[3] else 0 for x in rows])
     r = np.where(days > 0, K.ELO_START + 0.5 ** (np.maximum(days, 0) / K.ELO_HALF_LIFE) * (r - K.ELO_START), r)
-    won = (ranks[:, None] < ranks[None]) + 0.5 * (ranks[:, None] == ranks[None])
-    surprise = won - 1 / (1 + 10 ** ((r[None] - r[:, None]) / K.ELO_SCALE))
-    np.fill_diagonal(surprise, 0)
+    surprise = np.zeros(len(r))
+    for lo in range(0, len(r), OPPONENTS):  # a block of opponents at a time; one's own half win is expected
+        hi = lo + OPPONENTS
+        won = (ranks[:, None] < ranks[None, lo:hi]) + 0.5 * (ranks[:, None] == ranks[None, lo:hi])
+        surprise += (won - 1 / (1 + 10 ** ((r[None, lo:hi] - r[:, None]) / K.ELO_SCALE))).sum(axis=1)
     k = np.array([K.ELO_K_NEW if x[1] < K.ELO_NEW_RACES else K.ELO_K for x in rows])
-    for x, new in zip(rows, r + k * surprise.sum(axis=1) / (len(codes) - 1), strict=True):
+    for x, new in zip(rows, r + k * surprise / (len(codes) - 1), strict=True):
         x[:] = [float(new), x[1] + 1, race_id, when]
 
 
@@ -108,36 +111,60 @@ def ratings_before(races: DataFrame, results: DataFrame) -> DataFrame:
     return _rated_rows(races, results).mapInPandas(fold, "race_id string, pool string, fis_code string, rank double, rating double, n_races int")
 
 
-def assess(standings: list[float]) -> tuple[float, bool]:
-    """Strength of a field from its anchors' standings; unusable below five of them."""
-    if len(standings) < K.MIN_ANCHORS:
-        return 0.0, False
-    depth = min(1.0, math.log1p(len(standings)) / math.log1p(K.FULL_ANCHORS))
-    return min(1.0, depth * sum(standings) / len(standings)), True
+def standings(perf: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the strength of fields is made of.
 
-
-def field_strength(perf: DataFrame) -> DataFrame:
+    races: race_id, world_cup, n_starters, n_anchors, usable. parts: race_id, past_race, share: an anchor's standing is the
+    mean, over its last twelve usable performances before the race, of the past race's strength times
+    (1 - percentile); ``share`` adds these up for the race's anchors and each past race, over the number of anchors.
+    """
+    order = Window.partitionBy("fis_code").orderBy("race_date", "race_id")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = perf.select("race_id", "race_date", "world_cup", "fis_code", "pct")
+    rows = rows.withColumn("anchor", F.coalesce(F.sum(F.col("world_cup").cast("int")).over(earlier), F.lit(0)) >= K.ANCHOR_STARTS)
+    races = rows.groupBy("race_id", "world_cup").agg(F.count("*").cast("int").alias("n_starters"), F.count_if("anchor").cast("int").alias("n_anchors"))
+    races = races.withColumn("usable", F.col("world_cup") | (F.col("n_anchors") >= K.MIN_ANCHORS))
+    rows = rows.join(races.select("race_id", "n_anchors", "usable"), "race_id").withColumn("used", F.col("usable").cast("int"))
+    rows = rows.withColumns({"before": F.coalesce(F.sum("used").over(earlier), F.lit(0)), "number": F.sum("used").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    asked = rows.where("anchor AND before > 0").withColumn("k", F.least("before", F.lit(K.STANDING_RACES)))
+    asked = asked.select("race_id", "fis_code", "n_anchors", "k", F.explode(F.sequence(F.col("before") - F.col("k") + 1, F.col("before"))).alias("number"))
+    past = rows.where("usable").select("fis_code", "number", F.col("race_id").alias("past_race"), (1 - F.col("pct")).alias("ahead"))
+    parts = asked.join(past, ["fis_code", "number"]).groupBy("race_id", "past_race").agg(F.sum(F.col("ahead") / F.col("k") / F.col("n_anchors")).alias("share"))
+    return races, parts
+
+
+def field_strength(perf: DataFrame, *, exact: float = 1e-12, together: int = 5) -> DataFrame:
     """race_id, n_anchors, n_starters, anchor_quality, strength, usable of every race.
 
     World Cup races have strength 1. In others, anchors are starters with five World Cup starts in
     earlier races (by date and race_id); a standing is 1 less the mean of an athlete's last
-    twelve adjusted percentiles. A race that is unusable leaves no trace. The recursion runs through all
-    races in order, so they are one stream; it keeps twelve numbers an athlete.
-    """
+    twelve adjusted percentiles. A race that is unusable leaves no trace.
 
-    def fold(batches):
-        past, starts = defaultdict(lambda: deque(maxlen=K.STANDING_RACES)), defaultdict(int)
-        for _, race, rows in _by_race(batches, "one"):
-            wc = bool(rows.world_cup.iloc[0])
-            standings = [1 - sum(past[c]) / len(past[c]) for c in rows.fis_code if starts[c] >= K.ANCHOR_STARTS and past[c]]
-            strength, usable = (1.0, True) if wc else assess(standings)
-            quality = sum(standings) / len(standings) if standings else 0.0
-            yield pd.DataFrame({"race_id": [race], "n_anchors": [len(standings)], "n_starters": [len(rows)], "anchor_quality": [quality], "strength": [strength], "usable": [usable]})
-            if usable:
-                for c, p in zip(rows.fis_code, rows.pct, strict=True):
-                    past[c].append(1 - min(max(strength, 0.0), 1.0) * (1 - p))
-                    if wc:
-                        starts[c] += 1
-
-    rows = perf.select(F.lit("").alias("one"), "race_id", "race_date", "world_cup", "fis_code", "pct").repartition(1).sortWithinPartitions("race_date", "race_id", "fis_code")
-    return rows.mapInPandas(fold, "race_id string, n_anchors int, n_starters int, anchor_quality double, strength double, usable boolean")
+    Strengths hang on those of earlier races, linearly up to 1. They are computed for all races at once
+    from those of the round before, until none moves by more than ``exact``: what a round gets wrong counts less than half in
+    the next, so the rounds are few, whatever the number of races. ``together`` rounds are one job.
+    """
+    races, parts = (settled(x, "strength") for x in standings(perf))
+    depth = F.when(F.col("n_anchors") > 0, F.least(F.lit(1.0), F.log1p(F.col("n_anchors").cast("double")) / math.log1p(K.FULL_ANCHORS))).otherwise(0.0)
+    fixed = races.where("world_cup").select(F.col("race_id").alias("past_race"))
+    graded = races.where("usable AND NOT world_cup").withColumn("depth", depth).select("race_id", "depth")
+    base = parts.join(fixed, "past_race").groupBy("race_id").agg(F.sum("share").alias("base"))
+    graded = settled(graded.join(base, "race_id", "left").fillna(0.0, ["base"]), "strength")
+    links = settled(parts.join(graded.select("race_id"), "race_id").join(graded.select(F.col("race_id").alias("past_race")), "past_race"), "strength")
+    strength = graded.select("race_id", F.lit(1.0).alias("strength"))
+    while True:
+        now = strength
+        for _ in range(together):
+            sums = links.join(now.withColumnRenamed("race_id", "past_race"), "past_race").groupBy("race_id").agg(F.sum(F.col("share") * F.col("strength")).alias("more"))
+            last, now = now, graded.join(sums, "race_id", "left").select("race_id", F.least(F.lit(1.0), F.col("depth") * (F.col("base") + F.coalesce("more", F.lit(0.0)))).alias("strength"))
+        moved = now.join(last.withColumnRenamed("strength", "last"), "race_id")
+        strength = settled(moved, "strength")
+        most = strength.agg(F.max(F.abs(F.col("strength") - F.col("last")))).first()[0]
+        strength = strength.drop("last")
+        if most is None or most <= exact:
+            break
+    known = fixed.select("past_race", F.lit(1.0).alias("past")).unionByName(strength.select(F.col("race_id").alias("past_race"), F.col("strength").alias("past")))
+    quality = parts.join(known, "past_race").groupBy("race_id").agg(F.sum(F.col("share") * F.col("past")).alias("anchor_quality"))
+    out = races.join(quality, "race_id", "left").join(strength, "race_id", "left")
+    value = F.when(F.col("world_cup"), 1.0).when(F.col("usable"), F.col("strength")).otherwise(0.0)
+    return out.select("race_id", "n_anchors", "n_starters", F.coalesce("anchor_quality", F.lit(0.0)).alias("anchor_quality"), value.alias("strength"), "usable")

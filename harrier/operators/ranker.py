@@ -47,14 +47,24 @@ class Ranker:
 
 
 def sampled_pairs(samples: DataFrame, seed: int = 0, most: int = PAIRS_PER_RACE) -> DataFrame:
-    """race_id, i, j, ahead, behind: of each race all pairs, or ``most`` of them by a hash of the pair."""
+    """race_id, i, j, ahead, behind: of each race all pairs, or ``most`` of them.
+
+    A race's pairs are numbered and the numbers dealt to ``most`` stretches of equal length, of each of which
+    one is drawn by a hash. No other pair is made.
+    """
+    race = Window.partitionBy("race_id")
     x = F.array(*[F.col(n) for n in FEATURES])
-    a = samples.select("race_id", F.col("pos").alias("i"), x.alias("ahead"))
-    b = samples.select("race_id", F.col("pos").alias("j"), x.alias("behind"))
-    pairs = a.select("race_id", "i").join(b.select("race_id", "j"), "race_id").where("i < j")
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), "race_id", F.col("i").cast("string"), F.col("j").cast("string")))
-    chosen = pairs.withColumn("k", F.row_number().over(Window.partitionBy("race_id").orderBy(order))).where(F.col("k") <= most).drop("k")
-    return chosen.join(a, ["race_id", "i"]).join(b, ["race_id", "j"])
+    rows = samples.select("race_id", "pos", x.alias("x")).withColumn("at", F.row_number().over(race.orderBy("pos")) - 1)
+    races = rows.groupBy("race_id").agg(F.count("*").alias("n")).where("n > 1").select("race_id", F.expr("n * (n - 1) div 2").alias("pairs"))
+    draws = races.withColumn("most", F.least("pairs", F.lit(most))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("most") - 1)))
+    draws = draws.selectExpr("race_id", "k", "k * pairs div most AS lo", "(k + 1) * pairs div most AS hi")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "race_id", F.col("k").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    number = F.col("lo") + drawn % (F.col("hi") - F.col("lo"))
+    second = F.floor((1 + F.sqrt(1 + 8 * number)) / 2)  # of those before it there are second (second - 1) / 2
+    draws = draws.withColumn("number", number).withColumn("b", second.cast("int")).withColumn("a", (F.col("number") - F.expr("bigint(b) * (b - 1) div 2")).cast("int"))
+    first = rows.select("race_id", F.col("at").alias("a"), F.col("pos").alias("i"), F.col("x").alias("ahead"))
+    other = rows.select("race_id", F.col("at").alias("b"), F.col("pos").alias("j"), F.col("x").alias("behind"))
+    return draws.select("race_id", "a", "b").join(first, ["race_id", "a"]).join(other, ["race_id", "b"]).select("race_id", "i", "j", "ahead", "behind")
 
 
 def fit(samples: DataFrame, *, epochs: int = 300, rate: float = 0.5, l2: float = 1e-4, seed: int = 0) -> Ranker:
@@ -80,7 +90,7 @@ def fit(samples: DataFrame, *, epochs: int = 300, rate: float = 0.5, l2: float =
 
     packed = diffs.select("d").mapInPandas(moments, "m binary").persist()
     packed.count()
-    for _ in range(epochs if n > 2_000_000 else 0):
+    for _ in range(epochs):
         now = w
 
         def gradient(batches):
@@ -91,13 +101,8 @@ def fit(samples: DataFrame, *, epochs: int = 300, rate: float = 0.5, l2: float =
                     g += ((1 / (1 + np.exp(-np.clip(d @ now, -30, 30))) - 1)[:, None] * d).sum(axis=0)
             yield pd.DataFrame({"i": range(len(g)), "g": g})
 
-        sums = {r.i: r.g for r in packed.mapInPandas(gradient, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()}
+        sums = {r.i: r.g for r in packed.mapInPandas(gradient, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()}  # a number a feature
         w = w - rate * (np.array([sums[i] for i in range(len(w))]) / n + l2 * w)
-    if n <= 2_000_000:  # so few pairs are one matrix of 180 MB at most
-        d = np.concatenate([np.frombuffer(bytes(r.m)).reshape(-1, len(w)) for r in packed.toLocalIterator()])
-        for _ in range(epochs):
-            g = ((1 / (1 + np.exp(-np.clip(d @ w, -30, 30))) - 1)[:, None] * d).mean(axis=0)
-            w = w - rate * (g + l2 * w)
     packed.unpersist()
     diffs.unpersist()
     return Ranker(w.tolist(), mean.tolist(), std.tolist(), races=races, pairs=n)

@@ -41,12 +41,14 @@ def performances(races: DataFrame, results: DataFrame) -> DataFrame:
     rows = results.join(r.select("race_id", "race_date", "season", "series", "kind", "technique", "length_km", "gender", "place"), "race_id")
     in_race = Window.partitionBy("race_id")
     timed = F.when(F.col("rank").isNotNull() & (F.col("time_s") != 0), F.col("time_s"))
-    rows = rows.withColumns({"field": F.count("*").over(in_race), "times": F.sort_array(F.collect_list(timed).over(in_race))})
-    rows = rows.withColumn("pos", F.row_number().over(in_race.orderBy(F.col("rank").asc_nulls_last(), "fis_code")))
-    n = F.size("times")
-    spread = F.get("times", F.floor(n / 2).cast("int")) - F.get("times", F.lit(0))
+    rows = rows.withColumns({"timed": timed, "field": F.count("*").over(in_race), "n_timed": F.count(timed).over(in_race)})
+    rows = rows.withColumns({"pos": F.row_number().over(in_race.orderBy(F.col("rank").asc_nulls_last(), "fis_code")), "by_time": F.row_number().over(in_race.orderBy(F.col("timed").asc_nulls_last(), "fis_code"))})
+    # two numbers a race: the winner's time and the upper median
+    median = F.max(F.when(F.col("by_time") == F.floor(F.col("n_timed") / 2) + 1, F.col("timed"))).over(in_race)
+    rows = rows.withColumns({"winner": F.min("timed").over(in_race), "median": median})
+    n, spread = F.col("n_timed"), F.col("median") - F.col("winner")
     pct = F.when(F.col("rank").isNull(), 1.0).when(F.col("field") <= 1, 0.0).otherwise((F.col("rank") - 1) / (F.col("field") - 1))
-    margin = F.when((n >= MIN_TIMED) & (spread > 0), (timed - F.get("times", F.lit(0))) / spread)
+    margin = F.when((n >= MIN_TIMED) & (spread > 0), (F.col("timed") - F.col("winner")) / spread)
     return rows.select(
         "race_id", "fis_code", "race_date", "season", "place", "series", is_world_cup(F.col("series")).alias("world_cup"), "gender", "kind", "technique", "length_km",
         "rank", "status", "fis_points", "field", "pos", pct.alias("pct"), margin.alias("margin"),

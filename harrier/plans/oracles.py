@@ -11,7 +11,7 @@ from ..testing import league
 
 def _league(body: str, *more: str) -> str:
     parts = [f"races AS ({league.RACES})", f"results AS ({league.RESULTS})", f"athletes AS ({league.ATHLETES})", *more]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return "WITH " + ",\n".join(parts) + ("" if body.startswith(",") else "\n") + body
 
 
 DATABLE = "SELECT * FROM races WHERE race_date IS NOT NULL AND NOT coalesce(is_team, false)"
@@ -50,6 +50,28 @@ SAMPLES = [
 ]
 
 
+#: One of each of 600 stretches of a race's numbered pairs.
+PAIRS = """, t AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY pos) - 1 AS at FROM s),
+c AS (SELECT race_id, count(*) * (count(*) - 1) // 2 AS pairs FROM t GROUP BY race_id HAVING count(*) > 1),
+k AS (SELECT race_id, pairs, least(pairs, 600) AS most, unnest(range(least(pairs, 600))) AS k FROM c),
+x AS (SELECT race_id, k * pairs // most + ('0x' || substr(md5('0|' || race_id || '|' || k), 1, 8))::BIGINT % ((k + 1) * pairs // most - k * pairs // most) AS number FROM k),
+y AS (SELECT race_id, number, floor((1 + sqrt(1 + 8 * number::DOUBLE)) / 2)::BIGINT AS b FROM x)
+SELECT y.race_id, a.pos AS i, b.pos AS j FROM y JOIN t a ON a.race_id = y.race_id AND a.at = y.number - y.b * (y.b - 1) // 2 JOIN t b ON b.race_id = y.race_id AND b.at = y.b"""
+
+#: Thirty rounds of all races from those of the round before.
+STRENGTH = """, o AS (SELECT race_id, race_date, world_cup, fis_code, pct, coalesce(sum(world_cup::INT) OVER (PARTITION BY fis_code ORDER BY race_date, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 5 AS anchor FROM perf),
+ra AS (SELECT race_id, world_cup, count(*)::INT AS n_starters, (count(*) FILTER (WHERE anchor))::INT AS n_anchors, world_cup OR count(*) FILTER (WHERE anchor) >= 5 AS usable FROM o GROUP BY race_id, world_cup),
+u AS (SELECT o.*, n_anchors, row_number() OVER (PARTITION BY fis_code ORDER BY race_date, race_id) AS number FROM o JOIN ra USING (race_id) WHERE usable),
+q AS (SELECT o.race_id, o.fis_code, r.n_anchors, u.race_id AS past, u.pct, row_number() OVER (PARTITION BY o.race_id, o.fis_code ORDER BY number DESC) AS back FROM o JOIN ra r USING (race_id) JOIN u ON u.fis_code = o.fis_code AND (u.race_date, u.race_id) < (o.race_date, o.race_id) WHERE o.anchor),
+l AS (SELECT *, count(*) OVER (PARTITION BY race_id, fis_code) AS k FROM q WHERE back <= 12),
+e AS (SELECT race_id, past, sum((1 - pct) / k / n_anchors) AS share FROM l GROUP BY ALL),
+gr AS (SELECT race_id, least(1.0, ln(1 + n_anchors::DOUBLE) / ln(21.0::DOUBLE)) AS depth, coalesce((SELECT sum(share) FROM e JOIN ra p ON p.race_id = e.past AND p.world_cup WHERE e.race_id = ra.race_id), 0.0) AS base FROM ra WHERE usable AND NOT world_cup),
+li AS (SELECT e.race_id, past, share FROM e JOIN gr USING (race_id) JOIN gr p ON p.race_id = past UNION ALL SELECT race_id, race_id, 0.0 FROM gr),
+st AS (SELECT 0 AS round, race_id, 1.0::DOUBLE AS s FROM gr UNION ALL SELECT round + 1 AS round, li.race_id, least(1.0::DOUBLE, max(depth) * (max(base) + sum(share * s))) AS s FROM st JOIN li ON li.past = st.race_id JOIN gr ON gr.race_id = li.race_id WHERE round < 30 GROUP BY round, li.race_id),
+fi AS (SELECT race_id, s FROM st WHERE round = 30 UNION ALL SELECT race_id, 1.0 FROM ra WHERE world_cup)
+SELECT ra.race_id, n_anchors, n_starters, round(coalesce((SELECT sum(share * s) FROM e JOIN fi ON fi.race_id = e.past WHERE e.race_id = ra.race_id), 0.0), 6) AS anchor_quality, round(coalesce(fi.s, 0.0), 6) AS strength, usable FROM ra LEFT JOIN fi USING (race_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     events = ", ".join(f"('{e}', '{k}', '{t}', {x})" for e, k, t, x in EVENTS)
     nations = ", ".join(f"'{n}'" for n in FEDERATIONS)
@@ -87,7 +109,9 @@ FROM (SELECT *, sum(CASE WHEN gap <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY pl
   greatest(1, floor(3 + 27 * pow(1 - (rank - 1)::DOUBLE / greatest(1, n - 1), 2.2::DOUBLE) + 0.5))::INT AS price FROM (SELECT *, count(*) OVER (PARTITION BY race_id) AS n FROM results WHERE rank IS NOT NULL) r"""),
         "elo_first_race": _league("""SELECT pool, fis_code, round(1500 + 60 * ((n - rank) - (n - 1) * 0.5) / (n - 1)::DOUBLE, 6) AS rating FROM (SELECT pool, fis_code, rank, count(*) OVER (PARTITION BY pool) AS n FROM results
   JOIN (SELECT gender || '-' || kind AS pool, arg_min(race_id, (race_date, race_id)) AS race_id FROM races WHERE race_id IN (SELECT race_id FROM results WHERE rank IS NOT NULL) GROUP BY ALL) f USING (race_id) WHERE rank IS NOT NULL) x WHERE n >= 3"""),
-        "sampled_pairs": _league("SELECT race_id, i, j FROM (SELECT a.race_id, a.pos AS i, b.pos AS j, row_number() OVER (PARTITION BY a.race_id ORDER BY md5('0|' || a.race_id || '|' || a.pos || '|' || b.pos)) AS k FROM s a JOIN s b ON a.race_id = b.race_id AND a.pos < b.pos) p WHERE k <= 20", *SAMPLES),
+        "sampled_pairs": _league(PAIRS, *SAMPLES),
+        "training_pairs": _league(PAIRS.replace("FROM s)", "FROM s WHERE coalesce(season <> 2001, true))"), *SAMPLES),
+        "field_strength": _league(STRENGTH, PERF).replace("WITH ", "WITH RECURSIVE ", 1),
         "simulation": _league(f"""SELECT race_id, fis_code, round(avg(rank), 6) AS mean_rank, round(quantile_cont(rank, 0.5)::DOUBLE, 6) AS median_rank, round(avg((rank <= 1)::INT), 6) AS p_win, round(avg((rank <= 3)::INT), 6) AS p_podium, round(avg((rank <= 10)::INT), 6) AS p_top10 FROM (
   SELECT race_id, fis_code, row_number() OVER (PARTITION BY race_id, run ORDER BY score DESC, fis_code) AS rank FROM (SELECT race_id, fis_code, run, (1500 + (fis_code::INT % 7) * 40.0::DOUBLE) * ln(10) / 400 - ln(-ln({uniform.format("run", "fis_code")})) AS score
   FROM results, range(1, 201) t(run) WHERE race_id = '199701-1') a) b GROUP BY ALL"""),

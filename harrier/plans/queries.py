@@ -158,12 +158,13 @@ def learned_ranker(spark, sf_dir):
 
 
 def sampled_pairs(spark, sf_dir):
-    return ranker.sampled_pairs(_wc_samples(spark, sf_dir), most=20).select("race_id", "i", "j")
+    return ranker.sampled_pairs(_wc_samples(spark, sf_dir)).select("race_id", "i", "j")
 
 
 def training_pairs(spark, sf_dir):
-    """As many a race as the ranker learns from; ``sampled_pairs`` has few of them, beside its SQL."""
-    return ranker.sampled_pairs(_wc_samples(spark, sf_dir)).select("race_id", "i", "j")
+    """Pairs of the races that the ranker learns from: of all but the held-out seasons."""
+    train, _ = results.split_by_season(_wc_samples(spark, sf_dir), HELD_OUT)
+    return ranker.sampled_pairs(train).select("race_id", "i", "j")
 
 
 def race_payloads(spark, sf_dir):

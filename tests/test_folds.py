@@ -32,10 +32,33 @@ def test_fold_against_a_plain_loop(spark):
     assert metrics.backtest(before, 3).first().races == 5
 
 
-def test_strength_needs_five_anchors():
-    assert folds.assess([0.9] * 4) == (0.0, False)
-    s, usable = folds.assess([0.9] * 19)
-    assert usable and 0.85 < s < 0.9 and folds.assess([1.0] * 50)[0] == 1.0
+def test_ratings_against_a_loop_over_pairs(spark):
+    """Written apart from the fold: every pair of a race, one after another."""
+    races = [(f"r{i}", date(2024, 1, 1 + 40 * i % 27), "W", "distance", False) for i in range(8)]
+    rows = [(f"r{i}", f"a{j}", (j * (i + 2)) % 6 + 1) for i in range(8) for j in range(9) if (i + j) % 4]
+    rating, seen, last = {}, {}, {}
+    for race, day, *_ in sorted(races, key=lambda x: (x[1], x[0])):
+        field = {c: k for r, c, k in rows if r == race}
+        now = {c: 1500 + 0.5 ** ((day - last[c]).days / 1825) * (rating[c] - 1500) if c in last and day > last[c] else rating.get(c, 1500.0) for c in field}
+        for c in field:
+            gain = 0.0
+            for d in field:
+                if d != c:
+                    gain += (1.0 if field[c] < field[d] else 0.5 if field[c] == field[d] else 0.0) - 1 / (1 + 10 ** ((now[d] - now[c]) / 400))
+            rating[c] = now[c] + (60 if seen.get(c, 0) < 10 else 200) * gain / (len(field) - 1)
+        for c in field:
+            seen[c], last[c] = seen.get(c, 0) + 1, day
+    got = folds.elo_ratings(spark.createDataFrame(races, "race_id string, race_date date, gender string, kind string, is_team boolean"), spark.createDataFrame([(*r, "OK") for r in rows], "race_id string, fis_code string, rank int, status string")).collect()
+    assert {r.fis_code: (round(r.rating, 8), r.n_races) for r in got} == {c: (round(x, 8), seen[c]) for c, x in rating.items()}
+
+
+def test_blocks_of_opponents(monkeypatch):
+    draw, whole, blocks = np.random.default_rng(1), {}, {}
+    ranks = draw.integers(1, 30, 50).astype(float)
+    folds.update_race(whole, [str(i) for i in range(50)], ranks, None)
+    monkeypatch.setattr(folds, "OPPONENTS", 7)
+    folds.update_race(blocks, [str(i) for i in range(50)], ranks, None)
+    assert all(math.isclose(whole[c][0], blocks[c][0]) for c in whole)
 
 
 def test_favourite_wins_as_often_as_its_odds(spark):

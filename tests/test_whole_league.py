@@ -4,13 +4,12 @@ import hashlib
 import math
 import os
 from collections import defaultdict
-from itertools import combinations
+from itertools import combinations, groupby
 from statistics import median
 
 import pytest
-from pyspark.sql import functions as F
 
-from harrier.operators import ranker
+from harrier.operators import folds, ranker, results
 from harrier.plans import queries
 from harrier.testing import league
 
@@ -33,19 +32,44 @@ def test_start_lists(spark):
     assert got == sorted((r.race_id, r.fis_code, *names[r.fis_code]) for r in entries) and len({r[0] for r in got}) > 100
 
 
-def test_training_pairs(spark, monkeypatch):
-    places = defaultdict(list)
-    wide = queries._wc_samples(spark, SF).select("race_id", "pos").persist()
-    copies = wide.crossJoin(spark.range(6)).select("race_id", (F.col("pos") * 6 + F.col("id")).cast("int").alias("pos"), *[F.lit(0.0).alias(n) for n in ranker.FEATURES]).persist()
-    monkeypatch.setattr(queries, "_wc_samples", lambda *_: copies)  # more than 600 pairs a race
-    for r in copies.select("race_id", "pos").collect():
-        places[r.race_id].append(r.pos)
-    want = set()
-    for race, p in places.items():
-        key = lambda x: hashlib.md5(f"0|{race}|{x[0]}|{x[1]}".encode()).hexdigest()  # noqa: B023, E731
-        want |= {(race, *x) for x in sorted(combinations(sorted(p), 2), key=key)[:600]}
-    got = [tuple(r) for r in queries.queries()["training_pairs"](spark, SF).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and max(len(p) for p in places.values()) > 35
+def test_drawn_pairs(spark):
+    """All pairs of small races; 600 different ones, from everywhere, of a large race."""
+    rows = [("small", 3 * p) for p in range(1, 21)] + [("large", p) for p in range(1, 101)] + [("one", 1)]
+    df = spark.createDataFrame([(r, p, *([float(p)] * len(ranker.FEATURES))) for r, p in rows], "race_id string, pos int, " + ", ".join(f"{n} double" for n in ranker.FEATURES))
+    got = defaultdict(list)
+    for r in ranker.sampled_pairs(df).collect():
+        assert r.ahead == [float(r.i)] * len(ranker.FEATURES) and r.behind == [float(r.j)] * len(ranker.FEATURES)
+        got[r.race_id].append((r.i, r.j))
+    assert sorted(got["small"]) == list(combinations(range(3, 61, 3), 2)) and "one" not in got
+    large = got["large"]
+    assert len(set(large)) == len(large) == 600 and all(1 <= i < j <= 100 for i, j in large) and {x for p in large for x in p} == set(range(1, 101))
+
+
+def test_strength_in_the_order_of_races(spark):
+    """All races one after another, by a plain loop."""
+    rows = results.performances(league.races(spark, SF), league.results(spark, SF)).select("race_date", "race_id", "world_cup", "fis_code", "pct").collect()
+    wide = [(d, r, w, str(int(c) % 12), p) for d, r, w, c, p in rows]  # few athletes, so that there are anchors
+    best = {}
+    for d, r, w, c, p in wide:
+        best[r, c] = min(best.get((r, c), (d, r, w, c, 2.0)), (d, r, w, c, p), key=lambda x: x[4])
+    rows = sorted(best.values())
+    past, starts, want = defaultdict(list), defaultdict(int), {}
+    for (_, race, wc), field in groupby(rows, key=lambda x: x[:3]):
+        field = list(field)
+        standing = [1 - sum(past[c][-12:]) / len(past[c][-12:]) for *_, c, _ in field if starts[c] >= 5]
+        usable = wc or len(standing) >= 5
+        mean = sum(standing) / len(standing) if standing else 0.0
+        strength = 1.0 if wc else min(1.0, min(1.0, math.log(1 + len(standing)) / math.log(21)) * mean) if usable else 0.0
+        want[race] = (len(standing), len(field), mean, strength, usable)
+        for *_, c, p in field if usable else ():
+            past[c].append(1 - strength * (1 - p))
+            starts[c] += wc
+    df = spark.createDataFrame(rows, "race_date date, race_id string, world_cup boolean, fis_code string, pct double")
+    got = folds.field_strength(df).collect()
+    assert len(got) == len(want) and sum(w[4] and w[3] < 1 for w in want.values()) > 10
+    for r in got:
+        w = want[r.race_id]
+        assert (r.n_anchors, r.n_starters, r.usable) == (w[0], w[1], w[4]) and math.isclose(r.strength, w[3], abs_tol=1e-9) and math.isclose(r.anchor_quality, w[2], abs_tol=1e-9)
 
 
 def test_simulations(spark, few):
