@@ -54,11 +54,10 @@ def test_large_group_of_near_copies(spark):
     random.Random(1).shuffle(texts)
     want = plain_classes(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
-    for block in (1024, 64):  # in one block, and in many with further heads
-        rows = m.near_duplicates(docs, block=block).collect()
-        got = {r.doc_id: r.class_id for r in rows}
-        assert [got[i] for i in range(len(texts))] == want
-        assert sum(r.links for r in rows) < 4 * len(texts)  # links span classes; they aren't all pairs
+    rows = m.near_duplicates(docs, block=64).collect()  # many blocks, with further heads
+    got = {r.doc_id: r.class_id for r in rows}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(r.links for r in rows) < 4 * len(texts)  # links span classes; they aren't all pairs
     assert Counter(want).most_common(1)[0][1] > 300
 
 
