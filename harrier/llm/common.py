@@ -35,11 +35,14 @@ _own_scratch: dict[str, str] = {}
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (local tests) a temporary folder of this
+    Only where that setting is absent, in local mode, a temporary folder of this
     process is used instead and removed when it ends.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if "dir" not in _own_scratch:
             import shutil
 
