@@ -17,7 +17,7 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not context.master.startswith("local["):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="harrier-")
     path = f"{base.rstrip('/')}/harrier-{name}-{uuid.uuid4().hex}"
