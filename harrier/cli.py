@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.kernels import pool as pool_of
 from .operators import features, folds, metrics, profiles, ranker, results, simulate
 from .session import local_session
-from .sources import pages, store
+from .sources import ingest, pages, store
 
 
 def parser() -> argparse.ArgumentParser:
@@ -19,7 +19,10 @@ def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="harrier", parents=[common])
     verbs = out.add_subparsers(dest="verb", required=True)
     add = lambda name: verbs.add_parser(name, parents=[common])
-    add("ingest").add_argument("--pages", required=True, help="Parquet table of saved race pages (race_id, html)")
+    into = add("ingest")
+    into.add_argument("--pages", required=True, help="Parquet table of saved race pages (race_id, html)")
+    into.add_argument("--calendars", help="Parquet table of calendar pages (season, category, html)")
+    into.add_argument("--events", help="Parquet table of event pages (event_id, html)")
     rate = add("rate")
     rate.add_argument("--min-races", type=int, default=5)
     rate.add_argument("--top", type=int, default=20)
@@ -45,12 +48,8 @@ def main(argv: list[str] | None = None) -> int:
     read = lambda name: store.read(spark, root, name)
     races, res = read("races"), read("results")
     if args.verb == "ingest":
-        rows = pages.parse_race_pages(spark.read.parquet(args.pages))
-        done = pages.results_of(rows)
-        new = done.select("race_id", "fis_code", "rank", "bib", "time_s", "diff_s", "fis_points", "status", F.lit(1).alias("seq"))
-        merged = store.upsert(res, new, "results")
-        merged.write.mode("overwrite").parquet(f"{root}/results_new")
-        store.write(spark.read.parquet(f"{root}/results_new"), root, "results")
+        listed = pages.listed_races(spark.read.parquet(args.calendars), spark.read.parquet(args.events)) if args.calendars and args.events else None
+        ingest.ingest(spark, root, spark.read.parquet(args.pages), listed)
     elif args.verb == "rate":
         ratings = folds.elo_ratings(races, res)
         store.write(ratings, root, "ratings")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.titles import classify_title
+
 # fixed values
 BASE = "https://www.fis-ski.com/DB/general"
 CATEGORIES = ("WC", "COC", "WSC", "OWG", "NC")
@@ -31,9 +34,37 @@ def race_url(race_id: Column) -> Column:
     return F.format_string(BASE + "/results.html?sectorcode=CC&raceid=%s", race_id.cast("string"))
 
 
-def ids(html: Column, name: str) -> Column:
-    """Distinct numbers of a link parameter (eventid, raceid) in the order of their first use."""
-    return F.array_distinct(F.regexp_extract_all(html, F.lit(name + r"=(\d+)"), 1))
+def ids(html: Column, page: str, name: str) -> Column:
+    """Distinct numbers of a parameter in links to a page, in the order of their first use."""
+    return F.array_distinct(F.regexp_extract_all(html, F.lit(page.replace(".", r"\.") + r"\?[^\"']*" + name + r"=(\d+)"), 1))
+
+
+def event_ids(html: Column) -> Column:
+    return ids(html, "event-details.html", "eventid")
+
+
+def race_ids(html: Column) -> Column:
+    return ids(html, "results.html", "raceid")
+
+
+def listed_races(calendars: DataFrame, events: DataFrame) -> DataFrame:
+    """race_id, season, event_id of calendar pages (season, category, html) and event pages (event_id, html).
+
+    A race that is listed more than once has its last listing: by season, category, event and place on the page. Events
+    without a page, and pages without links, list nothing.
+    """
+    place = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
+    c = calendars.select("season", place.alias("c"), F.posexplode(event_ids(F.col("html"))).alias("e", "event_id"))
+    e = events.select(F.col("event_id").cast("string").alias("event_id"), F.posexplode(race_ids(F.col("html"))).alias("r", "race_id"))
+    last = F.max(F.struct("season", "c", "e", "r", "event_id")).alias("x")
+    return c.join(e, "event_id").groupBy("race_id").agg(last).select("race_id", "x.season", "x.event_id")
+
+
+def _text_date(text: str, form: str) -> str | None:
+    try:
+        return datetime.strptime(text, form).date().isoformat()
+    except ValueError:
+        return None
 
 
 class _Page(HTMLParser):
@@ -41,7 +72,12 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows, self.cells, self.stack, self.header, self.date = [], None, [], {}, None
+        self.rows, self.cells, self.stack, self.header, self.dates = [], None, [], {}, [None, None]
+
+    @property
+    def date(self) -> str | None:
+        """The machine-readable date; else the first that the header spells out."""
+        return self.dates[0] or self.dates[1]
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
@@ -50,29 +86,39 @@ class _Page(HTMLParser):
             m = re.search(r"competitorid=(\d+)", a.get("href") or "")
             self.cells = []
             self.rows.append((m and m[1], self.cells))
-        if self.stack:
-            self.stack[-1]["leaf"] = self.stack[-1]["leaf"] and tag != "div"
-        if self.date is None and "timezone-date" in classes and a.get("data-date"):
-            self.date = a["data-date"][:10]
+        if tag == "div":
+            for s in self.stack:
+                s["leaf"] = False
+        if "timezone-date" in classes and a.get("data-date"):
+            self.dates[0] = self.dates[0] or _text_date(a["data-date"][:10], "%Y-%m-%d")
         part = next((c.split("__")[1] for c in classes if c.startswith("event-header__")), None)
-        if tag in ("div", "h1", "span") or part:
-            self.stack.append({"tag": tag, "text": [], "leaf": True, "part": part})
+        head = any("event-header" in c for c in classes)
+        if tag in ("div", "h1", "span") or head:
+            self.stack.append({"tag": tag, "text": [], "leaf": True, "part": part, "head": head})
 
     def handle_data(self, data):
         for s in self.stack:
             s["text"].append(data)
 
     def handle_endtag(self, tag):
-        if self.stack and self.stack[-1]["tag"] == tag:
-            s = self.stack.pop()
-            text = " ".join("".join(s["text"]).split())
-            if s["part"] and text:
-                self.header.setdefault(s["part"], text)
-            if self.cells is not None and tag == "div" and s["leaf"] and text:
-                self.cells.append(text)
+        if any(s["tag"] == tag for s in self.stack):
+            while self._closed(self.stack.pop()) != tag:  # what was left open ends with what holds it
+                pass
         if tag == "a":
             self.cells = None
 
+    def _closed(self, s: dict) -> str:
+        text = " ".join(" ".join(s["text"]).split())
+        if s["part"] and text:
+            self.header.setdefault(s["part"], text)
+        if s["tag"] == "h1" and text and any(x["part"] == "name" for x in self.stack):
+            self.header.setdefault("place", text)
+        if s["head"] and re.fullmatch(r"[A-Z][a-z]+ \d{1,2}, \d{4}", text):
+            self.dates[1] = self.dates[1] or _text_date(text, "%B %d, %Y")
+        if self.cells is not None and s["tag"] == "div" and s["leaf"] and text:
+            self.cells.append(text)
+        return s["tag"]
+
 
 def _seconds(text: str) -> float | None:
     try:
@@ -84,47 +130,48 @@ def _seconds(text: str) -> float | None:
         return None
 
 
+# What a cell may be: its field, pattern and reader, and what a second such cell does: it may be something else ("ask"), is
+# passed over ("first") or counts instead ("last"). The patterns are fixed values; the first rule that matches is taken.
+RULES = tuple((field, re.compile(pattern), reader, second) for field, pattern, reader, second in (
+    ("fis_code", r"\d{6,8}", str, "ask"),
+    ("birth_year", r"(?:19|20)\d{2}", int, "ask"),
+    ("nation", r"[A-Z]{3}", str, "ask"),
+    ("bib", r"\d{1,3}", int, "ask"),
+    ("diff_s", r"\+\d{1,3}:\d{2}(?:\.\d+)?|\+\d{1,3}(?:\.\d+)?", _seconds, "first"),
+    ("time_s", r"\d{1,3}:\d{2}(?:\.\d+)?", _seconds, "first"),
+    ("fis_points", r"\d+\.\d{2}", float, "last"),
+    ("status", "(?i:" + "|".join(STATUSES) + ")", str.upper, "last"),
+    ("name", r"(?=.{4}).*[A-Za-z].*", str, "ask"),
+))
+LEAD = (("rank", re.compile(r"\d{1,3}"), int), ("status", RULES[7][1], str.upper))
+
+
 def classify_cells(cells: list[str]) -> dict | None:
     """What a row's cells hold, by their content; None without a code or a name."""
-    r = {"rank": None, "status": "OK", "fis_code": None, "birth_year": None, "nation": None, "bib": None, "diff_s": None, "fis_points": None, "name": None}
-    times: list[float] = []
-    rest = list(cells)
-    if rest and re.fullmatch(r"\d{1,3}", rest[0]):
-        r["rank"] = int(rest.pop(0))
-    elif rest and rest[0] in STATUSES:
-        r["status"] = rest.pop(0)
-    for c in rest:
-        clock = re.fullmatch(r"\+?\d{1,3}:\d{2}(?:\.\d+)?|\+\d{1,3}(?:\.\d+)?", c)
-        if re.fullmatch(r"\d{6,8}", c) and r["fis_code"] is None:
-            r["fis_code"] = c
-        elif re.fullmatch(r"(?:19|20)\d{2}", c) and r["birth_year"] is None:
-            r["birth_year"] = int(c)
-        elif re.fullmatch(r"[A-Z]{3}", c) and r["nation"] is None:
-            r["nation"] = c
-        elif re.fullmatch(r"\d{1,3}", c) and r["bib"] is None:
-            r["bib"] = int(c)
-        elif c.startswith("+") and clock and r["diff_s"] is None:
-            r["diff_s"] = _seconds(c)
-        elif clock and not c.startswith("+"):
-            times += [s for s in [_seconds(c)] if s is not None and s not in times]
-        elif re.fullmatch(r"\d+\.\d{2}", c):
-            r["fis_points"] = float(c)
-        elif c in STATUSES:
-            r["status"] = c
-        elif len(c) > 3 and any(x.isalpha() for x in c) and r["name"] is None:
-            r["name"] = c
-    if r["fis_code"] is None or r["name"] is None:
+    found: dict = {}
+    lead = next(((f, read(cells[0])) for f, p, read in LEAD if cells and p.fullmatch(cells[0])), None)
+    if lead:
+        found[lead[0]] = lead[1]
+    for c in cells[1 if lead else 0 :]:
+        rule = next((r for r in RULES if r[1].fullmatch(c) and not (r[3] == "ask" and r[0] in found)), None)
+        if rule and (rule[3] == "last" or rule[0] not in found):
+            found[rule[0]] = rule[2](c)
+    if "fis_code" not in found or "name" not in found:
         return None
-    if r["rank"] is None and r["status"] == "OK" and not times:
-        r["status"] = "ENTERED"
-    return r | {"time_s": times[0] if times else None}
+    found.setdefault("status", "OK" if "rank" in found or "time_s" in found else "ENTERED")
+    return {f: found.get(f) for f in ("rank", *(r[0] for r in RULES))}
 
 
-ROWS = "race_id string, title string, place string, series string, race_date string, competitor_id string, rank int, status string, fis_code string, birth_year int, nation string, bib int, diff_s double, fis_points double, name string, time_s double"
+HEADER = "race_id string, title string, place string, series string, race_date string"
+ENTRY = "competitor_id string, rank int, status string, fis_code string, birth_year int, nation string, bib int, diff_s double, fis_points double, name string, time_s double"
+_ENTRY = [c.split(" ")[0] for c in ENTRY.split(", ")]
 
 
-def parse_race_pages(pages: DataFrame) -> DataFrame:
-    """Rows of race pages (race_id, html), each with its page's header. Rows without code or name go."""
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """One row a race page (race_id, html): its header and ``entries``, the rows with a code and a name.
+
+    A null page has neither. Pages are parsed leniently: what isn't a header or a row is passed over.
+    """
 
     def parse(batches):
         for b in batches:
@@ -132,13 +179,32 @@ def parse_race_pages(pages: DataFrame) -> DataFrame:
             for race, html in zip(b.race_id, b.html, strict=True):
                 p = _Page()
                 p.feed(html or "")
-                head = (race, p.header.get("kind"), p.header.get("name"), p.header.get("subtitle"), p.date)
-                for competitor, cells in p.rows:
-                    if r := classify_cells(cells):
-                        out.append((*head, competitor, *(r[c] for c in ("rank", "status", "fis_code", "birth_year", "nation", "bib", "diff_s", "fis_points", "name", "time_s"))))
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in ROWS.split(", ")]).astype({"rank": "Int32", "birth_year": "Int32", "bib": "Int32"})
+                p.close()
+                entries = [{"competitor_id": competitor} | r for competitor, cells in p.rows if (r := classify_cells(cells))]
+                out.append((race, p.header.get("kind"), p.header.get("place") or p.header.get("name"), p.header.get("subtitle"), p.date, [{c: e[c] for c in _ENTRY} for e in entries]))
+            yield pd.DataFrame(out, columns=[*(c.split(" ")[0] for c in HEADER.split(", ")), "entries"])
+
+    return pages.select("race_id", "html").mapInPandas(parse, f"{HEADER}, entries array<struct<{ENTRY.replace(' ', ':')}>>".replace(",:", ", "))
+
+
+def entries_of(parsed: DataFrame) -> DataFrame:
+    """The rows of parsed pages, each with its page's header."""
+    return parsed.select(*(c.split(" ")[0] for c in HEADER.split(", ")), F.inline("entries"))
+
+
+def parse_race_pages(pages: DataFrame) -> DataFrame:
+    """Rows of race pages (race_id, html), each with its page's header. Rows without code or name go."""
+    return entries_of(parse_pages(pages))
+
 
-    return pages.select("race_id", "html").mapInPandas(parse, ROWS)
+def races_of(parsed: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """The races of parsed pages, as stored; season and event of those that are listed."""
+    out = classify_title(parsed.drop("entries")).withColumn("race_date", F.col("race_date").cast("date"))
+    if listed is None:
+        out = out.withColumns({"season": F.lit(None).cast("int"), "event_id": F.lit(None).cast("string")})
+    else:
+        out = out.join(listed.select("race_id", F.col("season").cast("int").alias("season"), "event_id"), "race_id", "left")
+    return out.select("race_id", "event_id", "season", "race_date", "place", "series", "title", "gender", "kind", "technique", "start_type", "length_km", "is_team")
 
 
 def results_of(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import KEYS, SCHEMAS
@@ -20,17 +20,23 @@ def write(df: DataFrame, root: str, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
+def replace(spark: SparkSession, df: DataFrame, root: str, name: str) -> None:
+    """Overwrite a table by what was computed from it: written beside it first, so that it never is read and written at once."""
+    write(df, root, f"{name}_new")
+    write(spark.read.parquet(f"{root}/{name}_new"), root, name)
+
+
 def upsert_athletes(old: DataFrame, new: DataFrame, seq: str = "seq") -> DataFrame:
-    """The last name always wins; of the other columns the last value that isn't null."""
+    """The last name always wins; of the other columns the last value that isn't null. Ties go to the greater value."""
     rows = old.withColumn(seq, F.lit(-1).cast("long")).unionByName(new.withColumn(seq, F.col(seq).cast("long")))
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c)
-    return rows.groupBy("fis_code").agg(F.max_by("name", seq).alias("name"), last("nation"), last("birth_year"), last("competitor_id"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(seq, c))).alias(c)
+    return rows.groupBy("fis_code").agg(F.max_by("name", F.struct(seq, "name")).alias("name"), last("nation"), last("birth_year"), last("competitor_id"))
 
 
 def upsert(old: DataFrame, new: DataFrame, name: str, seq: str = "seq") -> DataFrame:
-    """The last whole row of each key."""
+    """The last whole row of each key; ties go to the greater row."""
     rows = old.withColumn(seq, F.lit(-1).cast("long")).unionByName(new.withColumn(seq, F.col(seq).cast("long")))
-    place = F.row_number().over(Window.partitionBy(*KEYS[name]).orderBy(F.desc(seq)))
+    place = F.row_number().over(Window.partitionBy(*KEYS[name]).orderBy(F.desc(seq), *[F.desc(c) for c in old.columns if c != seq]))
     return rows.withColumn("place", place).where("place = 1").drop("place", seq)
 
 
@@ -43,12 +49,28 @@ def start_list(entries: DataFrame, athletes: DataFrame) -> DataFrame:
     return entries.join(athletes.select("fis_code", "name", "nation"), "fis_code", "left")
 
 
+def _cell(value: Column) -> Column:
+    return F.concat(F.lit('"'), F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), '"', '""'), F.lit('"'))
+
+
 def quoted_csv(df: DataFrame) -> DataFrame:
     """One text column: every field in quotes, quotes doubled, nulls empty."""
-    cell = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), '"', '""'), F.lit('"'))
-    return df.select(F.concat_ws(",", *map(cell, df.columns)).alias("line"))
+    return df.select(F.concat_ws(",", *[_cell(F.col(c)) for c in df.columns]).alias("line"))
+
+
+def csv_files(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """key, text: a CSV file a key, with byte-order mark, header and CRLF, its lines in the given order, nulls first.
+
+    Numbers that are whole are written without a point. A file holds one athlete, race or weekend, so it is small.
+    """
+    plain = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "") if dict(df.dtypes)[c] == "double" else F.col(c)
+    line = F.concat_ws(",", *[_cell(plain(c)) for c in columns])
+    lines = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
+    head = "\ufeff" + ",".join(f'"{c}"' for c in columns) + "\r\n"
+    return df.groupBy(key).agg(lines.alias("lines")).select(key, F.concat(F.lit(head), F.array_join(F.transform("lines", lambda x: F.concat(x.line, F.lit("\r\n"))), "")).alias("text"))
 
 
-def safe_name(text):
-    """A file name of letters, digits, dashes and underscores."""
-    return F.regexp_replace(F.trim(text), r"[^A-Za-z0-9_-]+", "_")
+def safe_name(text: Column) -> Column:
+    """A file name of letters, digits, dots, dashes and underscores; other runs are a dash, but for one at either end."""
+    named = F.coalesce(F.nullif(text, F.lit("")), F.lit("export"))
+    return F.regexp_replace(F.regexp_replace(named, r"[^A-Za-z0-9._-]+", "-"), "^-|-$", "")

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from harrier import cli
 from harrier.functions import fantasy, federations, titles
-from harrier.sources import pages, store
+from harrier.sources import ingest, pages, store
 
 
 def test_cells_by_content():
@@ -51,3 +51,51 @@ def test_best_team():
 def test_options_stand_on_both_sides():
     p = cli.parser()
     assert p.parse_args(["--store", "x", "rate"]).store == "x" and p.parse_args(["rate", "--store", "x"]).store == "x"
+
+
+def test_statuses_in_any_case_and_repeated_cells():
+    r = pages.classify_cells(["dnf", "3420001", "3420002", "BERG Ola", "NOR", "SWE", "+1:02.5", "+3.0", "12.50", "13.50"])
+    assert (r["status"], r["rank"], r["fis_code"], r["name"], r["nation"], r["diff_s"], r["fis_points"]) == ("DNF", None, "3420001", "BERG Ola", "NOR", 62.5, 13.5)
+
+
+PAGE = """<div class="event-header__name"><h1>Ruka</h1><div class="event-header__subtitle">World <b>Cup</b></div></div>
+<div class="event-header__kind">Men's 10km Interval Start Classic</div>%s
+<a class="table-row" href="x?competitorid=7"><div><span><div>1</div></span><div>12</div><div>3420001</div><div>BERG &amp; Ola</div><div>1994</div><div>NOR</div><div>25:10.3</div></div></a>
+<a class="table-row" href="x"><div>dns</div><div>3420002</div><div>LIND Eva</div></a>"""
+
+
+def test_headers(spark):
+    rows = [("a", PAGE % '<div class="timezone-date" data-date="2024-11-29T10:00">Nov</div>'), ("b", PAGE % '<span class="event-header__date">November 30, 2024</span>'), ("c", PAGE % '<div class="timezone-date" data-date="soon"></div>'), ("d", "")]
+    got = {r.race_id: r for r in pages.races_of(pages.parse_pages(spark.createDataFrame(rows, "race_id string, html string"))).collect()}
+    assert [str(got[r].race_date) for r in "abcd"] == ["2024-11-29", "2024-11-30", "None", "None"]
+    assert (got["a"].place, got["a"].series, got["a"].gender, got["a"].technique, got["a"].length_km) == ("Ruka", "World Cup", "M", "C", 10.0) and got["d"].title is None
+
+
+def test_listed_races(spark):
+    link = '<a href="/DB/%s.html?x=1&%s=%s">'
+    c = spark.createDataFrame([(2024, "WC", link % ("event-details", "eventid", 5) * 2 + link % ("results", "eventid", 6)), (2024, "NC", link % ("event-details", "eventid", 7))], "season int, category string, html string")
+    e = spark.createDataFrame([("5", link % ("results", "raceid", 1) + link % ("results", "raceid", 2)), ("7", link % ("results", "raceid", 2)), ("8", None)], "event_id string, html string")
+    assert sorted(map(tuple, pages.listed_races(c, e).collect())) == [("1", 2024, "5"), ("2", 2024, "7")]
+
+
+def test_ingest_of_whole_pages(spark, tmp_path):
+    root = str(tmp_path / "store")
+    date = '<div class="timezone-date" data-date="2024-11-29"></div>'
+    tour = '<div class="event-header__kind">Overall Standings</div><a class="table-row"><div>1</div><div>3420009</div><div>TOUR Ann</div></a>'
+    new = '<a class="table-row"><div>3420003</div><div>NEW Nils</div><div>7</div></a>'
+    one = spark.createDataFrame([("r", PAGE % date), ("tour", tour), ("next", new), (None, new)], "race_id string, html string")
+    listed = spark.createDataFrame([("r", 2025, "5")], "race_id string, season int, event_id string")
+    ingest.ingest(spark, root, one, listed)
+    ingest.ingest(spark, root, one.where("race_id = 'next'"))
+    races, athletes, results, starts = (store.read(spark, root, t).collect() for t in ("races", "athletes", "results", "start_list"))
+    assert {(r.race_id, r.season, r.event_id) for r in races} == {("r", 2025, "5"), ("next", None, None)}
+    assert {(a.fis_code, a.name) for a in athletes} == {("3420001", "BERG & Ola"), ("3420002", "LIND Eva"), ("3420003", "NEW Nils")}
+    assert {(r.race_id, r.fis_code, r.status) for r in results} == {("r", "3420001", "OK"), ("r", "3420002", "DNS")}
+    assert {(s.race_id, s.fis_code, s.bib) for s in starts} == {("r", "3420001", 12), ("r", "3420002", None), ("next", "3420003", 7)}
+
+
+def test_csv_files(spark):
+    df = spark.createDataFrame([("a", 2, 1.0, 'x"y'), ("a", 1, 0.25, None)], "k string, i int, v double, t string")
+    assert store.csv_files(df, "k", ["i"], ["i", "v", "t"]).first().text == '﻿"i","v","t"\r\n"1","0.25",""\r\n"2","1","x""y"\r\n'
+    names = spark.createDataFrame([("Ål/Ruka 1.",), (None,), ("a--",)], "s string").select(store.safe_name(F.col("s")).alias("n"))
+    assert [r.n for r in names.collect()] == ["l-Ruka-1.", "export", "a-"]
