@@ -78,10 +78,15 @@ def main(argv: list[str] | None = None) -> int:
         scored = test.withColumn("score", model.score())
         if args.verb == "evaluate":
             learned = scored.select(F.lit("learned").alias("method"), "race_id", "fis_code", "pos", "score")
-            metrics.pair_accuracy(metrics.baseline_scores(test).unionByName(learned)).orderBy("accuracy").show(truncate=False)
+            elo = metrics.elo_scores(test, folds.ratings_before(races, res))
+            print(metrics.format_comparison(metrics.pair_accuracy(metrics.baseline_scores(test).unionByName(learned).unionByName(elo), test)))
         else:
             profiles.race_payloads(scored).write.mode("overwrite").json(f"{args.out}/races")
             profiles.athlete_payloads(perf).write.mode("overwrite").json(f"{args.out}/athletes")
+            profiles.athlete_index(perf, read("athletes")).orderBy(F.desc("wc_starts"), "name").coalesce(1).write.mode("overwrite").json(f"{args.out}/athlete_index")
+            for name, files in (("races", profiles.race_csv(scored, races, read("athletes"))), ("athletes", profiles.athlete_csv(perf, races, read("athletes"))), ("weekends", profiles.weekend_csv(scored, races, read("athletes")))):
+                files.write.mode("overwrite").parquet(f"{args.out}/csv/{name}")
+            metrics.pair_accuracy(metrics.baseline_scores(test), test).coalesce(1).write.mode("overwrite").json(f"{args.out}/baselines")
             profiles.race_index(races, res, args.holdout).orderBy(F.desc_nulls_last("race_date"), F.desc("race_id")).coalesce(1).write.mode("overwrite").json(f"{args.out}/index")
     return 0
 

@@ -27,16 +27,32 @@ def elo_scores(samples: DataFrame, ratings: DataFrame) -> DataFrame:
     return s.select(F.lit("elo").alias("method"), "race_id", "fis_code", "pos", F.coalesce("rating", "mean").alias("score"))
 
 
-def pair_accuracy(scores: DataFrame, races: int | None = None) -> DataFrame:
-    """method, races, pairs, correct, accuracy: of all pairs in a race, who is ahead has the higher score; ties are half.
+def race_pairs(scores: DataFrame) -> DataFrame:
+    """method, race_id, pairs, correct: of all pairs in a race, who is ahead has the higher score; ties are half.
 
     Races are joined with themselves on (method, race), so a pair never leaves its race.
     """
     a = scores.select("method", "race_id", F.col("pos").alias("i"), F.col("score").alias("x"))
     b = scores.select("method", "race_id", F.col("pos").alias("j"), F.col("score").alias("y"))
     right = F.when(F.col("x") > F.col("y"), 1.0).when(F.col("x") == F.col("y"), 0.5).otherwise(0.0)
-    by_race = a.join(b, ["method", "race_id"]).where("i < j").groupBy("method", "race_id").agg(F.count("*").alias("pairs"), F.sum(right).alias("correct"))
-    return by_race.groupBy("method").agg(F.count("*").alias("races"), F.sum("pairs").alias("pairs"), F.sum("correct").alias("correct"), F.round(F.sum("correct") / F.sum("pairs"), 4).alias("accuracy"))
+    return a.join(b, ["method", "race_id"]).where("i < j").groupBy("method", "race_id").agg(F.count("*").alias("pairs"), F.sum(right).alias("correct"))
+
+
+def pair_accuracy(scores: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """method, races, pairs, correct, accuracy; and with ``samples`` skipped, the number of its races that a method declined."""
+    out = race_pairs(scores).groupBy("method").agg(F.count("*").alias("races"), F.sum("pairs").alias("pairs"), F.sum("correct").alias("correct"), F.round(F.sum("correct") / F.sum("pairs"), 4).alias("accuracy"))
+    if samples is None:
+        return out
+    asked = samples.select("race_id").distinct().count()
+    answered = scores.groupBy("method").agg(F.countDistinct("race_id").alias("answered"))
+    return out.join(answered, "method").withColumn("skipped", F.lit(asked) - F.col("answered")).drop("answered")
+
+
+def format_comparison(table: DataFrame) -> str:
+    """The few methods of a comparison as text, the best first."""
+    rows = table.orderBy(F.desc("accuracy"), "method").collect()
+    head = f"{'method':<14}{'accuracy':>9}{'pairs':>10}{'races':>7}{'skipped':>9}"
+    return "\n".join([head, *(f"{r.method:<14}{r.accuracy:>9.4f}{r.pairs:>10,}{r.races:>7}{r.skipped:>9}" for r in rows)])
 
 
 def ranker_metrics(scores: DataFrame) -> DataFrame:
@@ -65,11 +81,12 @@ def backtest(before: DataFrame, min_rated: int = 10) -> DataFrame:
     """One row: the Elo ratings before each race against its order.
 
     A race counts if it has three ranked and ``min_rated`` that raced before; only those are
-    compared. mean_spearman is the correlation of minus the rating with the rank.
+    compared. Races with too few of these are skipped. mean_spearman is the correlation of minus the rating with the rank.
     """
     race = Window.partitionBy("race_id")
-    ranked = before.where("rank IS NOT NULL").withColumn("ranked", F.count("*").over(race)).where("ranked >= 3").where("n_races > 0")
-    rated = ranked.withColumn("rated", F.count("*").over(race)).where(F.col("rated") >= min_rated)
+    ranked = before.where("rank IS NOT NULL").withColumn("ranked", F.count("*").over(race)).where("ranked >= 3")
+    ranked_races = ranked.select("race_id").distinct()
+    rated = ranked.where("n_races > 0").withColumn("rated", F.count("*").over(race)).where(F.col("rated") >= min_rated)
     rated = rated.withColumn("place", F.row_number().over(race.orderBy("rank", "fis_code")))
     a = rated.select("race_id", F.col("place").alias("i"), F.col("rank").alias("ri"), F.col("rating").alias("x"))
     b = rated.select("race_id", F.col("place").alias("j"), F.col("rank").alias("rj"), F.col("rating").alias("y"))
@@ -81,6 +98,7 @@ def backtest(before: DataFrame, min_rated: int = 10) -> DataFrame:
     var = lambda z: F.greatest(F.lit(0.0), F.sum(z * z) - F.sum(z) * F.sum(z) / n)
     rho = rated.groupBy("race_id").agg(F.try_divide(cov, F.sqrt(var(x) * var(y))).alias("rho"), F.max_by(F.col("place"), F.struct(F.col("rating"), -F.col("place"))).alias("x"))
     winner = rated.withColumn("by_rating", F.row_number().over(race.orderBy(F.desc("rating"), "place"))).where("place = 1").select("race_id", (F.col("by_rating") <= 3).cast("double").alias("top3"))
-    return pairs.join(rho, "race_id").join(winner, "race_id").agg(
-        F.count("*").alias("races"), F.sum("pairs").alias("pairs"), (F.sum("correct") / F.sum("pairs")).alias("pair_accuracy"), (F.sum("loss") / F.sum("pairs")).alias("log_loss"), F.avg("rho").alias("mean_spearman"), F.avg("top3").alias("winner_top3")
+    every = ranked_races.join(pairs, "race_id", "left").join(rho, "race_id", "left").join(winner, "race_id", "left")
+    return every.agg(
+        F.count("pairs").alias("races"), F.count_if(F.col("pairs").isNull()).alias("skipped"), F.sum("pairs").alias("pairs"), (F.sum("correct") / F.sum("pairs")).alias("pair_accuracy"), (F.sum("loss") / F.sum("pairs")).alias("log_loss"), F.avg("rho").alias("mean_spearman"), F.avg("top3").alias("winner_top3")
     )

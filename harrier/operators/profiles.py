@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..schemas import FEATURES
+from ..sources.store import csv_files
 from .features import history
+from .metrics import predicted_ranks, race_pairs, rank_correlation
+from .results import weekends
 
 # fixed values: the events that a profile rates
 EVENTS = (("sprint_c", "sprint", "C", 1.4), ("sprint_f", "sprint", "F", 1.5), ("d10_c", "distance", "C", 10.0), ("d10_f", "distance", "F", 10.0), ("d20_c", "distance", "C", 20.0), ("d20_f", "distance", "F", 20.0), ("d50", "distance", "F", 50.0))
@@ -38,12 +41,65 @@ def best_events(perf: DataFrame) -> DataFrame:
     return g.where("sw > 0").select("fis_code", "event", F.round(1 - F.col("swx") / F.col("sw"), 4).alias("form"), F.round("sw", 2).alias("n_similar"))
 
 
+def athlete_index(perf: DataFrame, athletes: DataFrame, min_results: int = 3) -> DataFrame:
+    """Counts of each athlete with a payload, and the event of the best form; to be shown by wc_starts, most first, then name."""
+    best = best_events(perf).groupBy("fis_code").agg(F.min_by("event", F.struct(-F.col("form"), "event")).alias("best_event"), F.max("form").alias("best_form"))
+    named = athletes.select("fis_code", "name", "nation")
+    out = athlete_summary(perf).where(F.col("n_results") >= min_results).join(best, "fis_code", "left").join(named, "fis_code", "left")
+    return out.select("fis_code", "name", "nation", "gender", "n_results", "wc_starts", "wins", "podiums", "best_event", "best_form")
+
+
+def race_summary(scored: DataFrame) -> DataFrame:
+    """race_id, n_athletes, pair_accuracy, spearman and winner_predicted_rank of each scored race."""
+    ranked = predicted_ranks(scored)
+    pairs = race_pairs(ranked.select(F.lit("score").alias("method"), "race_id", F.col("actual").alias("pos"), (-F.col("predicted")).alias("score")))
+    counts = ranked.groupBy("race_id").agg(F.count("*").alias("n_athletes"), F.max(F.when(F.col("actual") == 1, F.col("predicted"))).alias("winner_predicted_rank"))
+    out = counts.join(rank_correlation(ranked), "race_id").join(pairs, "race_id", "left")
+    return out.select("race_id", "n_athletes", F.round(F.col("correct") / F.col("pairs"), 4).alias("pair_accuracy"), F.round("spearman", 4).alias("spearman"), "winner_predicted_rank")
+
+
 def race_payloads(scored: DataFrame) -> DataFrame:
-    """race_id, payload: JSON of each athlete's score, predicted and actual rank and features."""
+    """race_id, payload: JSON of the race's summary and of each athlete's score, predicted and actual rank and features."""
     w = Window.partitionBy("race_id")
     rows = scored.withColumns({"predicted": F.row_number().over(w.orderBy(F.desc("score"), "pos")), "actual": F.row_number().over(w.orderBy("pos"))})
     values = F.map_from_arrays(F.array(*map(F.lit, FEATURES)), F.array(*[F.round(n, 4) for n in FEATURES]))
-    return rows.groupBy("race_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("predicted", "fis_code", F.round("score", 4).alias("score"), "actual", values.alias("features"))), lambda a, b: F.when(a.predicted < b.predicted, -1).otherwise(1))).alias("payload"))
+    athletes = rows.groupBy("race_id").agg(F.array_sort(F.collect_list(F.struct("predicted", "fis_code", F.round("score", 4).alias("score"), "actual", values.alias("features"))), lambda a, b: F.when(a.predicted < b.predicted, -1).otherwise(1)).alias("athletes"))
+    summary = race_summary(scored)
+    return athletes.join(summary, "race_id").select("race_id", F.to_json(F.struct(*summary.columns, "athletes")).alias("payload"))
+
+
+# fixed values: columns of the CSV files
+ATHLETE_CSV = ["athlete", "nation", "gender", "date", "season", "series", "world_cup", "place", "title", "kind", "technique", "length_km", "rank", "field_size", "pct_of_field_beaten", "margin_to_winner"]
+RACE_CSV = ["race_id", "date", "place", "title", "kind", "technique", "length_km", "predicted_rank", "actual_rank", "athlete", "nation", "model_score", "similar_form", "similar_races"]
+WEEKEND_CSV = ["date", "place", "title", "kind", "technique", "length_km", "predicted_rank", "actual_rank", "athlete", "nation", "model_score"]
+
+
+def athlete_csv(perf: DataFrame, races: DataFrame, athletes: DataFrame, min_results: int = 3) -> DataFrame:
+    """fis_code, text: each athlete's career as a CSV file."""
+    who = athlete_summary(perf).where(F.col("n_results") >= min_results).select("fis_code", F.col("gender").alias("g")).join(athletes.select("fis_code", F.col("name").alias("athlete"), "nation"), "fis_code", "left")
+    rows = perf.join(who, "fis_code").join(races.select("race_id", "title"), "race_id", "left").drop("gender").withColumnRenamed("g", "gender")
+    beaten = F.when(F.col("rank").isNotNull(), F.format_string("%.4f", 1 - F.col("pct")))
+    rows = rows.withColumns({"date": F.col("race_date"), "world_cup": F.when(F.col("world_cup"), "yes").otherwise("no"), "field_size": F.col("field"), "pct_of_field_beaten": beaten, "margin_to_winner": F.round("margin", 3)})
+    return csv_files(rows, "fis_code", ["date", "race_id"], ATHLETE_CSV)
+
+
+def _scored_rows(scored: DataFrame, races: DataFrame, athletes: DataFrame) -> DataFrame:
+    w = Window.partitionBy("race_id")
+    rows = scored.select("race_id", "fis_code", F.row_number().over(w.orderBy(F.desc("score"), "pos")).alias("predicted_rank"), F.row_number().over(w.orderBy("pos")).alias("actual_rank"), F.round("score", 4).alias("model_score"), F.round("similar_form", 4).alias("similar_form"), F.format_string("%.2f", F.exp("experience") - 1).alias("similar_races"))
+    rows = rows.join(athletes.select("fis_code", F.col("name").alias("athlete"), "nation"), "fis_code", "left")
+    return rows.join(races.select("race_id", F.col("race_date").alias("date"), "place", "title", "kind", "technique", "length_km"), "race_id")
+
+
+def race_csv(scored: DataFrame, races: DataFrame, athletes: DataFrame) -> DataFrame:
+    """race_id, text: each scored race as a CSV file, by predicted rank."""
+    rows = _scored_rows(scored, races, athletes).withColumn("file", F.col("race_id"))
+    return csv_files(rows, "file", ["predicted_rank"], RACE_CSV).withColumnRenamed("file", "race_id")
+
+
+def weekend_csv(scored: DataFrame, races: DataFrame, athletes: DataFrame) -> DataFrame:
+    """key, text: the scored races of each weekend as one CSV file, by date, race and predicted rank."""
+    member = weekends(races).select("key", F.explode(F.split("race_ids", ",")).alias("race_id"))
+    return csv_files(_scored_rows(scored, races, athletes).join(member, "race_id"), "key", ["date", "race_id", "predicted_rank"], WEEKEND_CSV)
 
 
 def race_index(races: DataFrame, results: DataFrame, held_out: list[int]) -> DataFrame:

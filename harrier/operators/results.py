@@ -71,10 +71,22 @@ def split_by_season(samples: DataFrame, held_out: list[int]) -> tuple[DataFrame,
     return samples.where(~test), samples.where(test)
 
 
-def trajectory(perf: DataFrame, *, world_cup: bool = False, kind: str | None = None, technique: str | None = None, season: int | None = None) -> DataFrame:
-    """Dated points of an athlete's curve: the place, and 1 + 99 x percentile."""
+def chosen(perf: DataFrame, *, world_cup: bool = False, kind: str | None = None, technique: str | None = None, season: int | None = None, race_ids: list[str] | None = None) -> DataFrame:
+    """Ranked performances that a reader wants counted: as the history of features, or as points of a curve."""
     out = perf.where(F.col("rank").isNotNull())
-    for on, test in ((world_cup, F.col("world_cup")), (kind, F.col("kind") == kind), (technique, F.col("technique") == technique), (season, F.col("season") == season)):
+    for on, test in ((world_cup, F.col("world_cup")), (kind, F.col("kind") == kind), (technique, F.col("technique") == technique), (season, F.col("season") == season), (race_ids, F.col("race_id").isin(race_ids or []))):
         if on:
             out = out.where(test)
-    return out.select("fis_code", "race_id", "race_date", "rank", (1 + 99 * F.col("pct")).alias("adjusted"))
+    return out
+
+
+def trajectory(perf: DataFrame, **choice) -> DataFrame:
+    """Dated points of an athlete's curve: the place, and 1 + 99 x percentile."""
+    return chosen(perf, **choice).select("fis_code", "race_id", "race_date", "rank", (1 + 99 * F.col("pct")).alias("adjusted"))
+
+
+def median_places(points: DataFrame) -> DataFrame:
+    """fis_code, n, median: the upper median of an athlete's places."""
+    by = Window.partitionBy("fis_code")
+    rows = points.withColumns({"i": F.row_number().over(by.orderBy("rank")), "n": F.count("*").over(by)})
+    return rows.where(F.col("i") == F.floor(F.col("n") / 2) + 1).select("fis_code", "n", F.col("rank").alias("median"))

@@ -14,6 +14,10 @@ def _league(body: str, *more: str) -> str:
     return "WITH " + ",\n".join(parts) + ("" if body.startswith(",") else "\n") + body
 
 
+def _recursive(body: str, *more: str) -> str:
+    return _league(body, *more).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 DATABLE = "SELECT * FROM races WHERE race_date IS NOT NULL AND NOT coalesce(is_team, false)"
 PERF = f"""perf AS (SELECT race_id, fis_code, race_date, season, kind, technique, length_km, gender, rank, field, pos, fis_points, contains(lower(series), 'world cup') AS world_cup,
   CASE WHEN rank IS NULL THEN 1.0 WHEN field <= 1 THEN 0.0 ELSE (rank - 1)::DOUBLE / (field - 1) END AS pct,
@@ -72,13 +76,29 @@ fi AS (SELECT race_id, s FROM st WHERE round = 30 UNION ALL SELECT race_id, 1.0
 SELECT ra.race_id, n_anchors, n_starters, round(coalesce((SELECT sum(share * s) FROM e JOIN fi ON fi.race_id = e.past WHERE e.race_id = ra.race_id), 0.0), 6) AS anchor_quality, round(coalesce(fi.s, 0.0), 6) AS strength, usable FROM ra LEFT JOIN fi USING (race_id)"""
 
 
+#: Every pool's races in order, one a step; each step hands on all its ratings.
+ELO = """se AS (SELECT *, dense_rank() OVER (PARTITION BY pool ORDER BY race_date NULLS FIRST, race_id) AS nth FROM (
+  SELECT gender || '-' || kind AS pool, race_id, race_date, fis_code, rank, count(*) OVER (PARTITION BY race_id) AS n FROM results JOIN races USING (race_id) WHERE rank IS NOT NULL AND is_team = false AND status = 'OK') o WHERE n >= 3),
+el AS (SELECT DISTINCT pool, max(nth) OVER (PARTITION BY pool) AS ends, 0::BIGINT AS step, fis_code, 1500.0::DOUBLE AS rating, 0 AS n_races, NULL::VARCHAR AS last_race_id, NULL::DATE AS last_date FROM se
+UNION ALL SELECT pool, ends, step + 1, fis_code, CASE WHEN rank IS NULL THEN rating ELSE r + (CASE WHEN n_races < 10 THEN 60 ELSE 200 END) / (n - 1)::DOUBLE * list_sum(list_transform(field, lambda x: (CASE WHEN rank < x.rank THEN 1.0 WHEN rank = x.rank THEN 0.5 ELSE 0.0 END)::DOUBLE - 1 / (1 + pow(10.0::DOUBLE, (x.r - r) / 400)))) END,
+  CASE WHEN rank IS NULL THEN n_races ELSE n_races + 1 END, CASE WHEN rank IS NULL THEN last_race_id ELSE race_id END, CASE WHEN rank IS NULL THEN last_date ELSE race_date END
+  FROM (SELECT *, list({'rank': rank, 'r': r}) FILTER (WHERE rank IS NOT NULL) OVER (PARTITION BY pool) AS field FROM (
+    SELECT el.*, se.rank, se.n, se.race_id, se.race_date, CASE WHEN se.race_date > el.last_date THEN 1500 + pow(0.5::DOUBLE, (se.race_date - el.last_date) / 1825.0::DOUBLE) * (rating - 1500) ELSE rating END AS r
+    FROM el LEFT JOIN se ON se.pool = el.pool AND se.fis_code = el.fis_code AND se.nth = el.step + 1 WHERE step < ends) a) b)"""
+BACKTEST = """b AS (SELECT se.race_id, se.fis_code, se.rank, el.n_races, CASE WHEN se.race_date > el.last_date THEN 1500 + pow(0.5::DOUBLE, (se.race_date - el.last_date) / 1825.0::DOUBLE) * (rating - 1500) ELSE rating END AS rating
+  FROM se JOIN el ON el.pool = se.pool AND el.fis_code = se.fis_code AND el.step = se.nth - 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY rank, fis_code) AS place FROM (SELECT *, count(*) OVER (PARTITION BY race_id) AS rated FROM b WHERE n_races > 0) x WHERE rated >= 10),
+pr AS (SELECT x.rank < y.rank AS ahead, 1 / (1 + pow(10.0::DOUBLE, (y.rating - x.rating) / 400)) AS p FROM k x JOIN k y ON x.race_id = y.race_id AND x.place < y.place),
+rc AS (SELECT race_id, corr(-rating, rank) AS rho, (list_position(list(place ORDER BY rating DESC, place), 1) <= 3)::INT AS top3 FROM k GROUP BY race_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     events = ", ".join(f"('{e}', '{k}', '{t}', {x})" for e, k, t, x in EVENTS)
     nations = ", ".join(f"'{n}'" for n in FEDERATIONS)
     names = ", ".join(f"'{n}'" for n in CONFIDENCE)
     title = "lower(title)"
     uniform = "(('0x' || substr(md5('0|' || {0} || '|' || {1}), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE"
-    return {
+    sql = {
         "performances": _league("SELECT race_id, fis_code, rank, field, pos, round(pct, 6) AS pct, round(margin, 6) AS margin, world_cup FROM perf", PERF),
         "datable_races": _league(f"SELECT race_id, race_date FROM ({DATABLE}) d"),
         "finished_races": _league("SELECT race_id, race_date FROM races WHERE is_team = false AND race_id IN (SELECT race_id FROM results WHERE rank IS NOT NULL)"),
@@ -109,6 +129,16 @@ FROM (SELECT *, sum(CASE WHEN gap <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY pl
   greatest(1, floor(3 + 27 * pow(1 - (rank - 1)::DOUBLE / greatest(1, n - 1), 2.2::DOUBLE) + 0.5))::INT AS price FROM (SELECT *, count(*) OVER (PARTITION BY race_id) AS n FROM results WHERE rank IS NOT NULL) r"""),
         "elo_first_race": _league("""SELECT pool, fis_code, round(1500 + 60 * ((n - rank) - (n - 1) * 0.5) / (n - 1)::DOUBLE, 6) AS rating FROM (SELECT pool, fis_code, rank, count(*) OVER (PARTITION BY pool) AS n FROM results
   JOIN (SELECT gender || '-' || kind AS pool, arg_min(race_id, (race_date, race_id)) AS race_id FROM races WHERE race_id IN (SELECT race_id FROM results WHERE rank IS NOT NULL) GROUP BY ALL) f USING (race_id) WHERE rank IS NOT NULL) x WHERE n >= 3"""),
+        "elo_ratings": _recursive("SELECT fis_code, pool, round(rating, 6) AS rating, n_races, last_race_id, last_date FROM el WHERE step = ends", ELO),
+        "leaderboard": _recursive("SELECT pool, place, fis_code, round(rating, 6) AS rating, n_races FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY rating DESC, fis_code)::INT AS place FROM el WHERE step = ends AND n_races >= 5) x WHERE place <= 20", ELO),
+        "backtest": _recursive("""SELECT (SELECT count(*) FROM rc) AS races, (SELECT count(DISTINCT race_id) FROM se) - (SELECT count(*) FROM rc) AS skipped, count(*) AS pairs, round(avg(((p > 0.5) = ahead)::INT), 6) AS pair_accuracy,
+  round(avg(-ln(greatest(CASE WHEN ahead THEN p ELSE 1 - p END, 1e-12))), 6) AS log_loss, round((SELECT avg(rho) FROM rc), 6) AS mean_spearman, round((SELECT avg(top3) FROM rc), 6) AS winner_top3 FROM pr""", ELO, BACKTEST),
+        "race_summary": _league("""SELECT race_id, n_athletes, round(round(ok / pairs, 4), 6) AS pair_accuracy, round(rho, 4) AS spearman, winner_predicted_rank FROM (SELECT race_id, count(*) AS n_athletes, max(p) FILTER (WHERE a = 1)::INT AS winner_predicted_rank,
+  1 - 6 * sum(pow(p - a, 2)) / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)) AS rho FROM t GROUP BY race_id) x JOIN (SELECT x.race_id, count(*)::DOUBLE AS pairs, sum((x.p < y.p)::INT) AS ok FROM t x JOIN t y ON x.race_id = y.race_id AND x.a < y.a GROUP BY x.race_id) y USING (race_id)""",
+            *SAMPLES, "t AS (SELECT race_id, row_number() OVER (PARTITION BY race_id ORDER BY round(similar_form, 6) DESC, pos) AS p, row_number() OVER (PARTITION BY race_id ORDER BY pos) AS a FROM s)"),
+        "athlete_index": "",
+        "listings": _league("SELECT replace(race_id, '-', '') AS race_id, season, CAST(season * 10 + (CASE WHEN contains(series, 'World') THEN 0 ELSE 1 END) AS VARCHAR) AS event_id FROM races"),
+        "median_places": _league("SELECT fis_code, count(*) AS n, list_sort(list(rank))[count(*) // 2 + 1] AS median FROM perf WHERE rank IS NOT NULL AND world_cup GROUP BY fis_code", PERF),
         "sampled_pairs": _league(PAIRS, *SAMPLES),
         "training_pairs": _league(PAIRS.replace("FROM s)", "FROM s WHERE coalesce(season <> 2001, true))"), *SAMPLES),
         "field_strength": _league(STRENGTH, PERF).replace("WITH ", "WITH RECURSIVE ", 1),
@@ -121,3 +151,6 @@ FROM (SELECT *, sum(CASE WHEN gap <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY pl
         "upserts": _league("SELECT fis_code, CASE WHEN fis_code::INT % 3 = 0 THEN upper(name) ELSE name END AS name, CASE WHEN fis_code::INT % 6 = 0 THEN 'NEW' ELSE nation END AS nation, CASE WHEN fis_code::INT % 3 = 0 THEN fis_code END AS competitor_id FROM athletes"),
         "quoted_csv": _league("""SELECT concat('"', race_id, '","', replace(title, '"', '""'), '","', coalesce(length_km::VARCHAR, ''), '"') AS line FROM races"""),
     }
+    sql["athlete_index"] = f"""SELECT fis_code, name, nation, gender, n_results, wc_starts, wins, podiums, best_event, best_form FROM ({sql["athlete_summary"]}) s
+  LEFT JOIN (SELECT fis_code, arg_min(event, (-form, event)) AS best_event, max(form) AS best_form FROM ({sql["best_events"]}) e GROUP BY fis_code) b USING (fis_code) LEFT JOIN ({league.ATHLETES}) a USING (fis_code) WHERE n_results >= 3"""
+    return sql

@@ -93,6 +93,28 @@ def start_lists(spark, sf_dir):
     return store.start_list(league.results(spark, sf_dir).select("race_id", "fis_code"), league.athletes(spark, sf_dir)).select("race_id", "fis_code", "name", "nation")
 
 
+def race_summary(spark, sf_dir):
+    return _six(profiles.race_summary(_wc_samples(spark, sf_dir).withColumn("score", F.round("similar_form", 6))))
+
+
+def athlete_index(spark, sf_dir):
+    return profiles.athlete_index(_perf(spark, sf_dir), league.athletes(spark, sf_dir))
+
+
+def median_places(spark, sf_dir):
+    return results.median_places(results.trajectory(_perf(spark, sf_dir), world_cup=True))
+
+
+def listings(spark, sf_dir):
+    """Calendar and event pages made from the league's races, parsed again: a season's World Cup races are one event, others another."""
+    r = league.races(spark, sf_dir).withColumn("category", F.when(F.col("series").contains("World"), "WC").otherwise("COC"))
+    r = r.withColumns({"event_id": (F.col("season") * 10 + (F.col("category") == "COC").cast("int")).cast("string"), "id": F.regexp_replace("race_id", "-", "")})
+    link = lambda url: F.concat(F.lit('<a href="'), url, F.lit('">x</a>'))
+    calendars = r.groupBy("season", "category").agg(F.array_join(F.collect_set(link(pages.event_url(F.col("event_id"), F.col("season")))), "").alias("html"))
+    events = r.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_set(link(pages.race_url(F.col("id"))))), "").alias("html"))
+    return pages.listed_races(calendars, events)
+
+
 def uncovered_nations(spark, sf_dir):
     return federations.uncovered(league.athletes(spark, sf_dir))
 
@@ -216,6 +238,6 @@ def quoted_csv(spark, sf_dir):
 def queries() -> dict:
     return {f.__name__: f for f in (
         performances, datable_races, finished_races, classify_title, features, baselines, season_split, weekends, trajectory, athlete_summary, best_events, race_index, rank_correlation, start_list, start_lists,
-        uncovered_nations, entry_signals, fantasy_market, fantasy_teams, elo_first_race, elo_ratings, leaderboard, backtest, field_strength, graded_samples, learned_ranker, sampled_pairs, training_pairs, race_payloads,
+        race_summary, athlete_index, median_places, listings, uncovered_nations, entry_signals, fantasy_market, fantasy_teams, elo_first_race, elo_ratings, leaderboard, backtest, field_strength, graded_samples, learned_ranker, sampled_pairs, training_pairs, race_payloads,
         athlete_payloads, simulation, simulations, page_links, result_pages, upserts, quoted_csv,
     )}
