@@ -132,23 +132,24 @@ class LanguageModels:
         return out
 
 
-def train(labelled: DataFrame, *, per_language: int = 1500, languages: int = 500, slack: float = 1.5) -> LanguageModels | None:
+def train(labelled: DataFrame, *, per_language: int = 1500, total: int = 750_000, slack: float = 1.5) -> LanguageModels | None:
     """Models from rows with text and lang.
 
-    A sample of about ``per_language`` documents a language is drawn by a hash of the id
-    (documented bound of the classifier's sample; of the ``languages`` most frequent lang values).
+    A sample of about ``per_language`` documents a language is drawn by a hash of the id, of fewer if all
+    languages together would have more than ``total`` (documented bounds of the classifier's sample). Every lang value is learned.
     Nine tenths of it are counted; the rest set each language's limit of rejection:
     ``slack`` times the highest cross-entropy of a held-back text, and an allowance for
     short texts. Null langs and texts are not learned from. None if nothing can be learned.
     """
     short_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
         return None
     draw = lambda salt: F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(salt)), 11) / float(2**53)
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)]), F.col("lang"))
-    sample = rows.where(F.col("lang").isin(list(sizes)) & (draw(3) < rate)).withColumn("back", draw(4) < 0.1)
+    each = min(per_language, total / len(sizes))
+    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, each / n)]), F.col("lang"))
+    sample = rows.where(draw(3) < rate).withColumn("back", draw(4) < 0.1)
 
     def count(batches):
         grams: dict[str, Counter] = {}
