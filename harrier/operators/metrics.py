@@ -100,5 +100,5 @@ def backtest(before: DataFrame, min_rated: int = 10) -> DataFrame:
     winner = rated.withColumn("by_rating", F.row_number().over(race.orderBy(F.desc("rating"), "place"))).where("place = 1").select("race_id", (F.col("by_rating") <= 3).cast("double").alias("top3"))
     every = ranked_races.join(pairs, "race_id", "left").join(rho, "race_id", "left").join(winner, "race_id", "left")
     return every.agg(
-        F.count("pairs").alias("races"), F.count_if(F.col("pairs").isNull()).alias("skipped"), F.sum("pairs").alias("pairs"), (F.sum("correct") / F.sum("pairs")).alias("pair_accuracy"), (F.sum("loss") / F.sum("pairs")).alias("log_loss"), F.avg("rho").alias("mean_spearman"), F.avg("top3").alias("winner_top3")
+        F.count("pairs").alias("races"), F.count_if(F.col("pairs").isNull()).alias("skipped"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), (F.sum("correct") / F.sum("pairs")).alias("pair_accuracy"), (F.sum("loss") / F.sum("pairs")).alias("log_loss"), F.avg("rho").alias("mean_spearman"), F.avg("top3").alias("winner_top3")
     )
