@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, cross_polytope, decontaminate, language_id, log_bilinear, minhash_dedup, quality_fm, sharding, suffix_dedup, token_files
+from . import byte_bpe, conversation_trie, cross_polytope, decontaminate, divergence, language_id, log_bilinear, minhash_dedup, quality_fm, secret_scan, sharding, suffix_dedup, token_files
 from .common import held_out, table
 
 #: The tokenizers' vocabulary files; a parameter of the operators.
@@ -57,6 +57,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,8 +76,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_quality_fm, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_token_files, op8_cross_polytope, op9_log_bilinear, op10_sharding, pipeline)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_dedup, op3_quality_fm, op4_language_id, op5_byte_bpe, op6_decontaminate, op7_token_files, op8_cross_polytope, op9_log_bilinear, op10_sharding, op11_divergence, op12_conversation_trie, op13_secret_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontaminate.oracle_sql()}
+    return {"op6_decontaminate": decontaminate.oracle_sql(), "op11_divergence": divergence.oracle_sql(), "op12_conversation_trie": conversation_trie.oracle_sql(), "op13_secret_scan": secret_scan.oracle_sql()}
