@@ -10,6 +10,8 @@ Texts are read once for spans and long tokens and once more for the sample; mode
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,11 @@ LEAST_ASSIGNED = 12
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Tokens that the models judge, those that train the ordinary one, and the symbols of both models with the end.
-TOKEN, ORDINARY, SYMBOLS = "[A-Za-z0-9+/_=-]{16,}", "[A-Za-z0-9+/_=-]{4,}", 68
+TOKEN, ORDINARY, SYMBOLS = "[A-Za-z0-9+/_=-]{16,}", "[A-Za-z0-9+/_=-]{4,}", 69
 #: A token without any is a line or a rule.
 LETTER = "[A-Za-z0-9]"
-#: Added to each count of two neighbouring symbols.
-SMOOTH = 0.5
+#: How many symbols in the model's own proportions are added to those that follow a symbol.
+SMOOTH = 10.0
 #: Weights are thousandths of natural logarithms, as integers, so that sums are exact.
 UNIT = 1000
 
@@ -100,28 +102,31 @@ def train(docs: DataFrame, found: DataFrame, *, sample_rows: int = 20_000) -> li
     left = F.regexp_replace(F.coalesce("text", F.lit("")), ASSIGN, " ")
     tokens = docs.where(drawn < int(share * 2**32)).select(F.explode(_all(left, ORDINARY)).alias("m")).where(~F.rlike("m", F.lit(f"{HEX}|{ACCESS}")))
     tokens = tokens.groupBy("m").agg(F.count("*").alias("n"))
-    random = _pairs(strings).withColumnRenamed("n", "r")
-    both = random.join(_pairs(tokens).withColumnRenamed("n", "o"), ["a", "b"], "full").select("a", "b", *[F.coalesce(c, F.lit(0)).alias(c) for c in "ro"])
-    totals = both.groupBy("a").agg(F.sum("r").alias("tr"), F.sum("o").alias("to"))
-    log = lambda n, t: F.log((F.col(n) + SMOOTH) / (F.col(t) + SMOOTH * SYMBOLS))
-    seen = both.join(totals, "a").select("a", "b", "tr", "to", F.round(UNIT * (log("r", "tr") - log("o", "to"))).cast("int").alias("w"), F.round(UNIT * F.log((F.col("to") + SMOOTH * SYMBOLS) / (F.col("tr") + SMOOTH * SYMBOLS))).cast("int").alias("other"))
-    seen = seen.collect()  # at most one row for each pair of symbols
-    if not any(r.a == 0 and r.tr for r in seen) or not any(r.a == 0 and r.to for r in seen):
-        return None
-    weights = [0] * (128 * 128)  # after a symbol that neither sample has, nothing is said
-    for r in seen:
-        weights[128 * r.a : 128 * r.a + 128] = [r.other] * 128
-    for r in seen:
-        weights[128 * r.a + r.b] = r.w
-    return weights
-
-
-def ratio(m: Column, weights: list[int]) -> Column:
+    counts = [{(r.a, r.b): r.n for r in _pairs(of).collect()} for of in (strings, tokens)]  # a row for each pair of symbols at most
+    return weights(*counts) if all(counts) else None
+
+
+def weights(random: dict[tuple[int, int], int], ordinary: dict[tuple[int, int], int]) -> list[int]:
+    """The weights from how often symbol b follows a in the strings of each kind."""
+
+    def logs(n: dict[tuple[int, int], int]) -> list[float]:
+        follows, after = [0] * 128, [0] * 128
+        for (a, b), k in n.items():
+            after[a] += k
+            follows[b] += k
+        total = sum(after)
+        single = [(k + 0.5) / (total + 0.5 * SYMBOLS) for k in follows]
+        return [math.log((n.get((a, b), 0) + SMOOTH * single[b]) / (after[a] + SMOOTH)) for a in range(128) for b in range(128)]
+
+    return [round(UNIT * (x - y)) for x, y in zip(logs(random), logs(ordinary), strict=True)]
+
+
+def ratio(m: Column, table: list[int]) -> Column:
     """The log-likelihood ratio of a token, in units of 1 / UNIT."""
-    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # a constant, found once
-    step = lambda acc, c: F.struct(F.ascii(c).alias("a"), (acc["sum"] + F.get(table, 128 * acc["a"] + F.ascii(c))).alias("sum"))
+    w = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # a constant, found once
+    step = lambda acc, c: F.struct(F.ascii(c).alias("a"), (acc["sum"] + F.get(w, 128 * acc["a"] + F.ascii(c))).alias("sum"))
     start = F.struct(F.lit(0).alias("a"), F.lit(0).alias("sum"))
-    return F.aggregate(F.filter(F.split(m, ""), lambda c: c != ""), start, step, lambda acc: acc["sum"] + F.get(table, 128 * acc["a"]))
+    return F.aggregate(F.filter(F.split(m, ""), lambda c: c != ""), start, step, lambda acc: acc["sum"] + F.get(w, 128 * acc["a"]))
 
 
 def scan(docs: DataFrame, *, sample_rows: int = 20_000, least: float = 20.0) -> DataFrame:
@@ -133,11 +138,11 @@ def scan(docs: DataFrame, *, sample_rows: int = 20_000, least: float = 20.0) ->
     labelled strings of both kinds there is no model and no span of it. Other columns are not read.
     """
     found = saved(_found(docs), "secrets")
-    weights = train(docs, found, sample_rows=sample_rows)
-    if weights is None:
+    table = train(docs, found, sample_rows=sample_rows)
+    if table is None:
         more = F.array().cast("array<struct<at:int,to:int,m:string>>")
     else:
-        more = F.filter("tokens", lambda s: ratio(s["m"], weights) >= int(least * UNIT))
+        more = F.filter("tokens", lambda s: ratio(s["m"], table) >= int(least * UNIT))
     kinds = dict(zip(KINDS, (F.col("assign"), F.col("access"), F.col("hex"), more), strict=True))
     of_kind = lambda s, k: F.transform(s, lambda x: F.struct(x["at"].alias("at"), F.lit(KINDS.index(k)).alias("k"), x["to"].alias("to")))
     spans = {k: of_kind(s, k) for k, s in kinds.items()}
@@ -152,7 +157,6 @@ def oracle_sql() -> str:
     """The same in DuckDB, with the defaults of ``scan``."""
     quoted = ASSIGN.replace("'", "''")
     placed = "SELECT row, '{k}' AS kind, {k}, unnest(list_zip(regexp_extract_all(text, '{p}'), list_transform(string_split_regex(text, '{p}'), lambda x: length(x)), true)) AS z, unnest(range(len(regexp_extract_all(text, '{p}')))) AS i FROM d"
-    log = lambda n, t: f"ln(({n} + {SMOOTH}::DOUBLE) / ({t} + {SMOOTH * SYMBOLS}::DOUBLE))"
     first = " UNION ALL ".join(placed.format(k=k, p=p).replace(f", {k}, unnest", ", 0 AS piece, unnest") for k, p in (("assign", quoted), ("access", ACCESS), ("hex", HEX)))
     pair = "SELECT a, b, sum(n)::BIGINT AS n FROM (SELECT n, unnest(c[:-2]) AS a, unnest(c[2:]) AS b FROM (SELECT n, list_concat([0], list_transform(list_filter(string_split(m, ''), lambda x: x <> ''), lambda x: ascii(x)), [0]) AS c FROM {src}) x) y GROUP BY ALL"
     return f"""
@@ -169,11 +173,12 @@ strings AS (SELECT DISTINCT m, 1 AS n FROM base),
 drawn AS (SELECT text FROM d WHERE ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || text), 1, 8))::BIGINT < (SELECT floor(least(1.0::DOUBLE, 20000::DOUBLE / greatest(1, count(*))) * 4294967296.0::DOUBLE)::BIGINT FROM d)),
 ordinary AS (SELECT m, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, '{quoted}', ' ', 'g'), '{ORDINARY}')) AS m FROM drawn) x WHERE NOT regexp_matches(m, '{HEX}|{ACCESS}') GROUP BY m),
 pr AS ({pair.format(src="strings")}), po AS ({pair.format(src="ordinary")}),
-cb AS (SELECT a, b, coalesce(pr.n, 0) AS r, coalesce(po.n, 0) AS o FROM pr FULL JOIN po USING (a, b)),
-w AS (SELECT *, round({UNIT} * ({log("r", "tr")} - {log("o", "tot")}))::INT AS w FROM (SELECT *, sum(r) OVER (PARTITION BY a) AS tr, sum(o) OVER (PARTITION BY a) AS tot FROM cb) x),
-other AS (SELECT DISTINCT a, round({UNIT} * ln((tot + {SMOOTH * SYMBOLS}::DOUBLE) / (tr + {SMOOTH * SYMBOLS}::DOUBLE)))::INT AS other FROM w),
+g AS (SELECT k, a, b, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT unnest(['r', 'o']) AS k) k1, (SELECT unnest(range(128))::INT AS a) a1, (SELECT unnest(range(128))::INT AS b) b1) grid
+  LEFT JOIN (SELECT 'r' AS k, * FROM pr UNION ALL SELECT 'o', * FROM po) p USING (k, a, b)),
+l AS (SELECT k, a, b, ln((n + {SMOOTH}::DOUBLE * (sum(n) OVER (PARTITION BY k, b) + 0.5::DOUBLE) / (sum(n) OVER (PARTITION BY k) + {0.5 * SYMBOLS}::DOUBLE)) / (sum(n) OVER (PARTITION BY k, a) + {SMOOTH}::DOUBLE)) AS log FROM g),
+w AS (SELECT a, b, round({UNIT} * (max(log) FILTER (WHERE k = 'r') - max(log) FILTER (WHERE k = 'o')))::INT AS w FROM l GROUP BY a, b),
 tp AS (SELECT DISTINCT m, unnest(c[:-2]) AS a, unnest(c[2:]) AS b, unnest(range(len(c) - 1)) AS i FROM (SELECT m, list_concat([0], list_transform(list_filter(string_split(m, ''), lambda x: x <> ''), lambda x: ascii(x)), [0]) AS c FROM (SELECT DISTINCT m FROM tokens) y) x),
-score AS (SELECT m, sum(coalesce(w.w, other.other, 0)) AS s FROM tp LEFT JOIN w USING (a, b) LEFT JOIN other ON other.a = tp.a GROUP BY m),
+score AS (SELECT m, sum(w) AS s FROM tp JOIN w USING (a, b) GROUP BY m),
 spans AS (SELECT row, pos, list_position({list(KINDS)}, kind) AS k, kind || ':' || pos || ':' || ends AS span FROM base
   UNION ALL SELECT row, pos, 4, 'markov:' || pos || ':' || ends FROM tokens JOIN score USING (m) WHERE s >= {20 * UNIT} AND EXISTS (SELECT 1 FROM strings) AND EXISTS (SELECT 1 FROM ordinary))
 SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE k = 1) AS n_assign, count(*) FILTER (WHERE k = 2) AS n_access, count(*) FILTER (WHERE k = 3) AS n_hex,

@@ -184,6 +184,9 @@ def test_ratio_is_that_of_two_chains(spark):
     for probe in ("k9x27zz", "ordinary", "prose"):
         want = 0
         for a, b in zip("\0" + probe, probe + "\0", strict=True):
-            p = {n: (c[a, b] + 0.5) / (sum(v for (x, _), v in c.items() if x == a) + 34) for n, c in count.items()}
+            p = {}
+            for n, c in count.items():
+                single = (sum(v for (_, y), v in c.items() if y == b) + 0.5) / (sum(c.values()) + 0.5 * 69)
+                p[n] = (c[a, b] + 10 * single) / (sum(v for (x, _), v in c.items() if x == a) + 10)
             want += round(1000 * (math.log(p["r"]) - math.log(p["o"])))
-        assert abs(spark.range(1).select(secret_scan.ratio(F.lit(probe), weights)).first()[0] - want) <= len(probe) + 1
+        assert abs(spark.range(1).select(secret_scan.ratio(F.lit(probe), weights)).first()[0] - want) <= 1
