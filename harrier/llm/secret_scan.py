@@ -3,7 +3,7 @@
 Three patterns find assignments, access keys and runs of hexadecimal digits. Beside them two Markov models of
 characters, one of random strings and one of ordinary identifiers, judge every other long token: what is likelier
 under the first, by a stated log-likelihood ratio, is a secret too. The models are trained from labelled samples of the corpus:
-all distinct strings that the patterns found are random, the tokens of a sample of documents that no pattern touches are ordinary.
+all distinct strings that the patterns found are random, the shorter tokens of a sample of documents are ordinary.
 
 Texts are read once for spans and long tokens and once more for the sample; models and scores need no texts.
 """
@@ -30,7 +30,8 @@ LEAST_ASSIGNED = 12
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Tokens that the models judge, those that train the ordinary one, and the symbols of both models with the end.
-TOKEN, ORDINARY, SYMBOLS = "[A-Za-z0-9+/_=-]{16,}", "[A-Za-z0-9+/_=-]{4,}", 69
+LONG = 16
+TOKEN, ORDINARY, SYMBOLS = "[A-Za-z0-9+/_=-]{%d,}" % LONG, "[A-Za-z0-9+/_=-]{4,}", 69
 #: A token without any is a line or a rule.
 LETTER = "[A-Za-z0-9]"
 #: How many symbols in the model's own proportions are added to those that follow a symbol.
@@ -93,14 +94,14 @@ def train(docs: DataFrame, found: DataFrame, *, sample_rows: int = 20_000) -> li
     """The weight of symbol b after a at ``128 * a + b``: how much likelier it is in a random string, as a logarithm in
     units of 1 / UNIT. None where either sample is empty; then there is nothing to compare.
 
-    Random strings are all distinct ones in the spans of ``found``; ordinary tokens, as often as they occur, come from about
-    ``sample_rows`` of all documents, drawn by a hash of id and text.
+    Random strings are all distinct ones in the spans of ``found``. Ordinary are tokens too short to be judged, as often as
+    they occur outside assignments in about ``sample_rows`` of all documents, drawn by a hash of id and text.
     """
     strings = found.select(F.explode(F.concat("assign", "access", "hex")).alias("s")).select("s.m").distinct().withColumn("n", F.lit(1))
     drawn = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))), 1, 8), 16, 10).cast("long")
     share = min(1.0, sample_rows / max(1, found.count()))
     left = F.regexp_replace(F.coalesce("text", F.lit("")), ASSIGN, " ")
-    tokens = docs.where(drawn < int(share * 2**32)).select(F.explode(_all(left, ORDINARY)).alias("m")).where(~F.rlike("m", F.lit(f"{HEX}|{ACCESS}")))
+    tokens = docs.where(drawn < int(share * 2**32)).select(F.explode(_all(left, ORDINARY)).alias("m")).where(F.length("m") < LONG)
     tokens = tokens.groupBy("m").agg(F.count("*").alias("n"))
     counts = [{(r.a, r.b): r.n for r in _pairs(of).collect()} for of in (strings, tokens)]  # a row for each pair of symbols at most
     return weights(*counts) if all(counts) else None
@@ -171,7 +172,7 @@ r2 AS (SELECT row, piece, z[1] AS m, sum(z[2] + length(z[1])) OVER (PARTITION BY
 tokens AS (SELECT r2.row, r2.m, r2.ends - length(r2.m) + coalesce(m2.ends, 0) AS pos, r2.ends + coalesce(m2.ends, 0) AS ends FROM r2 LEFT JOIN m2 ON m2.row = r2.row AND m2.kind = 'assign' AND m2.i = piece - 1 WHERE regexp_matches(r2.m, '{LETTER}') AND NOT regexp_matches(r2.m, '{HEX}|{ACCESS}')),
 strings AS (SELECT DISTINCT m, 1 AS n FROM base),
 drawn AS (SELECT text FROM d WHERE ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || text), 1, 8))::BIGINT < (SELECT floor(least(1.0::DOUBLE, 20000::DOUBLE / greatest(1, count(*))) * 4294967296.0::DOUBLE)::BIGINT FROM d)),
-ordinary AS (SELECT m, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, '{quoted}', ' ', 'g'), '{ORDINARY}')) AS m FROM drawn) x WHERE NOT regexp_matches(m, '{HEX}|{ACCESS}') GROUP BY m),
+ordinary AS (SELECT m, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, '{quoted}', ' ', 'g'), '{ORDINARY}')) AS m FROM drawn) x WHERE length(m) < {LONG} GROUP BY m),
 pr AS ({pair.format(src="strings")}), po AS ({pair.format(src="ordinary")}),
 g AS (SELECT k, a, b, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT unnest(['r', 'o']) AS k) k1, (SELECT unnest(range(128))::INT AS a) a1, (SELECT unnest(range(128))::INT AS b) b1) grid
   LEFT JOIN (SELECT 'r' AS k, * FROM pr UNION ALL SELECT 'o', * FROM po) p USING (k, a, b)),

@@ -155,26 +155,31 @@ def test_secrets_of_awkward_rows(spark):
     parts = ["password", "PassWd=", "token: \"", "api_key = '", "APIKEY:", "secret", ":", "=", " ", "  ", "AKIA", "AKIAABCDEFGHIJ1234", "deadbeef", "0123456789abcdef", "é", "😀", "x.y-z/", "abcdefghijkl", "ſecret=", "toKen:abcdefghijklmn", "\n", "\x00"]
     rows = [(i, "".join(r.choice(parts) for _ in range(r.randrange(40))), "en", "s", "x", "y") for i in range(250)]
     rows += [(None, None, "en", "s", "x", "y"), (900, "", "en", "s", "x", "y"), (3, "password: token: abcdefghijklmn", "en", "s", "x", "y"), (901, "ÀÀ " + "token=a " * 3000 + "token=abcdefghijklmnop", "en", "s", "x", "y")] * 2
-    drawn = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(36))
-    rows += [(1000 + i, f"Schifffahrtsgesellschaften und understandings token={drawn()}", "de", "s", "x", "y") for i in range(120)]
-    key = drawn()
-    rows += [(2000, f"née ghp_{key} understandingsgesellschaft ------------------------", "de", "s", "x", "y")]
     got = secret_scan.scan(spark.createDataFrame(rows, DOC).repartition(4)).collect()
     assert Counter((g.doc_id, g.n_assign, g.n_access, g.n_hex, g.base_sha256) for g in got) == Counter((x[0], *plain_base(x[1])) for x in rows)
     for g in got:  # what the models add is beside the base spans, which stay
         base = [s for s in g.spans.split(",") if s and not s.startswith("markov")]
         assert hashlib.sha256(",".join(base).encode()).hexdigest() == g.base_sha256
-    assert [g.spans for g in got if g.doc_id == 2000] == ["markov:4:44"]
     assert secret_scan.scan(spark.createDataFrame([], DOC)).collect() == []
 
 
+def test_models_add_random_tokens_and_no_others(spark):
+    r = random.Random(5)
+    drawn = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(36))
+    rows = [(i, f"Schifffahrtsgesellschaften: Schifffahrt, Gesellschaft und understandings of Prose, MAX_NUMBER RETRIES token={drawn()}", "de", "s", "x", "y") for i in range(120)]
+    rows += [(2000 + i, f"née ghp_{drawn()} understandingsgesellschaft Understandings_of_Retries ------------------------", "de", "s", "x", "y") for i in range(20)]
+    got = secret_scan.scan(spark.createDataFrame(rows, DOC).repartition(4)).collect()
+    assert {g.spans for g in got if g.doc_id >= 2000} == {"markov:4:44"} and {g.spans for g in got if g.doc_id < 2000} == {"assign:102:144"}
+    assert all("markov" not in g.spans for g in secret_scan.scan(spark.createDataFrame(rows[120:], DOC)).collect())  # nothing labelled: no model
+
+
 def test_ratio_is_that_of_two_chains(spark):
     rows = [(i, f"token={w * 2}zq9x7k2v ordinary words of ordinary prose {i}", "en", "s", "x", "y") for i, w in enumerate(["k9x2", "q7zz", "0v3j", "x8w1"])]
     docs = spark.createDataFrame(rows, DOC)
     found = secret_scan._found(docs)
     weights = secret_scan.train(docs, found)
     values = {BASE["assign"][0].search(x[1])[1] for x in rows}
-    left = Counter(t for x in rows for t in re.findall(secret_scan.ORDINARY, re.sub(secret_scan.ASSIGN, " ", x[1])))
+    left = Counter(t for x in rows for t in re.findall(secret_scan.ORDINARY, re.sub(secret_scan.ASSIGN, " ", x[1])) if len(t) < 16)
     count = {}
     for name, strings in (("r", Counter(values)), ("o", left)):
         count[name] = Counter()
