@@ -20,8 +20,6 @@ from .common import saved
 
 #: Fixed masks; six words count in each.
 MASKS = ("1110111", "11011011", "1101001101")
-#: In the SQL only.
-SPAN = max(map(len, MASKS))
 
 
 def word_hashes(text: Column) -> Column:
@@ -122,11 +120,8 @@ WITH d AS (SELECT doc_id, {words} AS w FROM documents),
 b AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, {words} AS w FROM benchmark) x WHERE len(w) >= {min(map(len, MASKS))} GROUP BY w),
 ds AS ({laid.format(key="doc_id", src="d")}),
 bs AS ({laid.format(key="item_id", src="b")}),
-h AS (SELECT doc_id, item_id, ds.i - bs.i AS lag, min(ds.i) AS f, max(ds.i) AS l FROM ds JOIN bs USING (m, seed) GROUP BY ALL),
-p AS (SELECT h.doc_id, h.item_id, lag, f, least(l + {SPAN - 1}, len(d.w) - 1, lag + len(b.w) - 1) AS e, d.w AS dw, b.w AS bw FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
-q AS (SELECT doc_id, item_id, lag, len(bw) AS item_words, e - f + 1 AS width,
-      len(list_filter(range(lag, lag + len(bw)), lambda i: i >= 0 AND i < len(dw) AND dw[i + 1] = bw[i - lag + 1])) AS matched,
-      len(list_filter(range(f, e + 1), lambda i: dw[i + 1] = bw[i - lag + 1])) AS inside FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, lag) AS k FROM q
-      WHERE matched >= 0.8 * item_words OR (inside >= 13 AND inside >= 0.8 * width))
+h AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS lag FROM ds JOIN bs USING (m, seed)),
+p AS (SELECT h.doc_id, h.item_id, lag, len(b.w) AS item_words, list_filter(range(lag, lag + len(b.w)), lambda i: i >= 0 AND i < len(d.w) AND d.w[i + 1] = b.w[i - lag + 1]) AS hit FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+q AS (SELECT *, len(hit) AS matched, len(list_filter(range(1, len(hit) - 11), lambda i: len(list_filter(range(13, 26), lambda k: i + k - 1 <= len(hit) AND hit[i + k - 1] - hit[i] < 5 * k // 4)) > 0)) > 0 AS stretch FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, lag) AS k FROM q WHERE matched >= 0.8 * item_words OR stretch)
 SELECT doc_id, item_id, matched::INT AS matched, item_words::INT AS item_words, lag::INT AS doc_from FROM r WHERE k = 1"""

@@ -132,14 +132,20 @@ class LanguageModels:
         return out
 
 
+#: Documents of a language that are drawn at least, and how many of them are all learned from.
+LEAST, FEW = 40, 10
+
+
 def train(labelled: DataFrame, *, per_language: int = 1500, total: int = 750_000, slack: float = 1.5) -> LanguageModels | None:
     """Models from rows with text and lang.
 
     A sample of about ``per_language`` documents a language is drawn by a hash of the id, of fewer if all
-    languages together would have more than ``total`` (documented bounds of the classifier's sample). Every lang value is learned.
+    languages together would have more than ``total``, but of ``LEAST`` at least, or all that there are (documented bounds of the
+    classifier's sample). Every lang value that has a letter in its sample is learned.
     Nine tenths of it are counted; the rest set each language's limit of rejection:
     ``slack`` times the highest cross-entropy of a held-back text, and an allowance for
-    short texts. Null langs and texts are not learned from. None if nothing can be learned.
+    short texts. Of a language with no more than ``FEW`` documents in the sample all are counted, and it rejects nothing.
+    Null langs and texts are not learned from. None if nothing can be learned.
     """
     short_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
@@ -147,9 +153,10 @@ def train(labelled: DataFrame, *, per_language: int = 1500, total: int = 750_000
     if not sizes:
         return None
     draw = lambda salt: F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(salt)), 11) / float(2**53)
-    each = min(per_language, total / len(sizes))
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, each / n)]), F.col("lang"))
-    sample = rows.where(draw(3) < rate).withColumn("back", draw(4) < 0.1)
+    each = max(LEAST, min(per_language, total / len(sizes)))
+    of_lang = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("lang"))
+    sample = rows.where(draw(3) < of_lang({lang: each / n for lang, n in sizes.items()}))
+    sample = sample.withColumn("back", draw(4) < of_lang({lang: 0.1 if min(n, each) > FEW else 0.0 for lang, n in sizes.items()}))
 
     def count(batches):
         grams: dict[str, Counter] = {}

@@ -146,8 +146,10 @@ class LogBilinear:
                 x -= rate * g / np.sqrt(total)
 
     def log_probabilities(self, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """Natural logarithms, normalised over groups and over the words of the group."""
-        r, u, q, c, bias_u, bias_q = self.parts
+        """Natural logarithms, normalised over groups and over the words of the group.
+
+        In double precision: a product's last bits hang on the rows beside it, which is then far below what scores are compared by."""
+        r, u, q, c, bias_u, bias_q = (x.astype(np.float64) for x in self.parts)
         s = self.rank[s]
         k = self.group[s]
         left, right = r @ c[0], r @ c[1]
@@ -166,16 +168,17 @@ class LogBilinear:
 
 
 def _chosen(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Normalised logarithms. All products are of ``ROWS`` rows, so that a row's result does not hang on those beside it."""
-    full = np.zeros((ROWS, DIM), np.float32)
-    full[: len(h)] = h
-    score = (full @ vectors.T)[: len(h)] + bias
-    return score[np.arange(len(h)), which] - _log_sum(score)
+    """Normalised logarithms."""
+    score = h @ vectors.T
+    score += bias
+    chosen = score[np.arange(len(h)), which]
+    return chosen - _log_sum(score)
 
 
 def _log_sum(score: np.ndarray) -> np.ndarray:
     top = score.max(axis=1)
-    return top + np.log(np.exp(score - top[:, None]).sum(axis=1))
+    score -= top[:, None]
+    return top + np.log(np.exp(score, out=score).sum(axis=1))
 
 
 class Scorer:

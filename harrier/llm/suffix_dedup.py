@@ -6,7 +6,8 @@ anchor, the ``GRAM``-byte string in it of the least hash (the leftmost of ties),
 anchors at equal places. The consecutive windows of one anchor are a hull of bytes:
 
 * an anchor string that occurs once has no repeated window;
-* equal hulls around equal anchors repeat all their windows (anchor and hull are compared by 64 bits each);
+* equal hulls around equal anchors repeat all their windows (hulls are compared by 64 bits of a cryptographic hash
+  under a key that is drawn anew in each run, so that no text can be made to collide, and only within one anchor);
 * the different hulls of one anchor string (the ends of repeated passages, mostly) are brought together,
   one of each, and their suffixes are sorted (``suffix_sort``): neighbours with a common
   prefix of ``SPAN`` bytes are repeated windows.
@@ -20,6 +21,7 @@ than memory: the sorter goes to disk.
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pandas as pd
@@ -62,11 +64,8 @@ class Prefixes:
         up, self.down = _power(len(b) + 1)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[b] * up[:-1])])
 
-    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[hi] - self.sums[lo]) * self.down[lo])
 
-
-def _hulls(text: bytes, lens: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+def _hulls(text: bytes, lens: np.ndarray, level: int, key: bytes) -> tuple[np.ndarray, ...]:
     """Of texts that stand one after another: which text, anchor's hash, hash of hull and anchor's place in it, first
     window, last window. Each level has other anchors."""
     n = len(text) - SPAN + 1
@@ -89,12 +88,18 @@ def _hulls(text: bytes, lens: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new & inside)
     last = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
     anchor, of = at[first], of[first]
-    hull = p.of(first, last + SPAN) ^ _mix(((anchor - first) << 32 | (last - first)).astype(np.uint64))
+    digest = hashlib.blake2b(key=key, digest_size=8)
+    hashed = []
+    for lo, hi in zip(first.tolist(), (last + SPAN).tolist(), strict=True):
+        one = digest.copy()
+        one.update(text[lo:hi])
+        hashed.append(one.digest())
+    hull = np.frombuffer(b"".join(hashed), np.uint64)
     begin = (end - lens)[of]
     return of, grams[anchor], _mix(hull ^ grams[anchor] * np.uint64(3)), first - begin, last - begin
 
 
-def hulls(texts: list[bytes], level: int = 0) -> tuple[np.ndarray, ...]:
+def hulls(texts: list[bytes], key: bytes, level: int = 0) -> tuple[np.ndarray, ...]:
     """Of whole texts: those of ``_hulls``. A text that is shorter than a window has none."""
     stretches = [(i, lo, t[lo : lo + SEGMENT + SPAN - 1]) for i, t in enumerate(texts) for lo in range(0, len(t) - SPAN + 1, SEGMENT)]
     parts, held, size = [], [], 0
@@ -102,7 +107,7 @@ def hulls(texts: list[bytes], level: int = 0) -> tuple[np.ndarray, ...]:
         held.append(x)
         size += len(x[2])
         if size >= TOGETHER or k == len(stretches) - 1:
-            of, a, h, s, e = _hulls(b"".join(t for _, _, t in held), np.array([len(t) for _, _, t in held]), level)
+            of, a, h, s, e = _hulls(b"".join(t for _, _, t in held), np.array([len(t) for _, _, t in held]), level, key)
             number, offset = np.array([i for i, _, _ in held]), np.array([lo for _, lo, _ in held])
             parts.append((number[of], a, h, s + offset[of], e + offset[of]))
             held, size = [], 0
@@ -115,7 +120,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _hull_rows(texts: DataFrame, once: bool) -> DataFrame:
+def _hull_rows(texts: DataFrame, key: bytes, once: bool) -> DataFrame:
     """anchor, hull, of and id (a text's hash and row), span (first and last window), n.
 
     ``once``: hulls that many texts of a batch have give one row, n counting them; else each
@@ -135,7 +140,7 @@ def _hull_rows(texts: DataFrame, once: bool) -> DataFrame:
             if not seen:
                 continue
             rows = list(seen.values())
-            k, a, h, s, e = hulls([texts_[i] for i in rows])
+            k, a, h, s, e = hulls([texts_[i] for i in rows], key)
             text, row, n = np.array(list(seen))[k], np.array([ids[i] for i in rows])[k], np.array([times[x] for x in seen])[k]
             cols = [_signed(a), _signed(h), text, row, s << 32 | e, n]
             if once:
@@ -192,9 +197,10 @@ def repeated(texts: DataFrame, *, shard_bytes: int = 1 << 20, crowd: int = 4_000
 
     ``memory``: suffixes of a shard that are sorted in memory; beyond it the sorter uses files.
     """
-    twice, mixed = _mixed(_hull_rows(texts, True).withColumn("at", F.struct("of", "id", "span")), "sfx-hulls")
+    key = secrets.token_bytes(32)
+    twice, mixed = _mixed(_hull_rows(texts, key, True).withColumn("at", F.struct("of", "id", "span")), "sfx-hulls")
     end = (F.col("span").bitwiseAND(0xFFFFFFFF) + SPAN).alias("e")
-    marks = _hull_rows(texts, False).join(twice, ["anchor", "hull"]).select("of", F.shiftright("span", 32).alias("s"), end)
+    marks = _hull_rows(texts, key, False).join(twice, ["anchor", "hull"]).select("of", F.shiftright("span", 32).alias("s"), end)
     asked = mixed.groupBy("at.of", "at.id").agg(F.collect_list(F.struct("anchor", "hull", "at.span", "hulls")).alias("asked"))
     asked = asked.select("of", "id", "asked.anchor", "asked.hull", "asked.span", "asked.hulls")
 
@@ -228,7 +234,7 @@ def repeated(texts: DataFrame, *, shard_bytes: int = 1 << 20, crowd: int = 4_000
             for b in batches:
                 out: dict[str, list] = {c: [] for c in ("anchor", "hull", "of", "first", "bytes", "hulls")}
                 parents, of, firsts, texts_ = (b[c].to_pylist() for c in ("anchor", "of", "first", "bytes"))
-                k, a, h, s, e = hulls(texts_, level)
+                k, a, h, s, e = hulls(texts_, key, level)
                 a = _mix(a ^ np.array(parents, np.int64).view(np.uint64)[k] * np.uint64(3))
                 h = _mix(h ^ a)
                 out["anchor"], out["hull"], out["of"], out["first"] = _signed(a), _signed(h), np.array(of)[k], np.array(firsts)[k] + s

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import unicodedata
 import zlib
 from itertools import accumulate
 
@@ -91,11 +92,13 @@ class Words(dict):
 
     def _cut(self, text: str | None) -> list[str]:
         """Pieces in lower case if the tokenizer makes no difference: not in texts with a sigma, whose lower case the library
-        takes without regard to its place, with a dotted I, which becomes two characters, or its dot, or with what may become a special token."""
+        takes without regard to its place, with a dotted I, which becomes two characters, or its dot, or with what may become a special token;
+        nor in texts whose characters it composes, before lower case is taken or after."""
         if not text:
             return []
         low = text.lower() if self.lowers else text
-        return PIECES(text if any(x in text for x in "Σİ\u0307") or any(x in low for x in self.special) else low)
+        composed = text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low))
+        return PIECES(low if composed and not any(x in text for x in "Σİ\u0307") and not any(x in low for x in self.special) else text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text."""
