@@ -153,10 +153,12 @@ class LogBilinear:
         s = self.rank[s]
         k = self.group[s]
         left, right = r @ c[0], r @ c[1]
-        h, out = left[a] + right[b], np.zeros(len(s))
-        for lo in range(0, len(s), ROWS):
-            some = slice(lo, lo + ROWS)
-            out[some] = _chosen(h[some], u, bias_u, k[some])
+        context, of = np.unique(a * np.int64(len(r)) + b, return_inverse=True)  # half of a batch's contexts are repeated
+        h, all_groups = left[context // len(r)] + right[context % len(r)], np.empty(len(context))
+        for lo in range(0, len(context), ROWS):
+            all_groups[lo : lo + ROWS] = _log_sum(h[lo : lo + ROWS] @ u.T + bias_u)
+        h = h[of]
+        out = np.einsum("id,id->i", h, u[k]) + bias_u[k] - all_groups[of]
         order = np.argsort(k, kind="stable")
         edge = np.searchsorted(k[order], np.arange(len(u) + 1))
         for g in np.flatnonzero((np.diff(edge) > 0) & (np.diff(self.begin) > 1)):
@@ -188,6 +190,8 @@ class Scorer:
         self.model, self.symbols, self.hashes, self.counts = model, Symbols(modelled), hashes, counts
         self.tail_log = np.log10(tail_tokens + tail_words + 1.0)
         self.log_total, self.ends = math.log10(total + kinds + 1), ends
+        own = np.array([word_hash(w) for w in modelled], np.int64)
+        self.modelled_logs = np.log10(counts[np.searchsorted(hashes, own)] + 1.0) if len(own) else np.zeros(0)
 
     def score(self, texts: list[str | None]) -> dict:
         """Sums over known words, and each text's other words with their times."""
@@ -197,14 +201,15 @@ class Scorer:
         lens = [len(t) for t in found]
         of = np.repeat(np.arange(len(texts)), lens)
         flat = [w for t in found for w in t]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat)).view(np.int64) ^ np.int64(-(2**63))
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[at] == h
-            logs = np.where(hit, np.log10(self.counts[at] + 1.0), 0.0)
-        else:
-            hit, logs = np.zeros(len(h), bool), np.zeros(len(h))
         symbol, first_tail = rows[rows[:, 2] != self.symbols.end, 2], len(self.symbols.modelled)
+        hit, logs = symbol < first_tail, np.zeros(len(symbol))
+        logs[hit] = self.modelled_logs[symbol[hit]]
+        rare = np.flatnonzero(~hit)  # counts of modelled words are known by their symbols
+        if len(rare) and len(self.hashes):
+            h = np.fromiter((xxhash.xxh64_intdigest(flat[i]) for i in rare.tolist()), np.uint64, len(rare)).view(np.int64) ^ np.int64(-(2**63))
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit[rare] = self.hashes[at] == h
+            logs[rare] = np.where(hit[rare], np.log10(self.counts[at] + 1.0), 0.0)
         # a word of a tail has its share of the tail; a modelled word is a symbol itself
         share = np.where(symbol < first_tail, 0.0, logs - self.tail_log[np.maximum(symbol - first_tail, 0)])
         n = np.array(lens, np.int64) + 1
