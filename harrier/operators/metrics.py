@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import expected_score, hash_uniform, logistic
+from ..functions.kernels import ELO_SCALE, hash_uniform
 
 
 def baseline_scores(samples: DataFrame, seed: int = 0) -> DataFrame:
@@ -30,12 +34,24 @@ def elo_scores(samples: DataFrame, ratings: DataFrame) -> DataFrame:
 def race_pairs(scores: DataFrame) -> DataFrame:
     """method, race_id, pairs, correct: of all pairs in a race, who is ahead has the higher score; ties are half.
 
-    Races are joined with themselves on (method, race), so a pair never leaves its race.
+    No pair is made. Places are numbered from 0, and two places part at the highest bit in which they differ: at each
+    bit, those of a block (equal higher bits) without the bit are ahead of those with it. So each row is written once for each
+    bit, and in each block, by score, the rows ahead are counted up to each row behind: n log n rows for n starters.
     """
-    a = scores.select("method", "race_id", F.col("pos").alias("i"), F.col("score").alias("x"))
-    b = scores.select("method", "race_id", F.col("pos").alias("j"), F.col("score").alias("y"))
-    right = F.when(F.col("x") > F.col("y"), 1.0).when(F.col("x") == F.col("y"), 0.5).otherwise(0.0)
-    return a.join(b, ["method", "race_id"]).where("i < j").groupBy("method", "race_id").agg(F.count("*").alias("pairs"), F.sum(right).alias("correct"))
+    race = Window.partitionBy("method", "race_id")
+    rows = scores.select("method", "race_id", F.col("score").cast("double").alias("score"), (F.row_number().over(race.orderBy("pos")) - 1).alias("at"), F.count("*").over(race).alias("n"))
+    bits = F.sequence(F.lit(0), F.ceil(F.log2("n")).cast("int") - 1)
+    split = rows.where("n > 1").select("method", "race_id", "score", "at", F.explode(bits).alias("bit"))
+    split = split.select("method", "race_id", "score", "bit", F.expr("shiftright(at, bit + 1)").alias("block"), F.expr("shiftright(at, bit) & 1").alias("behind"))
+    block = Window.partitionBy("method", "race_id", "bit", "block").orderBy("score")
+    # of the rows ahead: those that score no less (with all of a score's ties in the frame), and those that score more
+    ahead = F.sum(1 - F.col("behind"))
+    every, no_more = ahead.over(block.orderBy()), ahead.over(block.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    less = no_more - ahead.over(Window.partitionBy("method", "race_id", "bit", "block", "score"))
+    right = F.when(F.col("behind") == 1, (every - no_more) + (no_more - less) / 2)
+    sums = split.withColumn("right", right).groupBy("method", "race_id").agg(F.sum("right").alias("correct"))
+    counts = rows.where("n > 1").groupBy("method", "race_id").agg((F.max("n") * (F.max("n") - 1) / 2).cast("long").alias("pairs"))
+    return counts.join(sums, ["method", "race_id"])
 
 
 def pair_accuracy(scores: DataFrame, samples: DataFrame | None = None) -> DataFrame:
@@ -55,13 +71,46 @@ def format_comparison(table: DataFrame) -> str:
     return "\n".join([head, *(f"{r.method:<14}{r.accuracy:>9.4f}{r.pairs:>10,}{r.races:>7}{r.skipped:>9}" for r in rows)])
 
 
+#: Starters of a race whose pairs with as many others are one matrix.
+PAIR_BLOCK = 512
+
+
+def pair_sums(rows: DataFrame, of_pairs: Callable[..., tuple[np.ndarray, np.ndarray]], *values: str) -> DataFrame:
+    """race_id, pairs, correct, loss: ``of_pairs`` (whether right, and loss, as matrices) summed over all pairs in a race, the one
+    ahead by ``at`` (from 0) first. It gets a column and a row of each of ``values``.
+
+    A loss of each pair can't be had without each pair, but no pair is a row: a race's starters lie in blocks, every
+    two blocks are a group, and a group's pairs are matrices in its task. A row goes to as many groups as there are blocks.
+    """
+    sizes = rows.groupBy("race_id").agg(F.expr(f"max(at) div {PAIR_BLOCK} + 1").alias("blocks"))
+    dealt = rows.select("race_id", "at", *values, F.expr(f"at div {PAIR_BLOCK}").alias("own")).join(sizes, "race_id")
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("blocks", "other")
+
+    def sums(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at")
+        left, right = group[group.own == group.a], group[group.own == group.b]
+        correct, loss = of_pairs(*(x for v in values for x in (left[v].to_numpy()[:, None], right[v].to_numpy()[None, :])))
+        use = left["at"].to_numpy()[:, None] < right["at"].to_numpy()[None, :]
+        return pd.DataFrame({"race_id": [group.race_id.iloc[0]], "pairs": [int(use.sum())], "correct": [float(correct[use].sum())], "loss": [float(loss[use].sum())]})
+
+    found = dealt.groupBy("race_id", "a", "b").applyInPandas(sums, "race_id string, pairs long, correct double, loss double")
+    return found.groupBy("race_id").agg(*[F.sum(c).alias(c) for c in ("pairs", "correct", "loss")]).where("pairs > 0")
+
+
+def _log_loss(p: np.ndarray) -> np.ndarray:
+    return -np.log(np.maximum(p, 1e-12))
+
+
 def ranker_metrics(scores: DataFrame) -> DataFrame:
     """Pair accuracy and log loss of a ranker's margins."""
-    a = scores.select("race_id", F.col("pos").alias("i"), F.col("score").alias("x"))
-    b = scores.select("race_id", F.col("pos").alias("j"), F.col("score").alias("y"))
-    margin = F.col("x") - F.col("y")
-    loss = -F.ln(F.greatest(logistic(margin), F.lit(1e-12)))
-    return a.join(b, "race_id").where("i < j").agg(F.count("*").alias("pairs"), F.avg(F.when(margin > 0, 1.0).when(margin == 0, 0.5).otherwise(0.0)).alias("accuracy"), F.avg(loss).alias("log_loss"))
+
+    def of_pairs(x, y):
+        margin = x - y
+        return (margin > 0) + 0.5 * (margin == 0), _log_loss(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+
+    rows = scores.select("race_id", F.col("score").cast("double").alias("score"), (F.row_number().over(Window.partitionBy("race_id").orderBy("pos")) - 1).alias("at"))
+    total = pair_sums(rows, of_pairs, "score")
+    return total.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), (F.sum("correct") / F.sum("pairs")).alias("accuracy"), (F.sum("loss") / F.sum("pairs")).alias("log_loss"))
 
 
 def rank_correlation(ranked: DataFrame) -> DataFrame:
@@ -88,11 +137,12 @@ def backtest(before: DataFrame, min_rated: int = 10) -> DataFrame:
     ranked_races = ranked.select("race_id").distinct()
     rated = ranked.where("n_races > 0").withColumn("rated", F.count("*").over(race)).where(F.col("rated") >= min_rated)
     rated = rated.withColumn("place", F.row_number().over(race.orderBy("rank", "fis_code")))
-    a = rated.select("race_id", F.col("place").alias("i"), F.col("rank").alias("ri"), F.col("rating").alias("x"))
-    b = rated.select("race_id", F.col("place").alias("j"), F.col("rank").alias("rj"), F.col("rating").alias("y"))
-    p = expected_score(F.col("x"), F.col("y"))
-    ahead = F.col("ri") < F.col("rj")
-    pairs = a.join(b, "race_id").where("i < j").groupBy("race_id").agg(F.count("*").alias("pairs"), F.sum(((p > 0.5) == ahead).cast("double")).alias("correct"), F.sum(-F.ln(F.greatest(F.when(ahead, p).otherwise(1 - p), F.lit(1e-12)))).alias("loss"))
+
+    def of_pairs(x, y, ri, rj):
+        p, ahead = 1 / (1 + 10 ** ((y - x) / ELO_SCALE)), ri < rj
+        return (p > 0.5) == ahead, _log_loss(np.where(ahead, p, 1 - p))
+
+    pairs = pair_sums(rated.select("race_id", "rating", "rank", (F.col("place") - 1).alias("at")), of_pairs, "rating", "rank")
     n, x, y = F.count("*"), -F.col("rating"), F.col("rank")
     cov = F.sum(x * y) - F.sum(x) * F.sum(y) / n
     var = lambda z: F.greatest(F.lit(0.0), F.sum(z * z) - F.sum(z) * F.sum(z) / n)

@@ -7,11 +7,13 @@ from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FEATURES
+from ..sources.scratch import settled
+from .together import Together
 
 PAIRS_PER_RACE = 600
 
@@ -68,41 +70,43 @@ def sampled_pairs(samples: DataFrame, seed: int = 0, most: int = PAIRS_PER_RACE)
 
 
 def fit(samples: DataFrame, *, epochs: int = 300, rate: float = 0.5, l2: float = 1e-4, seed: int = 0) -> Ranker:
-    """Full-batch gradient descent from zeros; the gradient of each epoch is summed where the pairs lie.
+    """Full-batch gradient descent from zeros, all of it in one barrier stage.
+
+    Races are dealt to as many tasks as run at once; each packs the pairs of its races into one matrix (53 KB a race
+    at most) and keeps it for all epochs. In an epoch the tasks add up their eleven sums (``Together``) and all take the
+    same step, so that no epoch needs a job or a shuffle. If a task is lost the stage begins anew. Barrier stages
+    need a fixed number of executors: with dynamic allocation Spark refuses them.
 
     Raises ValueError if no race has a pair.
     """
-    stats = samples.agg(*[f(n).alias(f"{f.__name__}_{n}") for n in FEATURES for f in (F.avg, F.stddev_pop)]).first()
+    samples = settled(samples.select("race_id", "pos", *FEATURES), "ranker-samples")
+    stats = samples.agg(F.countDistinct("race_id").alias("races"), *[f(n).alias(f"{f.__name__}_{n}") for n in FEATURES for f in (F.avg, F.stddev_pop)]).first()
     mean = np.array([stats[f"avg_{n}"] or 0.0 for n in FEATURES])
     std = np.array([stats[f"stddev_pop_{n}"] or 0.0 for n in FEATURES])
     std = np.where(std < 1e-8, 1.0, std)
-    diffs = sampled_pairs(samples, seed).select("race_id", F.zip_with("ahead", "behind", lambda a, b: a - b).alias("d")).persist()
-    n, races = diffs.agg(F.count("*"), F.countDistinct("race_id")).first()
-    if not n:
-        raise ValueError("no race with a pair to learn from")
-    w = np.zeros(len(FEATURES))
 
-    def moments(batches):
-        """Rows of differences, packed: a partition's are one matrix for all epochs."""
+    def learn(batches):
+        all_tasks = Together()
+        races, parts = set(), [np.empty((0, len(std)))]
         for b in batches:
-            d = np.stack(b.d.to_numpy()) / std
-            yield pd.DataFrame({"m": [d.astype("<f8").tobytes()]})
-
-    packed = diffs.select("d").mapInPandas(moments, "m binary").persist()
-    packed.count()
-    for _ in range(epochs):
-        now = w
-
-        def gradient(batches):
-            g = np.zeros(len(now))
-            for b in batches:
-                for m in b.m:
-                    d = np.frombuffer(m).reshape(-1, len(now))
-                    g += ((1 / (1 + np.exp(-np.clip(d @ now, -30, 30))) - 1)[:, None] * d).sum(axis=0)
-            yield pd.DataFrame({"i": range(len(g)), "g": g})
-
-        sums = {r.i: r.g for r in packed.mapInPandas(gradient, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()}  # a number a feature
-        w = w - rate * (np.array([sums[i] for i in range(len(w))]) / n + l2 * w)
-    packed.unpersist()
-    diffs.unpersist()
-    return Ranker(w.tolist(), mean.tolist(), std.tolist(), races=races, pairs=n)
+            races.update(b.column("race_id").unique().to_pylist())
+            d = b.column("d")
+            parts.append(d.values.to_numpy(zero_copy_only=False)[d.offsets[0].as_py() : d.offsets[-1].as_py()].reshape(-1, len(std)) / std)
+        d = np.concatenate(parts)
+
+        n, n_races = all_tasks.total(np.array([len(d), len(races)], float))
+        w = np.zeros(len(std))
+        for _ in range(epochs if n else 0):
+            pull = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30))) - 1
+            w = w - rate * (all_tasks.total(pull @ d) / n + l2 * w)
+        all_tasks.close()
+        if all_tasks.rank == 0:
+            yield pa.RecordBatch.from_pydict({"w": [w.tolist()], "pairs": [int(n)], "races": [int(n_races)]}, schema=pa.schema([("w", pa.list_(pa.float64())), ("pairs", pa.int64()), ("races", pa.int64())]))
+
+    spark = samples.sparkSession
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, stats.races))
+    pairs = sampled_pairs(samples, seed).select("race_id", F.zip_with("ahead", "behind", lambda a, b: a - b).alias("d"))
+    (got,) = settled(pairs, "ranker-pairs").repartition(tasks, "race_id").mapInArrow(learn, "w array<double>, pairs long, races long", barrier=True).collect()  # the first task's row
+    if not got.pairs:
+        raise ValueError("no race with a pair to learn from")
+    return Ranker(list(got.w), mean.tolist(), std.tolist(), races=got.races, pairs=got.pairs)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 
+# fixed values: factors of the mixing
+MIX = (0x7FEB352D, 0x846CA68B)
+
 
 def starters(start_list: DataFrame, athletes: DataFrame, ratings: DataFrame, pool: str, race_date: str | None = None) -> DataFrame:
     """A start list with names (else the code) and ratings of the pool, decayed to the race's date."""
@@ -16,19 +21,57 @@ def starters(start_list: DataFrame, athletes: DataFrame, ratings: DataFrame, poo
     return rows.select("race_id", "fis_code", F.coalesce("name", "fis_code").alias("name"), "nation", F.coalesce(K.decayed(F.col("rating"), F.coalesce(days, F.lit(0))), F.lit(K.ELO_START)).alias("rating"), F.coalesce("n_races", F.lit(0)).alias("n_races"))
 
 
+#: Draws of one group, and of one matrix within it: runs times starters.
+GROUP_DRAWS, BLOCK_DRAWS = 1 << 24, 1 << 20
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit mixing of counters: three shifts and two products, each bit of the result hangs on all of x."""
+    x = x ^ (x >> np.uint32(16))
+    x = x * np.uint32(MIX[0])
+    x = x ^ (x >> np.uint32(15))
+    x = x * np.uint32(MIX[1])
+    return x ^ (x >> np.uint32(16))
+
+
+def _rank_counts(field: pd.DataFrame, sims: int, per: int, spread: float) -> pd.DataFrame:
+    """How often each starter has each rank in one group's runs."""
+    field = field.sort_values("fis_code")
+    n, theta = len(field), field.theta.to_numpy()
+    k1, k2 = (field[c].to_numpy().astype(np.uint32) for c in ("k1", "k2"))
+    first = int(field.chunk.iloc[0]) * per + 1
+    last, cells = min(sims, first + per - 1), []
+    for lo in range(first, last + 1, max(1, BLOCK_DRAWS // n)):
+        run = np.arange(lo, min(last + 1, lo + max(1, BLOCK_DRAWS // n)), dtype=np.uint32)[:, None]
+        u = (mixed(mixed(run ^ k2) ^ k1) + 0.5) / 2.0**32
+        order = np.argsort(np.log(-np.log(u)) * spread - theta, axis=1, kind="stable")  # ties go by code
+        cell, times = np.unique(order * np.int64(n) + np.arange(n), return_counts=True)  # who, and at which place
+        cells.append((cell, times))
+    cell, of = np.unique(np.concatenate([c for c, _ in cells]), return_inverse=True)
+    times = np.bincount(of, np.concatenate([t for _, t in cells])).astype(np.int64)
+    return pd.DataFrame({"race_id": field.race_id.iloc[0], "fis_code": field.fis_code.to_numpy()[cell // n], "rank": (cell % n + 1).astype(np.int32), "n": times})
+
+
 def simulate(field: DataFrame, sims: int = 20_000, *, seed: int = 0, spread: float = 1.0) -> DataFrame:
-    """race_id, fis_code, mean_rank, median_rank, p_win, p_podium, p_top10.
+    """race_id, fis_code, mean_rank, median_rank, p_win, p_podium, p_top10 of each starter.
+
+    Noise is a mixing of the run's number with 64 bits of a hash of seed and starter, so it doesn't depend on
+    partitions and any run can be made anew. A race's runs are dealt to groups of about ``GROUP_DRAWS`` draws,
+    which make them in blocks and hand on how often each starter had each rank; these counts are merged, and the
+    median is that of the counts. One run of a race has to fit in memory. Equal scores go by code.
 
-    Noise is a hash of seed, run and starter, so it doesn't depend on partitions. Every starter has each
-    of the ``sims`` runs: a stated number of copies. Ranks are dealt by (race, run).
+    Raises ValueError if there is no starter.
     """
-    runs = field.select("race_id", "fis_code", "rating", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("run"))
-    u = K.hash_uniform(F.lit(str(seed)), F.col("run").cast("string"), F.col("fis_code"))
-    score = K.theta(F.col("rating")) + K.gumbel(u, spread)
-    rank = F.row_number().over(Window.partitionBy("race_id", "run").orderBy(F.desc("score"), "fis_code"))
-    ranked = runs.withColumn("score", score).withColumn("rank", rank)
-    share = lambda k: F.avg((F.col("rank") <= k).cast("double"))
-    return ranked.groupBy("race_id", "fis_code").agg(F.avg("rank").alias("mean_rank"), F.percentile("rank", F.lit(0.5)).alias("median_rank"), share(1).alias("p_win"), share(3).alias("p_podium"), share(10).alias("p_top10"))
+    if field.isEmpty():
+        raise ValueError("no starters to simulate")
+    word = lambda at: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "fis_code")), at, 8), 16, 10).cast("long")
+    rows = field.select("race_id", "fis_code", K.theta(F.col("rating")).alias("theta"), word(1).alias("k1"), word(9).alias("k2"))
+    sizes = field.groupBy("race_id").agg(F.count("*").alias("starters")).select("race_id", F.greatest(F.lit(1), F.expr(f"starters * {sims} div {GROUP_DRAWS}")).alias("chunks"))
+    sizes = sizes.select("race_id", F.expr(f"({sims} + chunks - 1) div chunks").alias("per"))
+    groups = rows.join(sizes, "race_id").withColumn("chunk", F.explode(F.expr(f"sequence(0, ({sims} - 1) div per)")))
+    counts = groups.groupBy("race_id", "chunk").applyInPandas(lambda rows: _rank_counts(rows, sims, int(rows.per.iloc[0]), spread), "race_id string, fis_code string, rank int, n long")
+    share = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("n")).otherwise(0)) / F.sum("n")
+    return counts.groupBy("race_id", "fis_code").agg((F.sum(F.col("rank") * F.col("n")) / F.sum("n")).alias("mean_rank"), F.percentile("rank", F.lit(0.5), F.col("n")).alias("median_rank"), share(1).alias("p_win"), share(3).alias("p_podium"), share(10).alias("p_top10"))
 
 
 def format_table(predictions: DataFrame, top: int = 15) -> str:

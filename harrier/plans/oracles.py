@@ -92,6 +92,15 @@ pr AS (SELECT x.rank < y.rank AS ahead, 1 / (1 + pow(10.0::DOUBLE, (y.rating - x
 rc AS (SELECT race_id, corr(-rating, rank) AS rho, (list_position(list(place ORDER BY rating DESC, place), 1) <= 3)::INT AS top3 FROM k GROUP BY race_id)"""
 
 
+def _mixed(x: str, keep: str, source: str | None) -> str:
+    """A SELECT of ``keep`` and x, the 32-bit mixing of an expression; without a source ``x`` is the SELECT of what goes in, mixed with k1."""
+    table = source or f"({x}) m"
+    out = f"SELECT {keep}, {x if source else 'xor(x, k1)'} AS x FROM {table}"
+    for step in ("xor(x, x >> 16)", "(x * 2146121005::UBIGINT) & 4294967295::UBIGINT", "xor(x, x >> 15)", "(x * 2221713035::UBIGINT) & 4294967295::UBIGINT", "xor(x, x >> 16)"):
+        out = f"SELECT {keep}, {step} AS x FROM ({out}) m"
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     events = ", ".join(f"('{e}', '{k}', '{t}', {x})" for e, k, t, x in EVENTS)
     nations = ", ".join(f"'{n}'" for n in FEDERATIONS)
@@ -121,7 +130,8 @@ FROM (SELECT *, sum(CASE WHEN gap <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY pl
         "race_index": _league("SELECT race_id, race_date, season, n, coalesce(season = 2001, false) AS held_out FROM races JOIN (SELECT race_id, count(*) AS n FROM results GROUP BY race_id) c USING (race_id)"),
         "rank_correlation": _league("""SELECT race_id, round(CASE WHEN count(*) > 1 THEN 1 - 6 * sum(pow(p - a, 2)) / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)) END, 6) AS spearman FROM (
   SELECT race_id, row_number() OVER (PARTITION BY race_id ORDER BY round(similar_form, 6) DESC, pos) AS p, row_number() OVER (PARTITION BY race_id ORDER BY pos) AS a FROM s) r GROUP BY race_id""", *SAMPLES),
-        "start_list": _league("SELECT race_id, fis_code, name, nation FROM results LEFT JOIN athletes USING (fis_code) WHERE race_id = '199701-1'"),
+        "start_list": _league("SELECT race_id, (row_number() OVER (PARTITION BY race_id ORDER BY fis_code))::INT AS bib, fis_code, name, nation FROM results LEFT JOIN athletes USING (fis_code)"),
+        "start_lists": _league("SELECT race_id, fis_code, name, nation FROM results LEFT JOIN athletes USING (fis_code)"),
         "uncovered_nations": _league(f"SELECT DISTINCT nation FROM athletes WHERE nation IS NOT NULL AND nation <> '' AND nation NOT IN ({nations})"),
         "entry_signals": f"SELECT event_id, signal, CASE WHEN signal IN ('fis_startlist', 'federation') THEN 'authoritative' ELSE 'flag_for_review' END AS treatment, CASE signal WHEN 'news_confirmed' THEN 0.6::DOUBLE WHEN 'news_rumour' THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM (SELECT event_id, [{names}][event_id % 4 + 1] AS signal FROM events) e",
         "fantasy_market": _league(f"""SELECT race_id, fis_code, coalesce(CASE WHEN rank <= 30 THEN {list(WORLD_CUP_POINTS)}[rank] END, 0)::INT AS worldcup, (CASE WHEN rank <= 30 THEN floor(100 * pow(0.93::DOUBLE, rank - 1) + 0.5) ELSE 0 END)::INT AS decay,
@@ -143,8 +153,8 @@ FROM (SELECT *, sum(CASE WHEN gap <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY pl
         "training_pairs": _league(PAIRS.replace("FROM s)", "FROM s WHERE coalesce(season <> 2001, true))"), *SAMPLES),
         "field_strength": _league(STRENGTH, PERF).replace("WITH ", "WITH RECURSIVE ", 1),
         "simulation": _league(f"""SELECT race_id, fis_code, round(avg(rank), 6) AS mean_rank, round(quantile_cont(rank, 0.5)::DOUBLE, 6) AS median_rank, round(avg((rank <= 1)::INT), 6) AS p_win, round(avg((rank <= 3)::INT), 6) AS p_podium, round(avg((rank <= 10)::INT), 6) AS p_top10 FROM (
-  SELECT race_id, fis_code, row_number() OVER (PARTITION BY race_id, run ORDER BY score DESC, fis_code) AS rank FROM (SELECT race_id, fis_code, run, (1500 + (fis_code::INT % 7) * 40.0::DOUBLE) * ln(10) / 400 - ln(-ln({uniform.format("run", "fis_code")})) AS score
-  FROM results, range(1, 201) t(run) WHERE race_id = '199701-1') a) b GROUP BY ALL"""),
+  SELECT race_id, fis_code, row_number() OVER (PARTITION BY race_id, run ORDER BY (1500 + (fis_code::INT % 7) * 40.0::DOUBLE) * ln(10) / 400 - ln(-ln((x + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) DESC, fis_code) AS rank FROM ({_mixed(_mixed("xor(run, k2)", "race_id, fis_code, run, k1", "entered, (SELECT unnest(range(1, 201))::UBIGINT AS run) t"), "race_id, fis_code, run", None)}) a) b GROUP BY ALL""",
+            "entered AS (SELECT race_id, fis_code, ('0x' || substr(md5('0|' || fis_code), 1, 8))::UBIGINT AS k1, ('0x' || substr(md5('0|' || fis_code), 9, 8))::UBIGINT AS k2 FROM results)"),
         "page_links": """SELECT page_id, substr(sha256(url), 1, 20) AS cache_key, len(l)::INT AS links, coalesce(l[1], '') AS first_link FROM (SELECT page_id, url, list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS d,
   list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x, i: list_position(regexp_extract_all(html, 'href="([^"]*)"', 1), x) = i) AS l FROM pages) p""",
         "result_pages": _league("SELECT race_id, fis_code::INT AS code, rank, nation, round(coalesce(fis_points, 0.0), 2) AS fis_points, status FROM results JOIN athletes USING (fis_code) WHERE race_id IN (SELECT race_id FROM results WHERE rank IS NOT NULL)"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fantasy, federations, titles
@@ -84,12 +84,13 @@ def rank_correlation(spark, sf_dir):
 
 
 def start_list(spark, sf_dir):
-    entries = league.results(spark, sf_dir).where("race_id = '199701-1'").select("race_id", "fis_code")
-    return store.start_list(entries, league.athletes(spark, sf_dir)).select("race_id", "fis_code", "name", "nation")
+    """Of all races, in the order of bibs, here the athletes' numbers within the race."""
+    bib = F.row_number().over(Window.partitionBy("race_id").orderBy("fis_code"))
+    entries = league.results(spark, sf_dir).select("race_id", "fis_code", bib.alias("bib"))
+    return store.start_list(entries, league.athletes(spark, sf_dir)).select("race_id", "bib", "fis_code", "name", "nation")
 
 
 def start_lists(spark, sf_dir):
-    """Of all races; ``start_list`` is one of them, beside its SQL."""
     return store.start_list(league.results(spark, sf_dir).select("race_id", "fis_code"), league.athletes(spark, sf_dir)).select("race_id", "fis_code", "name", "nation")
 
 
@@ -197,15 +198,17 @@ def athlete_payloads(spark, sf_dir):
     return profiles.athlete_payloads(_perf(spark, sf_dir))
 
 
+def _field(spark, sf_dir):
+    return league.results(spark, sf_dir).select("race_id", "fis_code", (1500.0 + F.pmod(F.col("fis_code").cast("int"), F.lit(7)) * 40.0).alias("rating"))
+
+
 def simulation(spark, sf_dir):
-    field = league.results(spark, sf_dir).where("race_id = '199701-1'").select("race_id", "fis_code", (1500.0 + F.pmod(F.col("fis_code").cast("int"), F.lit(7)) * 40.0).alias("rating"))
-    return _six(simulate.simulate(field, 200))
+    """All races, in 200 runs, which SQL can repeat; ``simulations`` has the default number."""
+    return _six(simulate.simulate(_field(spark, sf_dir), 200))
 
 
 def simulations(spark, sf_dir):
-    """Of all races, with the default number of runs; ``simulation`` is one race in 200, beside its SQL."""
-    field = league.results(spark, sf_dir).select("race_id", "fis_code", (1500.0 + F.pmod(F.col("fis_code").cast("int"), F.lit(7)) * 40.0).alias("rating"))
-    return _six(simulate.simulate(field))
+    return _six(simulate.simulate(_field(spark, sf_dir)))
 
 
 def page_links(spark, sf_dir):
