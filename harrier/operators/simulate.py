@@ -40,15 +40,24 @@ def _rank_counts(field: pd.DataFrame, sims: int, per: int, spread: float) -> pd.
     n, theta = len(field), field.theta.to_numpy()
     k1, k2 = (field[c].to_numpy().astype(np.uint32) for c in ("k1", "k2"))
     first = int(field.chunk.iloc[0]) * per + 1
-    last, cells = min(sims, first + per - 1), []
+    last = min(sims, first + per - 1)
+    few = n * n <= 4 * BLOCK_DRAWS  # all counts of who had which place
+    dense, sparse = np.zeros(n * n if few else 0, np.int64), []
     for lo in range(first, last + 1, max(1, BLOCK_DRAWS // n)):
         run = np.arange(lo, min(last + 1, lo + max(1, BLOCK_DRAWS // n)), dtype=np.uint32)[:, None]
         u = (mixed(mixed(run ^ k2) ^ k1) + 0.5) / 2.0**32
         order = np.argsort(np.log(-np.log(u)) * spread - theta, axis=1, kind="stable")  # ties go by code
-        cell, times = np.unique(order * np.int64(n) + np.arange(n), return_counts=True)  # who, and at which place
-        cells.append((cell, times))
-    cell, of = np.unique(np.concatenate([c for c, _ in cells]), return_inverse=True)
-    times = np.bincount(of, np.concatenate([t for _, t in cells])).astype(np.int64)
+        cell = (order * np.int64(n) + np.arange(n)).ravel()
+        if few:
+            dense += np.bincount(cell, minlength=n * n)
+        else:
+            sparse.append(np.unique(cell, return_counts=True))
+    if few:
+        cell = np.flatnonzero(dense)
+        times = dense[cell]
+    else:
+        cell, of = np.unique(np.concatenate([c for c, _ in sparse]), return_inverse=True)
+        times = np.bincount(of, np.concatenate([t for _, t in sparse])).astype(np.int64)
     return pd.DataFrame({"race_id": field.race_id.iloc[0], "fis_code": field.fis_code.to_numpy()[cell // n], "rank": (cell % n + 1).astype(np.int32), "n": times})
 
 
@@ -62,14 +71,17 @@ def simulate(field: DataFrame, sims: int = 20_000, *, seed: int = 0, spread: flo
 
     Raises ValueError if there is no starter.
     """
-    if field.isEmpty():
+    starters = field.count()
+    if not starters:
         raise ValueError("no starters to simulate")
     word = lambda at: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "fis_code")), at, 8), 16, 10).cast("long")
     rows = field.select("race_id", "fis_code", K.theta(F.col("rating")).alias("theta"), word(1).alias("k1"), word(9).alias("k2"))
     sizes = field.groupBy("race_id").agg(F.count("*").alias("starters")).select("race_id", F.greatest(F.lit(1), F.expr(f"starters * {sims} div {GROUP_DRAWS}")).alias("chunks"))
     sizes = sizes.select("race_id", F.expr(f"({sims} + chunks - 1) div chunks").alias("per"))
     groups = rows.join(sizes, "race_id").withColumn("chunk", F.explode(F.expr(f"sequence(0, ({sims} - 1) div per)")))
-    counts = groups.groupBy("race_id", "chunk").applyInPandas(lambda rows: _rank_counts(rows, sims, int(rows.per.iloc[0]), spread), "race_id string, fis_code string, rank int, n long")
+    # rows are few and their work is much: tasks by draws, which Spark wouldn't make of so few rows
+    tasks = field.sparkSession.sparkContext.defaultParallelism + starters * sims // GROUP_DRAWS
+    counts = groups.repartition(tasks, "race_id", "chunk").groupBy("race_id", "chunk").applyInPandas(lambda rows: _rank_counts(rows, sims, int(rows.per.iloc[0]), spread), "race_id string, fis_code string, rank int, n long")
     share = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("n")).otherwise(0)) / F.sum("n")
     return counts.groupBy("race_id", "fis_code").agg((F.sum(F.col("rank") * F.col("n")) / F.sum("n")).alias("mean_rank"), F.percentile("rank", F.lit(0.5), F.col("n")).alias("median_rank"), share(1).alias("p_win"), share(3).alias("p_podium"), share(10).alias("p_top10"))
 
