@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import date
 
 import numpy as np
@@ -23,7 +24,15 @@ from .results import counted_as_ok, finished_races
 MIN_FIELD, OPPONENTS = 3, 1024
 
 
-def update_race(state: dict, codes: list[str], ranks: np.ndarray, when: date | None, race_id: str | None = None) -> None:
+@dataclass(frozen=True)
+class Elo:
+    """k: the factor of those who raced often enough. half_life: days in which an idle rating loses half its distance to the start."""
+
+    k: float = K.ELO_K
+    half_life: float = K.ELO_HALF_LIFE
+
+
+def update_race(state: dict, codes: list[str], ranks: np.ndarray, when: date | None, race_id: str | None = None, elo: Elo = Elo()) -> None:
     """One race of one pool: every pair's surprise on the ratings before it; ties are half a win.
 
     state: fis_code to [rating, races, last race, last date]. Fewer than three ranked: no change.
@@ -33,13 +42,13 @@ def update_race(state: dict, codes: list[str], ranks: np.ndarray, when: date | N
     rows = [state.setdefault(c, [K.ELO_START, 0, None, None]) for c in codes]
     r = np.array([x[0] for x in rows])
     days = np.array([(when - x[3]).days if when and x[3] else 0 for x in rows])
-    r = np.where(days > 0, K.ELO_START + 0.5 ** (np.maximum(days, 0) / K.ELO_HALF_LIFE) * (r - K.ELO_START), r)
+    r = np.where(days > 0, K.ELO_START + 0.5 ** (np.maximum(days, 0) / elo.half_life) * (r - K.ELO_START), r)
     surprise = np.zeros(len(r))
     for lo in range(0, len(r), OPPONENTS):  # a block of opponents at a time; one's own half win is expected
         hi = lo + OPPONENTS
         won = (ranks[:, None] < ranks[None, lo:hi]) + 0.5 * (ranks[:, None] == ranks[None, lo:hi])
         surprise += (won - 1 / (1 + 10 ** ((r[None, lo:hi] - r[:, None]) / K.ELO_SCALE))).sum(axis=1)
-    k = np.array([K.ELO_K_NEW if x[1] < K.ELO_NEW_RACES else K.ELO_K for x in rows])
+    k = np.array([K.ELO_K_NEW if x[1] < K.ELO_NEW_RACES else elo.k for x in rows])
     for x, new in zip(rows, r + k * surprise / (len(codes) - 1), strict=True):
         x[:] = [float(new), x[1] + 1, race_id, when]
 
@@ -68,7 +77,7 @@ def _day(x) -> date | None:
     return None if pd.isna(x) else x
 
 
-def elo_ratings(races: DataFrame, results: DataFrame) -> DataFrame:
+def elo_ratings(races: DataFrame, results: DataFrame, elo: Elo = Elo()) -> DataFrame:
     """fis_code, pool, rating, n_races, last_race_id, last_date after all races, oldest first."""
 
     def fold(batches):
@@ -83,14 +92,14 @@ def elo_ratings(races: DataFrame, results: DataFrame) -> DataFrame:
                     yield out()
                 pool, state = p, {}
             ranked = rows[rows["rank"].notna()]
-            update_race(state, ranked.fis_code.tolist(), ranked["rank"].to_numpy(), _day(rows.race_date.iloc[0]), race)
+            update_race(state, ranked.fis_code.tolist(), ranked["rank"].to_numpy(), _day(rows.race_date.iloc[0]), race, elo)
         if state:
             yield out()
 
     return _rated_rows(races, results).mapInPandas(fold, "fis_code string, pool string, rating double, n_races int, last_race_id string, last_date date")
 
 
-def ratings_before(races: DataFrame, results: DataFrame) -> DataFrame:
+def ratings_before(races: DataFrame, results: DataFrame, elo: Elo = Elo()) -> DataFrame:
     """race_id, pool, fis_code, rank, rating and n_races that each had just before the race, decayed to its date."""
 
     def fold(batches):
@@ -103,14 +112,48 @@ def ratings_before(races: DataFrame, results: DataFrame) -> DataFrame:
             for c in rows.fis_code:
                 r, n, _, last = state.get(c, (K.ELO_START, 0, None, None))
                 days = (when - last).days if when and last else 0
-                before.append((K.ELO_START + 0.5 ** (days / K.ELO_HALF_LIFE) * (r - K.ELO_START) if days > 0 else r, n))
+                before.append((K.ELO_START + 0.5 ** (days / elo.half_life) * (r - K.ELO_START) if days > 0 else r, n))
             yield pd.DataFrame({"race_id": rows.race_id, "pool": rows["pool"], "fis_code": rows.fis_code, "rank": rows["rank"], "rating": [b[0] for b in before], "n_races": [b[1] for b in before]})
             ranked = rows[rows["rank"].notna()]
-            update_race(state, ranked.fis_code.tolist(), ranked["rank"].to_numpy(), when, race)
+            update_race(state, ranked.fis_code.tolist(), ranked["rank"].to_numpy(), when, race, elo)
 
     return _rated_rows(races, results).mapInPandas(fold, "race_id string, pool string, fis_code string, rank double, rating double, n_races int")
 
 
+def rating_history(races: DataFrame, results: DataFrame, elo: Elo = Elo()) -> DataFrame:
+    """pool, race_id, race_date, fis_code, rating, n_races of each ranked starter just after each race that counts."""
+
+    def fold(batches):
+        pool, state = None, {}
+        for p, race, rows in _by_race(batches, "pool"):
+            if p != pool:
+                pool, state = p, {}
+            ranked, when = rows[rows["rank"].notna()], _day(rows.race_date.iloc[0])
+            if len(ranked) >= MIN_FIELD:
+                codes = ranked.fis_code.tolist()
+                update_race(state, codes, ranked["rank"].to_numpy(), when, race, elo)
+                yield pd.DataFrame({"pool": p, "race_id": race, "race_date": when, "fis_code": codes, "rating": [state[c][0] for c in codes], "n_races": [state[c][1] for c in codes]})
+
+    return _rated_rows(races, results).mapInPandas(fold, "pool string, race_id string, race_date date, fis_code string, rating double, n_races int")
+
+
+def ratings_as_of(history: DataFrame, asked: DataFrame, elo: Elo = Elo()) -> DataFrame:
+    """``asked`` (pool, fis_code, day and any other columns) with the rating and n_races that each had before that day.
+
+    The last of the athlete's rows in the pool's history whose race was earlier; races of the day itself don't count.
+    It is decayed to the day; who has none begins at the start, with no races. One shuffle by athlete and pool: no row
+    of the history meets another. A null day asks for nothing and gets the start; undated races count as the earliest.
+    """
+    known = F.struct("rating", "n_races", F.col("race_date").alias("last_date"))
+    rows = history.select("pool", "fis_code", F.col("race_date").alias("day"), F.col("race_id").alias("_race"), known.alias("_known"), F.lit(1).alias("_turn"))
+    asks = asked.select("pool", "fis_code", "day", F.struct(*asked.columns).alias("_asked"), F.when(F.col("day").isNull(), -1).otherwise(0).alias("_turn"))
+    order = Window.partitionBy("pool", "fis_code").orderBy(F.col("day").asc_nulls_first(), "_turn", "_race").rowsBetween(Window.unboundedPreceding, -1)
+    both = rows.unionByName(asks, allowMissingColumns=True).withColumn("_last", F.last("_known", ignorenulls=True).over(order)).where("_asked IS NOT NULL")
+    days = F.coalesce(F.datediff("day", "_last.last_date"), F.lit(0))
+    rating = F.coalesce(K.decayed(F.col("_last.rating"), days, elo.half_life), F.lit(K.ELO_START))
+    return both.select("_asked.*", rating.alias("rating"), F.coalesce("_last.n_races", F.lit(0)).alias("n_races"))
+
+
 def standings(perf: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What the strength of fields is made of.
 

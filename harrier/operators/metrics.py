@@ -64,11 +64,12 @@ def pair_accuracy(scores: DataFrame, samples: DataFrame | None = None) -> DataFr
     return out.join(answered, "method").withColumn("skipped", F.lit(asked) - F.col("answered")).drop("answered")
 
 
-def format_comparison(table: DataFrame) -> str:
-    """The few methods of a comparison as text, the best first."""
-    rows = table.orderBy(F.desc("accuracy"), "method").collect()
+def format_comparison(table: DataFrame, methods: tuple[str, ...] = ()) -> str:
+    """The few methods of a comparison as text, the worst first; those of ``methods`` that compared nothing have no data."""
+    rows = table.orderBy("accuracy", "method").collect()
     head = f"{'method':<14}{'accuracy':>9}{'pairs':>10}{'races':>7}{'skipped':>9}"
-    return "\n".join([head, *(f"{r.method:<14}{r.accuracy:>9.4f}{r.pairs:>10,}{r.races:>7}{r.skipped:>9}" for r in rows)])
+    none = [f"{m:<14}{'no data':>9}" for m in methods if m not in {r.method for r in rows}]
+    return "\n".join([head, *none, *(f"{r.method:<14}{r.accuracy:>9.4f}{r.pairs:>10,}{r.races:>7}{r.skipped:>9}" for r in rows)])
 
 
 #: Starters of a race whose pairs with as many others are one matrix.

@@ -102,6 +102,17 @@ def weekend_csv(scored: DataFrame, races: DataFrame, athletes: DataFrame) -> Dat
     return csv_files(_scored_rows(scored, races, athletes).join(member, "race_id"), "key", ["date", "race_id", "predicted_rank"], WEEKEND_CSV)
 
 
+def medal_table(perf: DataFrame) -> DataFrame:
+    """season, gender, kind, level, golds, silvers, bronzes, medallists of World Cup races, at four levels from one pass.
+
+    level is the grouping id: 0 for all three columns, 1 over all kinds, 3 over genders too, 7 for everything; what is
+    summed over is null.
+    """
+    won = lambda k: F.count_if(F.col("rank") == k)
+    rows = perf.where("world_cup AND rank <= 3").rollup("season", "gender", "kind")
+    return rows.agg(F.grouping_id("season", "gender", "kind").alias("level"), won(1).alias("golds"), won(2).alias("silvers"), won(3).alias("bronzes"), F.countDistinct("fis_code").alias("medallists")).select("season", "gender", "kind", "level", "golds", "silvers", "bronzes", "medallists")
+
+
 def race_index(races: DataFrame, results: DataFrame, held_out: list[int]) -> DataFrame:
     """race_id, race_date, season, n, held_out; to be shown newest first, undated last."""
     n = results.groupBy("race_id").agg(F.count("*").alias("n"))

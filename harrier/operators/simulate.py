@@ -8,17 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .folds import Elo, ratings_as_of
 
 # fixed values: factors of the mixing
 MIX = (0x7FEB352D, 0x846CA68B)
 
 
-def starters(start_list: DataFrame, athletes: DataFrame, ratings: DataFrame, pool: str, race_date: str | None = None) -> DataFrame:
-    """A start list with names (else the code) and ratings of the pool, decayed to the race's date."""
-    r = ratings.where(F.col("pool") == pool).select("fis_code", "rating", "n_races", "last_date")
-    days = F.datediff(F.lit(race_date).cast("date"), F.col("last_date"))
-    rows = start_list.join(athletes.select("fis_code", "name", "nation"), "fis_code", "left").join(r, "fis_code", "left")
-    return rows.select("race_id", "fis_code", F.coalesce("name", "fis_code").alias("name"), "nation", F.coalesce(K.decayed(F.col("rating"), F.coalesce(days, F.lit(0))), F.lit(K.ELO_START)).alias("rating"), F.coalesce("n_races", F.lit(0)).alias("n_races"))
+def starters(start_list: DataFrame, athletes: DataFrame, history: DataFrame, pool: str, race_date: str | None = None, elo: Elo = Elo()) -> DataFrame:
+    """A start list with names (else the code) and ratings of the pool as they were before the race's date.
+
+    ``history``: that of ``rating_history``. Without a date, the last ratings of all.
+    """
+    day = F.lit(race_date or "9999-12-31").cast("date")
+    asked = start_list.select("race_id", "fis_code", F.lit(pool).alias("pool"), day.alias("day"))
+    known = ratings_as_of(history, asked, elo if race_date else Elo(half_life=float("inf")))
+    rows = start_list.join(athletes.select("fis_code", "name", "nation"), "fis_code", "left").join(known.select("race_id", "fis_code", "rating", "n_races"), ["race_id", "fis_code"])
+    return rows.select("race_id", "fis_code", F.coalesce("name", "fis_code").alias("name"), "nation", "rating", "n_races")
 
 
 #: Draws of one group, and of one matrix within it: runs times starters.

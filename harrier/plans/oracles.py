@@ -143,6 +143,10 @@ FROM (SELECT *, sum(CASE WHEN gap <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY pl
         "leaderboard": _recursive("SELECT pool, place, fis_code, round(rating, 6) AS rating, n_races FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY rating DESC, fis_code)::INT AS place FROM el WHERE step = ends AND n_races >= 5) x WHERE place <= 20", ELO),
         "backtest": _recursive("""SELECT (SELECT count(*) FROM rc) AS races, (SELECT count(DISTINCT race_id) FROM se) - (SELECT count(*) FROM rc) AS skipped, count(*) AS pairs, round(avg(((p > 0.5) = ahead)::INT), 6) AS pair_accuracy,
   round(avg(-ln(greatest(CASE WHEN ahead THEN p ELSE 1 - p END, 1e-12))), 6) AS log_loss, round((SELECT avg(rho) FROM rc), 6) AS mean_spearman, round((SELECT avg(top3) FROM rc), 6) AS winner_top3 FROM pr""", ELO, BACKTEST),
+        "ratings_as_of": _recursive("""SELECT r.race_id, r.fis_code, r.pool, round(CASE WHEN el.last_date < r.day THEN 1500 + pow(0.5::DOUBLE, (r.day - el.last_date) / 1825.0::DOUBLE) * (rating - 1500) ELSE coalesce(rating, 1500.0::DOUBLE) END, 6) AS rating, coalesce(n_races, 0) AS n_races
+  FROM (SELECT race_id, fis_code, gender || '-' || kind AS pool, race_date AS day, (SELECT coalesce(max(nth), 0) FROM (SELECT DISTINCT pool, nth, race_date FROM se) d WHERE d.pool = gender || '-' || kind AND d.race_date < races.race_date) AS step FROM results JOIN races USING (race_id)) r
+  LEFT JOIN el ON el.pool = r.pool AND el.fis_code = r.fis_code AND el.step = r.step""", ELO),
+        "medal_table": _league("SELECT season, gender, kind, grouping_id(season, gender, kind) AS level, count(*) FILTER (rank = 1) AS golds, count(*) FILTER (rank = 2) AS silvers, count(*) FILTER (rank = 3) AS bronzes, count(DISTINCT fis_code) AS medallists FROM perf WHERE world_cup AND rank <= 3 GROUP BY ROLLUP (season, gender, kind)", PERF),
         "race_summary": _league("""SELECT race_id, n_athletes, round(round(ok / pairs, 4), 6) AS pair_accuracy, round(rho, 4) AS spearman, winner_predicted_rank FROM (SELECT race_id, count(*) AS n_athletes, max(p) FILTER (WHERE a = 1)::INT AS winner_predicted_rank,
   1 - 6 * sum(pow(p - a, 2)) / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)) AS rho FROM t GROUP BY race_id) x JOIN (SELECT x.race_id, count(*)::DOUBLE AS pairs, sum((x.p < y.p)::INT) AS ok FROM t x JOIN t y ON x.race_id = y.race_id AND x.a < y.a GROUP BY x.race_id) y USING (race_id)""",
             *SAMPLES, "t AS (SELECT race_id, row_number() OVER (PARTITION BY race_id ORDER BY round(similar_form, 6) DESC, pos) AS p, row_number() OVER (PARTITION BY race_id ORDER BY pos) AS a FROM s)"),

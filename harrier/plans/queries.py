@@ -164,6 +164,17 @@ def backtest(spark, sf_dir):
     return _six(metrics.backtest(folds.ratings_before(league.races(spark, sf_dir), league.results(spark, sf_dir))))
 
 
+def ratings_as_of(spark, sf_dir):
+    """Of every starter, before the day of each race; races of the day itself don't count."""
+    races, res = league.races(spark, sf_dir), league.results(spark, sf_dir)
+    asked = res.select("race_id", "fis_code").join(races.select("race_id", F.col("race_date").alias("day"), K.pool(F.col("gender"), F.col("kind")).alias("pool")), "race_id")
+    return _six(folds.ratings_as_of(folds.rating_history(races, res), asked)).select("race_id", "fis_code", "pool", "rating", "n_races")
+
+
+def medal_table(spark, sf_dir):
+    return profiles.medal_table(_perf(spark, sf_dir))
+
+
 def field_strength(spark, sf_dir):
     return _six(folds.field_strength(_perf(spark, sf_dir)))
 
@@ -241,6 +252,6 @@ def quoted_csv(spark, sf_dir):
 def queries() -> dict:
     return {f.__name__: f for f in (
         performances, datable_races, finished_races, classify_title, features, baselines, season_split, weekends, trajectory, athlete_summary, best_events, race_index, rank_correlation, start_list, start_lists,
-        race_summary, athlete_index, median_places, listings, uncovered_nations, entry_signals, fantasy_market, fantasy_teams, elo_first_race, elo_ratings, leaderboard, backtest, field_strength, graded_samples, learned_ranker, sampled_pairs, training_pairs, race_payloads,
+        race_summary, athlete_index, median_places, listings, uncovered_nations, entry_signals, fantasy_market, fantasy_teams, elo_first_race, elo_ratings, leaderboard, backtest, ratings_as_of, medal_table, field_strength, graded_samples, learned_ranker, sampled_pairs, training_pairs, race_payloads,
         athlete_payloads, simulation, simulations, page_links, result_pages, upserts, quoted_csv,
     )}

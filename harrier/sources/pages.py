@@ -167,24 +167,33 @@ ENTRY = "competitor_id string, rank int, status string, fis_code string, birth_y
 _ENTRY = [c.split(" ")[0] for c in ENTRY.split(", ")]
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """One row a race page (race_id, html): its header and ``entries``, the rows with a code and a name.
+def parse_pages(pages: DataFrame, page: type = _Page) -> DataFrame:
+    """One row a race page (race_id, html): its header and ``entries``, the rows with a code and a name, and ``error``.
 
-    A null page has neither. Pages are parsed leniently: what isn't a header or a row is passed over.
+    A null page has neither. Pages are parsed leniently: what isn't a header or a row is passed over. A page on which the
+    parser (``page``) fails gives the reason in ``error``, and the others aren't touched by it.
     """
 
     def parse(batches):
         for b in batches:
             out = []
             for race, html in zip(b.race_id, b.html, strict=True):
-                p = _Page()
-                p.feed(html or "")
-                p.close()
-                entries = [{"competitor_id": competitor} | r for competitor, cells in p.rows if (r := classify_cells(cells))]
-                out.append((race, p.header.get("kind"), p.header.get("place") or p.header.get("name"), p.header.get("subtitle"), p.date, [{c: e[c] for c in _ENTRY} for e in entries]))
-            yield pd.DataFrame(out, columns=[*(c.split(" ")[0] for c in HEADER.split(", ")), "entries"])
+                try:
+                    p = page()
+                    p.feed(html or "")
+                    p.close()
+                    entries = [{"competitor_id": competitor} | r for competitor, cells in p.rows if (r := classify_cells(cells))]
+                    out.append((race, p.header.get("kind"), p.header.get("place") or p.header.get("name"), p.header.get("subtitle"), p.date, [{c: e[c] for c in _ENTRY} for e in entries], None))
+                except Exception as e:  # noqa: BLE001  whatever is wrong with one page is that page's
+                    out.append((race, None, None, None, None, [], f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[*(c.split(" ")[0] for c in HEADER.split(", ")), "entries", "error"])
 
-    return pages.select("race_id", "html").mapInPandas(parse, f"{HEADER}, entries array<struct<{ENTRY.replace(' ', ':')}>>".replace(",:", ", "))
+    return pages.select("race_id", "html").mapInPandas(parse, f"{HEADER}, entries array<struct<{ENTRY.replace(' ', ':')}>>, error string".replace(",:", ", "))
+
+
+def bad_pages(parsed: DataFrame) -> DataFrame:
+    """race_id, error of the pages that can't be parsed."""
+    return parsed.where("error IS NOT NULL").select("race_id", "error")
 
 
 def entries_of(parsed: DataFrame) -> DataFrame:
@@ -199,7 +208,7 @@ def parse_race_pages(pages: DataFrame) -> DataFrame:
 
 def races_of(parsed: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """The races of parsed pages, as stored; season and event of those that are listed."""
-    out = classify_title(parsed.drop("entries")).withColumn("race_date", F.col("race_date").cast("date"))
+    out = classify_title(parsed.drop("entries", "error")).withColumn("race_date", F.col("race_date").try_cast("date"))
     if listed is None:
         out = out.withColumns({"season": F.lit(None).cast("int"), "event_id": F.lit(None).cast("string")})
     else:

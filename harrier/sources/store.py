@@ -2,28 +2,109 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import KEYS, SCHEMAS
+from .scratch import settled
+
+
+#: Buckets of a table that is merged into, by its first key column; told by the manifest once the store has one.
+BUCKETS = 64
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path in its terms."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, of = _files(spark, path)
+    return files.exists(of)
+
+
+def manifest(spark: SparkSession, root: str) -> dict:
+    """Which version of each bucket of each table is the table's: {"buckets": n, "tables": {name: {bucket: version}}}."""
+    path = f"{root}/tables.json"
+    return json.loads(spark.read.text(path, wholetext=True).first()[0]) if _exists(spark, path) else {"buckets": BUCKETS, "tables": {}}
+
+
+def _swap(spark: SparkSession, root: str, content: dict) -> None:
+    """Put a new manifest in the place of the old one, in one step."""
+    files, new = _files(spark, f"{root}/tables-{uuid.uuid4().hex}.json")
+    out = files.create(new, True)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    _, place = _files(spark, f"{root}/tables.json")
+    qualified = files.makeQualified(place)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(files.makeQualified(new), qualified, options)
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A stored table; empty where nothing was written yet."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], SCHEMAS[name])
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
+    return _read(spark, root, name, manifest(spark, root))
+
+
+def _read(spark: SparkSession, root: str, name: str, content: dict, only: list[int] | None = None) -> DataFrame:
+    if name in content["tables"]:
+        paths = [f"{root}/{name}/{v}/bucket={b}" for b, v in content["tables"][name].items() if only is None or int(b) in only]
+    else:
+        paths = [f"{root}/{name}"] if _exists(spark, f"{root}/{name}") else []
+    return spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else spark.createDataFrame([], SCHEMAS[name])
 
 
 def write(df: DataFrame, root: str, name: str) -> None:
+    """Overwrite a whole table that isn't merged into."""
     df.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
-def replace(spark: SparkSession, df: DataFrame, root: str, name: str) -> None:
-    """Overwrite a table by what was computed from it: written beside it first, so that it never is read and written at once."""
-    write(df, root, f"{name}_new")
-    write(spark.read.parquet(f"{root}/{name}_new"), root, name)
+def merge(spark: SparkSession, root: str, changes: dict[str, tuple[DataFrame, Callable[[DataFrame, DataFrame], DataFrame]]]) -> None:
+    """Merge new rows into tables: name to (new rows, what makes a table's rows of its old and the new ones).
+
+    Of each table only the buckets that the new rows' keys fall into are read and written, each to a folder of its own; all
+    other buckets stay the files that they are. The manifest, which says what the tables are made of, is replaced last and for
+    all tables at once: whoever reads sees all changes or none, and a merge that dies between two tables leaves the old
+    state. One merge at a time; readers need no lock. ``vacuum`` removes what no manifest names any more.
+    """
+    content = manifest(spark, root)
+    version = uuid.uuid4().hex
+    for name, (new, made) in changes.items():
+        bucket = F.pmod(F.xxhash64(KEYS[name][0]), F.lit(content["buckets"])).cast("int").alias("bucket")
+        new = settled(new, name)
+        touched = sorted(r.bucket for r in new.select(bucket).distinct().collect())  # as many as there are buckets at most
+        if not touched:
+            continue
+        if name not in content["tables"] and _exists(spark, f"{root}/{name}"):  # not in buckets yet
+            touched = list(range(content["buckets"]))
+        old = _read(spark, root, name, content, touched)
+        rows = made(old, new)
+        rows.select("*", bucket).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{root}/{name}/{version}")
+        now = content["tables"].setdefault(name, {})
+        for b in touched:
+            now.pop(str(b), None)
+            if _exists(spark, f"{root}/{name}/{version}/bucket={b}"):
+                now[str(b)] = version
+    _swap(spark, root, content)
+
+
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Remove the folders of merged tables that the manifest doesn't name; how many there were."""
+    gone = 0
+    for name, now in manifest(spark, root)["tables"].items():
+        files, of = _files(spark, f"{root}/{name}")
+        for found in files.listStatus(of):
+            if found.getPath().getName() not in now.values():
+                files.delete(found.getPath(), True)
+                gone += 1
+    return gone
 
 
 def upsert_athletes(old: DataFrame, new: DataFrame, seq: str = "seq") -> DataFrame:

@@ -99,3 +99,53 @@ def test_csv_files(spark):
     assert store.csv_files(df, "k", ["i"], ["i", "v", "t"]).first().text == '﻿"i","v","t"\r\n"1","0.25",""\r\n"2","1","x""y"\r\n'
     names = spark.createDataFrame([("Ål/Ruka 1.",), (None,), ("a--",)], "s string").select(store.safe_name(F.col("s")).alias("n"))
     assert [r.n for r in names.collect()] == ["l-Ruka-1.", "export", "a-"]
+
+
+RACE_PAGE = '<div class="event-header__kind">Men\'s 10km Classic</div><span class="timezone-date" data-date="{day}"></span>' + "".join('<a class="table-row" href="x?competitorid={k}"><div>{k}</div><div>342000{k}</div><div>{who} {k}</div></a>'.replace("{k}", str(k)) for k in (1, 2, 3))
+
+
+def _table(spark, root, name):
+    return sorted(map(tuple, store.read(spark, root, name).drop("fetched_at").collect()), key=str)
+
+
+def test_one_broken_page_of_many(spark, tmp_path):
+    class Fussy(pages._Page):
+        def feed(self, html):
+            if "broken" in html:
+                raise RuntimeError("no such page")
+            super().feed(html)
+
+    html = [(f"r{i}", RACE_PAGE.format(day=f"2024-01-{i + 1:02}", who="BERG")) for i in range(12)] + [("bad", "broken"), ("odd", RACE_PAGE.format(day="2024-13-40", who="LUND"))]
+    assert ingest.ingest(spark, str(tmp_path), spark.createDataFrame(html, "race_id string, html string"), page=Fussy) == 1
+    assert len(_table(spark, str(tmp_path), "races")) == 13 and len(_table(spark, str(tmp_path), "results")) == 39
+    bad = dict(_table(spark, str(tmp_path), "bad_pages"))
+    assert bad == {"bad": "RuntimeError: no such page"}
+    again = spark.createDataFrame([("bad", RACE_PAGE.format(day="2024-02-01", who="BERG"))], "race_id string, html string")
+    assert ingest.ingest(spark, str(tmp_path), again) == 0
+    assert _table(spark, str(tmp_path), "bad_pages") == [] and len(_table(spark, str(tmp_path), "races")) == 14
+
+
+def test_a_merge_touches_its_buckets_only_and_all_tables_at_once(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    html = [(f"r{i}", RACE_PAGE.format(day=f"2024-01-{i + 1:02}", who="BERG")) for i in range(20)]
+    ingest.ingest(spark, root, spark.createDataFrame(html, "race_id string, html string"))
+    before = store.manifest(spark, root)["tables"]
+    tables = {n: _table(spark, root, n) for n in ("races", "athletes", "results", "start_list")}
+    one = spark.createDataFrame([("r3", RACE_PAGE.format(day="2024-03-01", who="NY"))], "race_id string, html string")
+
+    swap = store._swap
+    monkeypatch.setattr(store, "_swap", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+    try:
+        ingest.ingest(spark, root, one)
+        raise AssertionError("it should have failed")
+    except OSError:
+        pass
+    assert {n: _table(spark, root, n) for n in tables} == tables  # written, but not the tables'
+    monkeypatch.setattr(store, "_swap", swap)
+    ingest.ingest(spark, root, one)
+    after = store.manifest(spark, root)["tables"]
+    assert all(sum(before[n][b] != v for b, v in after[n].items()) == 1 for n in ("races", "results", "start_list"))
+    assert [r for r in _table(spark, root, "races") if r not in tables["races"]][0][3].isoformat() == "2024-03-01"
+    assert {r[1] for r in _table(spark, root, "athletes")} == {"NY 1", "NY 2", "NY 3"}
+    now = {n: _table(spark, root, n) for n in tables}
+    assert store.vacuum(spark, root) > 3 and {n: _table(spark, root, n) for n in tables} == now
