@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,3 +67,45 @@ def cost_of_forcing(pdf: pd.DataFrame, fis_code: str, budget: int = BUDGET, men:
         return None
     rest = pdf[pdf.fis_code != fis_code]
     return float(free - r.points - rest.iloc[best_team(rest, budget - int(r.price), *left)].points.sum())
+
+
+def forcing_costs(market: DataFrame, budget: int = BUDGET, men: int = MOST_MEN, women: int = MOST_WOMEN) -> DataFrame:
+    """game, fis_code, cost: how many points the best team of a game loses if it must have that starter; null if it can't.
+
+    Not two solutions a starter: the best values of all others are found for all of them together, by halves. A table of values by
+    money, men and women takes in one half before the other is looked at, so each starter is taken in once a level.
+    A game's rows (game, fis_code, gender, points, price) are one group, a race's starters.
+    """
+
+    def costs(rows: pd.DataFrame) -> pd.DataFrame:
+        price, points = rows.price.to_numpy(int), rows.points.to_numpy(float)
+        is_man, is_woman = (rows.gender == "M").to_numpy(int), (rows.gender == "W").to_numpy(int)
+        rest = np.full(len(rows), -np.inf)
+
+        def more(best: np.ndarray, some: range) -> np.ndarray:
+            best = best.copy()
+            for i in some:
+                c, m, w = price[i], is_man[i], is_woman[i]
+                if points[i] > 0 and c <= budget and m <= men and w <= women:
+                    with_it = best[: budget + 1 - c, : men + 1 - m, : women + 1 - w] + points[i]
+                    best[c:, m:, w:] = np.maximum(best[c:, m:, w:], with_it)
+            return best
+
+        def halves(lo: int, hi: int, best: np.ndarray) -> None:
+            if hi - lo == 1:
+                left = (budget - price[lo], men - is_man[lo], women - is_woman[lo])
+                if min(left) >= 0:
+                    rest[lo] = best[left]
+                return
+            mid = (lo + hi) // 2
+            halves(lo, mid, more(best, range(mid, hi)))
+            halves(mid, hi, more(best, range(lo, mid)))
+
+        nothing = np.zeros((budget + 1, men + 1, women + 1))
+        halves(0, len(rows), nothing)
+        free = more(nothing, range(len(rows)))[budget, men, women]
+        cost = np.where(np.isfinite(rest), free - (rest + points), np.nan)
+        return pd.DataFrame({"game": rows.game.to_numpy(), "fis_code": rows.fis_code.to_numpy(), "cost": cost})
+
+    game = dict(market.dtypes)["game"]
+    return market.groupBy("game").applyInPandas(costs, f"game {game}, fis_code string, cost double").withColumn("cost", F.nanvl("cost", F.lit(None).cast("double")))

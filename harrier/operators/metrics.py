@@ -23,6 +23,21 @@ def baseline_scores(samples: DataFrame, seed: int = 0) -> DataFrame:
     return samples.select("race_id", "fis_code", "pos", F.explode(methods).alias("x")).select("x.method", "race_id", "fis_code", "pos", "x.score")
 
 
+#: Scores a race's starters: of samples to race_id, fis_code, pos and score. A race without rows is declined.
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def compare(samples: DataFrame, scorers: dict[str, Scorer], seed: int = 0) -> DataFrame:
+    """The baselines and anybody's scorers on the same samples: method, races, pairs, correct, accuracy, skipped.
+
+    A scorer that gives a score for only some starters of a race is compared on these; null scores are none.
+    """
+    scores = baseline_scores(samples, seed)
+    for name, scorer in scorers.items():
+        scores = scores.unionByName(scorer(samples).select(F.lit(name).alias("method"), "race_id", "fis_code", "pos", F.col("score").cast("double").alias("score")))
+    return pair_accuracy(scores.where("score IS NOT NULL"), samples)
+
+
 def elo_scores(samples: DataFrame, ratings: DataFrame) -> DataFrame:
     """Ratings as scores: an unknown athlete has the mean of the known; races with fewer than two known are declined."""
     race = Window.partitionBy("race_id")

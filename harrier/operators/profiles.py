@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +115,26 @@ def medal_table(perf: DataFrame) -> DataFrame:
     return rows.agg(F.grouping_id("season", "gender", "kind").alias("level"), won(1).alias("golds"), won(2).alias("silvers"), won(3).alias("bronzes"), F.countDistinct("fis_code").alias("medallists")).select("season", "gender", "kind", "level", "golds", "silvers", "bronzes", "medallists")
 
 
+def starter_sketches(perf: DataFrame, athletes: DataFrame) -> DataFrame:
+    """season, nation, sketch: a HyperLogLog sketch of the starters, of a few kilobytes at any number of them.
+
+    Sketches are stored and merged: those of a new ingest need no old rows.
+    """
+    rows = perf.select("season", "fis_code").join(athletes.select("fis_code", "nation"), "fis_code", "left")
+    return rows.groupBy("season", "nation").agg(F.hll_sketch_agg("fis_code", F.lit(12)).alias("sketch"))
+
+
+def merged_sketches(*sketches: DataFrame) -> DataFrame:
+    """Sketches of several ingests in one table, one of each season and nation."""
+    return reduce(DataFrame.unionByName, sketches).groupBy("season", "nation").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def distinct_starters(sketches: DataFrame, *by: str) -> DataFrame:
+    """``by`` (season, nation, both or nothing) and starters, the estimated number of different ones: a starter of two seasons is one
+    in their union. The standard error is about 1.3 %."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("starters"))
+
+
 def race_index(races: DataFrame, results: DataFrame, held_out: list[int]) -> DataFrame:
     """race_id, race_date, season, n, held_out; to be shown newest first, undated last."""
     n = results.groupBy("race_id").agg(F.count("*").alias("n"))

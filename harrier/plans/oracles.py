@@ -120,6 +120,12 @@ def oracle_sql() -> dict[str, str]:
 SELECT method, count(DISTINCT race_id) AS races, count(*) AS pairs, round(round(sum(ok)::DOUBLE / count(*), 4), 4) AS accuracy FROM pairs GROUP BY method""",
             *SAMPLES, f"""m AS (SELECT 'random' AS method, race_id, pos, {uniform.format("race_id", "fis_code")} AS score FROM s UNION ALL SELECT 'fis_points', race_id, pos, fis_points FROM s
   UNION ALL SELECT 'recent_form', race_id, pos, overall_form FROM s UNION ALL SELECT 'similar_form', race_id, pos, similar_form FROM s)""").replace("\n, pairs AS", ",\npairs AS"),
+        "scorers": _league(
+            """, pairs AS (SELECT a.method, a.race_id, CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END AS ok FROM m a JOIN m b ON a.method = b.method AND a.race_id = b.race_id AND a.pos < b.pos)
+SELECT method, count(DISTINCT race_id) AS races, count(*) AS pairs, round(sum(ok)::DOUBLE / count(*), 4) AS accuracy, (SELECT count(DISTINCT race_id) FROM s) - count(DISTINCT race_id) AS skipped FROM pairs GROUP BY method""",
+            *SAMPLES, f"""m AS (SELECT 'random' AS method, race_id, pos, {uniform.format("race_id", "fis_code")} AS score FROM s UNION ALL SELECT 'fis_points', race_id, pos, fis_points FROM s
+  UNION ALL SELECT 'recent_form', race_id, pos, overall_form FROM s UNION ALL SELECT 'similar_form', race_id, pos, similar_form FROM s
+  UNION ALL SELECT 'margin', race_id, pos, similar_margin FROM s UNION ALL SELECT 'sprints', race_id, pos, similar_margin FROM s WHERE race_id IN (SELECT race_id FROM races WHERE kind = 'sprint'))""").replace("\n, pairs AS", ",\npairs AS"),
         "season_split": _league("SELECT CASE WHEN season = 2001 THEN 'test' ELSE 'train' END AS part, count(*) AS n, count(DISTINCT race_id) AS races FROM s GROUP BY ALL", *SAMPLES),
         "weekends": _league("""SELECT concat(place, '|', min(race_date)::VARCHAR) AS key, place, min(race_date) AS start_date, max(race_date) AS end_date, string_agg(race_id, ',' ORDER BY race_id) AS race_ids, count(*) AS n_races
 FROM (SELECT *, sum(CASE WHEN gap <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY place ORDER BY race_date, race_id) AS run FROM (SELECT *, date_diff('day', lag(race_date) OVER (PARTITION BY place ORDER BY race_date, race_id), race_date) AS gap FROM races) a) b GROUP BY place, run"""),

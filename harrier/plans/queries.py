@@ -132,14 +132,34 @@ def fantasy_market(spark, sf_dir):
     return r.select("race_id", "fis_code", *[fantasy.payout(F.col("rank"), s).alias(s) for s in ("worldcup", "decay", "deep", "podium")], fantasy.price(F.col("rank"), F.col("n")).alias("price"))
 
 
-def fantasy_teams(spark, sf_dir):
-    """The best team of each season's last men's and women's World Cup races."""
+def _games(spark, sf_dir):
+    """Starters of each season's last men's and women's World Cup races, with points and prices."""
     p = _perf(spark, sf_dir).where("world_cup AND rank IS NOT NULL")
     last = p.groupBy("season", "gender").agg(F.max("race_id").alias("race_id"))
     p = p.join(last.select("race_id"), "race_id")
     n = p.groupBy("race_id").agg(F.count("*").alias("n"))
     market = p.join(n, "race_id").select(F.col("season").alias("game"), "gender", F.concat("gender", F.lit("-"), "fis_code").alias("fis_code"), fantasy.payout(F.col("rank")).alias("points"), fantasy.price(F.col("rank"), F.col("n")).alias("price"))
-    return fantasy.teams(market.where("points > 0"))
+    return market.where("points > 0")
+
+
+def fantasy_teams(spark, sf_dir):
+    """The best team of each season's last men's and women's World Cup races."""
+    return fantasy.teams(_games(spark, sf_dir))
+
+
+def forcing_costs(spark, sf_dir):
+    return fantasy.forcing_costs(_games(spark, sf_dir))
+
+
+def distinct_starters(spark, sf_dir):
+    return profiles.distinct_starters(profiles.starter_sketches(_perf(spark, sf_dir), league.athletes(spark, sf_dir)), "season")
+
+
+def scorers(spark, sf_dir):
+    """The baselines beside two scorers of a user's, one of which declines what isn't of kind sprint."""
+    by_margin = lambda s: s.select("race_id", "fis_code", "pos", F.col("similar_margin").alias("score"))
+    races = league.races(spark, sf_dir).where("kind = 'sprint'").select("race_id")
+    return metrics.compare(_wc_samples(spark, sf_dir), {"margin": by_margin, "sprints": lambda s: by_margin(s.join(races, "race_id", "left_semi"))}).drop("correct")
 
 
 def elo_first_race(spark, sf_dir):
@@ -252,6 +272,6 @@ def quoted_csv(spark, sf_dir):
 def queries() -> dict:
     return {f.__name__: f for f in (
         performances, datable_races, finished_races, classify_title, features, baselines, season_split, weekends, trajectory, athlete_summary, best_events, race_index, rank_correlation, start_list, start_lists,
-        race_summary, athlete_index, median_places, listings, uncovered_nations, entry_signals, fantasy_market, fantasy_teams, elo_first_race, elo_ratings, leaderboard, backtest, ratings_as_of, medal_table, field_strength, graded_samples, learned_ranker, sampled_pairs, training_pairs, race_payloads,
+        race_summary, athlete_index, median_places, listings, uncovered_nations, entry_signals, fantasy_market, fantasy_teams, forcing_costs, distinct_starters, scorers, elo_first_race, elo_ratings, leaderboard, backtest, ratings_as_of, medal_table, field_strength, graded_samples, learned_ranker, sampled_pairs, training_pairs, race_payloads,
         athlete_payloads, simulation, simulations, page_links, result_pages, upserts, quoted_csv,
     )}

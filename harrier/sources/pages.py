@@ -7,7 +7,7 @@ from datetime import datetime
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.titles import classify_title
@@ -220,3 +220,30 @@ def results_of(rows: DataFrame) -> DataFrame:
     """Result rows of pages that have ranks; the others are start lists."""
     ranked = rows.groupBy("race_id").agg(F.max(F.col("rank").isNotNull()).alias("done")).where("done").select("race_id")
     return rows.join(ranked, "race_id", "left_semi")
+
+
+class RacePage:
+    """A table function for SQL: the rows of a page, with its header. A page that can't be parsed gives one row with the reason.
+
+    ``SELECT p.race_id, r.* FROM pages p, LATERAL race_page(p.html) r`` once it is registered.
+    """
+
+    columns = ", ".join([*HEADER.split(", ")[1:], ENTRY, "error string"])
+
+    def eval(self, html: str | None):
+        try:
+            p = _Page()
+            p.feed(html or "")
+            p.close()
+            rows = [{"competitor_id": competitor} | r for competitor, cells in p.rows if (r := classify_cells(cells))]
+        except Exception as e:  # noqa: BLE001
+            yield (None,) * (4 + len(_ENTRY)) + (f"{type(e).__name__}: {e}",)
+            return
+        head = (p.header.get("kind"), p.header.get("place") or p.header.get("name"), p.header.get("subtitle"), p.date)
+        for r in rows:
+            yield (*head, *(r[c] for c in _ENTRY), None)
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``race_page`` known to the session's SQL."""
+    spark.udtf.register("race_page", F.udtf(RacePage, returnType=RacePage.columns))
