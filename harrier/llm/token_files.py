@@ -49,6 +49,16 @@ def _tokenizer(path: str, end_id: int) -> Words:
     return _loaded[path, end_id]
 
 
+def _composed(text: str, low: str) -> bool:
+    """Whether the library composes no characters of a text or of its lower case. It has none to compose below U+0100, which
+    is found out by a copy of the text, not by a look at each character."""
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+
+
 class Words(dict):
     """Serialized ids by piece of text; forgets when it is full.
 
@@ -97,8 +107,7 @@ class Words(dict):
         if not text:
             return []
         low = text.lower() if self.lowers else text
-        composed = text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low))
-        return PIECES(low if composed and not any(x in text for x in "Σİ\u0307") and not any(x in low for x in self.special) else text)
+        return PIECES(low if _composed(text, low) and not any(x in text for x in "Σİ\u0307") and not any(x in low for x in self.special) else text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text."""
