@@ -112,16 +112,24 @@ class Words(dict):
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text."""
         cut = list(map(self._cut, texts))
-        new = set().union(*cut).difference(self)
+        found = [list(map(self.get, t)) for t in cut]
+        holes = []
+        for k, parts in enumerate(found):
+            at = -1
+            try:
+                while True:
+                    at = parts.index(None, at + 1)
+                    holes.append((k, at))
+            except ValueError:
+                pass
+        new = {cut[k][at] for k, at in holes}
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = set().union(*cut)
-        self.update(self._ids(list(new)))
-        out = [b"".join(map(self.__getitem__, t)) for t in cut]
-        for p in new:
-            if len(p) > self.longest:  # seen once, mostly
-                del self[p]
-        return out
+        ids = self._ids(list(new))
+        for k, at in holes:
+            found[k][at] = ids[cut[k][at]]
+        self.update((p, x) for p, x in ids.items() if len(p) <= self.longest)  # longer ones are seen once, mostly
+        return list(map(b"".join, found))
 
 
 def pack(rows: list[tuple], dictionary_sha: bytes, width: int, tokens_before: int) -> bytes:
