@@ -71,6 +71,19 @@ class Symbols(dict):
         return s
 
 
+class Hashes(dict):
+    """Hashes of words, those of late remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+    def __reduce__(self):
+        return Hashes, ()
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -159,7 +172,7 @@ class LogBilinear:
             all_groups[lo : lo + ROWS] = _log_sum(h[lo : lo + ROWS] @ u.T + bias_u)
         h = h[of]
         out = np.einsum("id,id->i", h, u[k]) + bias_u[k] - all_groups[of]
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k.astype(np.uint16) if len(u) < 1 << 16 else k, kind="stable")  # short numbers are sorted by their digits
         edge = np.searchsorted(k[order], np.arange(len(u) + 1))
         for g in np.flatnonzero((np.diff(edge) > 0) & (np.diff(self.begin) > 1)):
             lo, hi = self.begin[g], self.begin[g + 1]
@@ -178,9 +191,12 @@ def _chosen(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray, which: np.ndar
 
 
 def _log_sum(score: np.ndarray) -> np.ndarray:
-    top = score.max(axis=1)
-    score -= top[:, None]
-    return top + np.log(np.exp(score, out=score).sum(axis=1))
+    with np.errstate(over="ignore", divide="ignore"):
+        out = np.log(np.exp(score).sum(axis=1))
+    for i in np.flatnonzero(~np.isfinite(out)):  # beyond a double's range, which scores hardly ever are
+        top = score[i].max()
+        out[i] = top + np.log(np.exp(score[i] - top).sum())
+    return out
 
 
 class Scorer:
@@ -190,6 +206,7 @@ class Scorer:
         self.model, self.symbols, self.hashes, self.counts = model, Symbols(modelled), hashes, counts
         self.tail_log = np.log10(tail_tokens + tail_words + 1.0)
         self.log_total, self.ends = math.log10(total + kinds + 1), ends
+        self.known = Hashes()
         own = np.array([word_hash(w) for w in modelled], np.int64)
         self.modelled_logs = np.log10(counts[np.searchsorted(hashes, own)] + 1.0) if len(own) else np.zeros(0)
 
@@ -206,7 +223,7 @@ class Scorer:
         logs[hit] = self.modelled_logs[symbol[hit]]
         rare = np.flatnonzero(~hit)  # counts of modelled words are known by their symbols
         if len(rare) and len(self.hashes):
-            h = np.fromiter((xxhash.xxh64_intdigest(flat[i]) for i in rare.tolist()), np.uint64, len(rare)).view(np.int64) ^ np.int64(-(2**63))
+            h = np.fromiter(map(self.known.__getitem__, map(flat.__getitem__, rare.tolist())), np.uint64, len(rare)).view(np.int64) ^ np.int64(-(2**63))
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             hit[rare] = self.hashes[at] == h
             logs[rare] = np.where(hit[rare], np.log10(self.counts[at] + 1.0), 0.0)
