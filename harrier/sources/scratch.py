@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame
 
 
+@cache
+def _own() -> str:
+    """A folder of this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="harrier-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below ``spark.checkpoint.dir``, which driver and executors share, and read again. That cuts its lineage.
 
@@ -19,7 +30,7 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     if not base:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="harrier-")
+        base = _own()
     path = f"{base.rstrip('/')}/harrier-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
