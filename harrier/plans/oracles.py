@@ -76,6 +76,18 @@ fi AS (SELECT race_id, s FROM st WHERE round = 30 UNION ALL SELECT race_id, 1.0
 SELECT ra.race_id, n_anchors, n_starters, round(coalesce((SELECT sum(share * s) FROM e JOIN fi ON fi.race_id = e.past WHERE e.race_id = ra.race_id), 0.0), 6) AS anchor_quality, round(coalesce(fi.s, 0.0), 6) AS strength, usable FROM ra LEFT JOIN fi USING (race_id)"""
 
 
+#: Performances of all races that count, with percentiles and margins adjusted by the field's strength.
+_rounds, _last = STRENGTH.rsplit("\nSELECT ra.race_id", 1)
+GRADED = [
+    PERF,
+    _rounds[2:],
+    "fs AS (SELECT ra.race_id, ra.usable, coalesce(fi.s, 0.0) AS strength FROM ra LEFT JOIN fi USING (race_id))",
+    """past AS (SELECT p.* REPLACE (1 - least(greatest(strength, 0.0), 1.0) * (1 - pct) AS pct, CASE WHEN strength > 0 THEN margin / greatest(strength, 0.15) ELSE margin END AS margin)
+  FROM (SELECT perf.*, CASE WHEN world_cup THEN 1.0 ELSE strength END AS strength FROM perf JOIN fs USING (race_id) WHERE usable) p)""",
+    *SAMPLES[2:],
+]
+
+
 #: Every pool's races in order, one a step; each step hands on all its ratings.
 ELO = """se AS (SELECT *, dense_rank() OVER (PARTITION BY pool ORDER BY race_date NULLS FIRST, race_id) AS nth FROM (
   SELECT gender || '-' || kind AS pool, race_id, race_date, fis_code, rank, count(*) OVER (PARTITION BY race_id) AS n FROM results JOIN races USING (race_id) WHERE rank IS NOT NULL AND is_team = false AND status = 'OK') o WHERE n >= 3),
@@ -161,6 +173,7 @@ FROM (SELECT *, sum(CASE WHEN gap <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY pl
         "median_places": _league("SELECT fis_code, count(*) AS n, list_sort(list(rank))[count(*) // 2 + 1] AS median FROM perf WHERE rank IS NOT NULL AND world_cup GROUP BY fis_code", PERF),
         "sampled_pairs": _league(PAIRS, *SAMPLES),
         "training_pairs": _league(PAIRS.replace("FROM s)", "FROM s WHERE coalesce(season <> 2001, true))"), *SAMPLES),
+        "graded_samples": _recursive("SELECT race_id, fis_code, " + ", ".join(f"round({n}::DOUBLE, 6) AS {n}" for n in FEATURES) + " FROM s", *GRADED).replace("g AS (SELECT race_id, fis_code, sum(w)", "gg AS (SELECT race_id, fis_code, sum(w)").replace("FROM g JOIN q USING (race_id, fis_code)", "FROM gg AS g JOIN qq USING (race_id, fis_code)").replace("q AS (SELECT race_id, fis_code, min(pct) AS best", "qq AS (SELECT race_id, fis_code, min(pct) AS best"),
         "field_strength": _league(STRENGTH, PERF).replace("WITH ", "WITH RECURSIVE ", 1),
         "simulation": _league(f"""SELECT race_id, fis_code, round(avg(rank), 6) AS mean_rank, round(quantile_cont(rank, 0.5)::DOUBLE, 6) AS median_rank, round(avg((rank <= 1)::INT), 6) AS p_win, round(avg((rank <= 3)::INT), 6) AS p_podium, round(avg((rank <= 10)::INT), 6) AS p_top10 FROM (
   SELECT race_id, fis_code, row_number() OVER (PARTITION BY race_id, run ORDER BY (1500 + (fis_code::INT % 7) * 40.0::DOUBLE) * ln(10) / 400 - ln(-ln((x + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) DESC, fis_code) AS rank FROM ({_mixed(_mixed("xor(run, k2)", "race_id, fis_code, run, k1", "entered, (SELECT unnest(range(1, 201))::UBIGINT AS run) t"), "race_id, fis_code, run", None)}) a) b GROUP BY ALL""",
