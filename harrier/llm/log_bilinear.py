@@ -50,38 +50,35 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-class Symbols(dict):
-    """Symbol by word: modelled words, then tails, the end, and what stands before a text. Modelled
-    words stay, others are forgotten when there are many."""
+class Words(dict):
+    """Words' numbers: modelled words have their symbols, others are numbered as they come. Those
+    are forgotten before a batch if there are many; ``new`` holds the last batch's."""
 
-    def __init__(self, modelled: list[bytes], limit: int = 300_000):
+    def __init__(self, modelled: list[bytes], limit: int = 400_000):
         super().__init__(zip(modelled, range(len(modelled)), strict=True))
-        self.modelled, self.limit = modelled, limit + len(modelled)
-        self.end = len(modelled) + TAILS
-        self.pad = self.end + 1
+        self.modelled, self.limit, self.new, self.endings = modelled, limit + len(modelled), [], {}
+        self.symbol = np.arange(len(modelled))
 
     def __reduce__(self):
-        return Symbols, (self.modelled, self.limit - len(self.modelled))
+        return Words, (self.modelled, self.limit - len(self.modelled))
 
     def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self)
+        self.new.append(word)
+        return i
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Of a batch's words; ``symbol`` then has the symbol of each number."""
         if len(self) >= self.limit:
             self.clear()
             self.update(zip(self.modelled, range(len(self.modelled)), strict=True))
-        self[word] = s = len(self.modelled) + tail(word)
-        return s
-
-
-class Hashes(dict):
-    """Hashes of words, those of late remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def __reduce__(self):
-        return Hashes, ()
+        self.new = []
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        for e in {w[-2:] for w in self.new}.difference(self.endings):
+            self.endings[e] = len(self.modelled) + tail(e)
+        fresh = np.fromiter((self.endings[w[-2:]] for w in self.new), np.int64, len(self.new))
+        self.symbol = np.concatenate([self.symbol[: len(self) - len(self.new)], fresh])
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -169,28 +166,26 @@ class LogBilinear:
         context, of = np.unique(a * np.int64(len(r)) + b, return_inverse=True)  # half of a batch's contexts are repeated
         h, all_groups = left[context // len(r)] + right[context % len(r)], np.empty(len(context))
         for lo in range(0, len(context), ROWS):
-            all_groups[lo : lo + ROWS] = _log_sum(h[lo : lo + ROWS] @ u.T + bias_u)
-        h = h[of]
-        out = np.einsum("id,id->i", h, u[k]) + bias_u[k] - all_groups[of]
-        order = np.argsort(k.astype(np.uint16) if len(u) < 1 << 16 else k, kind="stable")  # short numbers are sorted by their digits
-        edge = np.searchsorted(k[order], np.arange(len(u) + 1))
-        for g in np.flatnonzero((np.diff(edge) > 0) & (np.diff(self.begin) > 1)):
-            lo, hi = self.begin[g], self.begin[g + 1]
-            for i in range(edge[g], edge[g + 1], ROWS):
-                some = order[i : min(i + ROWS, edge[g + 1])]
-                out[some] += _chosen(h[some], q[lo:hi], bias_q[lo:hi], s[some] - lo)
+            all_groups[lo : lo + ROWS] = _log_sum(h[lo : lo + ROWS], u, bias_u)
+        pair, which = np.unique(k * len(context) + of, return_inverse=True)  # a group in a context, by groups
+        edge, inside = np.searchsorted(pair, np.arange(len(u) + 1) * len(context)), np.empty(len(pair))
+        pair %= max(1, len(context))
+        for g in np.flatnonzero(np.diff(edge)):
+            own = slice(self.begin[g], self.begin[g + 1])
+            for lo in range(edge[g], edge[g + 1], ROWS):
+                hi = min(lo + ROWS, edge[g + 1])
+                inside[lo:hi] = _log_sum(h[pair[lo:hi]], q[own], bias_q[own])
+        out = bias_u[k] + bias_q[s] - all_groups[of] - inside[which]
+        for lo in range(0, len(out), 4 * ROWS):
+            i = slice(lo, lo + 4 * ROWS)
+            out[i] += np.einsum("id,id->i", h[of[i]], u[k[i]] + q[s[i]])
         return out
 
 
-def _chosen(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Normalised logarithms."""
+def _log_sum(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Of each row, the logarithm of the sum of its exponential scores."""
     score = h @ vectors.T
     score += bias
-    chosen = score[np.arange(len(h)), which]
-    return chosen - _log_sum(score)
-
-
-def _log_sum(score: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore", divide="ignore"):
         out = np.log(np.exp(score).sum(axis=1))
     for i in np.flatnonzero(~np.isfinite(out)):  # beyond a double's range, which scores hardly ever are
@@ -203,33 +198,34 @@ class Scorer:
     """What a worker needs to score texts: the model, sums of the tails and the counts of known words."""
 
     def __init__(self, model, modelled, hashes, counts, tail_words, tail_tokens, total, kinds, ends):
-        self.model, self.symbols, self.hashes, self.counts = model, Symbols(modelled), hashes, counts
+        self.model, self.words, self.hashes, self.counts = model, Words(modelled), hashes, counts
         self.tail_log = np.log10(tail_tokens + tail_words + 1.0)
         self.log_total, self.ends = math.log10(total + kinds + 1), ends
-        self.known = Hashes()
-        own = np.array([word_hash(w) for w in modelled], np.int64)
-        self.modelled_logs = np.log10(counts[np.searchsorted(hashes, own)] + 1.0) if len(own) else np.zeros(0)
+        self.hit, self.log = self._counted(modelled)
+
+    def _counted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether words are among those that workers know, and the logarithms of their counts plus one."""
+        if not len(self.hashes):
+            return np.zeros(len(words), bool), np.zeros(len(words))
+        h = np.fromiter(map(word_hash, words), np.int64, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = self.hashes[at] == h
+        return hit, np.where(hit, np.log10(self.counts[at] + 1.0), 0.0)
 
     def score(self, texts: list[str | None]) -> dict:
         """Sums over known words, and each text's other words with their times."""
         found = [tokens(t) for t in texts]
-        rows, first = _symbol_rows(found, self.symbols)
-        lp = self.model.log_probabilities(rows[:, 0], rows[:, 1], rows[:, 2]).astype(np.float64) / math.log(10)
-        lens = [len(t) for t in found]
-        of = np.repeat(np.arange(len(texts)), lens)
+        lens = np.array([len(t) for t in found], np.int64)
         flat = [w for t in found for w in t]
-        symbol, first_tail = rows[rows[:, 2] != self.symbols.end, 2], len(self.symbols.modelled)
-        hit, logs = symbol < first_tail, np.zeros(len(symbol))
-        logs[hit] = self.modelled_logs[symbol[hit]]
-        rare = np.flatnonzero(~hit)  # counts of modelled words are known by their symbols
-        if len(rare) and len(self.hashes):
-            h = np.fromiter(map(self.known.__getitem__, map(flat.__getitem__, rare.tolist())), np.uint64, len(rare)).view(np.int64) ^ np.int64(-(2**63))
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit[rare] = self.hashes[at] == h
-            logs[rare] = np.where(hit[rare], np.log10(self.counts[at] + 1.0), 0.0)
+        number, old = self.words.numbers(flat), len(self.words) - len(self.words.new)
+        self.hit, self.log = (np.concatenate([x[:old], y]) for x, y in zip((self.hit, self.log), self._counted(self.words.new), strict=True))
+        symbol, hit, logs, first_tail = self.words.symbol[number], self.hit[number], self.log[number], len(self.words.modelled)
+        rows, first = _trigrams(symbol, lens, first_tail + TAILS)
+        lp = self.model.log_probabilities(*rows) / math.log(10)
+        of = np.repeat(np.arange(len(texts)), lens)
         # a word of a tail has its share of the tail; a modelled word is a symbol itself
         share = np.where(symbol < first_tail, 0.0, logs - self.tail_log[np.maximum(symbol - first_tail, 0)])
-        n = np.array(lens, np.int64) + 1
+        n = lens + 1
         others: list[Counter] = [Counter() for _ in texts]
         for i in np.flatnonzero(~hit).tolist():
             others[of[i]][flat[i]] += 1
@@ -243,17 +239,15 @@ class Scorer:
         }
 
 
-def _symbol_rows(texts: list[list[bytes]], symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' trigrams (before last, last, symbol) and each text's first row."""
-    lens = np.array([len(t) + 1 for t in texts])
-    flat = np.full(int(lens.sum()) + 2 * len(texts), symbols.pad, np.int64)
-    first = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-    here = first + 2 * np.arange(len(texts)) + 2
-    for t, at in zip(texts, here, strict=True):
-        flat[at : at + len(t)] = np.fromiter(map(symbols.__getitem__, t), np.int64, len(t))
-        flat[at + len(t)] = symbols.end
-    keep = np.arange(int(lens.sum())) + np.repeat(2 * np.arange(len(texts)), lens)
-    return np.stack([flat[keep], flat[keep + 1], flat[keep + 2]], axis=1), first
+def _trigrams(symbol: np.ndarray, lens: np.ndarray, end: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Before last, last and symbol of all texts' symbols, each text closed by an end, and each text's first row."""
+    text = np.arange(len(lens))
+    first = np.cumsum(lens + 1) - (lens + 1)
+    flat = np.full(len(symbol) + 3 * len(lens), end + 1, np.int64)
+    flat[np.arange(len(symbol)) + 3 * np.repeat(text, lens) + 2] = symbol
+    flat[first + lens + 2 * text + 2] = end
+    keep = np.arange(len(symbol) + len(lens)) + np.repeat(2 * text, lens + 1)
+    return (flat[keep], flat[keep + 1], flat[keep + 2]), first
 
 
 def count_words(docs: DataFrame, entries: int = 400_000) -> DataFrame:
@@ -290,15 +284,17 @@ def train(docs: DataFrame, modelled: list[bytes], counts: np.ndarray, total: int
     held = spark.sparkContext.broadcast((modelled, counts))  # bounded by most_words
 
     def symbols(batches):
-        words = Symbols(held.value[0])
+        words = Words(held.value[0])
         for b in batches:
             times = Counter(t or "" for t in b["text"].to_pylist())
             of = [xxhash.xxh64_intdigest(t.encode()) for t in times]
-            ids = [np.fromiter(map(words.__getitem__, tokens(t)), np.int32).tobytes() for t in times]
+            found = [tokens(t) for t in times]
+            number = words.numbers([w for t in found for w in t])
+            ids = [x.tobytes() for x in np.split(words.symbol[number].astype(np.int32), np.cumsum([len(t) for t in found])[:-1])]
             yield {"part": [x % parts for x in of], "times": list(times.values()), "ids": ids}
 
     def learn(batches):
-        words, pad = Symbols(held.value[0]), n - 1
+        end, pad = n - 2, n - 1
         part, pending = None, []
 
         def trained():
@@ -316,7 +312,7 @@ def train(docs: DataFrame, modelled: list[bytes], counts: np.ndarray, total: int
                     yield trained()
                     pending = []
                 part = p
-                x = np.concatenate([[pad, pad], np.frombuffer(ids, np.int32), [words.end]]).astype(np.int64)
+                x = np.concatenate([[pad, pad], np.frombuffer(ids, np.int32), [end]]).astype(np.int64)
                 pending.append(((x[:-2] * n + x[1:-1]) * n + x[2:], np.full(len(x) - 2, times)))
         if pending:
             yield trained()
