@@ -94,3 +94,33 @@ def test_stream_agrees_with_update(spark, tmp_path):
     state = {}
     folds.update_race(state, ["a", "b", "c"], np.array([1.0, 2.0, 3.0]), date(2024, 1, 1))
     assert {r.fis_code: r.rating for r in spark.table("rated").collect()} == {c: x[0] for c, x in state.items()}
+
+
+def test_stream_out_of_order_and_restarted_is_the_batch_fold(spark, tmp_path):
+    draw, races = np.random.default_rng(5), []
+    for i in range(24):
+        codes = [f"a{x}" for x in draw.choice(12, int(draw.integers(2, 9)), replace=False)]
+        day = None if i < 2 else date.fromordinal(date(2024, 1, 1).toordinal() + i // 3 * 2)  # three races a day
+        races.append((f"p{i % 2}", f"r{i:02}", day, codes, [float(x) for x in draw.integers(1, 6, len(codes))]))
+    far = [(p, "end", date(2026, 1, 1), ["x", "y"], [1.0, 2.0]) for p in ("p0", "p1")]
+    mixed = [races[:8][::-1], races[8:16][::-1], races[16:][::-1] + [races[9]], [("p0", "late", date(2024, 1, 2), ["a1", "a2", "a3"], [1.0, 2.0, 3.0])], far, far]
+    mixed[0], mixed[1] = mixed[0] + mixed[1][:3], mixed[1][3:] + mixed[0][2:3]  # some a batch too early, one twice
+
+    def run(batches):
+        for b in batches:
+            spark.createDataFrame(b, RACE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            q = rate_stream(spark.readStream.schema(RACE).parquet(str(tmp_path / "in")), "60 days").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+            q.processAllAvailable()
+            q.stop()
+
+    run(mixed[:3])
+    waited = spark.read.parquet(str(tmp_path / "out")).count() if (tmp_path / "out").exists() else 0
+    run(mixed[4:] + mixed[3:4])  # the late race comes when its time is over
+    want = {}
+    for p in ("p0", "p1"):
+        state = {}
+        for _, race_id, day, codes, ranks in sorted((r for r in races if r[0] == p), key=lambda r: (r[2] or date.min, r[1])):
+            folds.update_race(state, codes, np.array(ranks), day, race_id)
+            want |= {(p, race_id, c): tuple(state[c][:2]) for c in codes if c in state}
+    got = [((r.pool, r.race_id, r.fis_code), (r.rating, r.n_races)) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert waited < len(got) == len(want) and all(want[k][1] == n and math.isclose(want[k][0], x, rel_tol=1e-12) for k, (x, n) in got)
