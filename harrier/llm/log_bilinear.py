@@ -2,7 +2,8 @@
 
 Tokens are the lower-cased (A-Z) words of a text and one end. The model predicts a symbol from
 the two before it: a symbol is a word that occurs often enough, the end, or a tail of other words (by their
-last two bytes, which tell much about a language's endings). The vocabulary is counted: it grows with the corpus.
+last two bytes, which tell much about a language's endings). The vocabulary is counted and grows
+with the corpus; the words that are modelled do so up to ``most_words``.
 
 Symbols lie in groups by their frequency, the frequent ones in small groups: the k-th, from 0, has 4 k + 1 symbols. A context is h = C1 r_a + C2 r_b; the group of
 the next symbol has the score h . u + bias, the symbol in its group h . q + bias, and both are normalised by matrix products over a
