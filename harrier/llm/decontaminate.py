@@ -21,6 +21,9 @@ from .common import saved
 #: Fixed masks; six words count in each.
 MASKS = ("1110111", "11011011", "1101001101")
 
+#: A text's items that are verified in one row.
+LOT = 64
+
 
 def word_hashes(text: Column) -> Column:
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
@@ -85,20 +88,28 @@ def _found(docs: DataFrame, benchmark: DataFrame, share: float, long: int, broad
     # one row for each text and item, with all its lags; a text's words are fetched once for all its items
     hits = hits.groupBy("doc_id", "of", "item_id").agg(F.sort_array(F.collect_list("lag")).alias("lags"))
     hits = saved(hits.join(items.withColumnRenamed("w", "item"), "item_id"), "leaks")
-    asked = hits.groupBy("doc_id", "of").agg(F.collect_list(F.struct("item_id", "item", "lags")).alias("asked"))
+    # a text's items go in lots of about ``LOT`` by the items' hash, however many items share a phrase with it
+    lots = max(1, -(-items.count() // LOT))
+    asked = hits.groupBy("doc_id", "of", F.pmod(F.xxhash64("item_id"), F.lit(lots)).alias("lot")).agg(F.collect_list(F.struct("item_id", "item", "lags")).alias("asked"))
     same = (F.col("h.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("h.of") == F.col("t.of"))
-    once = texts.alias("t").join(asked.alias("h"), same).select("h.doc_id", "h.of", "h.asked", F.col("t.text")).dropDuplicates(["doc_id", "of"])
+    once = texts.alias("t").join(asked.alias("h"), same).select("h.doc_id", "h.of", "h.lot", "h.asked", F.col("t.text")).dropDuplicates(["doc_id", "of", "lot"])
     # as the one element of an array, words and positions are found once and not again wherever they are named
     once = once.select("doc_id", "of", "asked", F.explode(F.array(word_hashes(F.col("text")))).alias("w"))
-    pairs = once.select("doc_id", "of", "w", F.explode("asked").alias("a")).select("doc_id", "of", "w", "a.item_id", "a.item", F.explode("a.lags").alias("lag"))
-    n, lag = F.size("item"), F.col("lag")
-    agrees = lambda i: (i >= 0) & F.coalesce(F.get("w", i) == F.get("item", i - lag), F.lit(False))
-    agreeing = F.filter(F.sequence(lag, lag + n - 1), agrees)
-    verdict = lambda at: F.struct(F.size(at).alias("matched"), ((F.size(at) >= share * n) | has_stretch(at, share, long)).alias("copied"))
-    pairs = pairs.select("doc_id", "of", "item_id", "lag", n.alias("item_words"), F.explode(F.transform(F.array(agreeing), verdict)).alias("v"))
-    pairs = pairs.where("v.copied")
-    best = F.max(F.struct("v.matched", (-F.col("lag")).alias("back"), "item_words")).alias("best")
-    return pairs.groupBy("doc_id", "of", "item_id").agg(best).select("doc_id", "of", "item_id", "best.matched", "best.item_words", (-F.col("best.back")).alias("lag"))
+    pairs = once.select("doc_id", "of", "w", F.explode("asked").alias("a"))
+    n = F.size("a.item")
+
+    def agreeing(lag: Column) -> Column:
+        agrees = lambda i: (i >= 0) & F.coalesce(F.get("w", i) == F.get("a.item", i - lag), F.lit(False))
+        return F.filter(F.sequence(lag, lag + n - 1), agrees)
+
+    def judged(lag: Column) -> Column:
+        """The alignment's agreeing words and lag, null if it is no copy; a text's words make no row a lag."""
+        verdict = lambda at: F.when((F.size(at) >= share * n) | has_stretch(at, share, long), F.struct(F.size(at).alias("matched"), (-lag).alias("back")))
+        return F.element_at(F.transform(F.array(agreeing(lag)), verdict), 1)
+
+    best = F.array_max(F.transform("a.lags", judged)).alias("best")
+    pairs = pairs.select("doc_id", "of", F.col("a.item_id").alias("item_id"), n.alias("item_words"), best).where(F.col("best").isNotNull())
+    return pairs.select("doc_id", "of", "item_id", F.col("best.matched").alias("matched"), "item_words", (-F.col("best.back")).alias("lag"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
