@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..sources.scratch import settled
+from .results import chosen
 
 MIN_RATEABLE, RECENT_DAYS, MOST_POINTS, MOST_MARGIN = 6, 90, 300.0, 3.0
 UNKNOWN = 0.5
@@ -162,3 +163,12 @@ def samples(perf: DataFrame, strength: DataFrame | None = None, *, other_series:
     rated = features(targets, past).join(targets.select("race_id", "fis_code", "race_date", "season", "pos", F.col("fis_points").alias("in_race_points")), ["race_id", "fis_code"])
     enough = rated.groupBy("race_id").agg(F.count("*").alias("rateable")).where(F.col("rateable") >= min_rateable).select("race_id")
     return rated.join(enough, "race_id")
+
+
+def reader_features(targets: DataFrame, perf: DataFrame, **choice) -> DataFrame:
+    """Features of ``targets`` from the part of the history that a reader has chosen (``chosen``'s parameters).
+
+    Unranked performances are no history here, neither percentiles nor margins are graded, and points are always unknown:
+    exported careers don't carry them. A target none of whose history is chosen has no row.
+    """
+    return features(targets, chosen(perf, **choice).withColumn("fis_points", F.lit(None).cast("double")))

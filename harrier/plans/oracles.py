@@ -53,6 +53,16 @@ SAMPLES = [
     "s AS (SELECT * FROM f WHERE race_id IN (SELECT race_id FROM f GROUP BY race_id HAVING count(*) >= 6))",
 ]
 
+READER = [PERF, "past AS (SELECT * REPLACE (NULL::DOUBLE AS fis_points) FROM perf WHERE world_cup AND rank IS NOT NULL AND technique = 'C')", "targets AS (SELECT * FROM perf WHERE world_cup AND rank IS NOT NULL)", *SAMPLES[3:7]]
+
+CHARTS = [
+    PERF,
+    "pts AS (SELECT coalesce(nation, '?') AS chart, fis_code, race_id, race_date, rank, 1 + 99 * pct AS adjusted FROM perf JOIN athletes USING (fis_code) WHERE world_cup AND kind = 'sprint' AND rank IS NOT NULL)",
+    "days AS (SELECT chart, race_date, list_position(l, race_date) AS k, len(l) AS n FROM (SELECT DISTINCT chart, race_date FROM pts) JOIN (SELECT chart, list_sort(list(DISTINCT race_date)) AS l FROM pts GROUP BY chart) USING (chart))",
+    "worst AS (SELECT chart, (ceil(max(rank) / 10.0) * 10)::INT AS places, ceil(max(adjusted) / 10) * 10 AS adjusted FROM pts GROUP BY chart)",
+    "xs AS (SELECT *, CASE WHEN n < 2 THEN 0.5 ELSE (k - 1)::DOUBLE / (n - 1) END AS x FROM days)",
+]
+
 
 #: One of each of 600 stretches of a race's numbered pairs.
 PAIRS = """, t AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY pos) - 1 AS at FROM s),
@@ -181,6 +191,11 @@ FROM (SELECT *, sum(CASE WHEN gap <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY pl
         "page_links": """SELECT page_id, substr(sha256(url), 1, 20) AS cache_key, len(l)::INT AS links, coalesce(l[1], '') AS first_link FROM (SELECT page_id, url, list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS d,
   list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x, i: list_position(regexp_extract_all(html, 'href="([^"]*)"', 1), x) = i) AS l FROM pages) p""",
         "result_pages": _league("SELECT race_id, fis_code::INT AS code, rank, nation, round(coalesce(fis_points, 0.0), 2) AS fis_points, status FROM results JOIN athletes USING (fis_code) WHERE race_id IN (SELECT race_id FROM results WHERE rank IS NOT NULL)"),
+        "reader_features": _league("SELECT race_id, fis_code, " + ", ".join(f"round({n}::DOUBLE, 6) AS {n}" for n in FEATURES) + " FROM f", *READER),
+        "chart_axes": _league("SELECT a.chart, a.race_date, round(a.x::DOUBLE, 6) AS x, places AS worst, CASE WHEN b.chart IS NULL OR year(b.race_date) <> year(a.race_date) THEN year(a.race_date)::INT END AS year FROM xs a JOIN worst USING (chart) LEFT JOIN xs b ON b.chart = a.chart AND b.k = a.k - 1", *CHARTS),
+        "chart_curves": _league("SELECT chart, fis_code, race_id, round(x::DOUBLE, 6) AS x, round((p.adjusted - 1) / (w.adjusted - 1), 6) AS y FROM pts p JOIN xs USING (chart, race_date) JOIN worst w USING (chart)", *CHARTS),
+        "chart_ticks": _league("SELECT chart, tick, round((tick - 1)::DOUBLE / (places - 1), 6) AS y FROM (SELECT DISTINCT chart, places, tick FROM worst, (SELECT unnest([1, 5, 10, 20, 30, 50, 100]) AS t) u, LATERAL (SELECT unnest([t, places])::INT AS tick) v WHERE tick <= places) z", *CHARTS),
+        "timed_pages": _league("SELECT race_id, race_date, 'Town' AS place, nullif(series, '') AS series, title, fis_code::INT AS code, (fis_code::INT % 900 + 1)::INT AS bib, rank, status, round(time_s::DOUBLE, 6) AS time_s FROM results JOIN races USING (race_id) JOIN athletes USING (fis_code)"),
         "upserts": _league("SELECT fis_code, CASE WHEN fis_code::INT % 3 = 0 THEN upper(name) ELSE name END AS name, CASE WHEN fis_code::INT % 6 = 0 THEN 'NEW' ELSE nation END AS nation, CASE WHEN fis_code::INT % 3 = 0 THEN fis_code END AS competitor_id FROM athletes"),
         "quoted_csv": _league("""SELECT concat('"', race_id, '","', replace(title, '"', '""'), '","', coalesce(length_km::VARCHAR, ''), '"') AS line FROM races"""),
     }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fantasy, federations, titles
 from ..functions import kernels as K
 from ..operators import features as feat
-from ..operators import folds, metrics, profiles, ranker, results, simulate
+from ..operators import charts, folds, metrics, profiles, ranker, results, simulate
 from ..schemas import FEATURES
 from ..sources import pages, store
 from ..testing import league
@@ -204,6 +204,30 @@ def graded_samples(spark, sf_dir):
     return _six(feat.samples(p, folds.field_strength(p), world_cup_only=False).select("race_id", "fis_code", *FEATURES))
 
 
+def reader_features(spark, sf_dir):
+    """Of all World Cup finishers, from their classic World Cup races only."""
+    p = _perf(spark, sf_dir)
+    return _six(feat.reader_features(p.where("world_cup AND rank IS NOT NULL"), p, world_cup=True, technique="C").select("race_id", "fis_code", *FEATURES))
+
+
+def _nations_sprints(spark, sf_dir):
+    """A chart for each nation, of its athletes' places in World Cup sprints."""
+    points = results.trajectory(_perf(spark, sf_dir), world_cup=True, kind="sprint")
+    return points.join(league.athletes(spark, sf_dir).select("fis_code", F.coalesce("nation", F.lit("?")).alias("chart")), "fis_code")
+
+
+def chart_axes(spark, sf_dir):
+    return _six(charts.axes(_nations_sprints(spark, sf_dir)))
+
+
+def chart_curves(spark, sf_dir):
+    return _six(charts.curves(_nations_sprints(spark, sf_dir), "adjusted").select("chart", "fis_code", "race_id", "x", "y"))
+
+
+def chart_ticks(spark, sf_dir):
+    return _six(charts.ticks(_nations_sprints(spark, sf_dir)))
+
+
 def learned_ranker(spark, sf_dir):
     """Trained on all but the held-out seasons, scored on those."""
     train, test = results.split_by_season(_wc_samples(spark, sf_dir), HELD_OUT)
@@ -258,6 +282,20 @@ def result_pages(spark, sf_dir):
     return pages.results_of(pages.parse_race_pages(html)).select("race_id", F.col("fis_code").cast("int").alias("code"), "rank", "nation", "fis_points", "status")
 
 
+def timed_pages(spark, sf_dir):
+    """Race pages with headers, spelled-out dates, bibs and clocks, made from the league's results and parsed again."""
+    r = league.results(spark, sf_dir).join(league.athletes(spark, sf_dir), "fis_code")
+    tenths = F.round(F.col("time_s") * 10).cast("long")
+    clock = F.format_string("%d:%02d.%d", F.expr("div(tenths, 600)"), F.expr("div(tenths % 600, 10)"), F.col("tenths") % 10)
+    cells = [F.coalesce(F.col("rank").cast("string"), F.col("status")), (F.col("fis_code").cast("int") % 900 + 1).cast("string"), F.lpad("fis_code", 7, "0"), F.concat(F.lit("Name "), "name"), F.col("nation"), F.when(F.col("tenths").isNotNull(), clock)]
+    row = F.concat(F.lit('<a class="table-row">'), F.concat_ws("", *[F.concat(F.lit("<div>"), c, F.lit("</div>")) for c in cells]), F.lit("</a>"))
+    rows = r.withColumn("tenths", tenths).groupBy("race_id").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
+    part = lambda name, text: F.concat(F.lit(f'<div class="event-header__{name}">'), F.coalesce(text, F.lit("")), F.lit("</div>"))
+    head = [part("name", F.lit("<h1>Town</h1>")), part("subtitle", F.col("series")), part("kind", F.col("title")), part("date", F.date_format("race_date", "MMMM d, yyyy"))]
+    html = rows.join(league.races(spark, sf_dir), "race_id").select("race_id", F.concat(*head, "rows").alias("html"))
+    return _six(pages.parse_race_pages(html).select("race_id", F.col("race_date").cast("date").alias("race_date"), "place", "series", "title", F.col("fis_code").cast("int").alias("code"), "bib", "rank", "status", "time_s"))
+
+
 def upserts(spark, sf_dir):
     """Athletes merged with a later crawl that lacks some nations."""
     old = league.athletes(spark, sf_dir).select("fis_code", "name", "nation", F.lit(None).cast("int").alias("birth_year"), F.lit(None).cast("string").alias("competitor_id"))
@@ -272,6 +310,6 @@ def quoted_csv(spark, sf_dir):
 def queries() -> dict:
     return {f.__name__: f for f in (
         performances, datable_races, finished_races, classify_title, features, baselines, season_split, weekends, trajectory, athlete_summary, best_events, race_index, rank_correlation, start_list, start_lists,
-        race_summary, athlete_index, median_places, listings, uncovered_nations, entry_signals, fantasy_market, fantasy_teams, forcing_costs, distinct_starters, scorers, elo_first_race, elo_ratings, leaderboard, backtest, ratings_as_of, medal_table, field_strength, graded_samples, learned_ranker, sampled_pairs, training_pairs, race_payloads,
-        athlete_payloads, simulation, simulations, page_links, result_pages, upserts, quoted_csv,
+        race_summary, athlete_index, median_places, listings, uncovered_nations, entry_signals, fantasy_market, fantasy_teams, forcing_costs, distinct_starters, scorers, elo_first_race, elo_ratings, leaderboard, backtest, ratings_as_of, medal_table, field_strength, graded_samples, reader_features, chart_axes, chart_curves, chart_ticks, learned_ranker, sampled_pairs, training_pairs, race_payloads,
+        athlete_payloads, simulation, simulations, page_links, result_pages, timed_pages, upserts, quoted_csv,
     )}
