@@ -143,13 +143,19 @@ RULES = tuple((field, re.compile(pattern), reader, second) for field, pattern, r
     ("status", "(?i:" + "|".join(STATUSES) + ")", str.upper, "last"),
     ("name", r"(?=.{4}).*[A-Za-z].*", str, "ask"),
 ))
-LEAD = (("rank", re.compile(r"\d{1,3}"), int), ("status", RULES[7][1], str.upper))
+LEAD = (("rank", re.compile(r"\d{1,9}"), int), ("status", RULES[7][1], str.upper))
 
 
 def classify_cells(cells: list[str]) -> dict | None:
-    """What a row's cells hold, by their content; None without a code or a name."""
+    """What a row's cells hold, by their content; None without a code or a name.
+
+    A number in the first cell is the rank, of up to nine digits; one that looks like a code only if another cell does too.
+    """
     found: dict = {}
     lead = next(((f, read(cells[0])) for f, p, read in LEAD if cells and p.fullmatch(cells[0])), None)
+    code = RULES[0][1].fullmatch
+    if lead and code(cells[0]) and not any(map(code, cells[1:])):
+        lead = None
     if lead:
         found[lead[0]] = lead[1]
     for c in cells[1 if lead else 0 :]:

@@ -13,6 +13,14 @@ def test_cells_by_content():
     assert pages.classify_cells(["1", "BERG Ola"]) is None
 
 
+def test_ranks_of_large_fields():
+    """Ranks from 1000 on, also such as look like a year or a code; a number of ten digits is none."""
+    for rank in ("1000", "1994", "134017", "3420001"):
+        r = pages.classify_cells([rank, "12", "3420002", "BERG Ola", "1995", "NOR", "25:10.3"])
+        assert (r["rank"], r["bib"], r["fis_code"], r["birth_year"], r["status"]) == (int(rank), 12, "3420002", 1995, "OK")
+    assert pages.classify_cells(["3420001", "12", "BERG Ola"])["rank"] is None and pages.classify_cells(["9999999999", "3420001", "BERG Ola"])["rank"] is None
+
+
 def test_pages(spark):
     html = '<div class="event-header__kind">Men\'s 10km Classic</div><a class="table-row" href="x?competitorid=7"><div><div>1</div><div>3420001</div><div>BERG  Ola</div></div></a>'
     rows = pages.parse_race_pages(spark.createDataFrame([("r", html), ("n", None)], "race_id string, html string")).collect()
