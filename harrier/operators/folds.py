@@ -11,6 +11,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..sources.scratch import settled
 from .results import counted_as_ok, finished_races
+from .sums import expected_wins
 
-MIN_FIELD, OPPONENTS = 3, 1024
+MIN_FIELD = 3
+#: Opponents that ratings are compared with at once, if the field isn't larger; and ratings handed on at once.
+OPPONENTS, ROWS = 1024, 50_000
 
 
 @dataclass(frozen=True)
@@ -35,6 +39,8 @@ class Elo:
 def update_race(state: dict, codes: list[str], ranks: np.ndarray, when: date | None, race_id: str | None = None, elo: Elo = Elo()) -> None:
     """One race of one pool: every pair's surprise on the ratings before it; ties are half a win.
 
+    Wins are counted by sorting, and in a large field expected wins are sums over smooth pieces (``sums``), so that its time grows
+    with the field, not with its pairs.
     state: fis_code to [rating, races, last race, last date]. Fewer than three ranked: no change.
     """
     if len(codes) < MIN_FIELD:
@@ -43,11 +49,9 @@ def update_race(state: dict, codes: list[str], ranks: np.ndarray, when: date | N
     r = np.array([x[0] for x in rows])
     days = np.array([(when - x[3]).days if when and x[3] else 0 for x in rows])
     r = np.where(days > 0, K.ELO_START + 0.5 ** (np.maximum(days, 0) / elo.half_life) * (r - K.ELO_START), r)
-    surprise = np.zeros(len(r))
-    for lo in range(0, len(r), OPPONENTS):  # a block of opponents at a time; one's own half win is expected
-        hi = lo + OPPONENTS
-        won = (ranks[:, None] < ranks[None, lo:hi]) + 0.5 * (ranks[:, None] == ranks[None, lo:hi])
-        surprise += (won - 1 / (1 + 10 ** ((r[None, lo:hi] - r[:, None]) / K.ELO_SCALE))).sum(axis=1)
+    placed = np.sort(ranks)
+    behind = len(ranks) - (np.searchsorted(placed, ranks, "left") + np.searchsorted(placed, ranks, "right")) / 2  # one's own half win is expected
+    surprise = behind - expected_wins(r * (math.log(10) / K.ELO_SCALE), OPPONENTS)
     k = np.array([K.ELO_K_NEW if x[1] < K.ELO_NEW_RACES else elo.k for x in rows])
     for x, new in zip(rows, r + k * surprise / (len(codes) - 1), strict=True):
         x[:] = [float(new), x[1] + 1, race_id, when]
@@ -55,16 +59,31 @@ def update_race(state: dict, codes: list[str], ranks: np.ndarray, when: date | N
 
 def _by_race(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple]:
     """(key, race_id, rows) of sorted batches; a race may span batches."""
-    held: list[pd.DataFrame] = []
+    held: list[pd.DataFrame] = []  # of the race that the last batch ended in
+    last = None
+
+    def whole() -> tuple:
+        race = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        held.clear()
+        return race[key].iloc[0], race.race_id.iloc[0], race
+
     for b in batches:
-        b = pd.concat([*held, b], ignore_index=True)
-        ids = b[key].fillna("") + "\0" + b.race_id
-        cut = b.index[ids != ids.shift()].tolist()
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            yield b[key].iloc[lo], b.race_id.iloc[lo], b.iloc[lo:hi]
-        held = [b.iloc[cut[-1] :]] if cut else []
-    if held and len(held[0]):
-        yield held[0][key].iloc[0], held[0].race_id.iloc[0], held[0]
+        if not len(b):
+            continue
+        groups, races = b[key].fillna("").to_numpy(), b.race_id.to_numpy()
+        new = np.ones(len(b), bool)
+        new[0] = (groups[0], races[0]) != last
+        new[1:] = (groups[1:] != groups[:-1]) | (races[1:] != races[:-1])
+        last = groups[-1], races[-1]
+        ends = [*np.flatnonzero(new), len(b)]
+        if ends[0]:
+            held.append(b.iloc[: ends[0]])
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            if held:
+                yield whole()
+            held.append(b.iloc[lo:hi])
+    if held:
+        yield whole()
 
 
 def _rated_rows(races: DataFrame, results: DataFrame) -> DataFrame:
@@ -84,17 +103,17 @@ def elo_ratings(races: DataFrame, results: DataFrame, elo: Elo = Elo()) -> DataF
         pool, state = None, {}
 
         def out():
-            return pd.DataFrame([(c, pool, *x) for c, x in state.items()], columns=["fis_code", "pool", "rating", "n_races", "last_race_id", "last_date"])
+            every = iter(state.items())
+            while some := list(islice(every, ROWS)):
+                yield pd.DataFrame([(c, pool, *x) for c, x in some], columns=["fis_code", "pool", "rating", "n_races", "last_race_id", "last_date"])
 
         for p, race, rows in _by_race(batches, "pool"):
             if p != pool:
-                if state:
-                    yield out()
+                yield from out()
                 pool, state = p, {}
             ranked = rows[rows["rank"].notna()]
             update_race(state, ranked.fis_code.tolist(), ranked["rank"].to_numpy(), _day(rows.race_date.iloc[0]), race, elo)
-        if state:
-            yield out()
+        yield from out()
 
     return _rated_rows(races, results).mapInPandas(fold, "fis_code string, pool string, rating double, n_races int, last_race_id string, last_date date")
 
