@@ -5,6 +5,10 @@ random signs and a fast Hadamard transform. A table's bucket is the signed axis
 turned vector. A query probes the buckets of its nearest few axes in every table; all vectors of
 those buckets are candidates and are ranked by their exact inner product with the query.
 
+How far a bucket has to be probed hangs on the rows: a long vector may be among the best at a wide angle, and in rows
+without near ones all angles are wide. So a sample of queries is compared with all rows first, and vectors of like
+length (a band) are probed deeper, up to all of a band, until enough of the sample's nearest are found.
+
 Equal vectors are searched once. A bucket's vectors are dealt to blocks of bounded size, and its
 queries likewise; a block of vectors and a block of queries are multiplied as matrices and
 hand on each query's best only.
@@ -53,6 +57,38 @@ def nearest_axes(y: np.ndarray, probes: int) -> np.ndarray:
     return np.take_along_axis(some, np.argsort(-np.take_along_axis(both, some, axis=1), axis=1, kind="stable"), axis=1)
 
 
+#: Queries that are compared with all rows, the share of their nearest that has to be found, and bands of length.
+SAMPLED, WANTED, BANDS = 128, 0.97, 12
+
+
+def first_probes(q: np.ndarray, v: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """The number, from 0, of the probe by which the luckiest table finds each row of v from that of q."""
+    out = np.full(len(q), 2 * signs.shape[2])
+    for s in signs:
+        home = nearest_axes(turn(v, s), 1)
+        y = turn(q, s)
+        both = np.concatenate([y, -y], axis=1)
+        out = np.minimum(out, (both > np.take_along_axis(both, home, axis=1)).sum(axis=1))
+    return out
+
+
+def depths(first: np.ndarray, bands: np.ndarray, steps: list[int]) -> dict[int, int]:
+    """Probes for each band that finds too little with the first of ``steps``; -1: all of the band.
+
+    The band that misses most of the sample's nearest goes a step deeper, until ``WANTED`` of all are found.
+    """
+    steps, level = [*steps, -1], {int(b): 0 for b in np.unique(bands)}
+    while True:
+        missed = {b: int((first[bands == b] >= steps[k]).sum()) if steps[k] >= 0 else 0 for b, k in level.items()}
+        if sum(missed.values()) <= (1 - WANTED) * len(first):
+            return {b: steps[k] for b, k in level.items() if k}
+        level[max(missed, key=missed.get)] += 1
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _matrix(column) -> np.ndarray:
     return np.stack([np.frombuffer(x, "<f8") for x in column])
 
@@ -83,18 +119,52 @@ def search(vectors: DataFrame, queries, *, k: int = 20, tables: int = 28, probes
     few = Window.partitionBy("e").orderBy("vec_id")
     classes = ids.withColumn("i", F.row_number().over(few)).where(F.col("i") <= k + 1).groupBy("e").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     asked = ids.where("asks").select("e").distinct().withColumn("asks", F.lit(True))
-    classes = classes.join(asked, "e", "left").withColumn("cls", F.xxhash64("e", F.element_at("ids", 1)))
+    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
+    classes = saved(classes.join(asked, "e", "left").withColumns({"cls": F.xxhash64("e", F.element_at("ids", 1)), "length": length}), "ann-classes")
+    longest = classes.agg(F.max("length")).first()[0]
+    # a band's lengths are within the square root of two; the last takes all that are shorter
+    band = F.least(F.lit(BANDS - 1), F.greatest(F.lit(0), F.floor(2 * F.log2(F.try_divide(F.lit(longest), F.col("length")))))).cast("int")
+    classes = classes.withColumn("band", band)
+    bands = sorted(r.band for r in classes.select("band").distinct().collect())
 
     signs = rotations(d, tables, seed)
+    axes_of_band = tables * 2 * signs.shape[2]
+    sample = classes.where("asks").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLED).select("cls", "e").collect()
+    deeper: dict[int, int] = {}
+    if sample:
+        asking_e, asking_cls = np.array([r.e for r in sample], float), np.array([r.cls for r in sample])
+
+        def nearest(batches):
+            for b in batches:
+                e = np.stack([np.asarray(x, float) for x in b["e"].to_pylist()])
+                s = asking_e @ e.T
+                m = min(k + 1, len(e))
+                j = np.argpartition(-s, m - 1, axis=1)[:, :m].ravel()
+                i = np.repeat(np.arange(len(s)), m)
+                own = asking_cls[i] == b["cls"].to_numpy()[j]
+                i, j = i[~own], j[~own]
+                yield {"q": i, "s": s[i, j], "band": b["band"].to_numpy()[j], "v": [e[x].astype("<f8").tobytes() for x in j]}
+
+        close = map_batches(classes.select("cls", "e", "band"), "q long, s double, band int, v binary", nearest)
+        order = Window.partitionBy("q").orderBy(F.desc("s"))
+        pairs = close.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k).select("q", "band", "v").collect()
+        if pairs:
+            first = first_probes(_unit(asking_e[[r.q for r in pairs]]), _unit(_matrix([r.v for r in pairs])), signs)
+            deeper = depths(first, np.array([r.band for r in pairs]), [min(x, 2 * signs.shape[2]) for x in (probes, 2 * probes, 4 * probes)])
+    deep = {b: deeper.get(b, probes) for b in bands}
+    most_probes = max(1, *deep.values())
 
     def index(batches):
         for b in batches:
             e = np.stack([np.asarray(x, float) for x in b["e"].to_pylist()])
-            unit = e / np.linalg.norm(e, axis=1, keepdims=True)
+            unit = _unit(e)
             asks = b["asks"].fill_null(False).to_numpy(zero_copy_only=False)
-            axes = np.stack([nearest_axes(turn(unit, s), probes) for s in signs], axis=1)  # row, table, probe
+            axes = np.stack([nearest_axes(turn(unit, s), most_probes) for s in signs], axis=1)  # row, table, probe
             buckets = axes + (np.arange(tables) * 2 * signs.shape[2])[None, :, None]
-            yield {"cls": b["cls"], "ids": b["ids"], "v": [x.astype("<f8").tobytes() for x in e], "home": list(buckets[:, :, 0]), "probes": [x.ravel() if q else [] for x, q in zip(buckets, asks, strict=True)]}
+            # a band has its own buckets; one that is compared whole is one bucket
+            home = [[-1 - x] if deep[x] < 0 else y + x * axes_of_band for x, y in zip(b["band"].to_pylist(), buckets[:, :, 0], strict=True)]
+            asked = [np.concatenate([[-1 - x] if p < 0 else y[:, :p].ravel() + x * axes_of_band for x, p in deep.items()]) if q else [] for y, q in zip(buckets, asks, strict=True)]
+            yield {"cls": b["cls"], "ids": b["ids"], "v": [x.astype("<f8").tobytes() for x in e], "home": home, "probes": asked}
 
     indexed = saved(map_batches(classes, "cls long, ids array<long>, v binary, home array<long>, probes array<long>", index), "ann-index")
     block_key = ["bucket", "home", "probe"]
@@ -123,7 +193,7 @@ def search(vectors: DataFrame, queries, *, k: int = 20, tables: int = 28, probes
 
     def compare(home: DataFrame, probe: DataFrame) -> DataFrame:
         """Best pairs of every bucket. Both sides' blocks are counted; the counts are a row a bucket,
-        of which there are tables * 2 * dimensions, whatever the rows."""
+        of which there are bands * tables * 2 * dimensions, whatever the rows."""
         rows = [{r.bucket: r["count"] for r in df.groupBy("bucket").count().collect()} for df in (home, probe)]
         n_home, n_probe = ({b: -(-n // block) for b, n in r.items()} for r in rows)
         copied = sum(n * n_probe.get(b, 0) for b, n in rows[0].items()) + sum(n * n_home.get(b, 0) for b, n in rows[1].items())
@@ -133,7 +203,8 @@ def search(vectors: DataFrame, queries, *, k: int = 20, tables: int = 28, probes
         def spread(df: DataFrame, own: str, other: str) -> DataFrame:
             df = df.join(F.broadcast(blocks), "bucket").withColumn(own, F.pmod(F.xxhash64("cls", F.lit(own)), F.col(f"n_{own}")))
             df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)))
-            return df.select(F.pmod(F.xxhash64(*block_key), F.lit(lots)).alias("lot"), "bucket", F.col("home").cast("long"), F.col("probe").cast("long"), "cls", "v")
+            # both sides' keys as longs: the hash of an int is another one, and a block would miss its partner's lot
+            return df.select("bucket", F.col("home").cast("long"), F.col("probe").cast("long"), "cls", "v").withColumn("lot", F.pmod(F.xxhash64(*block_key), F.lit(lots)))
 
         left, right = spread(probe, "probe", "home"), spread(home, "home", "probe").select("lot", *block_key, F.col("cls").alias("c"), F.col("v").alias("cv"))
         return left.groupBy("lot").cogroup(right.groupBy("lot")).applyInPandas(best, "q long, c long, s double")
