@@ -10,14 +10,13 @@ without near ones all angles are wide. So a sample of queries is compared with a
 length (a band) are probed deeper, up to all of a band, until enough of the sample's nearest are found.
 
 Equal vectors are searched once. A bucket's vectors are dealt to blocks of bounded size, and its
-queries likewise; a block of vectors and a block of queries are multiplied as matrices and
-hand on each query's best only.
+queries likewise; a block of vectors and a block of queries are multiplied as matrices. A task
+keeps each query's best over all of its blocks, and hands on these only.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,13 +89,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.stack([np.frombuffer(x, "<f8") for x in column])
+    return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, queries, *, k: int = 20, tables: int = 28, probes: int = 6, block: int = 2000, lot: int = 20_000, seed: int = 17) -> DataFrame:
+def search(vectors: DataFrame, queries, *, k: int = 20, tables: int = 28, probes: int = 6, block: int = 2000, lot: int = 500_000, seed: int = 17) -> DataFrame:
     """Each query's ``k`` nearest by inner product among all rows but its own.
 
-    ``queries`` is a condition on vec_id. Vectors that are null, all zero, or hold a null or a
+    ``queries`` is a condition on vec_id; ``lot`` the number of pairs that a task may hold before it drops all but each query's best. Vectors that are null, all zero, or hold a null or a
     component that is not finite take no part; those whose length differs from the most
     frequent one take none either. Ties go to the smaller vec_id; a query with fewer candidates
     than ``k`` gets every other row. Repeated rows (one vec_id with one vector) count once.
@@ -169,58 +168,84 @@ def search(vectors: DataFrame, queries, *, k: int = 20, tables: int = 28, probes
     indexed = saved(map_batches(classes, "cls long, ids array<long>, v binary, home array<long>, probes array<long>", index), "ann-index")
     block_key = ["bucket", "home", "probe"]
 
-    def best(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        """Each query's best of a lot of blocks; ties at the edge stay."""
-        out = []
-        homes = dict(iter(cs.groupby(block_key)))
-        for at, some in qs.groupby(block_key):
-            if at not in homes:
-                continue
-            c, cv = homes[at].c.to_numpy(), _matrix(homes[at].cv)
-            m = min(k + 1, len(c))
-            for lo in range(0, len(some), 500):
-                q = some.cls.to_numpy()[lo : lo + 500]
-                s = _matrix(some.v[lo : lo + 500]) @ cv.T
-                edge = np.partition(s, len(c) - m, axis=1)[:, len(c) - m]
-                i, j = np.nonzero(s >= edge[:, None] - 1e-9)
-                out.append((q[i], c[j], s[i, j]))
-        if not out:
-            return pd.DataFrame({"q": [], "c": [], "s": []})
-        all_ = pd.DataFrame({n: np.concatenate([o[i] for o in out]) for i, n in enumerate("qcs")}).drop_duplicates(["q", "c"])
-        all_ = all_.sort_values("s", ascending=False, ignore_index=True)
-        edge = all_.groupby("q").s.transform(lambda x: x.iloc[min(k, len(x) - 1)])
-        return all_[all_.s >= edge - 1e-9]
+    def reduced(pairs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """Each query's best of a task's pairs; ties at the edge stay."""
+        q, c, s = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        at = np.lexsort((c, q))
+        at = at[np.concatenate([[True], (np.diff(q[at]) != 0) | (np.diff(c[at]) != 0)])]
+        at = at[np.lexsort((-s[at], q[at]))]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(q[at]) != 0]))
+        size = np.diff(np.concatenate([first, [len(at)]]))
+        at = at[s[at] >= np.repeat(s[at[first + np.minimum(k, size - 1)]], size) - 1e-9]
+        return q[at], c[at], s[at]
+
+    def best(batches):
+        """Of rows sorted by blocks, a block's vectors before the queries that ask it. A task keeps each query's best over all of its
+        blocks and hands them on at its end, or when it holds too many."""
+        held, n, key, home = [], 0, None, []
+        for b in batches:
+            keys = np.stack([b[x].to_numpy() for x in block_key])
+            asks, cls, v = b["asks"].to_numpy(), b["cls"].to_numpy(), _matrix(b["v"].to_pylist())
+            cut = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0) | (asks[1:] != asks[:-1])) + 1).tolist()
+            for lo, hi in zip([0, *cut], [*cut, len(cls)], strict=True):
+                if (at := tuple(keys[:, lo])) != key:
+                    key, home = at, []
+                if not asks[lo]:
+                    home.append((cls[lo:hi], v[lo:hi]))
+                    continue
+                if not home:
+                    continue
+                home = [tuple(map(np.concatenate, zip(*home, strict=True)))]
+                c, cv = home[0]
+                m = min(k + 1, len(c))
+                for start in range(lo, hi, 500):
+                    q = cls[start : min(hi, start + 500)]
+                    s = v[start : start + len(q)] @ cv.T
+                    edge = np.partition(s, len(c) - m, axis=1)[:, len(c) - m]
+                    i, j = np.nonzero(s >= edge[:, None] - 1e-9)
+                    held.append((q[i], c[j], s[i, j]))
+                    n += len(i)
+                if n > lot:
+                    held = [reduced(held)]
+                    n = len(held[0][0])
+                if n > lot // 2 and len(held) == 1:
+                    yield dict(zip("qcs", held.pop(), strict=True))
+                    n = 0
+        if held:
+            yield dict(zip("qcs", reduced(held), strict=True))
 
     def compare(home: DataFrame, probe: DataFrame) -> DataFrame:
         """Best pairs of every bucket. Both sides' blocks are counted; the counts are a row a bucket,
         of which there are bands * tables * 2 * dimensions, whatever the rows."""
         rows = [{r.bucket: r["count"] for r in df.groupBy("bucket").count().collect()} for df in (home, probe)]
         n_home, n_probe = ({b: -(-n // block) for b, n in r.items()} for r in rows)
-        copied = sum(n * n_probe.get(b, 0) for b, n in rows[0].items()) + sum(n * n_home.get(b, 0) for b, n in rows[1].items())
-        lots = max(1, copied // lot)
         blocks = spark.createDataFrame([(b, n_home[b], n) for b, n in n_probe.items() if b in n_home], "bucket long, n_home int, n_probe int")
 
         def spread(df: DataFrame, own: str, other: str) -> DataFrame:
             df = df.join(F.broadcast(blocks), "bucket").withColumn(own, F.pmod(F.xxhash64("cls", F.lit(own)), F.col(f"n_{own}")))
             df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)))
-            # both sides' keys as longs: the hash of an int is another one, and a block would miss its partner's lot
-            return df.select("bucket", F.col("home").cast("long"), F.col("probe").cast("long"), "cls", "v").withColumn("lot", F.pmod(F.xxhash64(*block_key), F.lit(lots)))
+            return df.select("bucket", F.col("home").cast("long"), F.col("probe").cast("long"), F.lit(int(own == "probe")).alias("asks"), "cls", "v")
 
-        left, right = spread(probe, "probe", "home"), spread(home, "home", "probe").select("lot", *block_key, F.col("cls").alias("c"), F.col("v").alias("cv"))
-        return left.groupBy("lot").cogroup(right.groupBy("lot")).applyInPandas(best, "q long, c long, s double")
+        both = spread(home, "home", "probe").unionByName(spread(probe, "probe", "home"))
+        return map_batches(both.repartition(*block_key).sortWithinPartitions(*block_key, "asks"), "q long, c long, s double", best)
 
     asking = indexed.where(F.size("probes") > 0)
     found = compare(indexed.select(F.explode("home").alias("bucket"), "cls", "v"), asking.select(F.explode("probes").alias("bucket"), "cls", "v"))
-    found = saved(found.groupBy("q", "c").agg(F.max("s").alias("s")), "ann-pairs")
+
+    def nearest_of(pairs: DataFrame) -> DataFrame:
+        """Each query's k + 1 best classes, with all that tie with the last: at most k + 1 of each task go in, but for ties."""
+        one = Window.partitionBy("q")
+        pairs = pairs.repartition("q").groupBy("q", "c").agg(F.max("s").alias("s")).withColumn("i", F.row_number().over(one.orderBy(F.desc("s"), "c")))
+        return pairs.withColumn("edge", F.min(F.when(F.col("i") <= k + 1, F.col("s"))).over(one)).where(F.col("s") >= F.col("edge") - 1e-9).select("q", "c", "s")
+
+    # whatever is joined from here on is a list of bounded length a query, however many buckets it asked
+    found = saved(nearest_of(found), "ann-pairs")
     # queries whose buckets hold fewer than k other rows are compared with every row
     sizes = indexed.select(F.col("cls").alias("c"), F.size("ids").alias("rows"))
     short = asking.select("cls", "v").join(found.join(sizes, "c").groupBy(F.col("q").alias("cls")).agg(F.sum("rows").alias("rows")), "cls", "left").where(F.coalesce("rows", F.lit(0)) < k + 1).select("cls", "v")
     if not short.isEmpty():
         everywhere = F.lit(-1).cast("long").alias("bucket")
-        found = found.unionByName(compare(indexed.select(everywhere, "cls", "v"), short.select(everywhere, "cls", "v"))).groupBy("q", "c").agg(F.max("s").alias("s"))
-    top = Window.partitionBy("q").orderBy(F.desc("s"), "c")
-    edge = found.withColumn("i", F.row_number().over(top)).where(F.col("i") <= k + 1).groupBy("q").agg(F.min("s").alias("edge"))
-    found = saved(found.join(edge, "q").where(F.col("s") >= F.col("edge") - 1e-9).select("q", "c"), "ann-found")
+        found = saved(nearest_of(found.unionByName(compare(indexed.select(everywhere, "cls", "v"), short.select(everywhere, "cls", "v")))), "ann-found")
 
     # exact scores of the original vectors, component by component in order
     q = indexed.select(F.col("cls").alias("q"), F.col("v").alias("qv"))
