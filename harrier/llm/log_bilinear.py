@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,6 +34,10 @@ from .common import held_out, map_batches, saved, short_batches
 TAILS, DIM = 160, 16
 #: Contexts that are multiplied at once: few enough to stay in a core's cache.
 ROWS = 512
+#: Batches of texts that are scored at once: contexts that they share are normalised once.
+LOT = 2
+#: Scores of one symbol up to which exponentials of two may be multiplied: far within a double's range.
+MODERATE = 300.0
 #: Tokens that a part trains on, about.
 PART_TOKENS = 4_000_000
 #: The end as a token among words; words hold no white space.
@@ -43,6 +49,19 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def split(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """``tokens`` of all texts: how many each has, the different ones as they come, and each token's place among those."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, of = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+    keep = pc.greater(pc.binary_length(words), 0)  # white space at the ends leaves empty words
+    found = words.filter(keep).dictionary_encode()
+    lens = np.bincount(of[keep.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    _, at, raw = found.dictionary.buffers()
+    at = np.frombuffer(at, np.int32)[: len(found.dictionary) + 1].tolist() if raw else [0]
+    raw = raw.to_pybytes() if raw else b""
+    return lens, [raw[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)], found.indices.to_numpy()
+
+
 def tail(word: bytes) -> int:
     return xxhash.xxh32_intdigest(word[-2:]) % TAILS
 
@@ -102,12 +121,14 @@ class LogBilinear:
         self.below = np.concatenate([[0], np.cumsum(self.p_word)])  # a group's words have 1 together
         draw = np.random.default_rng(seed)
         near = lambda k: draw.normal(0, 0.1, (k, DIM)).astype(np.float32)
+        self.doubles = None
         self.parts = [near(n + 1), near(len(self.p_group)), near(n), np.stack([np.eye(DIM), np.eye(DIM)]).astype(np.float32), np.log(self.p_group).astype(np.float32), np.log(self.p_word).astype(np.float32)]
 
     def parameters(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.parts])
 
     def set_parameters(self, p: np.ndarray) -> None:
+        self.doubles = None
         at = np.cumsum([0] + [x.size for x in self.parts])
         self.parts = [p[lo:hi].reshape(x.shape).astype(np.float32) for lo, hi, x in zip(at[:-1], at[1:], self.parts, strict=True)]
 
@@ -115,6 +136,7 @@ class LogBilinear:
         """Noise-contrastive estimation over distinct trigrams (a, b, s), each as
         heavy as it is frequent: of groups, whose noise a batch shares, and of the words within a group.
         One pass, or as many as make ``visits`` of trigrams, ``passes`` at most."""
+        self.doubles = None
         draw = np.random.default_rng(seed)
         passes = max(1, min(passes, visits // max(1, len(grams))))
         r, u, q, c, bias_u, bias_q = self.parts
@@ -156,33 +178,73 @@ class LogBilinear:
                 total += g * g
                 x -= rate * g / np.sqrt(total)
 
+    def _doubles(self) -> tuple:
+        """The parameters in double precision, each symbol's part of a context, and, unless they are out of all bounds, the
+        exponentials of its scores of groups, before last and last. They are kept until the parameters change."""
+        if self.doubles is None:
+            r, u, q, c, bias_u, bias_q = (x.astype(np.float64) for x in self.parts)
+            left, right = r @ c[0], r @ c[1]
+            x, y = left @ u.T, right @ u.T + bias_u
+            moderate = max(np.abs(x).max(), np.abs(y).max()) <= MODERATE
+            self.doubles = (u, q, bias_u, bias_q, left, right, *((np.exp(x, out=x), np.exp(y, out=y)) if moderate else (None, None)))
+        return self.doubles
+
     def log_probabilities(self, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over groups and over the words of the group.
 
         In double precision: a product's last bits hang on the rows beside it, which is then far below what scores are compared by."""
-        r, u, q, c, bias_u, bias_q = (x.astype(np.float64) for x in self.parts)
-        s = self.rank[s]
+        u, q, bias_u, bias_q, left, right, left_groups, right_groups = self._doubles()
+        s, n = self.rank[s], len(left)
         k = self.group[s]
-        left, right = r @ c[0], r @ c[1]
-        context, of = np.unique(a * np.int64(len(r)) + b, return_inverse=True)  # half of a batch's contexts are repeated
-        h, all_groups = left[context // len(r)] + right[context % len(r)], np.empty(len(context))
+        context, of = np.unique(a * np.int64(n) + b, return_inverse=True)  # half of a lot's contexts are repeated
+        first, last = context // n, context % n
+        all_groups = np.empty(len(context))
         for lo in range(0, len(context), ROWS):
-            all_groups[lo : lo + ROWS] = _log_sum(h[lo : lo + ROWS], u, bias_u)
+            i = slice(lo, lo + ROWS)
+            all_groups[i] = np.log(np.einsum("ij,ij->i", left_groups[first[i]], right_groups[last[i]])) if left_groups is not None else _log_sum(left[first[i]] + right[last[i]], u, bias_u)
         pair, which = np.unique(k * len(context) + of, return_inverse=True)  # a group in a context, by groups
         edge, inside = np.searchsorted(pair, np.arange(len(u) + 1) * len(context)), np.empty(len(pair))
         pair %= max(1, len(context))
         for g in np.flatnonzero(np.diff(edge)):
-            own = slice(self.begin[g], self.begin[g + 1])
-            for lo in range(edge[g], edge[g + 1], ROWS):
-                hi = min(lo + ROWS, edge[g + 1])
-                inside[lo:hi] = _log_sum(h[pair[lo:hi]], q[own], bias_q[own])
+            own, at = slice(self.begin[g], self.begin[g + 1]), pair[edge[g] : edge[g + 1]]
+            inside[edge[g] : edge[g + 1]] = _log_sums(left, right, first[at], last[at], q[own], bias_q[own])
         out = bias_u[k] + bias_q[s] - all_groups[of] - inside[which]
         for lo in range(0, len(out), 4 * ROWS):
             i = slice(lo, lo + 4 * ROWS)
-            out[i] += np.einsum("id,id->i", h[of[i]], u[k[i]] + q[s[i]])
+            out[i] += np.einsum("id,id->i", left[a[i]] + right[b[i]], u[k[i]] + q[s[i]])
         return out
 
 
+def _log_sums(left: np.ndarray, right: np.ndarray, first: np.ndarray, last: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """``_log_sum`` of contexts whose symbols are ``first`` and ``last``.
+
+    A context's score is a sum of one by each symbol, so its exponential is a product: where symbols are shared by
+    enough contexts, exponentials are taken once a symbol.
+    """
+    out = np.empty(len(first))
+    mine, its = (_numbered(x, len(left)) for x in (first, last))
+    if len(mine[0]) + len(its[0]) < 0.8 * len(first):
+        x, y = left[mine[0]] @ vectors.T, right[its[0]] @ vectors.T + bias
+        if max(np.abs(x).max(), np.abs(y).max()) <= MODERATE:
+            np.exp(x, out=x), np.exp(y, out=y)
+            for lo in range(0, len(first), ROWS):
+                i = slice(lo, lo + ROWS)
+                out[i] = np.einsum("ij,ij->i", x[mine[1][i]], y[its[1][i]])
+            return np.log(out)
+    for lo in range(0, len(first), ROWS):
+        out[lo : lo + ROWS] = _log_sum(left[first[lo : lo + ROWS]] + right[last[lo : lo + ROWS]], vectors, bias)
+    return out
+
+
+def _numbered(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of numbers below n, and each one's place among them."""
+    number = np.zeros(n, np.int64)
+    number[x] = 1
+    distinct = np.flatnonzero(number)
+    number[distinct] = np.arange(len(distinct))
+    return distinct, number[x]
+
+
 def _log_sum(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Of each row, the logarithm of the sum of its exponential scores."""
     score = h @ vectors.T
@@ -213,12 +275,10 @@ class Scorer:
         hit = self.hashes[at] == h
         return hit, np.where(hit, np.log10(self.counts[at] + 1.0), 0.0)
 
-    def score(self, texts: list[str | None]) -> dict:
+    def score(self, texts: pa.Array) -> dict:
         """Sums over known words, and each text's other words with their times."""
-        found = [tokens(t) for t in texts]
-        lens = np.array([len(t) for t in found], np.int64)
-        flat = [w for t in found for w in t]
-        number, old = self.words.numbers(flat), len(self.words) - len(self.words.new)
+        lens, distinct, place = split(texts)
+        number, old = self.words.numbers(distinct)[place], len(self.words) - len(self.words.new)
         self.hit, self.log = (np.concatenate([x[:old], y]) for x, y in zip((self.hit, self.log), self._counted(self.words.new), strict=True))
         symbol, hit, logs, first_tail = self.words.symbol[number], self.hit[number], self.log[number], len(self.words.modelled)
         rows, first = _trigrams(symbol, lens, first_tail + TAILS)
@@ -229,7 +289,7 @@ class Scorer:
         n = lens + 1
         others: list[Counter] = [Counter() for _ in texts]
         for i in np.flatnonzero(~hit).tolist():
-            others[of[i]][flat[i]] += 1
+            others[of[i]][distinct[place[i]]] += 1
         return {
             "n_tokens": n,
             "n_known": np.bincount(of, hit, len(texts)).astype(np.int64) + int(self.ends > 0),
@@ -263,9 +323,9 @@ def count_words(docs: DataFrame, entries: int = 400_000) -> DataFrame:
             return {"word": pa.array(list(c), pa.binary()), "n": np.fromiter(c.values(), np.int64, len(c))}
 
         for b in batches:
-            for t in b["text"].to_pylist():
-                c.update(tokens(t))
-                c[END_TOKEN] += 1
+            _, distinct, place = split(b["text"])
+            c.update(dict(zip(distinct, np.bincount(place, minlength=len(distinct)).tolist(), strict=True)))
+            c[END_TOKEN] += len(b["text"])
             if len(c) > entries:
                 yield out()
                 c.clear()
@@ -289,9 +349,9 @@ def train(docs: DataFrame, modelled: list[bytes], counts: np.ndarray, total: int
         for b in batches:
             times = Counter(t or "" for t in b["text"].to_pylist())
             of = [xxhash.xxh64_intdigest(t.encode()) for t in times]
-            found = [tokens(t) for t in times]
-            number = words.numbers([w for t in found for w in t])
-            ids = [x.tobytes() for x in np.split(words.symbol[number].astype(np.int32), np.cumsum([len(t) for t in found])[:-1])]
+            lens, distinct, place = split(pa.array(list(times), pa.string()))
+            number = words.numbers(distinct)[place]
+            ids = [x.tobytes() for x in np.split(words.symbol[number].astype(np.int32), np.cumsum(lens)[:-1])]
             yield {"part": [x % parts for x in of], "times": list(times.values()), "ids": ids}
 
     def learn(batches):
@@ -410,9 +470,9 @@ def score(docs: DataFrame, training: DataFrame, *, known_words: int = 1_000_000,
 
     def work(batches):
         s, row = held.value, TaskContext.get().partitionId() << 40
-        for b in batches:
-            out = s.score(b["text"].to_pylist())
-            yield {"row": row + np.arange(len(out["n_tokens"])), "doc_id": b["doc_id"], **out}
+        while some := list(islice(batches, LOT)):
+            out = s.score(pa.concat_arrays([b["text"] for b in some]))
+            yield {"row": row + np.arange(len(out["n_tokens"])), "doc_id": pa.concat_arrays([b["doc_id"] for b in some]), **out}
             row += len(out["n_tokens"])
 
     # each text's sums over the words that workers know, and its other words
