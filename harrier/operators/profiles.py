@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,11 +64,32 @@ def race_summary(scored: DataFrame) -> DataFrame:
 def race_payloads(scored: DataFrame) -> DataFrame:
     """race_id, payload: JSON of the race's summary and of each athlete's score, predicted and actual rank and features."""
     w = Window.partitionBy("race_id")
-    rows = scored.withColumns({"predicted": F.row_number().over(w.orderBy(F.desc("score"), "pos")), "actual": F.row_number().over(w.orderBy("pos"))})
+    rows = scored.where("race_id IS NOT NULL").withColumns({"predicted": F.row_number().over(w.orderBy(F.desc("score"), "pos")), "actual": F.row_number().over(w.orderBy("pos"))})
     values = F.map_from_arrays(F.array(*map(F.lit, FEATURES)), F.array(*[F.round(n, 4) for n in FEATURES]))
-    athletes = rows.groupBy("race_id").agg(F.array_sort(F.collect_list(F.struct("predicted", "fis_code", F.round("score", 4).alias("score"), "actual", values.alias("features"))), lambda a, b: F.when(a.predicted < b.predicted, -1).otherwise(1)).alias("athletes"))
+    one = F.to_json(F.struct("predicted", "fis_code", F.round("score", 4).alias("score"), "actual", values.alias("features")))
     summary = race_summary(scored)
-    return athletes.join(summary, "race_id").select("race_id", F.to_json(F.struct(*summary.columns, "athletes")).alias("payload"))
+    heads = summary.select("race_id", F.lit(0).alias("predicted"), F.to_json(F.struct(*summary.columns)).alias("text"))
+    parts = heads.unionByName(rows.select("race_id", "predicted", one.alias("text"))).repartition("race_id").sortWithinPartitions("race_id", "predicted")
+
+    def joined(batches):
+        """Rows come by race, its summary first: only one race's texts are held at a time."""
+        race, texts = None, []
+
+        def out():
+            payload = f'{texts[0][:-1]},"athletes":[{",".join(texts[1:])}]}}'
+            return pa.RecordBatch.from_pydict({"race_id": pa.array([race], pa.string()), "payload": pa.array([payload], pa.string())})
+
+        for b in batches:
+            for r, t in zip(b.column("race_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if r != race and texts:
+                    yield out()
+                    texts = []
+                race = r
+                texts.append(t)
+        if texts:
+            yield out()
+
+    return parts.select("race_id", "text").mapInArrow(joined, "race_id string, payload string")
 
 
 # fixed values: columns of the CSV files
