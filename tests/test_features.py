@@ -86,3 +86,13 @@ def test_prefix_sums_are_the_joined_history(spark):
     for key, r in one.items():
         for n in FEATURES:  # a spread of nothing is the root of what cancels
             assert math.isclose(r[n], two[key][n], abs_tol=1e-6 if n == "consistency" else 1e-9), (key, n, r[n], two[key][n])
+
+
+def test_samples_are_made_once(spark):
+    """However often samples are read, neither the performances nor the history behind them are made again."""
+    rows = [(f"r{d:02}", f"a{k}", DAY + timedelta(days=7 * d), 2024, True, "distance", "F", 10.0, k + 1, None, k + 1, k / 7, None) for d in range(4) for k in range(8)]
+    perf = spark.createDataFrame(rows, "race_id string, fis_code string, race_date date, season int, world_cup boolean, kind string, technique string, length_km double, rank int, fis_points double, pos int, pct double, margin double")
+    got = feat.samples(perf)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "ExistingRDD" not in plan and "p_race_date" not in plan and "harrier-rated" in plan
+    assert sorted((r.race_id, r.fis_code) for r in got.collect()) == [(f"r{d:02}", f"a{k}") for d in range(1, 4) for k in range(8)]

@@ -57,3 +57,14 @@ def test_races_that_span_batches():
     for size in (1, 2, 3, 5, 13):
         got = [(p, race, rows.n.tolist()) for p, race, rows in folds._by_race((table.iloc[k : k + size].reset_index(drop=True) for k in range(0, 13, size)), "pool")]
         assert got == [("p", "a", list(range(7))), ("p", "b", [7, 8]), ("q", "b", [9, 10]), ("q", "c", [11, 12])]
+
+
+def test_pairs_are_sorted_once(spark):
+    """Rows are dealt by group without a window or a sort for the races' sizes; places may have gaps, and rows without a race take no part."""
+    df = spark.createDataFrame([("m", r, p, float(p * 7 % 5)) for r in ("a", "b", None) for p in (9, 2, 200_000, 70_000, 5)], "method string, race_id string, pos int, score double").repartition(3)
+    pairs = metrics.race_pairs(df)
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan and "FlatMapGroupsInPandas" in plan
+    score = [p * 7 % 5 for p in (2, 5, 9, 70_000, 200_000)]
+    right = sum(1.0 if x > y else 0.5 if x == y else 0.0 for i, x in enumerate(score) for y in score[i + 1 :])
+    assert sorted((r.race_id, r.pairs, r.correct) for r in pairs.collect()) == [("a", 10, right), ("b", 10, right)]
