@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..schemas import FEATURES
+from ..sources.scratch import settled
 from ..sources.store import csv_files
 from .features import history
 from .metrics import predicted_ranks, race_pairs, rank_correlation
@@ -54,7 +55,7 @@ def athlete_index(perf: DataFrame, athletes: DataFrame, min_results: int = 3) ->
 
 def race_summary(scored: DataFrame) -> DataFrame:
     """race_id, n_athletes, pair_accuracy, spearman and winner_predicted_rank of each scored race."""
-    ranked = predicted_ranks(scored)
+    ranked = settled(predicted_ranks(scored).select("race_id", "predicted", "actual"), "ranked")
     pairs = race_pairs(ranked.select(F.lit("score").alias("method"), "race_id", F.col("actual").alias("pos"), (-F.col("predicted")).alias("score")))
     counts = ranked.groupBy("race_id").agg(F.count("*").alias("n_athletes"), F.max(F.when(F.col("actual") == 1, F.col("predicted"))).alias("winner_predicted_rank"))
     out = counts.join(rank_correlation(ranked), "race_id").join(pairs, "race_id", "left")

@@ -21,3 +21,13 @@ def test_payloads_hold_one_race_at_a_time(spark):
         order = sorted(mine, key=lambda r: (r[3] is None, -(r[3] or 0), r[2]))
         assert [a["fis_code"] for a in x["athletes"]] == [r[1] for r in order]
         assert all(set(a["features"]) == set(FEATURES) and ("score" in a) == (r[3] is not None) for a, r in zip(x["athletes"], order, strict=True))
+
+
+def test_summaries_rank_once(spark):
+    """The ranks of a race are made once and read by all figures, by no window of their own."""
+    scored = spark.createDataFrame([(r, f"a{k}", k, float(k * 5 % 7)) for r in ("p", "q") for k in range(1, 8)], "race_id string, fis_code string, pos int, score double")
+    made = profiles.race_summary(scored)
+    assert "Window" not in made._jdf.queryExecution().sparkPlan().toString()
+    order = sorted(range(1, 8), key=lambda k: (-(k * 5 % 7), k))
+    right = sum(order.index(i) < order.index(j) for i in range(1, 8) for j in range(i + 1, 8))
+    assert [(r.race_id, r.n_athletes, r.pair_accuracy, r.winner_predicted_rank) for r in made.orderBy("race_id").collect()] == [(r, 7, round(right / 21, 4), order.index(1) + 1) for r in "pq"]
