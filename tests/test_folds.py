@@ -2,6 +2,7 @@ import math
 from datetime import date
 
 import numpy as np
+import pytest
 
 from harrier.functions import kernels as K
 from harrier.operators import folds, metrics, ranker, simulate
@@ -124,3 +125,19 @@ def test_stream_out_of_order_and_restarted_is_the_batch_fold(spark, tmp_path):
             want |= {(p, race_id, c): tuple(state[c][:2]) for c in codes if c in state}
     got = [((r.pool, r.race_id, r.fis_code), (r.rating, r.n_races)) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert waited < len(got) == len(want) and all(want[k][1] == n and math.isclose(want[k][0], x, rel_tol=1e-12) for k, (x, n) in got)
+
+
+def test_performances_are_made_once_for_grades_and_samples(spark, monkeypatch):
+    from harrier.plans import queries
+
+    seen = []
+
+    def stop(perf):
+        seen.append(perf._jdf.queryExecution().sparkPlan().toString())
+        raise StopIteration
+
+    monkeypatch.setattr(queries.folds, "field_strength", stop)
+    for query in (queries.graded_samples, queries.field_strength):
+        with pytest.raises(StopIteration):
+            query(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and all("harrier-performances" in p and "Window" not in p for p in seen)
