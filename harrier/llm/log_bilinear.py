@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -49,60 +51,104 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def split(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def encoded(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """``tokens`` of all texts: how many each has, the different ones as they come, and each token's place among those."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
     words, of = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
     keep = pc.greater(pc.binary_length(words), 0)  # white space at the ends leaves empty words
     found = words.filter(keep).dictionary_encode()
     lens = np.bincount(of[keep.to_numpy(zero_copy_only=False)], minlength=len(texts))
-    _, at, raw = found.dictionary.buffers()
-    at = np.frombuffer(at, np.int32)[: len(found.dictionary) + 1].tolist() if raw else [0]
-    raw = raw.to_pybytes() if raw else b""
-    return lens, [raw[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)], found.indices.to_numpy()
+    return lens, found.dictionary.view(pa.binary()), found.indices.to_numpy()
 
 
-def tail(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-2:]) % TAILS
+def _raw(words: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Where each word begins, and the last one ends, in the bytes of all."""
+    _, at, raw = words.buffers()
+    at = np.frombuffer(at, np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    return at, raw.to_pybytes() if raw else b""
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
+def listed(words: pa.Array) -> list[bytes]:
+    at, raw = _raw(words)
+    at = at.tolist()
+    return [raw[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
 
 
-class Words(dict):
-    """Words' numbers: modelled words have their symbols, others are numbered as they come. Those
-    are forgotten before a batch if there are many; ``new`` holds the last batch's."""
+def split(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """``encoded`` with the different words as a list."""
+    lens, distinct, place = encoded(texts)
+    return lens, listed(distinct), place
 
-    def __init__(self, modelled: list[bytes], limit: int = 400_000):
-        super().__init__(zip(modelled, range(len(modelled)), strict=True))
-        self.modelled, self.limit, self.new, self.endings = modelled, limit + len(modelled), [], {}
-        self.symbol = np.arange(len(modelled))
 
-    def __reduce__(self):
-        return Words, (self.modelled, self.limit - len(self.modelled))
+def tail(word: bytes) -> int:
+    return xxhash.xxh32_intdigest(word[-2:]) % TAILS
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = i = len(self)
-        self.new.append(word)
-        return i
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Of a batch's words; ``symbol`` then has the symbol of each number."""
-        if len(self) >= self.limit:
-            self.clear()
-            self.update(zip(self.modelled, range(len(self.modelled)), strict=True))
-        self.new = []
-        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        for e in {w[-2:] for w in self.new}.difference(self.endings):
-            self.endings[e] = len(self.modelled) + tail(e)
-        fresh = np.fromiter((self.endings[w[-2:]] for w in self.new), np.int64, len(self.new))
-        self.symbol = np.concatenate([self.symbol[: len(self) - len(self.new)], fresh])
-        return out
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each, as numbers with a sign."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, listed(words)), np.uint64, len(words))
+    return (h ^ np.uint64(1 << 63)).view(np.int64)
+
+
+@cache
+def _tails() -> np.ndarray:
+    """The tail of each ending: two bytes as a number, and after these the single bytes."""
+    return np.array([tail(e.to_bytes(2, "big")) for e in range(1 << 16)] + [tail(bytes([e])) for e in range(256)])
+
+
+def symbols_of(words: pa.Array, modelled: pa.Array) -> np.ndarray:
+    """Of different words, none empty: a modelled word's place among ``modelled``, of others their tail, numbered behind those."""
+    at, raw = _raw(words)
+    lo, hi, letters = at[:-1], at[1:], np.frombuffer(raw, np.uint8)
+    if not len(words):
+        return np.zeros(0, np.int64)
+    last = letters[hi - 1].astype(np.int64)
+    endings = np.where(hi - lo > 1, (letters[hi - 2].astype(np.int64) << 8) + last, (1 << 16) + last)
+    found = pc.index_in(words, value_set=modelled)
+    return np.where(found.is_null().to_numpy(zero_copy_only=False), len(modelled) + _tails()[endings], found.fill_null(0).to_numpy())
+
+
+def _ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``np.unique(keys, return_inverse=True)`` of numbers from 0: where these and their places fit in 63 bits, they are
+    sorted as one number, which is far quicker than an argsort."""
+    bits = len(keys).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 63:
+        return np.unique(keys, return_inverse=True)
+    both = (keys.astype(np.int64) << bits) | np.arange(len(keys))
+    both.sort()
+    order, both = both & ((1 << bits) - 1), both >> bits
+    new = np.concatenate([[True], both[1:] != both[:-1]])
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return both[new], inverse
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of numbers in their order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def summed(keys: list[np.ndarray], times: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers of all arrays in their order, and how often each occurs, an array as often as its ``times`` says."""
+    out, n = _counted(np.concatenate([k for k, t in zip(keys, times, strict=True) if t == 1] or [np.zeros(0, np.int64)]))
+    more = [(k, t) for k, t in zip(keys, times, strict=True) if t != 1]
+    if more:  # the few texts that have copies
+        extra, at = np.unique(np.concatenate([k for k, _ in more]), return_inverse=True)
+        by = np.bincount(at, np.repeat([t for _, t in more], [len(k) for k, _ in more]), len(extra)).astype(np.int64)
+        place = np.searchsorted(out, extra)
+        old = np.isin(extra, out, assume_unique=True)
+        n[place[old]] += by[old]
+        out, n = np.insert(out, place[~old], extra[~old]), np.insert(n, place[~old], by[~old])
+    return out, n
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.clip(x, -30, 30)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class LogBilinear:
@@ -132,6 +178,20 @@ class LogBilinear:
         at = np.cumsum([0] + [x.size for x in self.parts])
         self.parts = [p[lo:hi].reshape(x.shape).astype(np.float32) for lo, hi, x in zip(at[:-1], at[1:], self.parts, strict=True)]
 
+    def _word_finder(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Gives for numbers among ``below`` the last word that doesn't begin above each. A guide of eight places a word tells where
+        to look from, so that few steps are left."""
+        steps, above = 8 * len(self.below) / self.below[-1], np.append(self.below[1:-1], np.inf)
+        guide = np.maximum(np.searchsorted(self.below, np.arange(8 * len(self.below) + 1) / steps, "right") - 2, 0)
+
+        def find(drawn: np.ndarray) -> np.ndarray:
+            y = guide.take(np.minimum((drawn * steps).astype(np.int64), len(guide) - 1))
+            while (short := above.take(y) <= drawn).any():
+                y += short
+            return y
+
+        return find
+
     def train(self, grams: np.ndarray, times: np.ndarray, *, noise: int = 32, inner: int = 2, batch: int = 16384, rate: float = 0.15, visits: int = 1_000_000, passes: int = 2000, seed: int = 1) -> None:
         """Noise-contrastive estimation over distinct trigrams (a, b, s), each as
         heavy as it is frequent: of groups, whose noise a batch shares, and of the words within a group.
@@ -143,6 +203,8 @@ class LogBilinear:
         sq = [np.full(x.shape, 1e-6, np.float32) for x in self.parts]
         log_group, log_word = np.log(noise * self.p_group).astype(np.float32), np.log(inner * self.p_word).astype(np.float32)
         single = np.diff(self.begin) == 1
+        grams = np.asarray(grams, np.int32)
+        word_at = self._word_finder()
         weight = (times / times.mean()).astype(np.float32)
 
         def sums(at: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
@@ -152,21 +214,24 @@ class LogBilinear:
             return out
 
         for at in (part for _ in range(passes) for part in np.split(draw.permutation(len(grams)), range(batch, len(grams), batch))):
-            a, b, s = grams[at].T
+            a, b, s = np.ascontiguousarray(grams.take(at, axis=0).T, np.int64)
             s = self.rank[s]
             k, w = self.group[s], weight[at] / len(at)
-            ra, rb = r[a], r[b]
+            ra, rb, uk, qs = r.take(a, axis=0), r.take(b, axis=0), u.take(k, axis=0), q.take(s, axis=0)
             h = ra @ c[0] + rb @ c[1]
             z = draw.choice(len(self.p_group), noise, p=self.p_group)
-            gt = w * (_sigmoid(np.einsum("id,id->i", h, u[k]) + bias_u[k] - log_group[k]) - 1)
-            gf = w[:, None] * _sigmoid(h @ u[z].T + bias_u[z] - log_group[z])
+            gt = w * (_sigmoid(np.einsum("id,id->i", h, uk) + bias_u[k] - log_group[k]) - 1)
+            gf = h @ u[z].T
+            gf += bias_u[z] - log_group[z]
+            gf = _sigmoid(gf)
+            gf *= w[:, None]
             inside = w * ~single[k]  # a group of one word leaves nothing to learn
-            y = np.searchsorted(self.below, k[:, None] + draw.random((len(at), inner)), "right") - 1
+            y = word_at(k[:, None] + draw.random((len(at), inner)))
             y = np.clip(y, self.begin[k][:, None], self.begin[k + 1][:, None] - 1)
-            it = inside * (_sigmoid(np.einsum("id,id->i", h, q[s]) + bias_q[s] - log_word[s]) - 1)
-            qy = q[y]
+            it = inside * (_sigmoid(np.einsum("id,id->i", h, qs) + bias_q[s] - log_word[s]) - 1)
+            qy = q.take(y, axis=0)
             iy = inside[:, None] * _sigmoid(np.einsum("id,ijd->ij", h, qy) + bias_q[y] - log_word[y])
-            dh = gt[:, None] * u[k] + gf @ u[z] + it[:, None] * q[s] + np.einsum("ij,ijd->id", iy, qy)
+            dh = gt[:, None] * uk + gf @ u[z] + it[:, None] * qs + np.einsum("ij,ijd->id", iy, qy)
             du = sums(k, gt[:, None] * h, len(u)) + sums(z, gf.T @ h, len(u))
             words, pull = np.concatenate([s, y.ravel()]), np.concatenate([it[:, None] * h, (iy[:, :, None] * h[:, None]).reshape(-1, DIM)])
             dq = sums(words, pull, len(q))
@@ -196,13 +261,13 @@ class LogBilinear:
         u, q, bias_u, bias_q, left, right, left_groups, right_groups = self._doubles()
         s, n = self.rank[s], len(left)
         k = self.group[s]
-        context, of = np.unique(a * np.int64(n) + b, return_inverse=True)  # half of a lot's contexts are repeated
+        context, of = _ordered(a * np.int64(n) + b)  # half of a lot's contexts are repeated
         first, last = context // n, context % n
         all_groups = np.empty(len(context))
         for lo in range(0, len(context), ROWS):
             i = slice(lo, lo + ROWS)
-            all_groups[i] = np.log(np.einsum("ij,ij->i", left_groups[first[i]], right_groups[last[i]])) if left_groups is not None else _log_sum(left[first[i]] + right[last[i]], u, bias_u)
-        pair, which = np.unique(k * len(context) + of, return_inverse=True)  # a group in a context, by groups
+            all_groups[i] = np.log(np.einsum("ij,ij->i", left_groups.take(first[i], axis=0), right_groups.take(last[i], axis=0))) if left_groups is not None else _log_sum(left[first[i]] + right[last[i]], u, bias_u)
+        pair, which = _ordered(k * len(context) + of)  # a group in a context, by groups
         edge, inside = np.searchsorted(pair, np.arange(len(u) + 1) * len(context)), np.empty(len(pair))
         pair %= max(1, len(context))
         for g in np.flatnonzero(np.diff(edge)):
@@ -211,7 +276,7 @@ class LogBilinear:
         out = bias_u[k] + bias_q[s] - all_groups[of] - inside[which]
         for lo in range(0, len(out), 4 * ROWS):
             i = slice(lo, lo + 4 * ROWS)
-            out[i] += np.einsum("id,id->i", left[a[i]] + right[b[i]], u[k[i]] + q[s[i]])
+            out[i] += np.einsum("id,id->i", left.take(a[i], axis=0) + right.take(b[i], axis=0), u.take(k[i], axis=0) + q.take(s[i], axis=0))
         return out
 
 
@@ -229,10 +294,10 @@ def _log_sums(left: np.ndarray, right: np.ndarray, first: np.ndarray, last: np.n
             np.exp(x, out=x), np.exp(y, out=y)
             for lo in range(0, len(first), ROWS):
                 i = slice(lo, lo + ROWS)
-                out[i] = np.einsum("ij,ij->i", x[mine[1][i]], y[its[1][i]])
+                out[i] = np.einsum("ij,ij->i", x.take(mine[1][i], axis=0), y.take(its[1][i], axis=0))
             return np.log(out)
     for lo in range(0, len(first), ROWS):
-        out[lo : lo + ROWS] = _log_sum(left[first[lo : lo + ROWS]] + right[last[lo : lo + ROWS]], vectors, bias)
+        out[lo : lo + ROWS] = _log_sum(left.take(first[lo : lo + ROWS], axis=0) + right.take(last[lo : lo + ROWS], axis=0), vectors, bias)
     return out
 
 
@@ -261,26 +326,29 @@ class Scorer:
     """What a worker needs to score texts: the model, sums of the tails and the counts of known words."""
 
     def __init__(self, model, modelled, hashes, counts, tail_words, tail_tokens, total, kinds, ends):
-        self.model, self.words, self.hashes, self.counts = model, Words(modelled), hashes, counts
+        self.model, self.modelled, self.hashes, self.counts = model, pa.array(modelled, pa.binary()), hashes, counts
         self.tail_log = np.log10(tail_tokens + tail_words + 1.0)
         self.log_total, self.ends = math.log10(total + kinds + 1), ends
-        self.hit, self.log = self._counted(modelled)
+        self.hit, self.log = self._counted(self.modelled)
 
-    def _counted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _counted(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Whether words are among those that workers know, and the logarithms of their counts plus one."""
         if not len(self.hashes):
             return np.zeros(len(words), bool), np.zeros(len(words))
-        h = np.fromiter(map(word_hash, words), np.int64, len(words))
+        h = word_hashes(words)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         hit = self.hashes[at] == h
         return hit, np.where(hit, np.log10(self.counts[at] + 1.0), 0.0)
 
     def score(self, texts: pa.Array) -> dict:
         """Sums over known words, and each text's other words with their times."""
-        lens, distinct, place = split(texts)
-        number, old = self.words.numbers(distinct)[place], len(self.words) - len(self.words.new)
-        self.hit, self.log = (np.concatenate([x[:old], y]) for x, y in zip((self.hit, self.log), self._counted(self.words.new), strict=True))
-        symbol, hit, logs, first_tail = self.words.symbol[number], self.hit[number], self.log[number], len(self.words.modelled)
+        lens, distinct, place = encoded(texts)
+        first_tail, symbols = len(self.modelled), symbols_of(distinct, self.modelled)
+        other = symbols >= first_tail
+        hits, logs = np.empty(len(distinct), bool), np.empty(len(distinct))
+        hits[~other], logs[~other] = self.hit[symbols[~other]], self.log[symbols[~other]]
+        hits[other], logs[other] = self._counted(distinct.filter(pa.array(other)))
+        symbol, hit, logs = symbols[place], hits[place], logs[place]
         rows, first = _trigrams(symbol, lens, first_tail + TAILS)
         lp = self.model.log_probabilities(*rows) / math.log(10)
         of = np.repeat(np.arange(len(texts)), lens)
@@ -288,8 +356,9 @@ class Scorer:
         share = np.where(symbol < first_tail, 0.0, logs - self.tail_log[np.maximum(symbol - first_tail, 0)])
         n = lens + 1
         others: list[Counter] = [Counter() for _ in texts]
-        for i in np.flatnonzero(~hit).tolist():
-            others[of[i]][distinct[place[i]]] += 1
+        rare = np.flatnonzero(~hit)
+        for i, w in zip(of[rare].tolist(), distinct.take(pa.array(place[rare])).to_pylist(), strict=True):
+            others[i][w] += 1
         return {
             "n_tokens": n,
             "n_known": np.bincount(of, hit, len(texts)).astype(np.int64) + int(self.ends > 0),
@@ -314,23 +383,29 @@ def _trigrams(symbol: np.ndarray, lens: np.ndarray, end: int) -> tuple[tuple[np.
 def count_words(docs: DataFrame, entries: int = 400_000) -> DataFrame:
     """word (the end as a line break), n over all rows: counted in each task, then summed.
 
-    A task hands on its counts whenever it holds ``entries`` words."""
+    A task adds up its batches' counts whenever they hold twice ``entries`` words, and hands them on where
+    more than ``entries`` are left."""
 
-    def work(batches):
-        c: Counter = Counter()
-
-        def out():
-            return {"word": pa.array(list(c), pa.binary()), "n": np.fromiter(c.values(), np.int64, len(c))}
+    def added(held: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+        words = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+        n = np.bincount(words.indices.to_numpy(), np.concatenate([n for _, n in held]), len(words.dictionary))
+        return words.dictionary, n.astype(np.int64)
 
+    def work(batches):
+        held, size = [], 0
         for b in batches:
-            _, distinct, place = split(b["text"])
-            c.update(dict(zip(distinct, np.bincount(place, minlength=len(distinct)).tolist(), strict=True)))
-            c[END_TOKEN] += len(b["text"])
-            if len(c) > entries:
-                yield out()
-                c.clear()
-        if c:
-            yield out()
+            _, distinct, place = encoded(b["text"])
+            held += [(distinct, np.bincount(place, minlength=len(distinct))), (pa.array([END_TOKEN], pa.binary()), np.array([len(b["text"])]))]
+            size += len(distinct)
+            if size > 2 * entries:
+                held = [added(held)]
+                size = len(held[0][0])
+                if size > entries:
+                    yield {"word": held[0][0], "n": held[0][1]}
+                    held, size = [], 0
+        if held:
+            words, n = added(held)
+            yield {"word": words, "n": n}
 
     return map_batches(docs.select("text"), "word binary, n long", work).groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -345,24 +420,29 @@ def train(docs: DataFrame, modelled: list[bytes], counts: np.ndarray, total: int
     held = spark.sparkContext.broadcast((modelled, counts))  # bounded by most_words
 
     def symbols(batches):
-        words = Words(held.value[0])
+        words = pa.array(held.value[0], pa.binary())
         for b in batches:
-            times = Counter(t or "" for t in b["text"].to_pylist())
-            of = [xxhash.xxh64_intdigest(t.encode()) for t in times]
-            lens, distinct, place = split(pa.array(list(times), pa.string()))
-            number = words.numbers(distinct)[place]
-            ids = [x.tobytes() for x in np.split(words.symbol[number].astype(np.int32), np.cumsum(lens)[:-1])]
-            yield {"part": [x % parts for x in of], "times": list(times.values()), "ids": ids}
+            texts = b["text"].fill_null("").dictionary_encode()
+            times = np.bincount(texts.indices.to_numpy(), minlength=len(texts.dictionary))
+            of = [xxhash.xxh64_intdigest(t) for t in listed(texts.dictionary)]
+            lens, distinct, place = encoded(texts.dictionary)
+            symbol = symbols_of(distinct, words).astype(np.int32)[place]
+            ends = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(4 * ends), pa.py_buffer(symbol)])
+            yield {"part": [x % parts for x in of], "times": times, "ids": ids}
 
     def learn(batches):
         end, pad = n - 2, n - 1
         part, pending = None, []
 
         def trained():
-            keys, at = np.unique(np.concatenate([k for k, _ in pending]), return_inverse=True)
-            times = np.bincount(at, np.concatenate([t for _, t in pending]))
+            keys, times = summed([k for k, _ in pending], [t for _, t in pending])
+            pending.clear()
+            grams = np.empty((len(keys), 3), np.int32)
+            keys, grams[:, 2] = np.divmod(keys, n)
+            grams[:, 0], grams[:, 1] = np.divmod(keys, n)
             model = LogBilinear(held.value[1])
-            model.train(np.stack([keys // n**2, keys // n % n, keys % n], axis=1), times, seed=part)
+            model.train(grams, times, seed=part)
             weight = int(times.sum())
             pieces = np.array_split(model.parameters() * np.float64(weight), slices)
             return {"slice": list(range(slices)), "part": [part] * slices, "weight": [weight] * slices, "sums": [x.tobytes() for x in pieces]}
@@ -371,10 +451,9 @@ def train(docs: DataFrame, modelled: list[bytes], counts: np.ndarray, total: int
             for p, times, ids in zip(b["part"].to_pylist(), b["times"].to_pylist(), b["ids"].to_pylist(), strict=True):
                 if p != part and pending:
                     yield trained()
-                    pending = []
                 part = p
                 x = np.concatenate([[pad, pad], np.frombuffer(ids, np.int32), [end]]).astype(np.int64)
-                pending.append(((x[:-2] * n + x[1:-1]) * n + x[2:], np.full(len(x) - 2, times)))
+                pending.append(((x[:-2] * n + x[1:-1]) * n + x[2:], times))
         if pending:
             yield trained()
 
@@ -397,17 +476,16 @@ def train(docs: DataFrame, modelled: list[bytes], counts: np.ndarray, total: int
     return start
 
 
-def _tail_sums(words: DataFrame, modelled: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _tail_sums(words: DataFrame, modelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and distinct words of each tail, without the modelled words."""
 
     def tails(batches):
         n, k = np.zeros(TAILS), np.zeros(TAILS)
+        known = pa.array(modelled, pa.binary())
         for b in batches:
-            for w, c in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True):
-                if w not in modelled:
-                    i = tail(w)
-                    n[i] += c
-                    k[i] += 1
+            i = symbols_of(b["word"], known) - len(known)
+            n += np.bincount(i[i >= 0], b["n"].to_numpy()[i >= 0], TAILS)
+            k += np.bincount(i[i >= 0], minlength=TAILS)
         at = np.flatnonzero(k)
         yield {"tail": at, "n": n[at], "k": k[at]}
 
@@ -428,7 +506,7 @@ def _known(words: DataFrame, floor_modelled: int, known_words: int) -> tuple[np.
 
     def hashed(batches):
         for b in batches:
-            yield {"hash": [word_hash(w) for w in b["word"].to_pylist()], "n": b["n"]}
+            yield {"hash": word_hashes(b["word"]), "n": b["n"]}
 
     above = words.where((F.col("n") > floor) | (F.col("n") >= floor_modelled))
     got = map_batches(above, "hash long, n long", hashed).toArrow()
@@ -463,7 +541,7 @@ def score(docs: DataFrame, training: DataFrame, *, known_words: int = 1_000_000,
             break
     top = sorted(((r.n, bytes(r.word)) for r in words.where(F.col("n") >= floor).collect()), key=lambda x: (-x[0], x[1]))  # most_words at most
     modelled = [w for _, w in top]
-    tail_tokens, tail_words = _tail_sums(words, set(modelled))
+    tail_tokens, tail_words = _tail_sums(words, modelled)
     model = train(training, modelled, np.concatenate([np.array([n for n, _ in top], float), tail_tokens + 0.5, [ends + 0.5]]), total)
     scorer = Scorer(model, modelled, *_known(words, floor, known_words), tail_words, tail_tokens, total, kinds, ends)
     held = spark.sparkContext.broadcast(scorer)
