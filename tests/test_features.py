@@ -96,3 +96,26 @@ def test_samples_are_made_once(spark):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "ExistingRDD" not in plan and "p_race_date" not in plan and "harrier-rated" in plan
     assert sorted((r.race_id, r.fis_code) for r in got.collect()) == [(f"r{d:02}", f"a{k}") for d in range(1, 4) for k in range(8)]
+
+
+def test_the_weighted_quantile_makes_no_list_of_the_history(spark):
+    draw = random.Random(8)
+    rows = [{"race_id": f"r{i}", "race_date": DAY + timedelta(days=draw.randrange(300)), "technique": draw.choice("CF"), "kind": draw.choice(["sprint", "distance"]), "pct": draw.choice([0.0, 0.25, 0.5, 0.9, 1.0])} for i in range(40)]
+    p = past(spark, *rows)
+    targets = spark.createDataFrame([(f"t{i}", "a", DAY + timedelta(days=9 * i), "distance", "F", 10.0) for i in range(36)], target(spark).schema)
+    got = feat._sums_joined(targets, p)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+    got = {r.race_id: r for r in got.collect()}
+    known = {}
+    for r in feat.history(targets, p).collect():
+        known.setdefault(r.race_id, []).append((r.p_pct, r.w))
+    assert set(got) == set(known) and len(got) > 25
+    for race, found in known.items():
+        c, sw, best = 0.0, sum(w for _, w in found), None
+        for x, w in sorted(f for f in found if f[1] > 0):
+            c += w
+            if c >= 0.2 * sw - 1e-12:
+                best = x
+                break
+        assert got[race].best == best and math.isclose(got[race].sw, sw)
