@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,29 @@ class _Page(HTMLParser):
         """The machine-readable date; else the first that the header spells out."""
         return self.dates[0] or self.dates[1]
 
+    # a page is mostly plain divs, which need none of the library's patterns; and nobody asks for lines
+
+    def updatepos(self, i, j):
+        return j
+
+    def parse_starttag(self, i):
+        if not self.rawdata.startswith("<div>", i):
+            return super().parse_starttag(i)
+        self.handle_starttag("div", [])
+        return i + 5
+
+    def parse_endtag(self, i):
+        if self.cdata_elem is not None or not self.rawdata.startswith("</div>", i):
+            return super().parse_endtag(i)
+        self.handle_endtag("div")
+        return i + 6
+
     def handle_starttag(self, tag, attrs):
+        if tag == "div" and not attrs:
+            for s in self.stack:
+                s["leaf"] = False
+            self.stack.append({"tag": tag, "text": [], "leaf": True, "part": None, "head": False})
+            return
         a = dict(attrs)
         classes = (a.get("class") or "").split()
         if tag == "a" and "table-row" in classes:
@@ -101,13 +124,18 @@ class _Page(HTMLParser):
             s["text"].append(data)
 
     def handle_endtag(self, tag):
-        if any(s["tag"] == tag for s in self.stack):
+        if self.stack and self.stack[-1]["tag"] == tag:
+            self._closed(self.stack.pop())
+        elif any(s["tag"] == tag for s in self.stack):
             while self._closed(self.stack.pop()) != tag:  # what was left open ends with what holds it
                 pass
         if tag == "a":
             self.cells = None
 
     def _closed(self, s: dict) -> str:
+        cell = self.cells is not None and s["tag"] == "div" and s["leaf"]
+        if not (cell or s["part"] or s["head"] or s["tag"] == "h1"):
+            return s["tag"]
         text = " ".join(" ".join(s["text"]).split())
         if s["part"] and text:
             self.header.setdefault(s["part"], text)
@@ -115,7 +143,7 @@ class _Page(HTMLParser):
             self.header.setdefault("place", text)
         if s["head"] and re.fullmatch(r"[A-Z][a-z]+ \d{1,2}, \d{4}", text):
             self.dates[1] = self.dates[1] or _text_date(text, "%B %d, %Y")
-        if self.cells is not None and s["tag"] == "div" and s["leaf"] and text:
+        if cell and text:
             self.cells.append(text)
         return s["tag"]
 
@@ -170,31 +198,57 @@ def classify_cells(cells: list[str]) -> dict | None:
 
 HEADER = "race_id string, title string, place string, series string, race_date string"
 ENTRY = "competitor_id string, rank int, status string, fis_code string, birth_year int, nation string, bib int, diff_s double, fis_points double, name string, time_s double"
-_ENTRY = [c.split(" ")[0] for c in ENTRY.split(", ")]
+_HEADER, _ENTRY = ([c.split(" ")[0] for c in x.split(", ")] for x in (HEADER, ENTRY))
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+_HEADER_FIELDS, _ENTRY_FIELDS = ([pa.field(n, _ARROW[t]) for n, t in (c.split(" ") for c in x.split(", "))] for x in (HEADER, ENTRY))
+#: Entries that a task hands on at once.
+ENTRIES = 10_000
+
+
+def _read(batches: Iterable[pa.RecordBatch], page: type) -> Iterator[tuple[tuple, list[tuple], str | None]]:
+    """Header, entries and error of each page, one page at a time."""
+    for b in batches:
+        race_ids, htmls = b.column("race_id"), b.column("html")
+        for i in range(b.num_rows):
+            race = race_ids[i].as_py()
+            try:
+                p = page()
+                p.feed(htmls[i].as_py() or "")
+                p.close()
+                entries = []
+                for competitor, cells in p.rows:
+                    if found := classify_cells(cells):
+                        entries.append((competitor, *(found[c] for c in _ENTRY[1:])))
+                yield (race, p.header.get("kind"), p.header.get("place") or p.header.get("name"), p.header.get("subtitle"), p.date), entries, None
+            except Exception as e:  # noqa: BLE001  whatever is wrong with one page is that page's
+                yield (race, None, None, None, None), [], f"{type(e).__name__}: {e}"
 
 
 def parse_pages(pages: DataFrame, page: type = _Page) -> DataFrame:
     """One row a race page (race_id, html): its header and ``entries``, the rows with a code and a name, and ``error``.
 
     A null page has neither. Pages are parsed leniently: what isn't a header or a row is passed over. A page on which the
-    parser (``page``) fails gives the reason in ``error``, and the others aren't touched by it.
+    parser (``page``) fails gives the reason in ``error``, and the others aren't touched by it. A task holds a page at a time, and
+    what of pages makes ``ENTRIES`` entries.
     """
+    schema = pa.schema([*_HEADER_FIELDS, pa.field("entries", pa.list_(pa.struct(_ENTRY_FIELDS))), pa.field("error", pa.string())])
 
     def parse(batches):
-        for b in batches:
-            out = []
-            for race, html in zip(b.race_id, b.html, strict=True):
-                try:
-                    p = page()
-                    p.feed(html or "")
-                    p.close()
-                    entries = [{"competitor_id": competitor} | r for competitor, cells in p.rows if (r := classify_cells(cells))]
-                    out.append((race, p.header.get("kind"), p.header.get("place") or p.header.get("name"), p.header.get("subtitle"), p.date, [{c: e[c] for c in _ENTRY} for e in entries], None))
-                except Exception as e:  # noqa: BLE001  whatever is wrong with one page is that page's
-                    out.append((race, None, None, None, None, [], f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=[*(c.split(" ")[0] for c in HEADER.split(", ")), "entries", "error"])
-
-    return pages.select("race_id", "html").mapInPandas(parse, f"{HEADER}, entries array<struct<{ENTRY.replace(' ', ':')}>>, error string".replace(",:", ", "))
+        out, held = [], 0
+
+        def made():
+            return pa.RecordBatch.from_pylist([{**dict(zip(_HEADER, head, strict=True)), "entries": [dict(zip(_ENTRY, e, strict=True)) for e in entries], "error": error} for head, entries, error in out], schema)
+
+        for parsed in _read(batches, page):
+            out.append(parsed)
+            held += 1 + len(parsed[1])
+            if held >= ENTRIES:
+                yield made()
+                out, held = [], 0
+        if out:
+            yield made()
+
+    return pages.select("race_id", "html").mapInArrow(parse, f"{HEADER}, entries array<struct<{ENTRY.replace(' ', ':')}>>, error string".replace(",:", ", "))
 
 
 def bad_pages(parsed: DataFrame) -> DataFrame:
@@ -204,12 +258,29 @@ def bad_pages(parsed: DataFrame) -> DataFrame:
 
 def entries_of(parsed: DataFrame) -> DataFrame:
     """The rows of parsed pages, each with its page's header."""
-    return parsed.select(*(c.split(" ")[0] for c in HEADER.split(", ")), F.inline("entries"))
+    return parsed.select(*_HEADER, F.inline("entries"))
 
 
 def parse_race_pages(pages: DataFrame) -> DataFrame:
-    """Rows of race pages (race_id, html), each with its page's header. Rows without code or name go."""
-    return entries_of(parse_pages(pages))
+    """Rows of race pages (race_id, html), each with its page's header. Rows without code or name go. No page's rows are ever one cell."""
+    schema = pa.schema([*_HEADER_FIELDS, *_ENTRY_FIELDS])
+
+    def parse(batches):
+        out = []
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        for head, entries, _ in _read(batches, _Page):
+            for e in entries:
+                out.append(head + e)
+                if len(out) >= ENTRIES:
+                    yield made()
+                    out = []
+        if out:
+            yield made()
+
+    return pages.select("race_id", "html").mapInArrow(parse, f"{HEADER}, {ENTRY}")
 
 
 def races_of(parsed: DataFrame, listed: DataFrame | None = None) -> DataFrame:
