@@ -49,6 +49,12 @@ def test_pages_are_parsed_once(spark):
     assert "MapIn" not in _plan(queries.result_pages(spark, SF))
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_timed_pages_hold_no_race_in_an_aggregate(spark):
+    plan = _plan(queries.timed_pages(spark, SF))
+    assert "collect_list" not in plan and "Generate" not in plan
+
+
 def test_plain_tags(spark):
     """Plain divs are read as by the library's patterns, also within scripts, comments and broken tags."""
 
